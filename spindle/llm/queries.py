@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, secret_scan
+from . import exact_dedup, line_dedup, minhash, secret_scan
 from .common import documents, table
 
 
@@ -66,3 +66,10 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES["op10_minhash"] = op10_minhash
