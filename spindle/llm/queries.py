@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, secret_scan
+from . import exact_dedup, line_dedup, minhash, packing, secret_scan, token_files
 from .common import documents, table
+from .encoding import vocabulary
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,3 +74,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_minhash"] = op10_minhash
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES |= {"op4_best_fit_packing": op4_best_fit_packing, "op6_token_files": op6_token_files}
