@@ -25,8 +25,24 @@ UNITS = {
 }
 #: Units that a worker remembers at most (twice as many while it changes over), and their length.
 KNOWN_UNITS, LONGEST_UNIT = 400_000, 64
-#: Bytes of text that are cut into units at once.
-CHUNK = 1 << 19
+
+
+class _Known(dict):
+    """unit -> its ids, little-endian unsigned 32-bit."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= KNOWN_UNITS:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = np.array(self.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(unit) <= LONGEST_UNIT:
+            self[unit] = ids
+        return ids
 
 
 def vocabulary(name: str) -> str:
@@ -42,42 +58,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern = UNITS.get(os.path.basename(path))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # Of another vocabulary the whole text is the unit.
+        self.units = pattern.findall if (pattern := UNITS.get(os.path.basename(path))) else lambda text: [text]
+        self.known = _Known(self.tokenizer.encode)
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(units, encoded)}
+    def ids(self, text: str) -> bytes:
+        """The text's ids, little-endian unsigned 32-bit."""
+        return b"".join(map(self.known.__getitem__, self.units(text)))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, little-endian unsigned 32-bit."""
-        if self.pattern is None:
-            for t in texts:
-                yield self._learn([t])[t]
-            return
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK or i == len(texts) - 1:
-                yield from self._chunk([self.pattern.findall(t) for t in texts[start : i + 1]])
-                start, size = i + 1, 0
-
-    def _chunk(self, units: list[list[str]]) -> Iterator[bytes]:
-        if len(self.new) > KNOWN_UNITS:
-            self.new, self.old = {}, self.new
-        unknown = set().union(*units) - self.new.keys()
-        for u in [u for u in unknown if u in self.old]:
-            self.new[u] = self.old[u]
-            unknown.discard(u)
-        learnt = self._learn(list(unknown))
-        long = {u: v for u, v in learnt.items() if len(u) > LONGEST_UNIT}
-        self.new.update(learnt)
-        known = self.new
-        for u in units:
-            yield b"".join(map(known.__getitem__, u))
-        for u in long:
-            del known[u]
+        return map(self.ids, texts)
 
 
 _encoders: dict[str, Encoder] = {}
