@@ -1,10 +1,11 @@
 """Exact deduplication with a heavy-hitter split (operator 1, DataFrame functions only).
 
-A Misra-Gries summary of the digests (``DataFrame.freqItems``, which merges the summaries of all
-partitions) names every digest that may hold more than ``support`` of the rows. Their exact counts
-and winning rows are then computed with map-side partial aggregates: at most ``1 / support`` rows,
-so the broadcast that decides all their copies without a shuffle has a size bound that does not
-depend on the data. All other digests are grouped by an ordinary shuffle; none of them is frequent.
+Misra-Gries summaries of ``counters`` digests (Spark's approx_top_k sketches, a weighted Misra-Gries
+summary that can be merged) are made per partition, merged per group of partitions, then into one.
+The digests it names are verified: their exact counts and winning rows come from a map-side partial
+aggregate. They are ``counters`` rows at most, so the broadcast that decides all their copies without
+a shuffle has a size bound that does not depend on the data. All other digests are grouped by an
+ordinary shuffle; none of them is frequent.
 """
 
 from __future__ import annotations
@@ -15,7 +16,21 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stage, text_of
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.0005) -> DataFrame:
+#: Partitions whose summaries are merged in one task of the first round.
+MERGED = 256
+
+
+def _frequent(rows: DataFrame, counters: int) -> DataFrame:
+    """(digest): the digests that the merged summary holds, ``counters`` at most; all with more than
+    about 2 / counters of the rows are among them."""
+    parts = rows.select("digest", F.floor(F.spark_partition_id() / MERGED).alias("part"))
+    by_part = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("summary"))
+    # Grouped by a constant: the sketch of an empty task without groups is null and can't be merged.
+    merged = by_part.groupBy(F.col("part") * 0).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    return merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {counters})")).alias("found")).select(F.col("found.item").alias("digest"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and all
@@ -31,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "digests",
     )
     winner = [F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")]
-    frequent = rows.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    frequent = _frequent(rows, counters)
     # Staged, as a summary computed anew could name other digests.
     heavy = stage(rows.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(*winner), "heavy-digests")
     decided = rows.join(F.broadcast(heavy), "digest")
