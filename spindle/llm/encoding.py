@@ -59,7 +59,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # Of another vocabulary the whole text is the unit.
-        self.units = pattern.findall if (pattern := UNITS.get(os.path.basename(path))) else lambda text: [text]
+        self.pattern = UNITS.get(os.path.basename(path))
+        self.units = self.pattern.findall if self.pattern else lambda text: [text]
         self.known = _Known(self.tokenizer.encode)
 
     def ids(self, text: str) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, packing, secret_scan, token_files
+from . import decontaminate, exact_dedup, line_dedup, minhash, packing, quality_cnn, secret_scan, token_counts, token_files, toxicity
 from .common import documents, table
 from .encoding import vocabulary
 
@@ -85,3 +85,30 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_best_fit_packing": op4_best_fit_packing, "op6_token_files": op6_token_files}
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", F.col("_severity").alias("expected_severity"), F.col("_p_toxic").alias("p_toxic"), F.col("_toxic").alias("toxic"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+
+
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = quality_cnn.train(docs, table(spark, sf_dir, "labels"), allowed=quality_cnn.fold(F.col("doc_id")) != 0)
+    scored = quality_cnn.score(docs, net)
+    return scored.select("doc_id", F.coalesce(quality_cnn.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", F.round("similarity", 4).alias("similarity"), "start_word", "stop_word")
+
+
+QUERIES |= {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op7_quality_cnn": op7_quality_cnn, "op8_decontamination": op8_decontamination}
