@@ -37,13 +37,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 500
 _shipped: set[str] = set()
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow, after sending this package to the executors once per application (they need
-    not have it installed)."""
-    context = df.sparkSession.sparkContext
+    not have it installed). Batches of Spark's default 10,000 documents would take hundreds of MB in a
+    worker; a session that has not chosen a size gets BATCH_ROWS."""
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="spark-spindle-")) / "spindle_package.zip"

@@ -5,10 +5,11 @@ integers, and coordinate k of the signature is the minimum of pi over the shingl
 shift by k. Both are fixed bijections of the ring, so nothing of the size of the universe is stored.
 
 Equal shingle sets are one class, compared once. Classes that agree in all rows of a band share a
-bucket. In a bucket a pivot is compared with the others, on the full sets; later rounds take other
-pivots for what is not yet connected, and after a few rounds the pairs that are still open are
-compared one by one. So a bucket of thousands of near copies costs a number of comparisons in
-proportion to its size, and none is cut off. With 32 bands of 5 rows, a pair at similarity 0.8
+bucket. In a bucket a pivot is compared with the others, on the full sets; later rounds compare
+another pivot, drawn by a hash, with those that are not yet connected to it. What is still apart from
+the largest component of its bucket is then held against the bucket's members, in blocks of bounded
+size; no pairs are listed but the links found. So a bucket of thousands of near copies costs little
+more than its size, and none is cut off. With 32 bands of 5 rows, a pair at similarity 0.8
 shares no bucket with probability 3e-6.
 """
 
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stage, text_of
 from .components import components
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Words whose hashes a Python worker remembers at most.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 U = np.uint64
 
 
@@ -148,12 +149,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * threshold).select("a", "b")
 
 
+def _block_links(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        apart = table.column("apart").to_numpy()
+        nodes, components_of = table.column("node").to_pylist(), table.column("component").to_pylist()
+        lists = table.column("shingles").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        marked = np.zeros(len(flat), bool)
+        members = np.flatnonzero(~apart)
+        places = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in members]) if len(members) else flat[:0]
+        starts = np.cumsum(sizes[members]) - sizes[members]
+        a, b = [], []
+        for i in np.flatnonzero(apart) if len(members) else ():
+            own = flat[ends[i] - sizes[i] : ends[i]]
+            marked[own] = True
+            common = np.add.reduceat(marked[places].astype(np.int64), starts)
+            marked[own] = False
+            for j in members[common * 100 >= (sizes[i] + sizes[members] - common) * threshold]:
+                if components_of[i] != components_of[j]:
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _links_in_blocks(here: DataFrame, sets: DataFrame, threshold: int, block: int = 256) -> DataFrame:
+    """(a, b): the links in these buckets between different components. Nodes outside the largest
+    component of their bucket are held against all nodes of the bucket, ``block`` by ``block``."""
+    by_component = here.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
+    main = by_component.groupBy("bucket").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("all"))
+    rows = here.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main.component"))
+    blocks = {False: F.ceil(F.col("all") / block), True: F.ceil((F.col("all") - F.col("main.held")) / block)}
+    dealt = []
+    for apart, source in ((False, rows), (True, rows.where("outside"))):  # a node outside is in both roles
+        own = F.pmod(F.xxhash64("node"), blocks[apart])
+        other = F.explode(F.sequence(F.lit(0).cast("long"), blocks[not apart] - 1))
+        placed = source.select("bucket", "node", "component", F.lit(apart).alias("apart"), own.alias("own"), other.alias("other"))
+        dealt.append(placed.select("bucket", "node", "component", "apart", *(F.col(c).alias(n) for c, n in zip(("own", "other") if apart else ("other", "own"), ("x", "y")))))
+    with_sets = dealt[0].unionByName(dealt[1]).join(sets, "node").select("bucket", "x", "y", "node", "component", "apart", "shingles")
+    found = with_sets.groupBy("bucket", "x", "y").applyInArrow(_block_links(threshold), "a binary, b binary")
+    return _ordered(found, "a", "b")
+
+
 def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, bands: int = 32, rows: int = 5, pivot_rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, bands: int = 32, rows: int = 5, pivot_rounds: int = 2
 ) -> DataFrame:
     """One row per input row: doc_id, mark, n_shingles, component_id, kept.
 
@@ -185,26 +231,28 @@ def near_duplicates(
 
     links = compared = None
     labels = None
-    for last in [False] * pivot_rounds + [True]:
+    for turn in range(pivot_rounds + 1):
         here = open_rows
         if labels is not None:
             here = here.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             here = here.withColumn("component", F.col("node"))
-        pivot = here.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("pivot"), F.min("component").alias("x"), F.max("component").alias("y"))
+        # The first pivot is the same node in all buckets of a group, so its pairs repeat and are few.
+        drawn = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.lit(0).cast("long")
+        pivot = here.groupBy("bucket").agg(F.min(F.struct(drawn.alias("drawn"), "node", "n", "component")).alias("pivot"), F.min("component").alias("x"), F.max("component").alias("y"))
         rest = stage(here.join(pivot.where("x != y").select("bucket", "pivot"), "bucket").where("node != pivot.node"), "open-rows")
         if rest.isEmpty():
             break
-        if last:  # what no pivot settled: each open pair, of different components only
-            other = here.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            both = here.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(other, "bucket")
-            pairs = _ordered(both.where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & _close("n", "n2", threshold)), "node", "node2")
-        else:
-            pairs = _ordered(
-                rest.select("node", "n", "component", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("m"), F.col("pivot.component").alias("c"))
-                .where((F.col("component") != F.col("c")) & _close("n", "m", threshold)),
-                "node", "p",
-            )
+        if turn == pivot_rounds:
+            new = stage(_links_in_blocks(here.join(rest.select("bucket").distinct(), "bucket", "left_semi"), sets, threshold), "links")
+            links = new if links is None else links.unionByName(new)
+            labels = stage(components(links, "a", "b"), "labels")
+            break
+        pairs = _ordered(
+            rest.select("node", "n", "component", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("m"), F.col("pivot.component").alias("c"))
+            .where((F.col("component") != F.col("c")) & _close("n", "m", threshold)),
+            "node", "p",
+        )
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
