@@ -30,10 +30,9 @@ def _of_word(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh3_64_intdigest(p) % DIMENSIONS for p in parts)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, occurrences), distinct features ascending."""
-    found = [f for w in WORD.findall(text.lower()) for f in _of_word(w)]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+def features(text: str) -> np.ndarray:
+    """The distinct features, ascending."""
+    return np.unique(np.array([f for w in set(WORD.findall(text.lower())) for f in _of_word(w)], np.int64))
 
 
 class _Known(dict):
@@ -69,61 +68,60 @@ class Model:
         return score
 
 
-def grades(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, levels: int) -> np.ndarray:
+def grades(docs: list[np.ndarray], toxic: np.ndarray, levels: int) -> np.ndarray:
     """Severity grades from 0/1 labels: 0 for label 0; toxic documents are dealt into ``levels`` grades
-    of equal number by the share of their features that occur in toxic documents mostly."""
-    with_f, in_toxic = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.int32)
-    for (f, _), t in zip(docs, toxic):
-        with_f[f] += 1
-        in_toxic[f] += t
-    marked = (with_f >= 5) & (in_toxic >= 0.9 * with_f)
-    density = np.array([n[marked[f]].sum() / max(1, n.sum()) if t else -1.0 for (f, n), t in zip(docs, toxic)])
-    cuts = np.quantile(density[toxic == 1], np.arange(1, levels) / levels) if toxic.any() else []
-    return np.where(toxic == 1, 1 + np.searchsorted(cuts, density, side="right"), 0)
-
-
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, z_least: float = 5.0, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Full-batch Adagrad on the cumulative-link likelihood. Without labelled rows, or with one grade
+    of about equal number by how many of their features occur in toxic documents mostly."""
+    held, hit = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.int32)
+    for f, t in zip(docs, toxic):
+        held[f] += 1
+        hit[f] += t
+    marked = (held >= 5) & (hit >= 0.9 * held)
+    terms = np.array([marked[f].sum() for f in docs])
+    cuts = np.quantile(terms[toxic == 1], np.arange(1, levels) / levels) if toxic.any() else []
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, terms, side="right"), 0)
+
+
+def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = 4.0, rounds: int = 1000, rate: float = 0.03, decay: float = 1e-4) -> Model:
+    """Full-batch Adam on the cumulative-link likelihood. Without labelled rows, or with one grade
     only, the model gives every text the same severity, near the lowest grade."""
     levels = max(1, int(grade.max(initial=0)))
     if not len(docs) or grade.max(initial=0) == 0:
         return Model(np.empty(0, np.int64), np.empty(0), np.full(1, 10.0))
     n, y = len(docs), grade > 0
     held, hit = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    for (f, _), t in zip(docs, y):
+    for f, t in zip(docs, y):
         held[f] += 1
         hit[f] += t
     share = y.mean()
     z = (hit - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
-    chosen = np.flatnonzero((np.abs(z) >= z_least) & (held >= 5))
+    chosen = np.flatnonzero((z >= z_least) & (held >= 5))
     place = np.full(DIMENSIONS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    columns = [p[p >= 0] for p in (place[f] for f, _ in docs)]
+    columns = [p[p >= 0] for p in (place[f] for f in docs)]
     rows, columns = np.repeat(np.arange(n), [len(c) for c in columns]), np.concatenate(columns) if columns else np.empty(0, np.int64)
     above = (grade[:, None] >= np.arange(1, levels + 1)).astype(float)
-    w, base = np.zeros(len(chosen)), above.mean(0).clip(1e-6, 1 - 1e-6)
-    theta = -np.log(base / (1 - base))
-    gw, gt = np.full(len(w), 1e-8), np.full(levels, 1e-8)
-    for _ in range(rounds):
+    base = above.mean(0).clip(1e-6, 1 - 1e-6)
+    w, theta = np.zeros(len(chosen)), -np.log(base / (1 - base))
+    first, second = [np.zeros(len(w)), np.zeros(levels)], [np.zeros(len(w)), np.zeros(levels)]
+    for t in range(1, rounds + 1):
         x = np.bincount(rows, w[columns], n)
         miss = 1 / (1 + np.exp(np.clip(theta - x[:, None], -50, 50))) - above  # of each threshold
-        dw = np.bincount(columns, miss.sum(1)[rows], len(w)) / n + decay * w
-        dt = -miss.mean(0)
-        gw, gt = gw + dw**2, gt + dt**2
-        w -= rate * dw / np.sqrt(gw)
-        theta = np.sort(theta - rate * dt / np.sqrt(gt))
+        for p, g, m, v in zip((w, theta), (np.bincount(columns, miss.sum(1)[rows], len(w)) / n + decay * w, -miss.mean(0)), first, second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        np.maximum(w, 0, out=w)  # a feature of toxic texts never speaks against toxicity
+        theta.sort()
     return Model(chosen, w, theta)
 
 
 def _feature_rows(batches):
     for batch in batches:
         found = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["label", "features", "counts"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, levels: int = 3, graded: bool = False) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12000, levels: int = 3, graded: bool = False) -> Model:
     """Fit on at most ``sample`` labelled rows: those whose ids hash lowest. Rows without a label, a
     text or an id are not used. graded: label_col already holds ordered grades from 0."""
     chosen = (
@@ -131,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     joined = rows.join(F.broadcast(chosen), "l_id")  # ``sample`` rows at most
-    got = map_arrow(joined.select("label", "text"), _feature_rows, "label int, features array<long>, counts array<long>").limit(sample).toArrow()
+    got = map_arrow(joined.select("label", "text"), _feature_rows, "label int, features array<long>").limit(sample).toArrow()
     label = got.column("label").to_numpy() if got.num_rows else np.empty(0, np.int32)
-    found = [(np.array(f, np.int64), np.array(n, np.int64)) for f, n in zip(got.column("features").to_pylist(), got.column("counts").to_pylist())]
+    found = [np.array(f, np.int64) for f in got.column("features").to_pylist()]
     return fit(found, label if graded else grades(found, (label > 0).astype(np.int64), levels))
 
 
@@ -149,9 +147,9 @@ def _score_rows(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, cut: float = 0.3) -> DataFrame:
     """The columns ``carry`` (all by default), then _severity (expected grade), _p_toxic (probability of
-    any grade above 0) and _toxic (_p_toxic >= 0.5), one row per input row.
+    any grade above 0) and _toxic (_p_toxic >= cut), one row per input row.
 
     A null or empty text has no features and gets the severity of the thresholds alone. Very long
     texts are scored whole. Repeated rows are scored alike. Columns of these three names are replaced.
@@ -160,4 +158,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
     rows = docs.select(row.alias("row"), text_of(text_col).alias("text"))
     out = map_arrow(rows, _score_rows(model), f"row {rows.schema['row'].dataType.simpleString()}, severity double, p_toxic double")
-    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)), F.col("severity").alias("_severity"), F.col("p_toxic").alias("_p_toxic"), (F.col("p_toxic") >= 0.5).alias("_toxic"))
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)), F.col("severity").alias("_severity"), F.col("p_toxic").alias("_p_toxic"), (F.col("p_toxic") >= cut).alias("_toxic"))
