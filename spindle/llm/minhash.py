@@ -201,14 +201,14 @@ def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, bands: int = 32, rows: int = 5, pivot_rounds: int = 2
 ) -> DataFrame:
-    """One row per input row: doc_id, mark, n_shingles, component_id, kept.
+    """One row per input row: doc_id, mark, n_shingles, component, component_id, kept.
 
     Rows are linked if 100 * intersection >= threshold * union of their sets of ``size``-word
     shingles; component_id is the smallest id that links reach. Texts with equal sets are linked,
     except empty sets (null, empty or blank texts), which are linked with nothing: their
     component_id is their own id. kept: doc_id = component_id; rows that repeat an id are kept or
     dropped together; a null id is never the smallest, and a component of null ids only has
-    component_id null and kept false. mark is xxhash64 of the text. An empty table gives an empty
+    component_id null and kept false. mark is xxhash64 of the text; component names the component by a digest, null for an empty set. An empty table gives an empty
     table; other columns are ignored.
     """
     text = text_of(text_col)
@@ -268,6 +268,6 @@ def near_duplicates(
         named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.select("node", "low", "component")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_node = named.join(lowest, "component").select("node", "component_id")
+    by_node = named.join(lowest, "component").select("node", "component", "component_id")
     joined = signed.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
