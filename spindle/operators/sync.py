@@ -51,7 +51,7 @@ def synced(messages: DataFrame, sessions: DataFrame, notes: DataFrame, dialect:
     dispatched = dispatch(sessions, notes)
     delta = M.rendered(new_messages(messages, dispatched)).select("session_id", "body")
     joined = dispatched.join(delta, "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
-    appended = F.concat(F.regexp_replace("old_markdown", r"\n*\z", "\n\n"), F.col("body"))
+    appended = F.concat(F.regexp_replace("old_markdown", r"(?<!\n)\n*\z", "\n\n"), F.col("body"))
     if dialect.has_msg_count:
         appended = N.with_msg_count(appended, F.col("msg_count"))
     created = joined.withColumn("base", F.when(F.col("action") == CREATED, N.base_name(dialect)))

@@ -1,0 +1,79 @@
+from pyspark.sql import functions as F
+
+from spindle.operators import messages as M
+from spindle.operators import notes as N
+from spindle.operators import sync as S
+
+FENCE = "`" * 3
+
+
+def test_heading_counts(spark):
+    note = "\n".join(["## Q1", "x", FENCE, "## Q2", FENCE, "## A1", "## A2 extra"])
+    row = spark.createDataFrame([(note,)], "v string").select(N.heading_count(F.col("v")).alias("all"), N.fenced_heading_counts(F.col("v")).alias("f")).first()
+    assert (row["all"], row["f"]["q"], row["f"]["a"]) == (4, 1, 1)
+
+
+def test_stored_msg_count(spark):
+    cases = [
+        ("---\nmsg_count: 4\n---\n", 4),
+        ("msg_count: 4\n", None),
+        ("---\nmsg_count: 4\n", None),
+        ("---\ntitle: x\n---\nmsg_count: 4\n", None),
+        ("---\nmsg_count: x\n---\n", None),
+        ("---\nmsg_count: 3\nmsg_count: 5\n---\n", 5),
+        ("---\n---\nmsg_count: 5\n", None),
+    ]
+    rows = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(cases)], "i int, v string")
+    assert [r[0] for r in rows.orderBy("i").select(N.stored_msg_count(F.col("v"))).collect()] == [x for _, x in cases]
+
+
+def test_msg_count_is_replaced_or_added(spark):
+    notes = ["---\na: b\nmsg_count: 2\ntags:\n---\n\nmsg_count: 2\n", "---\na: b\n---\nx"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(notes)], "i int, v string")
+    got = [r[0] for r in rows.orderBy("i").select(N.with_msg_count(F.col("v"), F.lit(7))).collect()]
+    assert got == ["---\na: b\nmsg_count: 7\ntags:\n---\n\nmsg_count: 2\n", "---\na: b\nmsg_count: 7\n---\nx"]
+
+
+def test_session_id_is_read_unescaped(spark):
+    notes = ['---\nsession_id: "a\\"\\u3042"\n---\n', "---\nsession_id: 0123\n---\n", "x\n---\nsession_id: 1\n---\n"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(notes)], "i int, v string")
+    assert [r[0] for r in rows.orderBy("i").select(N.stored_session_id(F.col("v"))).collect()] == ['a"あ', "0123", None]
+
+
+def test_names_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([(1, "d_x"), (2, "d_y"), (3, "d_x"), (4, "d_x")], "i int, base string")
+    assert [r["filename"] for r in N.numbered_names(rows, "base", "i").orderBy("i").collect()] == ["d_x.md", "d_y.md", "d_x_1.md", "d_x_2.md"]
+
+
+def test_free_names_fill_gaps(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "i int, base string")
+    taken = spark.createDataFrame([("a.md",), ("a_2.md",), ("c.md",)], "filename string")
+    assert [r["filename"] for r in N.free_names(rows, "base", taken, "i").orderBy("i").collect()] == ["a_1.md", "a_3.md", "a_4.md", "b.md"]
+
+
+def test_title_choice(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "Answer text here"), (1, 2, "user", "A real question")]
+    rows += [(2, 0, "user", "hi"), (2, 1, "assistant", "Answer text here"), (3, 0, "user", "hi"), (3, 1, "assistant", "ok")]
+    df = spark.createDataFrame(rows, "session_id int, seq int, role string, text string")
+    got = {r["session_id"]: r["title"] for r in M.titles(df).collect()}
+    assert got == {1: "A real question", 2: "Answer text here", 3: "untitled"}
+
+
+def test_actions(spark):
+    sessions = spark.createDataFrame([(0, 0), (1, 4), (2, 4), (3, 4), (4, 4), (5, 4)], "session_id int, msg_count int")
+    notes = spark.createDataFrame([(2, 4), (3, 6), (4, 2), (5, None)], "session_id int, msg_count int")
+    notes = notes.select("*", *(F.lit(None).cast("string").alias(c) for c in ("q_count", "a_count", "filename", "markdown")))
+    got = {r["session_id"]: r["action"] for r in S.dispatch(sessions, notes).collect()}
+    assert got == {0: "skipped", 1: "created", 2: "unchanged", 3: "unchanged", 4: "appended", 5: "skipped"}
+    assert {r["action"]: r["sessions"] for r in S.outcomes(S.dispatch(sessions, notes)).collect()} == {"skipped": 2, "created": 1, "unchanged": 2, "appended": 1}
+
+
+def test_missing_source_passes(spark):
+    rows = spark.createDataFrame([("claude",), ("codex",), (None,)], "source string")
+    assert sorted(str(r[0]) for r in S.not_from(rows, "codex").collect()) == ["None", "claude"]
+
+
+def test_rendering_plans_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a")], "session_id int, seq int, role string, text string")
+    plan = M.rendered(M.numbered(M.spoken(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
