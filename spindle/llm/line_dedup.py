@@ -55,31 +55,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as an empty text. The first occurrence is the one with the smallest (id, position), null ids
     first, ties by a hash of the text. Rows that repeat both id and text count as one document and
     come out alike. Windows that repeat inside a document are removed there too. An empty table
-    gives an empty table. Input columns whose names start with ``_`` and equal those added are
-    replaced.
+    gives an empty table. Input columns of the three added names are replaced.
     """
     text = text_of(text_col)
-    kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed", "_emptied", "_id", "_mark", "_spans")]
-    found = covered(docs, id_col, text_col, size).select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans")
-    )
-    left = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("_key", F.xxhash64(text))
-    joined = left.join(found, left[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_mark")), "left")
-    lines, n = _lines(text), F.size(_lines(text))
-    edges = F.concat(
-        F.array(F.lit(0)), F.flatten(F.transform("_spans", lambda s: F.array(s["start"], F.least(s["stop"], n)))), F.array(n)
-    )
+    kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed", "_emptied")]
+    # The input's columns travel in a struct, so their names can't clash with those used here.
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    left = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    joined = left.join(covered(docs, id_col, text_col, size), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("mark")), "left")
+    lines = _lines(F.col("text"))
+    n = F.size(lines)
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["start"], F.least(s["stop"], n)))), F.array(n))
     # edges: keep from, keep to, keep from, keep to, ...
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_spans")),
+        F.sequence(F.lit(0), F.size("spans")),
         lambda i: F.slice(lines, F.get(edges, i * 2) + 1, F.get(edges, i * 2 + 1) - F.get(edges, i * 2)),
     )
-    rest = F.when(F.col("_spans").isNull(), lines).otherwise(F.flatten(pieces))
-    out = joined.withColumn("_rest", rest)
-    new_text = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join("_rest", "\n"))
+    whole = F.col("spans").isNull()
+    out = joined.withColumn("rest", F.when(whole, lines).otherwise(F.flatten(pieces)))
+    new_text = F.when(whole, F.col("text")).otherwise(F.array_join("rest", "\n"))
     return out.select(
-        *(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept),
+        *((new_text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(kept)),
         n.alias("_n_lines"),
-        (n - F.size("_rest")).alias("_n_removed"),
-        ((F.size("_rest") == 0) & F.col("_spans").isNotNull()).alias("_emptied"),
+        (n - F.size("rest")).alias("_n_removed"),
+        ((F.size("rest") == 0) & ~whole).alias("_emptied"),
     )
