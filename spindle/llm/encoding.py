@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import numpy as np
 #: The id that ends a document, and the units' patterns. Latin letters not followed by
 #: another letter or a mark end a pre-token; so does white space. \x1c-\x1f count as text, as there.
 END_ID = 2
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _WORD = rf"[{_LATIN}]+(?![^\W\d_]|[̀-\U0010ffff])"
 _TEXT = r"(?:\S|[\x1c-\x1f])+"
 _SPACE = r"[^\S\x1c-\x1f]"
@@ -23,15 +24,23 @@ UNITS = {
     "byte_bpe_50k.json": re.compile(rf" ?{_WORD}| ?{_TEXT}|{_SPACE}+(?!\S|[\x1c-\x1f])|{_SPACE}"),
     "word_bpe_49k.json": re.compile(rf"{_WORD}|{_TEXT}"),
 }
+#: A unit of this form is one pre-token, which the vocabulary's model can take by itself.
+LETTERS = re.compile(rf" ?[{_LATIN}]+")
+#: Texts of these characters may be lower-cased as a whole where the vocabulary lower-cases.
+BEYOND_LATIN = re.compile(r"[^\x00-įı-ɏ]")
+#: Byte-level vocabularies spell a byte that is not printable as the next free code point from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELLED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+SPACE = chr(SPELLED[0x20])
 #: Units that a worker remembers at most (twice as many while it changes over), and their length.
-KNOWN_UNITS, LONGEST_UNIT = 400_000, 64
+KNOWN_UNITS, LONGEST_UNIT = 300_000, 64
 
 
 class _Known(dict):
     """unit -> its ids, little-endian unsigned 32-bit."""
 
-    def __init__(self, encode) -> None:
-        self.encode, self.older = encode, {}
+    def __init__(self, tokenizer, lower: bool) -> None:
+        self.tokenizer, self.model, self.lower, self.older = tokenizer, tokenizer.model, lower, {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= KNOWN_UNITS:
@@ -39,7 +48,17 @@ class _Known(dict):
             self.clear()
         ids = self.older.get(unit)
         if ids is None:
-            ids = np.array(self.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            word = unit.lower() if self.lower else unit
+            if word.isascii() and word.isalpha():
+                found = [t.id for t in self.model.tokenize(word)]
+            elif word[0] == " " and word.isascii() and word[1:].isalpha():
+                found = [t.id for t in self.model.tokenize(SPACE + word[1:])]
+            elif LETTERS.fullmatch(unit):
+                spelled = word.encode().decode("latin-1").translate(SPELLED)
+                found = [t.id for t in self.model.tokenize(spelled)]
+            else:
+                found = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(unit) <= LONGEST_UNIT:
             self[unit] = ids
         return ids
@@ -61,10 +80,15 @@ class Encoder:
         # Of another vocabulary the whole text is the unit.
         self.pattern = UNITS.get(os.path.basename(path))
         self.units = self.pattern.findall if self.pattern else lambda text: [text]
-        self.known = _Known(self.tokenizer.encode)
+        self.lower = os.path.basename(path) == "word_bpe_49k.json"
+        self.known = _Known(self.tokenizer, self.lower) if self.pattern else None
 
     def ids(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
+        if self.pattern is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.lower and not BEYOND_LATIN.search(text):
+            text = text.lower()
         return b"".join(map(self.known.__getitem__, self.units(text)))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:

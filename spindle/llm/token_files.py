@@ -40,11 +40,12 @@ def _plan(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.where(wide > 60, ESCAPE, len(SELECTORS) - 1).astype(np.uint8)
     for s in range(len(SELECTORS) - 2, 0, -1):
         count, bits = SELECTORS[s]
-        fits = wide <= bits
-        if count > n or np.count_nonzero(fits) < count:
-            continue
-        total = np.concatenate(([0], np.cumsum(fits)))
-        best[: n - count + 1][total[count:] - total[:-count] == count] = s
+        run, have = wide <= bits, 1  # run[i]: have values from i on fit
+        while have < count <= n and run.any():
+            step = min(have, count - have)
+            run, have = run[:-step] & run[step:], have + step
+        if have == count:
+            best[: len(run)][run] = s
     after = (np.arange(n) + COUNTS[best]).tolist()
     begins, i = [], 0
     while i < n:
@@ -57,9 +58,12 @@ def _plan(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pack(values: np.ndarray) -> bytes:
     """One block of unsigned 64-bit values."""
     v = values.astype(U)
-    wide = np.zeros(len(v), np.int64)
-    for bits in sorted({b for _, b in SELECTORS}):
-        wide[v >> U(bits) > 0] = bits + 1
+    if v.max(initial=0) < 1 << 53:
+        wide = np.frexp(v.astype(np.float64))[1].astype(np.int8)  # exact bit lengths
+    else:
+        wide = np.zeros(len(v), np.int8)
+        for bits in sorted({b for _, b in SELECTORS}):
+            wide[v >> U(bits) > 0] = bits + 1
     begins, chosen = _plan(wide) if len(v) else (np.empty(0, np.int64), np.empty(0, np.uint8))
     words = chosen.astype(U) << U(60)
     escaped = np.empty(0, U)
