@@ -46,10 +46,10 @@ def _text(v: Column, path: str) -> Column:
 
 
 def export_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (position in the export), title, started_at (epoch seconds), mapping."""
-    files = spark.read.text(path, wholetext=True)
-    rows = files.select(F.posexplode(F.from_json("value", EXPORT_SCHEMA)).alias("session_id", "c"))
-    return rows.select("session_id", F.coalesce("c.title", F.lit("Untitled")).alias("title"), F.col("c.create_time").alias("started_at"), "c.mapping")
+    """session_id (the file's name and the position in it), title, started_at (epoch seconds), mapping."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    rows = files.select("file", F.posexplode(F.from_json("value", EXPORT_SCHEMA)).alias("at", "c"))
+    return rows.select(F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 9, "0")).alias("session_id"), F.coalesce("c.title", F.lit("Untitled")).alias("title"), F.col("c.create_time").alias("started_at"), "c.mapping")
 
 
 def export_messages(conversations: DataFrame) -> DataFrame:
