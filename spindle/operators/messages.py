@@ -33,7 +33,7 @@ def by_session() -> "Window":
 
 def positions(messages: DataFrame) -> DataFrame:
     """position: 1, 2, ... in the session, by seq."""
-    return messages.withColumn("position", F.row_number().over(by_session()))
+    return messages.withColumn("position", F.row_number().over(by_session()).cast("long"))
 
 
 def capped(messages: DataFrame, cap: int = MESSAGE_CAP) -> DataFrame:

@@ -66,8 +66,8 @@ def _name(x: str, kind: str) -> str:
 _MESSAGES = "SELECT conv_id AS session_id, turn AS seq, role, text FROM conversations"
 _SPOKEN = f"SELECT * FROM ({_MESSAGES}) WHERE role IN ('user', 'assistant')"
 _NUMBERED = (
-    "SELECT session_id, seq, role, text, row_number() OVER w AS position, CASE role WHEN 'user' THEN sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER w "
-    f"ELSE sum(CASE role WHEN 'assistant' THEN 1 ELSE 0 END) OVER w END AS n FROM ({_SPOKEN}) WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+    "SELECT session_id, seq, role, text, row_number() OVER w AS position, (CASE role WHEN 'user' THEN sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER w "
+    f"ELSE sum(CASE role WHEN 'assistant' THEN 1 ELSE 0 END) OVER w END)::BIGINT AS n FROM ({_SPOKEN}) WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
 )
 _BLOCK = "'## ' || CASE role WHEN 'user' THEN 'Q' ELSE 'A' END || n || chr(10) || text || chr(10) || chr(10)"
 
@@ -390,11 +390,11 @@ def stable_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     at = F.when(F.col("event_id") % 7 != 0, F.date_trunc("day", F.col("ts").cast("timestamp")).cast("double"))
     order = Window.partitionBy("user_id").orderBy(F.coalesce(at, F.lit(0.0)), "event_id")
-    return read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(order).alias("place"))
+    return read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("SELECT user_id AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) WHERE turn % 20 = 0")
 def reminder_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth turn of a session; the twentieth is the feature, not a sample."""
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), turn.alias("turn")).where(F.col("turn") % 20 == 0)

@@ -36,6 +36,12 @@ def inside(folder: str, name: str) -> str:
     return path
 
 
+def links_in(folder: str) -> tuple[str, ...]:
+    """The names in a folder that are symbolic links."""
+    with os.scandir(folder) as entries:
+        return tuple(e.name for e in entries if e.is_symlink())
+
+
 @contextmanager
 def lock(folder: str):
     """One run at a time in a folder: yields whether this run holds it. A stale lock is taken over."""

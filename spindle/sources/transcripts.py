@@ -7,12 +7,13 @@ by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import text as T
 from ..operators import messages as M
+from ..operators import notes as N
 
 #: Fixed value: a conversation of the export, as far as it is read.
 EXPORT_SCHEMA = (
@@ -58,9 +59,7 @@ def export_messages(conversations: DataFrame) -> DataFrame:
     nodes = conversations.select("session_id", F.posexplode(F.map_entries("mapping")).alias("at", "e")).select("session_id", "at", F.col("e.value.message").alias("m"))
     kept = nodes.select("session_id", "at", F.col("m.author.role").alias("role"), C.flatten_export(F.col("m.content.parts")).alias("text"), F.coalesce("m.create_time", F.lit(0.0)).alias("time"))
     ordered = M.spoken(kept).where("text IS NOT NULL").withColumn("key", F.struct("time", "at"))
-    from pyspark.sql import Window
-
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("key")) - 1
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("key")).cast("long") - 1
     return ordered.select("session_id", seq.alias("seq"), "role", "text")
 
 
@@ -155,13 +154,27 @@ def rollout_validated(sessions: DataFrame) -> DataFrame:
 # -- what is written already -----------------------------------------------------------------------
 
 
-def notes_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+def notes_snapshot(spark: SparkSession, folder: str, links: tuple[str, ...] = ()) -> DataFrame:
     """session_id, filename, markdown, msg_count, q_count, a_count of the notes in a folder (not below
-    it). msg_count is null for a note without a valid one."""
-    from ..operators import notes as N
-
+    it). msg_count is null for a note without a valid one. links: names that are symbolic links, which
+    Spark's readers would follow; they are left out."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    rows = files.select(F.col("value").alias("markdown"), F.col("_metadata.file_name").alias("filename"))
-    named = rows.select(N.stored_session_id(F.col("markdown")).alias("session_id"), F.url_decode(F.replace("filename", F.lit("+"), F.lit("%2B"))).alias("filename"), "markdown", N.stored_msg_count(F.col("markdown")).alias("msg_count"))
+    # The path is percent-encoded; a + in it is a plus sign.
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    rows = files.select(F.col("value").alias("markdown"), name.alias("filename"))
+    if links:
+        rows = rows.where(~F.col("filename").isin(*links))
+    named = rows.select(N.stored_session_id(F.col("markdown")).alias("session_id"), "filename", "markdown", N.stored_msg_count(F.col("markdown")).alias("msg_count"))
     headings = N.fenced_heading_counts(F.col("markdown"))
     return named.select("*", headings["q"].alias("q_count"), headings["a"].alias("a_count"))
+
+
+def append_index(rows: DataFrame, path: str) -> None:
+    """Append session_id and filename of new notes to a tab-separated index."""
+    rows.select("session_id", "filename").write.mode("append").option("sep", "\t").csv(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """One file name of each session id of an index: the first by file and name."""
+    rows = spark.read.option("sep", "\t").schema("session_id string, filename string").csv(path)
+    return rows.where("session_id IS NOT NULL").groupBy("session_id").agg(F.min("filename").alias("filename"))

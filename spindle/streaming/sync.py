@@ -19,7 +19,8 @@ def sync_now(spark: SparkSession, sessions: str, folder: str) -> DataFrame | Non
     with note_files.lock(real) as mine:
         if not mine:
             return None
-        return pipelines.write(pipelines.sync_rollouts(spark, sessions, transcripts.notes_snapshot(spark, real)), real)
+        held = transcripts.notes_snapshot(spark, real, note_files.links_in(real))
+        return pipelines.write(pipelines.sync_rollouts(spark, sessions, held), real)
 
 
 def follow(spark: SparkSession, triggers: DataFrame, sessions: str, folder: str, checkpoint: str) -> StreamingQuery:

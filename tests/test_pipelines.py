@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindle.plans import pipelines as P
 from spindle.sources import note_files
@@ -164,6 +165,39 @@ def test_rollouts(spark, tmp_path):
     assert texts(notes)[name] == damaged
 
 
+def test_links_are_no_notes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "in" / "rollout-1.jsonl").write_text("\n".join(ROLLOUT))
+    (tmp_path / "elsewhere.txt").write_text(f"---\nsession_id: {UUID}\nmsg_count: 9\n---\n")
+    os.symlink(tmp_path / "elsewhere.txt", tmp_path / "notes" / "link.md")
+    assert {r["action"] for r in sync.sync_now(spark, str(tmp_path / "in"), str(tmp_path / "notes")).collect()} == {"created"}
+
+
+def test_names_with_odd_characters_are_found_again(spark, folders):
+    docs, notes = folders
+    document(docs, "odd+id 100%", "claude", "2026-02-10T12:00:00Z", ("user", "50% of a+b & c=d #1"), ("assistant", "yes indeed"))
+    assert run(spark, docs, notes) == {"created": 1}
+    assert run(spark, docs, notes) == {"unchanged": 1}
+
+
+def test_index(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x.md"), ("b", "y.md")], "session_id string, filename string")
+    R.append_index(rows, str(tmp_path / "index"))
+    R.append_index(rows.where("session_id = 'a'").withColumn("filename", F.lit("z.md")), str(tmp_path / "index"))
+    assert {tuple(r) for r in R.read_index(spark, str(tmp_path / "index")).collect()} == {("a", "x.md"), ("b", "y.md")}
+
+
+def test_stream_of_hooks_drives_the_sync(spark, tmp_path):
+    for n in ("in", "hooks"):
+        (tmp_path / n).mkdir()
+    (tmp_path / "in" / "rollout-1.jsonl").write_text("\n".join(ROLLOUT))
+    (tmp_path / "hooks" / "a.json").write_text('{"session_id":"s"}')
+    hooks = spark.readStream.schema("session_id string").json(str(tmp_path / "hooks"))
+    sync.follow(spark, hooks, str(tmp_path / "in"), str(tmp_path / "notes"), str(tmp_path / "cp")).awaitTermination()
+    assert len(texts(tmp_path / "notes")) == 1
+
+
 def test_export(spark, tmp_path):
     node = lambda role, parts, at: {"message": {"author": {"role": role}, "content": {"parts": parts}, "create_time": at}}
     mapping = {
