@@ -64,14 +64,31 @@ def rendered(messages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _count_columns() -> list[Column]:
+    return [F.count(F.lit(1)).alias("all_count"), F.count_if(F.col("role").isin(*ROLES)).alias("qa_count")]
+
+
+def _title_column() -> Column:
+    """Of the first user message that gives a title, or else the first assistant message, or else
+    untitled; over the columns role, seq and title."""
+    first = [F.min_by("title", F.when((F.col("role") == r) & F.col("title").isNotNull(), F.col("seq"))) for r in ROLES]
+    return F.coalesce(*first, F.lit(T.UNTITLED)).alias("title")
+
+
+def _with_titles(messages: DataFrame, text: Column | None) -> DataFrame:
+    return messages.select("session_id", "seq", "role", T.title_of(F.col("text") if text is None else text).alias("title"))
+
+
 def counts(messages: DataFrame) -> DataFrame:
     """all_count (any role) and qa_count of each session."""
-    return messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("all_count"), F.count_if(F.col("role").isin(*ROLES)).alias("qa_count"))
+    return messages.groupBy("session_id").agg(*_count_columns())
 
 
 def titles(messages: DataFrame, text: Column | None = None) -> DataFrame:
-    """The title of each session: of the first user message that gives one, or else the first
-    assistant message, or else untitled."""
-    own = messages.select("session_id", "seq", "role", T.title_of(F.col("text") if text is None else text).alias("title"))
-    first = [F.min_by(F.when(F.col("role") == r, F.col("title")), F.when((F.col("role") == r) & F.col("title").isNotNull(), F.col("seq"))) for r in ROLES]
-    return own.groupBy("session_id").agg(F.coalesce(*first, F.lit(T.UNTITLED)).alias("title"))
+    """The title of each session."""
+    return _with_titles(messages, text).groupBy("session_id").agg(_title_column())
+
+
+def facts(messages: DataFrame, text: Column | None = None) -> DataFrame:
+    """Counts and title of each session in one aggregate."""
+    return _with_titles(messages, text).groupBy("session_id").agg(*_count_columns(), _title_column())

@@ -55,9 +55,7 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame |
     good = checked.where("reason IS NULL")
     all_messages = R.session_messages(good)
     spoken = M.spoken(all_messages)
-    counts = M.counts(all_messages)
-    titles = M.titles(spoken, F.col("title_text"))
-    sessions = good.select("session_id", "source", "date").join(counts, "session_id", "left").join(titles, "session_id", "left")
+    sessions = good.select("session_id", "source", "date").join(M.facts(all_messages, F.col("title_text")), "session_id", "left")
     sessions = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED)))
     counted = sessions.withColumn("msg_count", F.coalesce("qa_count", F.lit(0)))
     held = _empty_notes(spark) if notes is None else notes
@@ -81,9 +79,8 @@ def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = No
     checked = R.rollout_validated(R.rollout_sessions(lines))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
     spoken = R.rollout_messages(lines).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
-    counts = M.counts(spoken).select("session_id", F.col("qa_count").alias("msg_count"))
-    sessions = good.join(counts, "session_id", "left").join(M.titles(spoken), "session_id", "left")
-    sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("msg_count", F.lit(0)).alias("msg_count"))
+    sessions = good.join(M.facts(spoken), "session_id", "left")
+    sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
     held = S.one_note_each(_empty_notes(spark) if notes is None else notes)
     rows = S.synced(spoken, sessions, held, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
     return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))

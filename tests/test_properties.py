@@ -1,0 +1,52 @@
+"""Column functions against plain Python on generated texts."""
+
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from spindle.functions import text as T
+
+texts = st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\x00"), max_size=80), min_size=1, max_size=25)
+some = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+def apply(spark, function, values):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r[0] for r in rows.orderBy("i").select(function(F.col("v"))).collect()]
+
+
+@some
+@given(texts)
+def test_yaml_escape(spark, values):
+    assert apply(spark, T.yaml_escape, values) == [json.dumps(v)[1:-1] for v in values]
+
+
+@some
+@given(texts)
+def test_strip(spark, values):
+    assert apply(spark, T.strip, values) == [v.strip() for v in values]
+
+
+def session_name(title):
+    """Character by character: what may stay, white space as _, no two _ in a row."""
+    out = []
+    for c in title:
+        if ord(c) < 32 or ord(c) == 127 or c in T.ILLEGAL[1:-1]:
+            continue
+        c = "_" if c.isspace() else c
+        if not (c == "_" and out and out[-1] == "_"):
+            out.append(c)
+    while out and out[0] == ".":
+        del out[0]
+    while out and out[-1] == ".":
+        del out[-1]
+    name = "".join(out[:50])
+    return name if name.strip(".") or len(name) > 2 else "untitled"
+
+
+@some
+@given(texts)
+def test_session_names(spark, values):
+    assert apply(spark, T.sanitize_session, values) == [session_name(v) for v in values]
