@@ -1,0 +1,25 @@
+"""What the plans of the native operators hold, and what they must not."""
+
+import re
+
+import pytest
+
+from spindle.llm import exact_dedup, line_dedup, secret_scan
+
+from . import helpers as H
+
+
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, line_dedup.line_dedup, lambda d: secret_scan.secret_scan(d)[0], secret_scan.scan_unseen])
+def test_native_plans_run_no_python(spark, run):
+    plan = run(H.messy(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_winners_are_broadcast_and_rest_is_aggregated_before_the_shuffle(spark):
+    plan = exact_dedup.exact_dedup(H.messy(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "partial_max" in plan
+
+
+def test_texts_are_combined_before_the_shuffle(spark):
+    plan = secret_scan.scan_unseen(H.messy(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(blob") == 1 and "partial_first" in plan
