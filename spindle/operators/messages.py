@@ -92,3 +92,12 @@ def titles(messages: DataFrame, text: Column | None = None) -> DataFrame:
 def facts(messages: DataFrame, text: Column | None = None) -> DataFrame:
     """Counts and title of each session in one aggregate."""
     return _with_titles(messages, text).groupBy("session_id").agg(*_count_columns(), _title_column())
+
+
+def united(**sources: DataFrame) -> DataFrame:
+    """The messages of several sources in one frame: source, session_id, seq, role, text."""
+    frames = [m.select(F.lit(name).alias("source"), F.col("session_id").cast("string").alias("session_id"), "seq", "role", "text") for name, m in sources.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

@@ -175,3 +175,12 @@ def note_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog._noted(spark, sf_dir)
     low = rows.withColumn("msg_count", F.col("msg_count") - 1).select("session_id", N.markdown(N.ROLLOUT).alias("note"))
     return low.join(rows.select("session_id", "msg_count"), "session_id").select("session_id", N.with_msg_count(F.col("note"), F.col("msg_count")).alias("markdown"))
+
+
+_UNITED = " UNION ALL ".join(f"SELECT '{name}' AS source, session_id, seq, role, text FROM ({sql})" for name, sql in (("export", _SPOKEN), ("session", _SPOKEN), ("rollout", f"SELECT lpad(session_id, 8, '0') || '-0000-4000-8000-000000000000' AS session_id, role, text, seq FROM ({_SPOKEN})")))
+
+
+@query(_UNITED)
+def message_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three formats in one frame of canonical messages."""
+    return M.united(export=export_scan(spark, sf_dir), session=session_scan(spark, sf_dir), rollout=rollout_scan(spark, sf_dir))
