@@ -3,37 +3,24 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_at_exit, fresh_folder
+
 #: The letters that "lower-casing A-Z only" maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset (local
-    runs), a temporary folder is made once and set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            found = held.get()
-        else:
-            found = tempfile.mkdtemp(prefix="spark-spindle-")
-            spark.sparkContext.setCheckpointDir(found)
-            found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back. It cuts the lineage, fixes
     generated row ids and spares recomputation; a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

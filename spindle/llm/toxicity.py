@@ -118,10 +118,10 @@ def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = 4.0, rounds:
 def _feature_rows(batches):
     for batch in batches:
         found = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12000, levels: int = 3, graded: bool = False) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10000, levels: int = 3, graded: bool = False) -> Model:
     """Fit on at most ``sample`` labelled rows: those whose ids hash lowest. Rows without a label, a
     text or an id are not used. graded: label_col already holds ordered grades from 0."""
     chosen = (
@@ -129,9 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     joined = rows.join(F.broadcast(chosen), "l_id")  # ``sample`` rows at most
-    got = map_arrow(joined.select("label", "text"), _feature_rows, "label int, features array<long>").limit(sample).toArrow()
-    label = got.column("label").to_numpy() if got.num_rows else np.empty(0, np.int32)
-    found = [np.array(f, np.int64) for f in got.column("features").to_pylist()]
+    got = map_arrow(joined.select("label", "text"), _feature_rows, "label int, features array<int>").limit(sample).toArrow()
+    if not got.num_rows:
+        return fit([], np.empty(0, np.int64))
+    label, lists = got.column("label").to_numpy(), got.column("features").combine_chunks()
+    found = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1])  # views, not Python lists
     return fit(found, label if graded else grades(found, (label > 0).astype(np.int64), levels))
 
 
