@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
+from ..operators.running import running_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -395,6 +396,16 @@ def stable_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) WHERE turn % 20 = 0")
 def reminder_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth turn of a session; the twentieth is the feature, not a sample."""
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), turn.alias("turn")).where(F.col("turn") % 20 == 0)
+    """Every twentieth turn of a session; the twentieth is the feature, not a sample. Counted in blocks
+    of a day, as one user may have a third of all events."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id")
+    counted = running_counts(events, "session_id", F.to_date("ts"), ["ts", "event_id"], {"turn": F.lit(True)})
+    return counted.select("session_id", "turn").where(F.col("turn") % 20 == 0)
+
+
+@query(f"SELECT session_id, seq, role, n FROM ({_NUMBERED})")
+def qa_numbering_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbering of qa_numbering for sessions of any length: in blocks of positions."""
+    spoken = M.spoken(messages(spark, sf_dir))
+    counted = running_counts(spoken, "session_id", F.floor(F.col("seq") / 4), ["seq"], {"q": F.col("role") == "user", "a": F.col("role") == "assistant"})
+    return counted.select("session_id", "seq", "role", F.when(F.col("role") == "user", F.col("q")).otherwise(F.col("a")).alias("n"))
