@@ -191,8 +191,11 @@ def decontaminate(
     id_type = id_kind.simpleString()
     hits = stage(map_arrow(base, _hit_rows(sizes, bytes(packed)), f"doc_id {id_type}, mark long, pos int, gram long").distinct(), "seed-hits")
     n_docs = docs.count()
-    common = hits.groupBy("gram").agg(F.count_distinct(F.struct("doc_id", "mark")).alias("held")).where(F.col("held") > max(rare_least, rare_share * n_docs)).select("gram", F.lit(True).alias("common"))
-    useful = seeds.join(common, "gram", "left").where((F.col("size") != short_seed) | F.col("common").isNull())
+    held = hits.select("gram", "doc_id", "mark").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    common = held.where(F.col("held") > max(rare_least, rare_share * n_docs)).select("gram", F.lit(True).alias("common"))
+    # A written table, so that the next join shuffles both sides and can split a passage that very many
+    # documents hold.
+    useful = stage(seeds.join(common, "gram", "left").where((F.col("size") != short_seed) | F.col("common").isNull()).select("item", "gram", "at"), "useful-seeds")
     pairs = hits.join(useful, "gram").groupBy("doc_id", "mark", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
     with_words = pairs.join(items.select("item", "item_id", "words"), "item")
     by_doc = stage(with_words.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
