@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stage, text_of
 
 WINDOW_LINES = 3
 
@@ -39,6 +39,9 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     here = F.struct("doc_id", "mark", "pos")
     # min and max differ exactly if the window occurs at two places; repeated rows are one place.
     first = rows.groupBy("window").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first != last").drop("last")
+    # A written table: the join below then shuffles both sides, so a window that many documents share
+    # can be split over tasks.
+    first = stage(first, "repeated-windows")
     later = rows.join(first, "window").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "mark", "pos").distinct()
     order = Window.partitionBy("doc_id", "mark").orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > size, F.lit(True))
