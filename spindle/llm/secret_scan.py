@@ -92,6 +92,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
         .groupBy("blob")
         .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
+    # A written table, so that the join shuffles both sides and can split a blob with very many copies.
+    hits = stage(hits, "secret-findings")
     rows = docs.select(F.col(id_col).alias("doc_id"), blob_address(text_of(text_col)).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
     return rows.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
