@@ -180,7 +180,7 @@ def _links_in_blocks(here: DataFrame, sets: DataFrame, threshold: int, block: in
     """(a, b): the links in these buckets between different components. Nodes outside the largest
     component of their bucket are held against all nodes of the bucket, ``block`` by ``block``."""
     by_component = here.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = by_component.groupBy("bucket").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("all"))
+    main = stage(by_component.groupBy("bucket").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("all")), "main-components")
     rows = here.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main.component"))
     blocks = {False: F.ceil(F.col("all") / block), True: F.ceil((F.col("all") - F.col("main.held")) / block)}
     dealt = []
@@ -223,7 +223,7 @@ def near_duplicates(
     )
     # Buckets of one class are of no use.
     member = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket")
+    shared = stage(member.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket"), "shared-buckets")
     open_rows = stage(member.join(shared, "bucket", "left_semi"), "bucket-rows")
     wanted = open_rows.select("node").distinct().join(classes.select("node", F.col("of.doc_id").alias("w_id"), F.col("of.mark").alias("w_mark")), "node")
     found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("node", "text")
@@ -240,7 +240,9 @@ def near_duplicates(
         # The first pivot is the same node in all buckets of a group, so its pairs repeat and are few.
         drawn = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.lit(0).cast("long")
         pivot = here.groupBy("bucket").agg(F.min(F.struct(drawn.alias("drawn"), "node", "n", "component")).alias("pivot"), F.min("component").alias("x"), F.max("component").alias("y"))
-        rest = stage(here.join(pivot.where("x != y").select("bucket", "pivot"), "bucket").where("node != pivot.node"), "open-rows")
+        # A written table, so that the join shuffles both sides and can split a bucket of many rows.
+        pivot = stage(pivot.where("x != y").select("bucket", "pivot"), "pivots")
+        rest = stage(here.join(pivot, "bucket").where("node != pivot.node"), "open-rows")
         if rest.isEmpty():
             break
         if turn == pivot_rounds:
@@ -267,7 +269,7 @@ def near_duplicates(
     else:
         named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.select("node", "low", "component")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = stage(named.groupBy("component").agg(F.min("low").alias("component_id")), "lowest-ids")
     by_node = named.join(lowest, "component").select("node", "component", "component_id")
     joined = signed.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
