@@ -62,8 +62,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_of(text_col)
     kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed", "_emptied")]
-    # The input's columns travel in a struct, so their names can't clash with those used here.
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    # The other columns travel in a struct, so their names can't clash with those used here.
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text_col))
     left = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     joined = left.join(covered(docs, id_col, text_col, size), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("mark")), "left")
     lines = _lines(F.col("text"))
