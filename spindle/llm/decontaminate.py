@@ -94,29 +94,36 @@ def _hit_rows(sizes: tuple[int, ...], packed: bytes):
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman with match 2, mismatch -1, gap -1: (score, matches, columns, start, stop in part).
-    columns counts the item's words outside the alignment too."""
+    columns counts the item's words outside the alignment too. Each cell carries its alignment's
+    matches, columns and starts along, so two rows are all that is held, however long the item."""
     n, m = len(item), len(part)
+    best = (0, 0, n, 0, 0)
     if not n or not m:
-        return 0, 0, n, 0, 0
+        return best
     ramp = np.arange(m + 1)
-    table = np.zeros((n + 1, m + 1), np.int32)
+    # score, matches, columns, start in part, start in item
+    row = np.stack([ramp * 0, ramp * 0, ramp * 0, ramp, ramp * 0])
     for i in range(1, n + 1):
-        up = table[i - 1]
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(np.maximum(up[:-1] + np.where(part == item[i - 1], 2, -1), up[1:] - 1), 0)
-        table[i] = np.maximum.accumulate(row + ramp) - ramp  # gaps along the row
-    i, j = (int(x) for x in np.unravel_index(np.argmax(table), table.shape))
-    score, stop, last, matches, columns = int(table[i, j]), j, i, 0, 0
-    while table[i, j]:
-        columns += 1
-        hit = bool(i and j and part[j - 1] == item[i - 1])
-        if i and j and table[i, j] == table[i - 1, j - 1] + (2 if hit else -1):
-            matches, i, j = matches + hit, i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return score, matches, columns + i + n - last, j, stop
+        hit = np.concatenate(([False], part == item[i - 1]))
+        diagonal = np.concatenate((row[:, :1], row[:, :-1]), axis=1) + np.stack([np.where(hit, 2, -1), hit, ramp * 0 + 1, ramp * 0, ramp * 0])
+        diagonal[0, 0] = -1
+        up = row + np.array([[-1], [0], [1], [0], [0]])
+        new = np.where(diagonal[0] >= up[0], diagonal, up)
+        fresh = np.stack([ramp * 0, ramp * 0, ramp * 0, ramp, ramp * 0 + i])
+        new = np.where(new[0] > 0, new, fresh)
+        # Gaps along the row: the best cell to the left, one less for each step.
+        reach = new[0] + ramp
+        source = np.maximum.accumulate(np.where(reach == np.maximum.accumulate(reach), ramp, 0))
+        row = new[:, source]
+        row[0] -= ramp - source
+        row[2] += ramp - source
+        row[3:] = np.where(row[0] > 0, row[3:], fresh[3:])
+        row[1:3] *= row[0] > 0
+        at = int(np.argmax(row[0]))
+        if row[0, at] > best[0]:
+            score, matches, columns, start, first = (int(x) for x in row[:, at])
+            best = (score, matches, columns + first + n - i, start, at)
+    return best
 
 
 def _regions(shifts: list[int], n: int, total: int) -> list[tuple[int, int]]:

@@ -137,11 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(found, label if graded else grades(found, (label > 0).astype(np.int64), levels))
 
 
-def _score_rows(model: Model):
+def _score_rows(model: Model, place: int | None):
+    """place: the text's field in the carried row, which then crosses to Python once."""
+
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text") if place is None else batch.column("row").field(place)
+            found = [score(t or "") for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array([s for s, _ in found], pa.float64()), pa.array([float(p[0]) for _, p in found], pa.float64())], names=["row", "severity", "p_toxic"]
             )
@@ -158,6 +161,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("_severity", "_p_toxic", "_toxic")]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
-    rows = docs.select(row.alias("row"), text_of(text_col).alias("text"))
-    out = map_arrow(rows, _score_rows(model), f"row {rows.schema['row'].dataType.simpleString()}, severity double, p_toxic double")
+    place = carry.index(text_col) if text_col in carry and dict(docs.dtypes)[text_col] == "string" else None
+    rows = docs.select(row.alias("row"), *([text_of(text_col).alias("text")] if place is None else []))
+    out = map_arrow(rows, _score_rows(model, place), f"row {rows.schema['row'].dataType.simpleString()}, severity double, p_toxic double")
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)), F.col("severity").alias("_severity"), F.col("p_toxic").alias("_p_toxic"), (F.col("p_toxic") >= cut).alias("_toxic"))
