@@ -18,6 +18,11 @@ BOILERPLATE_STARTS = ("implement the following plan", "review the current code c
 #: Beginnings of user messages that are context, not conversation (case counts).
 CONTEXT_STARTS = ("# AGENTS.md", "<INSTRUCTIONS>", "<environment_context>", "<uploaded_file")
 TITLE_LEAST, UNTITLED, SHORT_ID, KEY_LENGTH = 5, "untitled", 8, 64
+#: A tag with its end and what it holds, any tag; shapes of dates and of UUIDs; what ids keep.
+PAIRED_TAG, ANY_TAG = r"(?s)<([a-zA-Z][\w-]*)(?:\s[^>]*)?>.*?</\1>", r"<[^>]+?>"
+DATE_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+UUID_SHAPE = r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"
+NOT_IN_IDS = "[^A-Za-z0-9_-]"
 
 
 def strip(text: Column) -> Column:
@@ -87,8 +92,7 @@ def heading(title: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Without paired tags and what they hold, then without any other tag, stripped."""
-    paired = F.regexp_replace(text, r"(?s)<([a-zA-Z][\w-]*)(?:\s[^>]*)?>.*?</\1>", "")
-    return strip(F.regexp_replace(paired, r"<[^>]+?>", ""))
+    return strip(F.regexp_replace(F.regexp_replace(text, PAIRED_TAG, ""), ANY_TAG, ""))
 
 
 def title_of(text: Column) -> Column:
@@ -102,12 +106,12 @@ def title_of(text: Column) -> Column:
 
 def short_id(session_id: Column) -> Column:
     """The first eight harmless characters of an id, or of its SHA-256 if it has none."""
-    clean = F.substring(F.regexp_replace(session_id, "[^A-Za-z0-9_-]", ""), 1, SHORT_ID)
+    clean = F.substring(F.regexp_replace(session_id, NOT_IN_IDS, ""), 1, SHORT_ID)
     return F.coalesce(F.nullif(clean, F.lit("")), F.substring(F.sha2(session_id, 256), 1, SHORT_ID))
 
 
 def state_key(session_id: Column) -> Column:
-    return F.substring(F.regexp_replace(session_id, "[^A-Za-z0-9_-]", ""), 1, KEY_LENGTH)
+    return F.substring(F.regexp_replace(session_id, NOT_IN_IDS, ""), 1, KEY_LENGTH)
 
 
 def date_from_epoch(seconds: Column) -> Column:
@@ -122,7 +126,7 @@ def date_prefix(timestamp: Column) -> Column:
 
 
 def has_date_shape(date: Column) -> Column:
-    return F.coalesce(date.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.lit(False))
+    return F.coalesce(date.rlike(DATE_SHAPE), F.lit(False))
 
 
 def is_date(date: Column) -> Column:
@@ -130,7 +134,7 @@ def is_date(date: Column) -> Column:
 
 
 def is_uuid(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"), F.lit(False))
+    return F.coalesce(text.rlike(UUID_SHAPE), F.lit(False))
 
 
 def counter_value(text: Column) -> Column:

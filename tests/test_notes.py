@@ -77,3 +77,17 @@ def test_rendering_plans_one_shuffle(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a")], "session_id int, seq int, role string, text string")
     plan = M.rendered(M.numbered(M.spoken(rows)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_role_filter_and_columns_reach_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "unused")], "session_id long, seq long, role string, text string, more string")
+    rows.write.parquet(str(tmp_path / "m"))
+    plan = M.rendered(M.numbered(M.spoken(spark.read.parquet(str(tmp_path / "m")))))._jdf.queryExecution().executedPlan().toString()
+    assert "In(role, [assistant,user])" in plan and "more" not in plan
+
+
+def test_messages_of_all_sources_in_one_frame(spark):
+    one = spark.createDataFrame([(1, 0, "user", "a")], "session_id int, seq long, role string, text string")
+    two = one.withColumn("session_id", F.lit("x"))
+    got = M.united(export=one, rollout=two).collect()
+    assert sorted((r["source"], r["session_id"]) for r in got) == [("export", "1"), ("rollout", "x")]
