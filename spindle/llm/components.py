@@ -1,8 +1,9 @@
 """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
 Every round is a partial aggregate and a join on the node, so a node with very many neighbours is
-combined before the shuffle and split by adaptive execution after it; the number of rounds grows
-with the logarithm of the longest path. Each round's edges are a written table.
+combined before the shuffle; the smallest neighbours are a written table, so that the join shuffles
+both sides and adaptive execution can split such a node's edges. The number of rounds grows
+with the logarithm of the longest path. Each round's edges are a written table, too.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both(edges)
-    low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = stage(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "hubs")
     return near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = stage(down.groupBy("u").agg(F.min("v").alias("m")), "hubs")
     joined = down.join(low, "u")
     return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
