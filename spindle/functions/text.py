@@ -45,7 +45,8 @@ def starts_with_any(text: Column, starts: tuple[str, ...]) -> Column:
 
 
 def _named(text: Column) -> Column:
-    return F.when(text.isin("", ".", ".."), UNTITLED).otherwise(text)
+    """Empty, . and .. are no names. One expression, so that the text before it is made once."""
+    return F.regexp_replace(text, r"\A\.{0,2}\z", UNTITLED)
 
 
 def _strip_dots(text: Column) -> Column:
