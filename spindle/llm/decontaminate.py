@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 8).
 
-Seeds of an item are all its runs of ``long_seed`` words, and those of ``short_seed`` words that are
-rare in the documents. A document and an item are aligned if they share a seed. With a similarity of
-0.8 an edited copy still has a run of three or four words of any item of fifteen words or more, so
-rare short seeds find it also where no five words in a row were left alone.
+Seeds of an item are all its runs of ``long_seed`` and of ``short_seed`` words. With a similarity of
+0.8 an edited copy of an item of seven words or more keeps at least two runs of three words,
+at shifts (place in the text less place in the item) that differ by no more than the edits; of a shorter
+item perhaps one. So a rare short seed, or any of a shorter item, is enough by itself, and common ones
+count where two agree on the shift: no copy is lost because very many documents hold the passage.
 
 The documents' n-grams are tested in place against a bitmap of fixed size (2 MB, made from all seeds
 with two bits each), so only n-grams that are most likely seeds leave their task; the join with the
@@ -16,7 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stage, text_of
@@ -126,9 +127,14 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int, int]:
     return best
 
 
+def _slack(n):
+    """How far the shifts of an item of n words may differ within one copy; n may be a column."""
+    return (F.floor(n / 4) if isinstance(n, Column) else n // 4) + 2
+
+
 def _regions(shifts: list[int], n: int, total: int) -> list[tuple[int, int]]:
     """Where in a text of total words the item of n words may lie, for seeds at these shifts."""
-    slack, out = n // 4 + 2, []
+    slack, out = _slack(n), []
     for s in sorted(shifts):
         a, b = max(0, s - slack), min(total, s + n + slack)
         if out and a <= out[-1][1]:
@@ -171,7 +177,8 @@ def decontaminate(
     A pair is contaminated if the best local alignment of the item's words in the text has a
     similarity (matches by alignment columns, the item's unaligned words counted) of ``threshold`` or
     more. Words are runs of letters, digits and _, in lower case. A short seed is rare if at most
-    rare_share of the documents, or rare_least of them, hold it. mark is xxhash64 of the text, null
+    rare_share of the documents, or rare_least of them, hold it; a common one needs a second one at
+    about the same shift, unless the item has at most 2 * short_seed words. mark is xxhash64 of the text, null
     as empty; rows that repeat id and text count once. Texts or items without words match nothing;
     items that repeat an id are aligned each, the best stays. An empty table on either side gives an
     empty table. Null ids are kept as ids. Other columns are ignored.
@@ -187,7 +194,7 @@ def decontaminate(
         .where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()),
         "items",
     )
-    seeds = items.select("item", F.explode(F.arrays_zip("seeds", "sizes", "at")).alias("s")).select("item", F.col("s.seeds").alias("gram"), F.col("s.sizes").alias("size"), F.col("s.at").alias("at"))
+    seeds = items.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("seeds", "sizes", "at")).alias("s")).select("item", "n", F.col("s.seeds").alias("gram"), F.col("s.sizes").alias("size"), F.col("s.at").alias("at"))
     bits = seeds.select(F.explode(F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned("gram", 13).bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
     # At most 512 rows of 4 KB, whatever the benchmark.
     parts = bits.groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("part")).collect()
@@ -200,10 +207,17 @@ def decontaminate(
     n_docs = docs.count()
     held = hits.select("gram", "doc_id", "mark").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     common = held.where(F.col("held") > max(rare_least, rare_share * n_docs)).select("gram", F.lit(True).alias("common"))
+    enough = (F.col("size") != short_seed) | F.col("common").isNull() | (F.col("n") <= 2 * short_seed)
     # A written table, so that the next join shuffles both sides and can split a passage that very many
     # documents hold.
-    useful = stage(seeds.join(common, "gram", "left").where((F.col("size") != short_seed) | F.col("common").isNull()).select("item", "gram", "at"), "useful-seeds")
-    pairs = hits.join(useful, "gram").groupBy("doc_id", "mark", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+    useful = stage(seeds.join(common, "gram", "left").select("item", "n", "gram", "at", enough.alias("enough")), "useful-seeds")
+    by_shift = hits.join(useful, "gram").groupBy("doc_id", "mark", "item", "n", (F.col("pos") - F.col("at")).alias("shift"))
+    at_shift = by_shift.agg((F.max("enough") | (F.count(F.lit(1)) > 1)).alias("enough"))
+    found_at = at_shift.groupBy("doc_id", "mark", "item", "n").agg(F.sort_array(F.collect_list(F.struct("shift", "enough"))).alias("all"))
+    # In sorted order, a shift's nearest ones are its neighbours; a missing neighbour compares as null.
+    near = lambda x, j: F.coalesce(F.abs(F.get("all", j)["shift"] - x["shift"]) <= _slack(F.col("n")), F.lit(False))
+    kept = F.filter("all", lambda x, i: x["enough"] | near(x, i - 1) | near(x, i + 1))
+    pairs = found_at.select("doc_id", "mark", "item", F.transform(kept, lambda x: x["shift"]).alias("shifts")).where(F.size("shifts") > 0)
     with_words = pairs.join(items.select("item", "item_id", "words"), "item")
     by_doc = stage(with_words.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
         F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "items"

@@ -75,6 +75,18 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_hot_items(spark):
+    """Items that very many documents hold: verbatim, edited every fifth word, edited in one place, of four words."""
+    long, four, six = H.words(2001, 20, 10**6), "only these four words", "six words with one more edit"
+    every_fifth = " ".join("edited" if i % 5 == 4 else w for i, w in enumerate(long))
+    rows = [(i, f"before{i} {' '.join(long)} after{i}") for i in range(30)] + [(100 + i, f"x{i} {four} y{i}") for i in range(30)] + [(200 + i, f"u{i} {six} v{i}") for i in range(30)]
+    rows += [(300, f"p q {every_fifth} r s"), (301, "m six words changed one more edit n"), (302, "k " + " ".join(long[:3]) + " far away " * 30 + " ".join(long[10:13]))]
+    bench = spark.createDataFrame([(0, " ".join(long)), (1, four), (2, six)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {(i, 0) for i in range(30)} | {(100 + i, 1) for i in range(30)} | {(200 + i, 2) for i in range(30)} | {(300, 0), (301, 2)}
+
+
 def plain_alignment(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
