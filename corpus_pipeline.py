@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are cut out; a document that loses all its lines goes."""
-    cut = line_dedup.line_dedup(docs).where(~F.col("_emptied"))
+    """Later occurrences of three-line windows, and of one or two lines of more than 50 words, are cut
+    out; a document that loses all its lines goes."""
+    cut = line_dedup.line_dedup(docs, long_words=50).where(~F.col("_emptied"))
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindle.llm import exact_dedup, keep, line_dedup, minhash
 from spindle.llm.components import components
 
@@ -53,6 +54,17 @@ def test_lines_random(spark):
     assert key((r["doc_id"], r["_n_lines"], r["_n_removed"], r["text"]) for r in got) == key(H.deduplicated_lines(rows))
 
 
+def test_pipeline_cuts_long_passages_of_one_or_two_lines(spark):
+    one, half, other, short = (" ".join(H.words(60 + i, n, 10**6)) for i, n in enumerate((51, 30, 30, 50)))
+    texts = ["\n".join(["a", "b", one, "c", half, other, "d", short, "e"]), f"f\n{one}\ng", f"h\n{half}\n{other}\ni\n{short}\nj\n{half}\nk", one, f"{half}\n{other}", f"l\n{one}\nm\n{one}\n{half}\n{other}\n{one}\nn"]
+    left = [texts[0], "f\ng", f"h\ni\n{short}\nj\n{half}\nk", None, None, "l\nm\nn"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in enumerate(left) if t is not None}
+    plain = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert plain == {d: t for d, _, _, t in H.deduplicated_lines(list(enumerate(texts)))}
+
+
 def check_near(spark, rows, size, **how):
     df = spark.createDataFrame([(*r, *H.EXTRA) for r in rows], H.SCHEMA).repartition(5)
     got = minhash.near_duplicates(df, size=size, **how).collect()
