@@ -1,7 +1,8 @@
 """Exact token ids from the tokenizers library, a bounded number of units remembered per worker.
 
 A text is cut only where the vocabulary's own pre-tokenizer always cuts, so the ids of the units
-in a row are the ids of the text. Words repeat: a unit is encoded once and then looked up.
+in a row are the ids of the text. Words repeat: a unit is encoded once and then looked up. The strings
+of added tokens are cut out first, as the library does, and have their own ids.
 """
 
 from __future__ import annotations
@@ -18,12 +19,20 @@ import numpy as np
 END_ID = 2
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _WORD = rf"[{_LATIN}]+(?![^\W\d_]|[̀-\U0010ffff])"
-_TEXT = r"(?:\S|[\x1c-\x1f])+"
-_SPACE = r"[^\S\x1c-\x1f]"
+_SOLID, _SPACE = r"(?:\S|[\x1c-\x1f])", r"[^\S\x1c-\x1f]"
 UNITS = {
-    "byte_bpe_50k.json": re.compile(rf" ?{_WORD}| ?{_TEXT}|{_SPACE}+(?!\S|[\x1c-\x1f])|{_SPACE}"),
-    "word_bpe_49k.json": re.compile(rf"{_WORD}|{_TEXT}"),
+    "byte_bpe_50k.json": rf" ?{_WORD}| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}",
+    "word_bpe_49k.json": rf"{_WORD}|{_SOLID}+",
 }
+
+
+def _around(units: str, added: str) -> str:
+    """The units of a text that is first cut at the added tokens' strings: each is a unit, no other unit
+    runs into one, and it ends what stands before as the end of a text does."""
+    apart = units.replace(f"{_SOLID}+", f"(?:(?!{added}){_SOLID})+").replace(f"(?!{_SOLID})", f"(?:(?!{_SOLID})|(?={added}))")
+    return f"{added}|{apart}"
+
+
 #: A unit of this form is one pre-token, which the vocabulary's model can take by itself.
 LETTERS = re.compile(rf" ?[{_LATIN}]+")
 #: Texts of these characters may be lower-cased as a whole where the vocabulary lower-cases.
@@ -39,14 +48,15 @@ KNOWN_UNITS, LONGEST_UNIT = 300_000, 64
 class _Known(dict):
     """unit -> its ids, little-endian unsigned 32-bit."""
 
-    def __init__(self, tokenizer, lower: bool) -> None:
+    def __init__(self, tokenizer, lower: bool, added: dict[str, int]) -> None:
         self.tokenizer, self.model, self.lower, self.older = tokenizer, tokenizer.model, lower, {}
+        self.added = {string: struct.pack("<I", i) for string, i in added.items()}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= KNOWN_UNITS:
             self.older = dict(self)
             self.clear()
-        ids = self.older.get(unit)
+        ids = self.older.get(unit) or self.added.get(unit)
         if ids is None:
             word = unit.lower() if self.lower else unit
             if word.isascii() and word.isalpha():
@@ -76,20 +86,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        units = UNITS.get(os.path.basename(path)) if plain else None
         # Of another vocabulary the whole text is the unit.
-        self.pattern = UNITS.get(os.path.basename(path))
-        self.units = self.pattern.findall if self.pattern else lambda text: [text]
+        self.pattern = self.pattern_around = re.compile(units) if units else None
         self.lower = os.path.basename(path) == "word_bpe_49k.json"
-        self.known = _Known(self.tokenizer, self.lower) if self.pattern else None
+        self.known = _Known(self.tokenizer, self.lower, self.added) if units else None
+        #: How far ahead of a unit's end it may depend on the text.
+        self.reach = max([1, *map(len, self.added)])
+        if units and self.added:
+            self.pattern_around = re.compile(_around(units, f"(?:{'|'.join(map(re.escape, self.added))})"))
+
+    def finder(self, text: str) -> re.Pattern:
+        """What finds the units of this text, of each where it is."""
+        return self.pattern_around if any(t in text for t in self.added) else self.pattern
 
     def ids(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
         if self.pattern is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finder = self.finder(text)
         if self.lower and not BEYOND_LATIN.search(text):
-            text = text.lower()
-        return b"".join(map(self.known.__getitem__, self.units(text)))
+            lowered = text.lower()
+            if finder is self.finder(lowered) is self.pattern:  # no string of an added token comes about
+                text = lowered
+        return b"".join(map(self.known.__getitem__, finder.findall(text)))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         return map(self.ids, texts)
