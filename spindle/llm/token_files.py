@@ -1,6 +1,7 @@
 """Token-id files in Simple-8b blocks (operator 6).
 
-A block is consecutive whole documents, packed greedily into 64-bit words. The top four bits of a
+A block is consecutive whole documents, or a part of one that is longer than a block, so none grows
+with a text. Its ids are packed greedily into 64-bit words. The top four bits of a
 word are its selector, which says how many ids of how many bits follow from the low end. A selector
 is kept for escapes: ids of more than 60 bits stand in a table of the block, and the word holds the
 place there. A block also stores, for every 64th word, how many ids come before it, so any part can
@@ -28,7 +29,7 @@ from .encoding import END_ID, encoder
 #: Fixed values: (ids, bits of each) by selector; selector 0 is the escape.
 SELECTORS = ((1, 60), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE, MAGIC, EVERY = 0, b"S8B1", 64
-#: A block is closed after the document that brings it to so many ids.
+#: Ids of a block at most.
 BLOCK_IDS = 1 << 16
 U = np.uint64
 COUNTS = np.array([n for n, _ in SELECTORS])
@@ -105,38 +106,50 @@ def unpack(block: bytes, first_mark: int = 0, stop_mark: int | None = None) -> n
     return out
 
 
-BLOCK_SCHEMA = "part int, block long, first long, doc_ids array<{id}>, lengths array<int>, payload binary"
+BLOCK_SCHEMA = "part int, block long, first long, first_doc long, split boolean, doc_ids array<{id}>, lengths array<int>, payload binary"
 
 
 def _write(path: str, id_type: pa.DataType):
-    def block(part, number, first, ids, lengths, data):
+    def block(part, number, first, first_doc, split, ids, lengths, data):
         values = np.frombuffer(b"".join(data), "<u4")
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(values)], pa.binary())],
-            names=["part", "block", "first", "doc_ids", "lengths", "payload"],
+            [pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (number, first, first_doc)), pa.array([split]), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(values)], pa.binary())],
+            names=["part", "block", "first", "first_doc", "split", "doc_ids", "lengths", "payload"],
         )
 
     def run(batches):
         end, part = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
-        ids, lengths, data, number, first = [], [], [], 0, 0
+        ids, lengths, data, size = [], [], [], 0
+        number = first = done = 0  # blocks, ids and whole documents written so far
         for batch in batches:
-            for doc, ids_bytes in zip(batch.column("doc_id").to_pylist(), encoder(path).batch(batch.column("text").to_pylist())):
-                ids.append(doc)
-                lengths.append(len(ids_bytes) // 4 + 1)
-                data += [ids_bytes, end]
-                if sum(lengths) >= BLOCK_IDS:
-                    yield block(part, number, first, ids, lengths, data)
-                    number, first = number + 1, first + sum(lengths)
-                    ids, lengths, data = [], [], []
+            for doc, own in zip(batch.column("doc_id").to_pylist(), encoder(path).batch(batch.column("text").to_pylist())):
+                n = len(own) // 4 + 1
+                if ids and size + n > BLOCK_IDS:
+                    yield block(part, number, first, done, False, ids, lengths, data)
+                    number, first, done = number + 1, first + size, done + len(ids)
+                    ids, lengths, data, size = [], [], [], 0
+                if n <= BLOCK_IDS:
+                    ids.append(doc)
+                    lengths.append(n)
+                    data += [own, end]
+                    size += n
+                    continue
+                whole = memoryview(own + end)
+                for at in range(0, n, BLOCK_IDS):
+                    m = min(BLOCK_IDS, n - at)
+                    yield block(part, number, first, done, True, [doc], [m], [whole[4 * at : 4 * (at + m)]])
+                    number, first = number + 1, first + m
+                done += 1
         if ids:
-            yield block(part, number, first, ids, lengths, data)
+            yield block(part, number, first, done, False, ids, lengths, data)
 
     return run
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table of blocks. Documents ascend by id over parts and blocks: null ids first, ties
-    by the text. ``first`` counts the ids before a block in its part."""
+    by the text. ``first`` counts the ids before a block in its part, ``first_doc`` the documents. A
+    document of more than BLOCK_IDS ids has blocks of its own (``split``). An empty table gives no blocks."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     # Ranges of (id, hash), so that rows that share an id can be dealt over several parts.
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
@@ -149,30 +162,49 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 def _read(id_type: pa.DataType):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, first, ids, lengths, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "doc_ids", "lengths", "payload"))):
+            for part, first, doc, ids, lengths, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "first_doc", "doc_ids", "lengths", "payload"))):
                 data = memoryview(unpack(payload).astype("<u4").tobytes())
                 stops = np.cumsum(lengths, dtype=np.int64)
                 starts = stops - lengths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(ids, id_type), pa.array(first + starts, pa.int64()), pa.array(lengths, pa.int64()),
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(np.arange(doc, doc + len(ids))), pa.array(ids, id_type), pa.array(first + starts, pa.int64()), pa.array(lengths, pa.int64()),
                      pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())], pa.int64())],
-                    names=["part", "doc_id", "start", "n_tokens", "ids_crc32"],
+                    names=["part", "nth", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     return run
 
 
+def _joined(batches) -> Iterator[pa.RecordBatch]:
+    """The checksum of pieces in a row, from theirs: that of a run after c is that of as many zeros after
+    c, but for what the run and the zeros are by themselves."""
+    for batch in batches:
+        whole = []
+        for pieces in batch.column("pieces").to_pylist():
+            crc = 0
+            for p in pieces:
+                zeros = bytes(4 * p["n_tokens"])
+                crc = zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ p["ids_crc32"]
+            whole.append(crc)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "nth", "doc_id", "start", "n_tokens")), pa.array(whole, pa.int64())], names=["part", "nth", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the blocks; start counts the
-    ids of all documents before it."""
+    ids of all documents before it. What a document's blocks give is put together at the end."""
     kind = files.schema["doc_ids"].dataType.elementType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = map_arrow(files, _read(to_arrow_type(kind)), f"part int, doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    schema = f"part int, nth long, doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long"
+    rows, pieces = (map_arrow(files.where(c), _read(to_arrow_type(kind)), schema) for c in ("NOT split", "split"))
+    long = pieces.groupBy("part", "nth").agg(
+        F.any_value("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32"))).alias("pieces")
+    )
     # One row per part: a few thousand at any size of the input.
     sizes = files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
     before = sizes.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    both = rows.unionByName(map_arrow(long, _joined, schema))
+    return both.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,22 +10,21 @@ from spindle.llm import encoding, packing, token_counts, token_files
 
 from . import helpers as H
 
-PIECES = ["a", "b", " ", "  ", "\n", "é", "́", "1", "22", "!", "...", "'s", "'re", "'S", "\x1c", "\x85", "ß", "word ", "The ", "　", "Σ", "İ", "K", "<|endoftext|>", "日本", "²", "don't ", "ſ", "ﬁ", "😀", "ı", "_"]
+PIECES = ["a", "b", " ", "  ", "\n", "é", "́", "1", "22", "!", "...", "'s", "'re", "'S", "\x1c", "\x85", "ß", "word ", "The ", "　", "Σ", "İ", "K", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "日本", "²", "don't ", "ſ", "ﬁ", "😀", "ı", "_"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_library_s_ids(name):
-    rng, e = random.Random(3), encoding.Encoder(encoding.vocabulary(name))
-    for _ in range(800):
+    rng, e, plain = random.Random(3), encoding.Encoder(encoding.vocabulary(name)), Tokenizer.from_file(encoding.vocabulary(name))
+    for _ in range(1500):
         some = rng.sample(PIECES, rng.randint(1, 12))
         text = "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
-        assert np.frombuffer(e.ids(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def whole(name, text):
-    t = Tokenizer.from_file(encoding.vocabulary(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    """As the untouched library says, with the id that ends a document."""
+    return Tokenizer.from_file(encoding.vocabulary(name)).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
@@ -62,6 +61,42 @@ def test_token_files(spark):
     assert token_files.token_files(H.empty(spark), encoding.vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_long_documents_have_blocks_of_their_own(spark):
+    n = token_files.BLOCK_IDS
+    texts = ["a b", "c " * (n - 1), "d " * n, "e", "f g " * (n + 5), "", "<|endoftext|> h<|startoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.write_token_files(docs.coalesce(1), encoding.vocabulary("word_bpe_49k.json"))
+    assert max(sum(r["lengths"]) for r in files.collect()) <= n
+    assert sorted(r["split"] for r in files.collect()).count(True) == 2 + 3
+    at = 0
+    for r, t in zip(token_files.read_token_files(files).orderBy("doc_id").collect(), texts):
+        ids = whole("word_bpe_49k.json", t)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
+def test_many_empty_texts_take_linear_time():
+    import time
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def seconds(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([""] * n)], names=["doc_id", "text"])
+        began = time.process_time()
+        blocks = list(token_files._write(encoding.vocabulary("word_bpe_49k.json"), pa.int64())(iter([batch])))
+        assert sum(len(b.column("doc_ids")[0]) for b in blocks) == n
+        return time.process_time() - began
+
+    task = TaskContext._getOrCreate()
+    task._partitionId = 0
+    try:
+        seconds(1000)
+        assert seconds(80_000) < 4
+    finally:
+        TaskContext._setTaskContext(None)
+
+
 def test_packing(spark):
     rows = H.messy_rows()
     got = packing.pack_documents(H.messy(spark), encoding.vocabulary("byte_bpe_50k.json")).collect()
@@ -118,28 +153,49 @@ def test_plan_is_no_worse_than_best_fit(seed):
     assert packing.plan({}) == ([], 0)
 
 
+def check_tree(tree, text, tokens):
+    """Sums hold on every level, no node has too many children, and the tree survives being kept."""
+    assert (tree.length, tree.total) == (len(text), tokens)
+    levels = tree.levels()
+    for below, (kids, lengths, tokens_of) in zip(levels, levels[1:]):
+        cuts = np.cumsum([0, *kids])
+        assert max(kids) <= token_counts.FAN and cuts[-1] == len(below[1])
+        for own, under in ((lengths, below[1]), (tokens_of, below[2])):
+            assert own.tolist() == [int(under[a:b].sum()) for a, b in zip(cuts, cuts[1:])]
+    assert not levels or len(levels[-1][1]) == 1
+    (read,) = token_counts._from_arrow(token_counts._to_arrow([levels]))
+    assert all(np.array_equal(x, y) for a, b in zip(read, levels) for x, y in zip(a, b)) and len(read) == len(levels)
+    return token_counts.Tree.of_levels(read)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_edits_count_like_a_whole_encoding(name):
-    rng, c = random.Random(1), token_counts.Counter(encoding.vocabulary(name))
-    count = lambda t: len(c.encoder.tokenizer.encode(t, add_special_tokens=False).ids)
-    for _ in range(60):
-        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 900)))
-        tree = c.build(text)
-        assert tree.total == count(text)
-        for _ in range(5):
+@pytest.mark.parametrize("size", [3, 256])
+def test_edits_count_like_a_whole_encoding(name, size, monkeypatch):
+    monkeypatch.setattr(token_counts, "SEGMENT", size)
+    rng, c, plain = random.Random(1), token_counts.Counter(encoding.vocabulary(name)), Tokenizer.from_file(encoding.vocabulary(name))
+    count = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    for k in range(80):
+        some = rng.sample(PIECES, rng.randint(3, len(PIECES)))
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 900)))
+        tree = check_tree(c.build(text), text, count(text))
+        for _ in range(6):
             a = rng.randint(0, len(text))
-            text, _n = c.edit(text, tree, a, a + rng.choice([0, 1, 5, 200]), "".join(rng.choice(PIECES) for _ in range(rng.choice([0, 1, 10, 400]))))
-            assert tree.total == count(text)
-            assert not tree.tokens or sum(tree.lengths) == len(text)
-            assert all(sum(level) == tree.total for level in tree.sums if level)
+            text, _n = c.edit(text, tree, a, a + rng.choice([0, 1, 5, 200]), "".join(rng.choice(some) for _ in range(rng.choice([0, 1, 10, 400]))))
+            kept = check_tree(tree, text, count(text))
+            tree = kept if k % 2 else tree
 
 
 def test_an_edit_touches_little():
-    c = token_counts.Counter(encoding.vocabulary("byte_bpe_50k.json"))
-    text = " ".join(H.words(4, 50_000))
-    tree = c.build(text)
-    _, n = c.edit(text, tree, 100_000, 100_010, "something else")
-    assert n < 2_000
+    """Code points encoded anew do not grow with the text, nodes read or made only with its logarithm."""
+    c, seen = token_counts.Counter(encoding.vocabulary("byte_bpe_50k.json")), []
+    for n in (2_000, 20_000, 200_000):
+        text = " ".join(H.words(4, n))
+        tree = token_counts.Tree.of_levels(c.build(text).levels())
+        text, encoded = c.edit(text, tree, len(text) // 2, len(text) // 2 + 10, "something else")
+        check_tree(tree, text, c.build(text).total)
+        assert encoded < 2_000
+        seen.append(tree.opened)
+    assert seen[2] <= seen[0] + 6 * token_counts.FAN < 200
 
 
 def test_token_counts(spark):
@@ -149,7 +205,7 @@ def test_token_counts(spark):
     for r in got:
         assert r["n_tokens"] == len(whole("byte_bpe_50k.json", r["text"])) - 1
         assert (r["n_encoded"] == 0) == (r["doc_id"] is None)
-    edits = spark.createDataFrame([(1, 0, -5, 5, "Bye"), (1, 1, 3, 99, None), (99, 0, 0, 0, "x")], "doc_id long, seq int, start long, stop long, replacement string")
+    edits = spark.createDataFrame([(1, 0, -5, 5, "Bye"), (1, 1, 3, 99, None), (1, 2, None, 1, "z"), (99, 0, 0, 0, "x"), (None, 0, 0, 0, "x")], "doc_id long, seq int, start long, stop long, replacement string")
     got = {r["doc_id"]: r["text"] for r in token_counts.token_counts(docs.where("doc_id < 3"), path, edits).collect()}
     assert got == {1: "Bye", 2: "hello world"}
     assert token_counts.token_counts(H.empty(spark), path).count() == 0
