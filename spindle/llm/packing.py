@@ -3,12 +3,15 @@
 Every token sequence holds ``capacity`` tokens. Piece lengths are integers up to the capacity, so
 the histogram of lengths (``capacity`` rows at most, whatever the input) is all that the plan needs:
 
-1. lengths above ``small`` are sorted and dealt into ``groups`` groups of equal cardinality, and each
-   is rounded up to the largest of its group;
-2. for these few sizes, configurations are chosen that fill a sequence as far as can be (a subset-sum
-   table around the largest size left), each repeated as often as its sizes last;
-3. actual lengths replace the rounded sizes, group by group, longest first;
-4. small pieces go where they fit best, the longest first, then into new sequences.
+1. large lengths (above ``small``) are sorted and dealt into ``groups`` groups of equal cardinality,
+   and each is rounded up to the largest of its group;
+2. for these few sizes, all configurations of one sequence are listed (at most three large pieces
+   fit) and a linear program chooses how often each is used, so that the fewest sequences hold all
+   large pieces and, in what room is left, the volume of the small ones;
+3. actual lengths take the places of the rounded ones; the last place of a sequence goes to the
+   longest piece that fits the actual room, which leaves a shorter one for the place that was its own;
+4. half of each configuration is used, then the lengths that are left are grouped anew, a few times;
+5. what is left and the small pieces go where they fit best, the longest first, then into new sequences.
 
 The plan is a list of runs: pieces of one length, from one rank to another, go to as many sequences
 in a row, at one offset. A piece finds its place from its length and its rank among its length, which
@@ -18,7 +21,7 @@ is its rank in its own task plus the number in the tasks before. No row meets al
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -30,50 +33,75 @@ from .common import map_arrow, stage, text_of
 from .encoding import END_ID, encoder
 
 
-def _groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """(length, count), longest first, dealt into groups of equal cardinality."""
-    total = sum(n for _, n in large)
-    each, out, room = max(1, -(-total // groups)), [], 0
+#: How often the lengths that are left are grouped anew.
+ROUNDS = 6
+
+
+def rounded(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[int]]:
+    """The sizes, descending, and how many pieces each stands for. large: (length, count), longest first;
+    they are dealt into groups of equal cardinality, each of the size of its first length."""
+    each, sizes, counts, room = max(1, -(-sum(n for _, n in large) // groups)), [], [], 0
     for length, n in large:
         while n:
             if not room:
-                out.append([])
                 room = each
+                if not sizes or sizes[-1] != length:
+                    sizes.append(length)
+                    counts.append(0)
             m = min(n, room)
-            out[-1].append((length, m))
+            counts[-1] += m
             n, room = n - m, room - m
-    return out
-
-
-def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """[(sizes' places in one sequence, how many sequences)], which use up all counts. sizes descend."""
-    left, out, mask = list(counts), [], (1 << (capacity + 1)) - 1
-    for first in range(len(sizes)):
-        while left[first]:
-            room = capacity - sizes[first]
-            # reach[i]: the sums that sizes i, i + 1, ... can make beside the first.
-            usable = [i for i in range(first, len(sizes)) if sizes[i] <= room and left[i] - (i == first) > 0]
-            reach = [1]
-            for i in reversed(usable):
-                sums, most = reach[-1], min(left[i] - (i == first), room // sizes[i])
-                for _ in range(most):
-                    grown = (sums | sums << sizes[i]) & mask
-                    if grown == sums:
-                        break
-                    sums = grown
-                reach.append(sums)
-            reach.reverse()
-            goal = (reach[0] & ((1 << (room + 1)) - 1)).bit_length() - 1
-            chosen = {first: 1}
-            for k, i in enumerate(usable):
-                while goal and not reach[k + 1] >> goal & 1:
-                    chosen[i] = chosen.get(i, 0) + 1
-                    goal -= sizes[i]
-            times = min(left[i] // n for i, n in chosen.items())
-            for i, n in chosen.items():
-                left[i] -= n * times
-            out.append(([i for i, n in chosen.items() for _ in range(n)], times))
-    return out
+    return sizes, counts
+
+
+def _listed(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """All configurations: places in sizes, ascending, padded with len(sizes); and the room that is left."""
+    n, rows, used = len(sizes), [np.arange(len(sizes))[:, None]], [sizes]
+    while len(rows[-1]):
+        last = rows[-1][:, -1]
+        base = np.repeat(np.arange(len(last)), n - last)
+        more = np.concatenate([np.arange(i, n) for i in last])
+        total = used[-1][base] + sizes[more]
+        fits = total <= capacity
+        rows.append(np.column_stack((rows[-1][base[fits]], more[fits])))
+        used.append(total[fits])
+    most = rows[-2].shape[1]
+    return np.concatenate([np.pad(r, ((0, 0), (0, most - r.shape[1])), constant_values=n) for r in rows[:-1]]), capacity - np.concatenate(used[:-1])
+
+
+def configurations(sizes: list[int], counts: list[int], volume: int, capacity: int) -> list[tuple[list[int], float]]:
+    """[(sizes in one sequence, how many such sequences)]: a basic solution of the linear program that
+    uses the fewest sequences for counts of sizes and a volume of small pieces. Revised simplex, with
+    the configuration of the largest value at the current prices entering."""
+    n, rows = len(sizes), len(sizes) + 1
+    places, left = _listed(np.array(sizes), capacity)
+    demand, room = np.array([*counts, volume / capacity]), left / capacity
+    # At first each size is by itself, as often as it fits, and the volume has sequences of its own.
+    basis, cost = np.diag([*(float(capacity // s) for s in sizes), 1.0]), np.ones(rows)
+    chosen: list[list[int]] = [[s] * (capacity // s) for s in sizes] + [[]]
+    x = np.linalg.solve(basis, demand)
+    for _ in range(100 * rows):  # a bound against cycling; every step's solution can be used
+        price = np.linalg.solve(basis.T, cost)
+        value = np.append(price[:n], 0.0)[places].sum(axis=1) + price[n] * room
+        enter, spare = int(value.argmax()), int(price.argmin())
+        if max(value[enter] - 1, -price[spare]) < 1e-9:
+            break
+        column = np.zeros(rows)
+        if value[enter] - 1 >= -price[spare]:
+            used = [int(i) for i in places[enter] if i < n]
+            np.add.at(column, used, 1)
+            column[n], own, paid = room[enter], [sizes[i] for i in used], 1.0
+        else:  # more of a size than there is
+            column[spare], own, paid = -1.0, [], 0.0
+        step = np.linalg.solve(basis, column)
+        ratio = np.full(rows, np.inf)
+        np.divide(np.maximum(x, 0), step, out=ratio, where=step > 1e-9)
+        leave = int(ratio.argmin())
+        if ratio[leave] == np.inf:
+            break
+        x -= ratio[leave] * step
+        x[leave], basis[:, leave], chosen[leave], cost[leave] = ratio[leave], column, own, paid
+    return [(own, float(v)) for own, v in zip(chosen, x) if own and v > 0]
 
 
 class _Plan:
@@ -96,54 +124,61 @@ class _Plan:
         return (first, n, used + length), (first + n, size - n, used) if size > n else None
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 4096, small: int = 256) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, small: int = 256) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """The runs for a histogram of piece lengths, and the number of sequences."""
-    p = _Plan(capacity)
-    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if x > small and histogram[x]]
-    grouped = _groups(large, groups)
-    for g in range(len(grouped) - 1, 0, -1):  # groups of one size are one
-        if grouped[g][0][0] == grouped[g - 1][0][0]:
-            grouped[g - 1] += grouped.pop(g)
-    todo = [list(reversed(g)) for g in grouped]
-    closed: list[tuple[int, int, int]] = []
-    for places, times in _configurations([g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped], capacity):
-        kinds = [p.open(times)]
-        for g in places:
-            after = []
-            for kind in kinds:
-                rest: tuple[int, int, int] | None = kind
-                while rest:
-                    length, n = todo[g].pop()
-                    m = min(n, rest[1])
-                    if n > m:
-                        todo[g].append((length, n - m))
-                    done, rest = p.put(length, m, rest)
-                    after.append(done)
-            kinds = after
-        closed += kinds
+    if 4 * (small + 1) <= capacity:
+        raise ValueError("more than three large pieces would fit into a sequence: small is too small")
+    p, left = _Plan(capacity), {x: n for x, n in histogram.items() if n}
     room: dict[int, list[tuple[int, int, int]]] = {}
     rooms: list[int] = []  # the keys of room, ascending
 
     def offer(kind: tuple[int, int, int]) -> None:
-        left = capacity - kind[2]
-        if left not in room:
-            room[left] = []
-            insort(rooms, left)
-        room[left].append(kind)
-
-    for kind in closed:
-        offer(kind)
-    for length in sorted((x for x in histogram if x <= small), reverse=True):
-        n = histogram[length]
+        free = capacity - kind[2]
+        if free not in room:
+            room[free] = []
+            insort(rooms, free)
+        room[free].append(kind)
+
+    for turn in range(ROUNDS):
+        lengths = sorted(x for x in left if x > small)
+        if not lengths:
+            break
+        sizes, counts = rounded([(x, left[x]) for x in reversed(lengths)], groups)
+        volume = sum(x * n for x, n in left.items() if x <= small) - sum(free * n for free, kinds in room.items() for _, n, _ in kinds)
+        chosen = configurations(sizes, counts, max(volume, 0), capacity)
+        # Full sequences first, while there is a choice of lengths.
+        for own, times in sorted(chosen, key=lambda c: (capacity - sum(c[0]) > small, -len(c[0]))):
+            times = int(times + 1e-6) if turn == ROUNDS - 1 else int(times / 2)
+            kinds = [p.open(times)] if times else []
+            for nth, size in enumerate(own):
+                fill = len(own) > 1 and nth == len(own) - 1 and capacity - sum(own) <= small
+                after = []
+                for kind in kinds:
+                    rest: tuple[int, int, int] | None = kind
+                    while rest:
+                        # There is always one left that is no longer than the size.
+                        at = bisect_right(lengths, capacity - rest[2] if fill else size) - 1
+                        length = lengths[at]
+                        m = min(left[length], rest[1])
+                        left[length] -= m
+                        if not left[length]:
+                            del left[length], lengths[at]
+                        done, rest = p.put(length, m, rest)
+                        after.append(done)
+                kinds = after
+            for kind in kinds:
+                offer(kind)
+    for length in sorted(left, reverse=True):
+        n = left[length]
         while n:
             at = bisect_left(rooms, length)
             if at == len(rooms):
                 offer(p.open(-(-n // (capacity // length))))
                 continue
-            left = rooms[at]
-            kind = room[left].pop()
-            if not room[left]:
-                del room[left], rooms[at]
+            free = rooms[at]
+            kind = room[free].pop()
+            if not room[free]:
+                del room[free], rooms[at]
             m = min(n, kind[1])
             n -= m
             for x in p.put(length, m, kind):
@@ -196,13 +231,14 @@ def _place(runs: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, groups: int = 4096, small: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, groups: int = 64, small: int = 256) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end id 2. One of more than ``capacity`` ids is cut so that all pieces
     but the first are full. A null text counts as empty: one piece of one id. Rows that repeat, or
     share an id (null too), are packed each on their own. An empty table gives an empty table.
-    Other columns are ignored. Full pieces have a sequence each, numbered below zero.
+    Other columns are ignored. Full pieces have a sequence each, numbered below zero. A very long text
+    is many full pieces and one that is shorter; its ids are held in one task only.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -149,10 +149,53 @@ def test_plan_is_no_worse_than_best_fit(seed):
         for s in range(first, first + b - a):
             used[s] += length
     assert given == histogram and max(used.values()) <= 1024 and len(used) == n
-    assert n <= best_fit_decreasing(lengths, 1024) * 1.005 + 1
+    assert n <= best_fit_decreasing(lengths, 1024) * 1.002 + 1
     assert packing.plan({}) == ([], 0)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_few_sizes_are_planned_and_few_sequences_made(seed):
+    rng = random.Random(seed)
+    histogram = defaultdict(int)
+    for _ in range(60_000):
+        histogram[rng.choice([rng.randint(1, 1023), min(1023, max(1, int(rng.lognormvariate(6, 0.5))))])] += 1
+    large = sorted(((x, n) for x, n in histogram.items() if x > 256), reverse=True)
+    sizes, counts = packing.rounded(large, 64)
+    assert len(sizes) <= 64 < len(large) and sum(counts) == sum(n for _, n in large) and max(counts) <= 2 * -(-sum(counts) // 64)
+    volume = sum(x * n for x, n in histogram.items() if x <= 256)
+    chosen = packing.configurations(sizes, counts, volume, 1024)
+    assert len(chosen) <= len(sizes) + 1 and all(sum(own) <= 1024 for own, _ in chosen)  # a basic solution
+    for size, n in zip(sizes, counts):
+        assert sum(times * own.count(size) for own, times in chosen) >= n * (1 - 1e-9)
+    bound = max(-(-sum(x * n for x, n in histogram.items()) // 1024), sum(n for x, n in histogram.items() if x > 512))
+    assert packing.plan(dict(histogram))[1] <= bound * 1.002
+
+
+def test_the_program_finds_the_fewest_sequences():
+    """Against all ways to fill, on small cases."""
+    from functools import lru_cache
+
+    rng = random.Random(5)
+    for _ in range(30):
+        lengths = [rng.choice([300, 340, 400, 512, 600, 700]) for _ in range(rng.randint(1, 9))]
+
+        @lru_cache(None)
+        def fewest(rest):
+            if not rest:
+                return 0
+            first, others = rest[0], rest[1:]
+            best = 1 + fewest(others)
+            for i in range(len(others)):
+                for j in range(i, len(others)):
+                    both = {i, j}
+                    if first + sum(others[k] for k in both) <= 1024:
+                        best = min(best, 1 + fewest(tuple(x for k, x in enumerate(others) if k not in both)))
+            return best
+
+        histogram = {x: lengths.count(x) for x in lengths}
+        assert packing.plan(histogram)[1] <= fewest(tuple(sorted(lengths, reverse=True))) + 1
+
+
 def check_tree(tree, text, tokens):
     """Sums hold on every level, no node has too many children, and the tree survives being kept."""
     assert (tree.length, tree.total) == (len(text), tokens)
