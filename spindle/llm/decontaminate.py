@@ -1,13 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 8).
 
-Seeds of an item are all its runs of ``long_seed`` and of ``short_seed`` words. With a similarity of
-0.8 an edited copy of an item of seven words or more keeps at least two runs of three words,
-at shifts (place in the text less place in the item) that differ by no more than the edits; of a shorter
-item perhaps one. So a rare short seed, or any of a shorter item, is enough by itself, and common ones
-count where two agree on the shift: no copy is lost because very many documents hold the passage.
-
-The documents' n-grams are tested in place against a bitmap of fixed size (2 MB, made from all seeds
-with two bits each), so only n-grams that are most likely seeds leave their task; the join with the
+An item's n-grams are runs of three words (two or one for a short item). With a similarity of at least
+the threshold, so many words at most are changed, dropped or put in, and each of them spoils n runs
+at most; so of any ``spoiled + 1`` runs a copy keeps one. The seeds of an item are its rarest runs in
+the documents, that many and one more: a copy keeps two of them, at shifts (place in the text less
+place in the item) that differ by no more than the edits. Which runs are rare decides the cost
+only: no copy is lost, however many documents hold the passage.
+
+The documents' n-grams are tested in place against a bitmap of fixed size (2 MB, made from all runs
+with two bits each), so only n-grams that are most likely an item's leave their task; the join with the
 seeds is exact. A larger benchmark makes the bitmap less selective, never wrong.
 """
 
@@ -17,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stage, text_of
@@ -46,23 +47,31 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U(40)).astype(np.int64), ((h >> U(13)) & U((1 << BITS) - 1)).astype(np.int64)
 
 
-def _item_rows(sizes: tuple[int, ...]):
-    """Items: their words and seeds; an item shorter than the shortest size is its own seed."""
+def seed_plan(n: int, threshold: float, longest: int = 3) -> tuple[int, int, int]:
+    """Of an item of n words: the size of its runs, how many of the rarest are seeds, and how many seeds
+    a copy keeps at least (two, or one where two can't be promised)."""
+    changes = range(int((1 - threshold) * n + 1e-9) + 1)
+    for size in range(min(longest, n), 0, -1):
+        # A word changed or dropped spoils size runs, one put in spoils those across it.
+        spoiled = max(size * d + (size - 1) * max(0, int((n - d) / threshold - n + 1e-9)) for d in changes)
+        kept = n - size + 1 - spoiled
+        if kept > 0:
+            return size, spoiled + min(2, kept), min(2, kept)
+    raise ValueError("a threshold above 0 is needed")
+
+
+def _item_rows(threshold: float, longest: int):
+    """Items: their words, the plan of their seeds, and all their runs of the size planned."""
 
     def run(batches):
         for batch in batches:
             words = [word_hashes(t) for t in batch.column("text").to_pylist()]
-            seeds, sizes_of, at = [], [], []
-            for w in words:
-                used = [n for n in sizes if n <= len(w)] or ([len(w)] if len(w) else [])
-                found = [grams(w, n) for n in used]
-                seeds.append(np.concatenate(found).view(np.int64) if found else [])
-                sizes_of.append(np.concatenate([np.full(len(g), n, np.int32) for g, n in zip(found, used)]) if found else [])
-                at.append(np.concatenate([np.arange(len(g), dtype=np.int32) for g in found]) if found else [])
+            plans = [seed_plan(len(w), threshold, longest) if len(w) else (1, 0, 0) for w in words]
+            runs = [grams(w, size).view(np.int64) for w, (size, *_) in zip(words, plans)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), *(pa.array(x, pa.list_(t)) for x, t in ((([w.view(np.int64) for w in words]), pa.int64()), (seeds, pa.int64()), (sizes_of, pa.int32()), (at, pa.int32())))],
-                names=["item_id", "words", "seeds", "sizes", "at"],
-            )
+                [batch.column("item_id"), *(pa.array(x, pa.list_(pa.int64())) for x in ([w.view(np.int64) for w in words], runs)), *(pa.array(x, pa.int32()) for x in zip(*plans))],
+                names=["item_id", "words", "runs", "size", "take", "need"],
+            )
 
     return run
 
@@ -170,18 +179,18 @@ def _align_rows(threshold: float, id_type: pa.DataType, item_type: pa.DataType):
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    long_seed: int = 5, short_seed: int = 3, rare_share: float = 0.001, rare_least: int = 10, threshold: float = 0.8,
+    longest_seed: int = 3, threshold: float = 0.8, items_a_row: int = 256,
 ) -> DataFrame:
     """The contaminated pairs: doc_id, mark, item_id, score, similarity, start_word, stop_word.
 
     A pair is contaminated if the best local alignment of the item's words in the text has a
     similarity (matches by alignment columns, the item's unaligned words counted) of ``threshold`` or
-    more. Words are runs of letters, digits and _, in lower case. A short seed is rare if at most
-    rare_share of the documents, or rare_least of them, hold it; a common one needs a second one at
-    about the same shift, unless the item has at most 2 * short_seed words. mark is xxhash64 of the text, null
+    more. Words are runs of letters, digits and _, in lower case. mark is xxhash64 of the text, null
     as empty; rows that repeat id and text count once. Texts or items without words match nothing;
-    items that repeat an id are aligned each, the best stays. An empty table on either side gives an
-    empty table. Null ids are kept as ids. Other columns are ignored.
+    items that repeat an id are aligned each, the best stays. A very long text is read whole, and
+    aligned only where seeds lie; one that holds very many items is aligned with about ``items_a_row``
+    of them at a time. An empty table on either side gives an empty table. Null ids are kept as
+    ids. Other columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -190,36 +199,36 @@ def decontaminate(
     entries = benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text_col).alias("text"))
     id_kind, item_kind = base.schema["doc_id"].dataType, entries.schema["item_id"].dataType
     items = stage(
-        map_arrow(entries, _item_rows((long_seed, short_seed)), f"item_id {item_kind.simpleString()}, words array<long>, seeds array<long>, sizes array<int>, at array<int>")
+        map_arrow(entries, _item_rows(threshold, longest_seed), f"item_id {item_kind.simpleString()}, words array<long>, runs array<long>, size int, take int, need int")
         .where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()),
         "items",
     )
-    seeds = items.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("seeds", "sizes", "at")).alias("s")).select("item", "n", F.col("s.seeds").alias("gram"), F.col("s.sizes").alias("size"), F.col("s.at").alias("at"))
-    bits = seeds.select(F.explode(F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned("gram", 13).bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
+    runs = items.select("item", F.size("words").alias("n"), "take", "need", F.posexplode("runs").alias("at", "gram"))
+    bits = runs.select(F.explode(F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned("gram", 13).bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
     # At most 512 rows of 4 KB, whatever the benchmark.
     parts = bits.groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("part")).collect()
     packed = bytearray(1 << (BITS - 3))
     for r in parts:
         packed[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["part"])] = r["part"]
-    sizes = tuple(r["size"] for r in seeds.select("size").distinct().collect())  # a few word counts
+    sizes = tuple(r["size"] for r in items.select("size").distinct().collect())  # longest_seed rows at most
     id_type = id_kind.simpleString()
     hits = stage(map_arrow(base, _hit_rows(sizes, bytes(packed)), f"doc_id {id_type}, mark long, pos int, gram long").distinct(), "seed-hits")
-    n_docs = docs.count()
-    held = hits.select("gram", "doc_id", "mark").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    common = held.where(F.col("held") > max(rare_least, rare_share * n_docs)).select("gram", F.lit(True).alias("common"))
-    enough = (F.col("size") != short_seed) | F.col("common").isNull() | (F.col("n") <= 2 * short_seed)
+    held = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("held", F.lit(0)), F.xxhash64("gram"), "at")
+    ranked = runs.join(held, "gram", "left").withColumn("rank", F.row_number().over(rarest))
     # A written table, so that the next join shuffles both sides and can split a passage that very many
     # documents hold.
-    useful = stage(seeds.join(common, "gram", "left").select("item", "n", "gram", "at", enough.alias("enough")), "useful-seeds")
-    by_shift = hits.join(useful, "gram").groupBy("doc_id", "mark", "item", "n", (F.col("pos") - F.col("at")).alias("shift"))
-    at_shift = by_shift.agg((F.max("enough") | (F.count(F.lit(1)) > 1)).alias("enough"))
-    found_at = at_shift.groupBy("doc_id", "mark", "item", "n").agg(F.sort_array(F.collect_list(F.struct("shift", "enough"))).alias("all"))
+    seeds = stage(ranked.where("rank <= take").select("item", "n", "need", "gram", "at"), "seeds")
+    at_shift = hits.join(seeds, "gram").groupBy("doc_id", "mark", "item", "n", "need", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("held"))
+    found_at = at_shift.groupBy("doc_id", "mark", "item", "n", "need").agg(F.sort_array(F.collect_list(F.struct("shift", "held"))).alias("all"))
     # In sorted order, a shift's nearest ones are its neighbours; a missing neighbour compares as null.
     near = lambda x, j: F.coalesce(F.abs(F.get("all", j)["shift"] - x["shift"]) <= _slack(F.col("n")), F.lit(False))
-    kept = F.filter("all", lambda x, i: x["enough"] | near(x, i - 1) | near(x, i + 1))
+    kept = F.filter("all", lambda x, i: (x["held"] >= F.col("need")) | near(x, i - 1) | near(x, i + 1))
     pairs = found_at.select("doc_id", "mark", "item", F.transform(kept, lambda x: x["shift"]).alias("shifts")).where(F.size("shifts") > 0)
-    with_words = pairs.join(items.select("item", "item_id", "words"), "item")
-    by_doc = stage(with_words.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
+    # The items of a document in blocks: one that holds a whole benchmark is several rows.
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc_id", "mark")) / items_a_row)
+    with_words = pairs.join(items.select("item", "item_id", "words"), "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
+    by_doc = stage(with_words.groupBy("doc_id", "mark", "block").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
         F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "items"
     )
     joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark"))).select("doc_id", "mark", "text", "items")

@@ -1,7 +1,9 @@
+import itertools
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spindle.llm import decontaminate, quality_cnn, secret_scan, toxicity
@@ -87,6 +89,72 @@ def test_decontamination_of_hot_items(spark):
     assert got == {(i, 0) for i in range(30)} | {(100 + i, 1) for i in range(30)} | {(200 + i, 2) for i in range(30)} | {(300, 0), (301, 2)}
 
 
+def similarity(item, text):
+    w = decontaminate.word_hashes
+    _, matches, columns, *_ = decontaminate.align(w(item), w(text))
+    return matches / columns if columns else 0
+
+
+def altered(rng, words, share):
+    """Words changed, dropped and put in at random places."""
+    out = []
+    for w in words:
+        kind = rng.choice("cdi") if rng.random() < share else ""
+        out += {"": [w], "c": [f"z{rng.randrange(10**6)}"], "d": [], "i": [f"y{rng.randrange(10**6)}", w]}[kind]
+    return out
+
+
+def test_edited_copies_against_full_alignment(spark):
+    """All pairs of items and documents aligned in full; items of every length, up to a fifth edited."""
+    rng = random.Random(12)
+    common = H.words(1, 40, 60)
+    items = [(i, " ".join(H.words(3000 + i, 1 + i % 30, 5000) if i % 3 else rng.choices(common, k=4 + i % 30))) for i in range(90)]
+    docs = []
+    for d in range(500):
+        own = altered(rng, rng.choice(items)[1].split(), rng.choice([0, 0.05, 0.1, 0.15, 0.2]))
+        docs.append((d, " ".join([*H.words(7000 + d, rng.randrange(20), 900), *own, *H.words(8000 + d, rng.randrange(20), 900)])))
+    expected = {(d, i): s for d, t in docs for i, item in items if (s := similarity(item, t)) >= 0.8}
+    assert len(expected) > 300 and min(expected.values()) < 0.82
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(expected) <= got
+    # What is more: a copy in the text that a longer, less similar alignment elsewhere outscores.
+    assert len(got - set(expected)) <= 3
+
+
+def test_seed_plans_hold_for_all_edits():
+    """Whatever words of an item are changed, dropped or put in, the promised number of runs stays."""
+    for n in range(1, 9):
+        for t in (0.6, 0.8, 1.0):
+            size, take, need = decontaminate.seed_plan(n, t)
+            runs = [tuple(range(i, i + size)) for i in range(n - size + 1)]
+            assert need >= 1 and need <= take <= len(runs)
+            for edits in itertools.product("kcdi", repeat=n):
+                text = [x for i, e in enumerate(edits) for x in {"k": [i], "c": [-1], "d": [], "i": [-1, i]}[e]]
+                matched = sum(e in "ki" for e in edits)
+                if matched < t * (n + edits.count("i")):
+                    continue
+                there = {tuple(text[i : i + size]) for i in range(len(text))}
+                lost = sum(r not in there for r in runs)
+                assert take - lost >= need
+
+
+@pytest.mark.parametrize("copies", [5, 40, 1000])
+def test_a_leak_is_found_however_far_it_spread(spark, copies):
+    rng, item, five = random.Random(3), H.words(31, 15, 10**6), "one two three four five"
+    text = lambda i: " ".join([f"a{i}", *(f"e{i}" if j % 5 == 3 else w for j, w in enumerate(item)), f"b{rng.randrange(99)}"])
+    docs = [(i, text(i)) for i in range(copies)] + [(10_000 + i, f"c{i} one two changed{i} four five d") for i in range(copies)]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, five)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, items_a_row=1).collect()}
+    assert got == {(i, 0) for i in range(copies)} | {(10_000 + i, 1) for i in range(copies)}
+
+
+def test_a_document_that_is_a_benchmark(spark):
+    items = [(i, " ".join(H.words(i, 12, 10**6))) for i in range(900)]
+    docs = spark.createDataFrame([(1, "\n".join(t for _, t in items)), (2, items[5][1])], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, i) for i, _ in items} | {(2, 5)}
+
+
 def plain_alignment(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
