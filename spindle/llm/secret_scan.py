@@ -1,16 +1,17 @@
 """Secret scanning with an incremental blob ledger (operator 5, DataFrame functions only).
 
-Every version of a text is addressed by its SHA-256. The ledger holds one row per (blob, rule,
-version) that was ever scanned, with the spans found, also if there are none. A run reduces its
-input to distinct blobs (with a map-side partial aggregate, so copies never meet in one task),
-scans only the pairs that the ledger lacks, and joins the findings back to all rows by address.
+Every version of a text is addressed by its SHA-256. The ledger is a table kept at a path, with a row
+for each (blob, rule@version) that was ever scanned and the spans found, also if there are none. A run
+reduces its input to distinct addresses, scans only the pairs that the ledger lacks, appends them, and
+joins the findings back to all rows (paths, versions) by address. A row that is appended twice, by a
+retried job or two runs at once, counts once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_of
@@ -40,6 +41,8 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start:long,stop:long>>"
+#: Blobs to scan, up to which their addresses are broadcast so that no other text leaves its task.
+FEW = 20_000
 
 
 def blob_address(text: Column) -> Column:
@@ -57,17 +60,34 @@ def _pieces(rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), found)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at a path; an empty one is begun where there is none."""
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """(blob, due): the addresses of docs with the rules that the ledger does not hold for them. Only
+    addresses are shuffled, combined before. An empty table gives an empty table."""
+    addresses = docs.select(blob_address(text_of(text_col)).alias("blob")).distinct()
+    keys = F.array(*(F.lit(r.key) for r in rules))
+    if ledger is None:
+        return addresses.withColumn("due", keys)
+    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    due = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+    return addresses.join(seen, "blob", "left").select("blob", due.alias("due")).where(F.size("due") > 0)
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """New ledger rows (blob, rule, spans) for the blobs of docs and those rules not yet in ledger."""
+    """New ledger rows (blob, rule, spans) for the blobs of docs and those rules not yet in ledger. A text
+    is scanned whole, however long; equal ones are combined before they meet. A null text counts as
+    empty. An empty table gives an empty table."""
     text = text_of(text_col)
-    blobs = docs.select(text.alias("text")).withColumn("blob", blob_address(F.col("text"))).dropDuplicates(["blob"])
-    keys = F.array(*(F.lit(r.key) for r in rules))
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
-        blobs = blobs.where(F.size("due") > 0)
-    else:
-        blobs = blobs.withColumn("due", keys)
+    due = stage(unseen(docs, ledger, rules, text_col), "due-blobs")
+    rows = docs.select(text.alias("text")).withColumn("blob", blob_address(F.col("text")))
+    if due.limit(FEW + 1).count() <= FEW:  # a late run: few texts are new, the others stay where they are
+        rows = rows.join(F.broadcast(due.select("blob")), "blob", "left_semi")
+    blobs = rows.dropDuplicates(["blob"]).join(due, "blob")
     tried = F.array(
         *(F.when(F.array_contains("due", r.key), F.struct(F.lit(r.key).alias("rule"), _pieces(r).alias("pieces"))) for r in rules)
     )
@@ -81,33 +101,42 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return spans.groupBy("blob", "rule").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and spans, an array of (start, rank, kind, stop) by start, then
-    kind in the order of rules; start and stop in code points, stop exclusive."""
+def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger at path lacks of docs, append it, and return the ledger. A run over the same
+    docs and rules appends nothing more."""
+    fresh = stage(scan_unseen(docs, read_ledger(docs.sparkSession, path), rules, text_col), "secret-rows")
+    fresh.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns ``carry`` (a version, say) and spans, an array of
+    (start, rank, kind, stop) by start, then kind in the order of rules; start and stop in code
+    points, stop exclusive. Ledger rows that repeat count once. An empty table gives an empty table."""
     ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind")))))
     hits = (
         ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
         .withColumn("of", ranks[F.col("rule")])
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("of.rank").alias("rank"), F.col("of.kind").alias("kind"), s["stop"].alias("stop"))).alias("spans"))
         .groupBy("blob")
-        .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+        .agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
     )
     # A written table, so that the join shuffles both sides and can split a blob with very many copies.
     hits = stage(hits, "secret-findings")
-    rows = docs.select(F.col(id_col).alias("doc_id"), blob_address(text_of(text_col)).alias("blob"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, blob_address(text_of(text_col)).alias("_blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
-    return rows.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    joined_back = rows.join(hits.select(F.col("blob").alias("_of"), F.col("spans").alias("_spans")), F.col("_blob") == F.col("_of"), "left")
+    return joined_back.select("doc_id", *carry, F.coalesce("_spans", none).alias("spans"))
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, new ledger rows). Append the second to the ledger to make the next run incremental.
+def secret_scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Bring the ledger at a path up to date with docs, and the findings of all rows of docs from it.
 
     A null text counts as empty and has no findings. Repeated rows and equal texts are scanned once
-    and each get the findings. Ids may be null or repeat. An empty table gives empty results. Other
-    columns of docs are ignored.
+    and each get the findings. Ids may be null or repeat. Very long texts are scanned whole. An empty
+    table gives an empty table. Other columns of docs are ignored but for those to carry.
     """
-    fresh = stage(scan_unseen(docs, ledger, rules, text_col), "secret-ledger")
-    return findings(docs, fresh if ledger is None else ledger.unionByName(fresh), rules, id_col, text_col), fresh
+    return findings(docs, update_ledger(docs, ledger_path, rules, text_col), rules, id_col, text_col, carry)
 
 
 def joined(spans: Column) -> Column:

@@ -9,7 +9,7 @@ from spindle.llm import exact_dedup, line_dedup, secret_scan
 from . import helpers as H
 
 
-@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, line_dedup.line_dedup, lambda d: secret_scan.secret_scan(d)[0], secret_scan.scan_unseen])
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, line_dedup.line_dedup, secret_scan.unseen, secret_scan.scan_unseen, lambda d: secret_scan.findings(d, secret_scan.scan_unseen(d))])
 def test_native_plans_run_no_python(spark, run):
     plan = run(H.messy(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

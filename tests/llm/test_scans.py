@@ -31,30 +31,54 @@ def secret_rows():
     return rows + [(None, None), (None, "password=abcdefg"), (1, ""), (2, rows[2][1]), (300, "password=abcdefg " * 5000)]
 
 
-def test_secrets(spark):
+def shown(found):
+    return sorted(repr((r["doc_id"], [(s["start"], s["rank"], s["kind"], s["stop"]) for s in r["spans"]])) for r in found.collect())
+
+
+def test_secrets(spark, tmp_path):
     rows = secret_rows()
     df = spark.createDataFrame([(*r, *H.EXTRA) for r in rows], H.SCHEMA).repartition(4)
-    found, ledger = secret_scan.secret_scan(df)
-    got = sorted(repr((r["doc_id"], [(s["start"], s["rank"], s["kind"], s["stop"]) for s in r["spans"]])) for r in found.collect())
-    assert got == sorted(repr((d, spans_of(t))) for d, t in rows)
-    assert ledger.count() == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
-    assert secret_scan.secret_scan(H.empty(spark))[0].count() == 0
+    found = secret_scan.secret_scan(df, str(tmp_path / "ledger"))
+    assert shown(found) == sorted(repr((d, spans_of(t))) for d, t in rows)
+    assert secret_scan.read_ledger(spark, str(tmp_path / "ledger")).count() == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
+    assert secret_scan.secret_scan(H.empty(spark), str(tmp_path / "other")).count() == 0
 
 
-def test_secrets_are_scanned_once(spark):
-    rows = secret_rows()
+@pytest.mark.parametrize("few", [0, secret_scan.FEW])
+def test_secrets_are_scanned_once(spark, tmp_path, few, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FEW", few)
+    rows, path = secret_rows(), str(tmp_path / "ledger")
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    first = df.where("doc_id < 100")
-    _, ledger = secret_scan.secret_scan(first)
-    found, fresh = secret_scan.secret_scan(df, ledger)
-    assert fresh.join(ledger, ["blob", "rule"]).count() == 0
-    assert fresh.count() + ledger.count() == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
-    assert sorted(repr((r["doc_id"], [(s["start"], s["rank"], s["kind"], s["stop"]) for s in r["spans"]])) for r in found.collect()) == sorted(repr((d, spans_of(t))) for d, t in rows)
+    first = secret_scan.update_ledger(df.where("doc_id < 100"), path)
+    fresh = secret_scan.scan_unseen(df, first)
+    assert fresh.join(first, ["blob", "rule"]).count() == 0
+    assert fresh.count() + first.count() == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
+    assert shown(secret_scan.secret_scan(df, path)) == sorted(repr((d, spans_of(t))) for d, t in rows)
     newer = (*secret_scan.RULES[:2], secret_scan.Rule("hex", 2, r"[0-9a-f]{32,}", 0, 32))
-    _, again = secret_scan.secret_scan(df, ledger.unionByName(fresh), newer)
+    again = secret_scan.scan_unseen(df, secret_scan.read_ledger(spark, path), newer)
     assert {r["rule"] for r in again.select("rule").distinct().collect()} == {"hex@2"}
 
 
+def test_an_append_that_is_repeated_changes_nothing(spark, tmp_path):
+    rows, path = secret_rows(), str(tmp_path / "ledger")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shown(secret_scan.secret_scan(df, path))
+    held = secret_scan.read_ledger(spark, path).count()
+    assert shown(secret_scan.secret_scan(df, path)) == before and secret_scan.read_ledger(spark, path).count() == held
+    spark.createDataFrame(secret_scan.read_ledger(spark, path).collect(), secret_scan.LEDGER_SCHEMA).write.mode("append").parquet(path)  # a retried job
+    assert secret_scan.read_ledger(spark, path).count() == 2 * held
+    assert shown(secret_scan.findings(df, secret_scan.read_ledger(spark, path))) == before
+    assert secret_scan.unseen(df, secret_scan.read_ledger(spark, path)).count() == 0
+
+
+def test_every_version_of_a_path_gets_its_findings(spark, tmp_path):
+    history = [("a.py", 1, "x = 1"), ("a.py", 2, "token = 'abcdef123'"), ("a.py", 3, "x = 1"), ("b.py", 1, "token = 'abcdef123'"), ("b.py", 2, None)]
+    df = spark.createDataFrame(history, "path string, version int, text string")
+    found = secret_scan.secret_scan(df, str(tmp_path / "ledger"), id_col="path", carry=("version",))
+    assert sorted((r["doc_id"], r["version"], len(r["spans"])) for r in found.collect()) == [("a.py", 1, 0), ("a.py", 2, 1), ("a.py", 3, 0), ("b.py", 1, 1), ("b.py", 2, 0)]
+    assert secret_scan.read_ledger(spark, str(tmp_path / "ledger")).select("blob").distinct().count() == 3
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, " ".join(H.words(1000 + i, 40))) for i in range(6)] + [(6, "Short one"), (7, None), (8, "?!")]
