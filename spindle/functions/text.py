@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space in a text (Unicode, with the ASCII separators).
-WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SPACES = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+WS = f"[{_SPACES}]"
 #: Characters that a file name may not hold, control characters, the longest name.
 ILLEGAL, CONTROL, NAME_LENGTH = r'[<>:"/\\|?*]', r"[\x00-\x1f\x7f]", 50
 #: Beginnings of messages and of lines that give no title (compared in lower case).
@@ -34,7 +35,7 @@ def lstrip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"[^\s\x0b\x1c-\x1f\x85\p{Z}]")
+    return ~text.rlike(f"[^{_SPACES}]")
 
 
 def starts_with_any(text: Column, starts: tuple[str, ...]) -> Column:
@@ -115,10 +116,11 @@ def state_key(session_id: Column) -> Column:
     return F.substring(F.regexp_replace(session_id, NOT_IN_IDS, ""), 1, KEY_LENGTH)
 
 
-def date_from_epoch(seconds: Column) -> Column:
-    """Date in the session's time zone; null, missing and 0 are unknown."""
+def date_from_epoch(seconds: Column, utc: bool = False) -> Column:
+    """Date in the session's time zone, or UTC; null, missing and 0 are unknown."""
     at = F.coalesce(seconds, F.lit(0.0))
-    return F.when(at == 0, "unknown").otherwise(F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd"))
+    day = F.date_from_unix_date(F.floor(at / 86400).cast("int")) if utc else F.timestamp_seconds(at)
+    return F.when(at == 0, "unknown").otherwise(F.date_format(day, "yyyy-MM-dd"))
 
 
 def date_prefix(timestamp: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .running import block_of, running_counts
 
 ROLES = ("user", "assistant")
 #: Fixed value: messages that the event-log reader takes of a session at most.
@@ -37,7 +38,9 @@ def positions(messages: DataFrame) -> DataFrame:
 
 
 def capped(messages: DataFrame, cap: int = MESSAGE_CAP) -> DataFrame:
-    return positions(messages).where(F.col("position") <= cap).drop("position")
+    """The first ``cap`` messages of each session, in blocks of positions: a session may be of any length."""
+    counted = running_counts(messages, "session_id", block_of("seq"), ["seq"], {"_position": F.lit(True)})
+    return counted.where(F.col("_position") <= cap).drop("_position")
 
 
 def numbered(messages: DataFrame, q_before: Column | None = None, a_before: Column | None = None) -> DataFrame:
@@ -91,7 +94,12 @@ def titles(messages: DataFrame, text: Column | None = None) -> DataFrame:
 
 def facts(messages: DataFrame, text: Column | None = None) -> DataFrame:
     """Counts and title of each session in one aggregate."""
-    return _with_titles(messages, text).groupBy("session_id").agg(*_count_columns(), _title_column())
+    return facts_of_titled(_with_titles(messages, text))
+
+
+def facts_of_titled(messages: DataFrame) -> DataFrame:
+    """The same of messages that have what each could give as a title."""
+    return messages.groupBy("session_id").agg(*_count_columns(), _title_column())
 
 
 def united(**sources: DataFrame) -> DataFrame:

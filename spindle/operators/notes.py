@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .running import block_of, running_counts
 
 #: Labels of the sources.
 SOURCE_LABELS = {"claude": "Claude Code", "codex": "Codex"}
@@ -74,49 +75,63 @@ def base_name(dialect: Dialect) -> Column:
     return F.concat_ws("_", *parts)
 
 
-def numbered_names(rows: DataFrame, base: str, *order: str) -> DataFrame:
-    """filename: the first of a base keeps it, the next get _1, _2, ... in the given order."""
-    nth = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    return rows.withColumn("filename", F.concat(F.col(base), F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.lit(".md")))
+def _with_number(base: Column, number: Column) -> Column:
+    return F.concat(base, F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), F.lit(".md"))
 
 
-def free_names(rows: DataFrame, base: str, taken: DataFrame, *order: str) -> DataFrame:
+def numbered_names(rows: DataFrame, base: str, order: list[str], block: Column) -> DataFrame:
+    """filename: the first of a base keeps it, the next get _1, _2, ... in the given order. block: see
+    running_counts; one base may have any number of rows."""
+    counted = running_counts(rows, base, block, order, {"_nth": F.lit(True)})
+    return counted.withColumn("filename", _with_number(F.col(base), F.col("_nth") - 1)).drop("_nth")
+
+
+def free_names(rows: DataFrame, base: str, taken: DataFrame, order: list[str], block: Column) -> DataFrame:
     """filename: the base if no file has it, or else the base with the smallest free _n, n from 1.
-    taken has the column filename. Rows of one base get different names, in the given order."""
+    taken has the column filename. Rows of one base get different names, in the given order.
+
+    Before the used slot u, the j-th of its base, u - j slots are free; so the row numbered nth (from 0)
+    has as many used slots below its own as have u - j <= nth. They are counted as rows of one
+    order, in blocks, so neither a base of many rows nor one of many files is held in one place.
+    """
+    carried = rows.columns
+    counted = running_counts(rows, base, block, order, {"_nth": F.lit(True)})
     stem = F.regexp_replace("filename", r"\.md\z", "")
     # Names "x", "x_1", "x_2": each may use up slot 0 of its own stem and a slot of the shorter one.
-    own = taken.select(stem.alias("_base"), F.lit(0).alias("_slot"))
-    suffix = taken.where(stem.rlike(r"_[1-9][0-9]{0,8}\z")).select(F.regexp_replace(stem, r"_[0-9]+\z", "").alias("_base"), F.regexp_extract(stem, r"_([0-9]+)\z", 1).cast("int").alias("_slot"))
-    used = own.unionByName(suffix).groupBy("_base").agg(F.collect_set("_slot").alias("_used"))
-    nth = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    joined = rows.withColumn("_nth", nth).join(used, F.col(base) == F.col("_base"), "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    slots = F.sequence(F.lit(0), F.size("_used") + F.col("_nth"))
-    slot = F.get(F.filter(slots, lambda i: ~F.array_contains("_used", i)), F.col("_nth"))
-    return joined.withColumn("filename", F.concat(F.col(base), F.when(slot > 0, F.concat(F.lit("_"), slot.cast("string"))).otherwise(""), F.lit(".md"))).drop("_nth", "_base", "_used")
+    own = taken.select(stem.alias("_base"), F.lit(0).cast("long").alias("_slot"))
+    suffix = taken.where(stem.rlike(r"_[1-9][0-9]{0,17}\z")).select(F.regexp_replace(stem, r"_[0-9]+\z", "").alias("_base"), F.regexp_extract(stem, r"_([0-9]+)\z", 1).cast("long").alias("_slot"))
+    used = own.unionByName(suffix).distinct().join(rows.select(F.col(base).alias("_base")).distinct(), "_base", "left_semi")
+    ranked = running_counts(used, "_base", block_of("_slot"), ["_slot"], {"_j": F.lit(True)})
+    here = counted.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("_row"), F.col(base).alias("_base"), (F.col("_nth") - 1).alias("_place"), F.lit(False).alias("_used"))
+    there = ranked.select(F.lit(None).cast(here.schema["_row"].dataType).alias("_row"), "_base", (F.col("_slot") - F.col("_j") + 1).alias("_place"), F.lit(True).alias("_used"))
+    both = running_counts(here.unionByName(there).withColumn("_late", ~F.col("_used")), "_base", block_of("_place"), ["_place", "_late"], {"_below": F.col("_used")})
+    found = both.where(~F.col("_used"))
+    return found.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(carried)), _with_number(F.col("_base"), F.col("_place") + F.col("_below")).alias("filename"))
 
 
-def front_matter_text(note: Column) -> Column:
-    """What stands between the first line --- and the next one; empty if the note begins otherwise."""
-    return F.regexp_extract(note, r"\A---\n((?s:.*?\n)??)---(?:\n|\z)", 1)
+def front_matter_text(note: Column, anywhere: bool = False) -> Column:
+    """What stands between the first line --- and the next one; empty if the note begins otherwise, unless
+    it may stand anywhere."""
+    return F.regexp_extract(note, (r"(?:\A|\n)" if anywhere else r"\A") + r"---\n((?s:.*?\n)??)---(?:\n|\z)", 1)
 
 
-def stored_session_id(note: Column) -> Column:
+def stored_session_id(note: Column, anywhere: bool = False) -> Column:
     """The session id of a note's front matter, unescaped, or null."""
-    matter = front_matter_text(note)
+    matter = front_matter_text(note, anywhere)
     quoted = F.regexp_extract(matter, r'(?m)^session_id:[ \t]*"((?:[^"\\]|\\.)*)"[ \t]*$', 1)
     bare = F.regexp_extract(matter, r'(?m)^session_id:[ \t]*([^"\s][^\n]*?)[ \t]*$', 1)
     unescaped = F.get_json_object(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "$.v")
     return F.when(quoted != "", unescaped).when(bare != "", bare)
 
 
-def stored_msg_count(note: Column) -> Column:
+def stored_msg_count(note: Column, anywhere: bool = False) -> Column:
     """The high-water mark of a note: its last valid msg_count, or null."""
-    found = F.regexp_extract_all(front_matter_text(note), F.lit(r"(?m)^msg_count: (-?[0-9]+)$"), F.lit(1))
+    found = F.regexp_extract_all(front_matter_text(note, anywhere), F.lit(r"(?m)^msg_count: (-?[0-9]+)$"), F.lit(1))
     return F.try_element_at(found, F.lit(-1)).try_cast("int")
 
 
 def heading_count(note: Column) -> Column:
-    """Lines that begin like a message heading, anywhere in the note."""
+    """Lines that begin like a message heading, anywhere in the note or message."""
     return F.regexp_count(note, F.lit(r"(?m)^## [QA][0-9]+"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import messages as M
@@ -18,11 +18,25 @@ def one_note_each(notes: DataFrame) -> DataFrame:
     return named.groupBy("session_id").agg(F.min_by(F.struct(*(c for c in notes.columns if c != "session_id")), "filename").alias("note")).select("session_id", "note.*")
 
 
-def action(current: str = "msg_count", existing: str = "old_count", found: str = "found") -> Column:
+def notes_reached(messages: DataFrame, notes: DataFrame) -> DataFrame:
+    """notes with msg_count, q_count and a_count: how many of their session's messages (session_id, seq,
+    role, text, in order) they hold. headings counts the lines of a note that begin like a heading; a
+    message has one of its own and those in its text."""
+    here = messages.join(notes.select("session_id", F.col("headings").alias("_held")), "session_id")
+    so_far = F.sum(N.heading_count(F.coalesce("text", F.lit(""))) + 1).over(M.by_session().rowsBetween(Window.unboundedPreceding, 0))
+    inside = here.withColumn("_in", so_far <= F.col("_held")).where("_in")
+    own = inside.groupBy("session_id").agg(F.count(F.lit(1)).alias("msg_count"), *(F.count_if(F.col("role") == r).alias(c) for r, c in zip(M.ROLES, ("q_count", "a_count"))))
+    kept = notes.drop("msg_count", "q_count", "a_count").join(own, "session_id", "left")
+    return kept.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("msg_count", "q_count", "a_count")})
+
+
+def action(current: str = "msg_count", existing: str = "old_count", found: str = "found", worth: str | None = None) -> Column:
     """By the counts of messages now and in the note. found: whether there is a note; a note without a
-    valid count is damaged and left alone."""
+    valid count is damaged and left alone. worth: whether the session gets a note at all, by default
+    if it has messages."""
+    empty = F.col(current) == 0 if worth is None else ~F.col(worth)
     return (
-        F.when(F.col(current) == 0, SKIPPED)
+        F.when(empty, SKIPPED)
         .when(~F.col(found), CREATED)
         .when(F.col(existing).isNull(), SKIPPED)
         .when(F.col(current) <= F.col(existing), UNCHANGED)
@@ -31,10 +45,11 @@ def action(current: str = "msg_count", existing: str = "old_count", found: str =
 
 
 def dispatch(sessions: DataFrame, notes: DataFrame) -> DataFrame:
-    """sessions (session_id, msg_count, ...) with old_count, found and action; notes (session_id,
-    msg_count, q_count, a_count, filename, markdown) hold one row of each session at most."""
+    """sessions (session_id, msg_count, perhaps worth, ...) with old_count, found and action; notes
+    (session_id, msg_count, q_count, a_count, filename, markdown) hold one row of each session at most."""
     old = notes.select("session_id", F.col("msg_count").alias("old_count"), F.col("q_count").alias("old_q"), F.col("a_count").alias("old_a"), F.col("filename").alias("old_filename"), F.col("markdown").alias("old_markdown"), F.lit(True).alias("found"))
-    return sessions.join(old, "session_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("action", action())
+    joined = sessions.join(old, "session_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return joined.withColumn("action", action(worth="worth" if "worth" in sessions.columns else None))
 
 
 def new_messages(messages: DataFrame, dispatched: DataFrame) -> DataFrame:
@@ -55,14 +70,16 @@ def synced(messages: DataFrame, sessions: DataFrame, notes: DataFrame, dialect:
     if dialect.has_msg_count:
         appended = N.with_msg_count(appended, F.col("msg_count"))
     created = joined.withColumn("base", F.when(F.col("action") == CREATED, N.base_name(dialect)))
-    named = N.free_names(created.where("base IS NOT NULL"), "base", notes.select("filename"), "session_id").select("session_id", "filename")
+    # The beginnings of ids, in whose order names are given, follow that order.
+    due = created.where("base IS NOT NULL").select("session_id", "base")
+    named = N.free_names(due, "base", notes.select("filename"), ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
     rows = joined.join(named, "session_id", "left")
     written = F.col("action").isin(CREATED, APPENDED)
     return rows.select(
         "session_id",
         "action",
-        F.coalesce("old_count", F.lit(0)).alias("from_count"),
-        F.when(written, F.col("msg_count")).otherwise(F.coalesce("old_count", F.lit(0))).alias("to_count"),
+        F.coalesce("old_count", F.lit(0)).cast("long").alias("from_count"),
+        F.when(written, F.col("msg_count")).otherwise(F.coalesce("old_count", F.lit(0))).cast("long").alias("to_count"),
         F.when(F.col("action") == CREATED, F.col("filename")).when(F.col("action") == APPENDED, F.col("old_filename")).alias("filename"),
         F.when(F.col("action") == CREATED, N.markdown(dialect)).when(F.col("action") == APPENDED, appended).alias("markdown"),
     )

@@ -6,14 +6,14 @@ decorate whole texts, by a rule that the SQL repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
-from ..operators.running import running_counts
+from ..operators.running import block_of, running_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -238,7 +238,7 @@ def note_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, base || CASE WHEN nth > 0 THEN '_' || nth ELSE '' END || '.md' AS filename FROM (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) - 1 AS nth FROM (SELECT doc_id, coalesce(lang, '-') || '_' || coalesce(source, '-') AS base FROM documents))")
 def filename_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat_ws("_", F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")))
-    return N.numbered_names(read(spark, sf_dir, "documents").select("doc_id", base.alias("base")), "base", "doc_id").select("doc_id", "filename")
+    return N.numbered_names(read(spark, sf_dir, "documents").select("doc_id", base.alias("base")), "base", ["doc_id"], block_of("doc_id")).select("doc_id", "filename")
 
 
 @query(
@@ -252,7 +252,7 @@ def free_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New notes in a folder where base.md, base_2.md and base_3.md are taken."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x_"), F.coalesce("lang", F.lit("-"))).alias("base"))
     taken = rows.select("base").distinct().select(F.explode(F.transform(F.array(F.lit(""), F.lit("_2"), F.lit("_3")), lambda s: F.concat("base", s, F.lit(".md")))).alias("filename"))
-    return N.free_names(rows, "base", taken, "doc_id").select("doc_id", "filename")
+    return N.free_names(rows, "base", taken, ["doc_id"], block_of("doc_id")).select("doc_id", "filename")
 
 
 def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,11 +323,10 @@ def heading_count_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
 def date_from_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pinned to UTC, the zone of the table's timestamps."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    kind = F.col("event_id") % 5
-    return read(spark, sf_dir, "events").select("event_id", T.date_from_epoch(F.when(kind == 0, F.when(F.col("event_id") % 2 == 0, 0.0)).otherwise(seconds)).alias("day"))
+    """The table's timestamps have no zone and are taken as UTC; so is the date."""
+    ts, kind = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 5
+    seconds = F.unix_date(F.to_date(ts)) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return read(spark, sf_dir, "events").select("event_id", T.date_from_epoch(F.when(kind == 0, F.when(F.col("event_id") % 2 == 0, 0.0)).otherwise(seconds), utc=True).alias("day"))
 
 
 _STAMP = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') || 'T23:59:59+09:00' WHEN 1 THEN '2026-02-30T00:00:00Z' WHEN 2 THEN '2026-2-3' ELSE '' END"
@@ -387,11 +386,11 @@ def message_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 7 = 0 THEN 0 ELSE epoch(date_trunc('day', ts)) END, event_id) AS place FROM events")
 def stable_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By time, missing first; ties stay in the order of the input."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    at = F.when(F.col("event_id") % 7 != 0, F.date_trunc("day", F.col("ts").cast("timestamp")).cast("double"))
-    order = Window.partitionBy("user_id").orderBy(F.coalesce(at, F.lit(0.0)), "event_id")
-    return read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(order).cast("long").alias("place"))
+    """By time, missing first; ties stay in the order of the input. In blocks of thirty days, as one user
+    may have a third of all events."""
+    day = F.unix_date(F.to_date(F.col("ts").cast("timestamp_ntz")))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, day).otherwise(0).alias("day"))
+    return running_counts(rows, "user_id", F.floor(F.col("day") / 30), ["day", "event_id"], {"place": F.lit(True)}).drop("day")
 
 
 @query("SELECT user_id AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) WHERE turn % 20 = 0")

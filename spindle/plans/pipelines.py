@@ -1,5 +1,9 @@
 """The three pipelines end to end: transcripts to notes. Each returns one row per session with its
-outcome; ``write`` puts the notes in place."""
+outcome; ``write`` puts the notes in place.
+
+Transcripts are parsed once a run: what is read from them is a written table, which all later steps,
+and the retry of a lost executor, read.
+"""
 
 from __future__ import annotations
 
@@ -10,39 +14,50 @@ from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
+from ..operators.running import block_of
 from ..sources import note_files
 from ..sources import transcripts as R
+from ..sources.shared import stage
+
+#: Fixed value: why a session was read from its event log.
+FROM_EVENT_LOG = "from the event log"
 
 
 def export_notes(spark: SparkSession, path: str) -> DataFrame:
     """All notes of an export, anew: session_id, action, filename, markdown. Conversations without
     messages are skipped; names that repeat are numbered in the order of the export."""
-    conversations = R.export_conversations(spark, path)
-    body = M.rendered(M.numbered(R.export_messages(conversations)))
-    date = T.date_from_epoch(F.col("started_at"))
-    rows = conversations.select("session_id", "title", date.alias("date")).join(body, "session_id", "left")
+    parsed = R.export_conversations(spark, path)
+    said = R.export_messages(parsed).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text"))).alias("said"))
+    conversations = stage(parsed.select("session_id", "file", "at", "title", T.date_from_epoch(F.col("started_at")).alias("date")).join(said, "session_id", "left"), "export")
+    body = M.rendered(M.numbered(conversations.select("session_id", F.inline("said"))))
+    rows = conversations.drop("said").join(body, "session_id", "left")
     made = rows.where("body IS NOT NULL").withColumn("base", N.base_name(N.EXPORT))
-    written = N.numbered_names(made, "base", "session_id").select("session_id", F.lit(S.CREATED).alias("action"), "filename", N.markdown(N.EXPORT).alias("markdown"))
+    named = N.numbered_names(made, "base", ["file", "at"], F.struct("file", block_of("at")))
+    written = named.select("session_id", F.lit(S.CREATED).alias("action"), "filename", N.markdown(N.EXPORT).alias("markdown"))
     none = F.lit(None).cast("string")
     return written.unionByName(rows.where("body IS NULL").select("session_id", F.lit(S.SKIPPED).alias("action"), none.alias("filename"), none.alias("markdown")))
 
 
 def _failed(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return rows.select("session_id", F.lit(S.FAILED).alias("action"), F.lit(0).alias("from_count"), F.lit(0).alias("to_count"), none.alias("filename"), none.alias("markdown"), "reason")
+    return rows.select("session_id", F.lit(S.FAILED).alias("action"), F.lit(0).cast("long").alias("from_count"), F.lit(0).cast("long").alias("to_count"), none.alias("filename"), none.alias("markdown"), "reason")
 
 
 def _empty_notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "session_id string, filename string, markdown string, msg_count int, q_count int, a_count int")
+    return spark.createDataFrame([], "session_id string, filename string, markdown string, msg_count long, q_count long, a_count long, headings long")
 
 
-def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame | None = None, wanted: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
     """Sessions (of wanted, or all): session_id, action, from_count, to_count, filename, markdown, reason.
 
-    The high-water mark is the number of message headings outside fenced code, so a heading inside a
-    message's code block is not counted. A session without any message is skipped; one with system
-    messages only still gets a note of its heading.
+    A session that documents lack is taken from fallback (event logs), which its reason says. The
+    high-water mark is how many of the session's messages the note holds: the longest beginning of them
+    that has no more headings, those inside its messages included, than the note. So a heading inside
+    a message, or code that is never closed, hides no later message and repeats none. A session without
+    any message is skipped; one with system messages only still gets a note of its heading. Names that
+    are taken get a number.
     """
+    documents = documents.withColumn("used_fallback", F.lit(False)) if fallback is None else R.with_fallback(documents, fallback)
     if wanted is not None:
         documents = wanted.select("session_id").distinct().join(documents, "session_id", "left")
     date = T.date_prefix(F.col("started_at"))
@@ -51,48 +66,47 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame |
         .when((F.col("source") == "") | (F.col("started_at") == ""), "missing timestamp or source")
         .when(~T.has_date_shape(date), "bad date")
     )
-    checked = documents.select("*", date.alias("date"), reason.alias("reason"))
-    good = checked.where("reason IS NULL")
-    all_messages = R.session_messages(good)
-    spoken = M.spoken(all_messages)
-    sessions = good.select("session_id", "source", "date").join(M.facts(all_messages, F.col("title_text")), "session_id", "left")
-    sessions = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED)))
-    counted = sessions.withColumn("msg_count", F.coalesce("qa_count", F.lit(0)))
-    held = _empty_notes(spark) if notes is None else notes
-    held = S.one_note_each(held.withColumn("msg_count", F.col("q_count") + F.col("a_count")))
-    rows = S.synced(spoken, counted, held, N.SESSION)
-    # A session of system messages only counts as one to write, although it has no numbered message.
-    only_system = counted.where((F.coalesce("all_count", F.lit(0)) > 0) & (F.col("msg_count") == 0)).select("session_id", "date", "title", "source", F.lit("").alias("body"))
-    bare = only_system.join(held.select("session_id"), "session_id", "left_anti").select("session_id", F.concat(N.base_name(N.SESSION), F.lit(".md")).alias("bare_name"), N.markdown(N.SESSION).alias("bare_note"))
-    joined = rows.join(bare, "session_id", "left")
-    ok = joined.select(
-        "session_id", F.when(F.col("bare_name").isNotNull(), S.CREATED).otherwise(F.col("action")).alias("action"), "from_count", "to_count",
-        F.coalesce("bare_name", "filename").alias("filename"), F.coalesce("bare_note", "markdown").alias("markdown"), F.lit(None).cast("string").alias("reason"),
-    )
-    return ok.unionByName(_failed(checked.where("reason IS NOT NULL")))
+    checked = documents.select("session_id", "source", "items", F.coalesce("used_fallback", F.lit(False)).alias("used_fallback"), date.alias("date"), reason.alias("reason"))
+    said = R.session_messages(checked.where("reason IS NULL").select("session_id", "items"))
+    said = said.withColumn("title", T.title_of(F.col("title_text"))).drop("title_text")
+    each = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "title"))).alias("said"))
+    read = stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
+    all_messages = read.where("said IS NOT NULL").select("session_id", F.inline("said"))
+    spoken = M.spoken(all_messages).drop("title")
+    sessions = read.where("reason IS NULL").select("session_id", "source", "date").join(M.facts_of_titled(all_messages), "session_id", "left")
+    counted = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED))).withColumn("msg_count", F.coalesce("qa_count", F.lit(0))).withColumn("worth", F.coalesce("all_count", F.lit(0)) > 0)
+    held = S.one_note_each(_empty_notes(spark) if notes is None else notes)
+    rows = S.synced(spoken, counted, S.notes_reached(spoken, held), N.SESSION)
+    why = read.where("used_fallback").select("session_id", F.lit(FROM_EVENT_LOG).alias("reason"))
+    return rows.join(why, "session_id", "left").unionByName(_failed(read.where("reason IS NOT NULL")))
 
 
 def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = None) -> DataFrame:
     """Rollout files: the columns of sync_sessions. The high-water mark is the msg_count that the note
     stores. Of files with the same session id, the smallest path counts."""
-    lines = R.rollout_lines(spark, folder)
-    checked = R.rollout_validated(R.rollout_sessions(lines))
+    events = stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events")
+    checked = R.rollout_validated(R.rollout_sessions(events))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
-    spoken = R.rollout_messages(lines).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
+    spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
     sessions = good.join(M.facts(spoken), "session_id", "left")
     sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
     held = S.one_note_each(_empty_notes(spark) if notes is None else notes)
-    rows = S.synced(spoken, sessions, held, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
+    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), held, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
     return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))
 
 
-def write(rows: DataFrame, folder: str, sync: bool = True) -> DataFrame:
-    """Write the notes that rows hold, and return the number of sessions by outcome. rows are kept
-    while they are written, as their plan reads the folder that is written to."""
-    kept = rows.persist()
-    try:
-        counts = S.outcomes(kept).collect()  # one row per kind of outcome
-        note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync)
-    finally:
-        kept.unpersist()
-    return rows.sparkSession.createDataFrame(counts, "action string, sessions long")
+def write(rows: DataFrame, folder: str, sync: bool = True, index: str | None = None, log: str | None = None) -> DataFrame:
+    """Write the notes that rows hold, and return the number of sessions by outcome. The plan of rows
+    reads the folder that is written to, so rows are a written table before the first note is.
+
+    index: a folder to whose table the created notes' session_id and filename are appended. log: one
+    to which each session's outcome is appended, with the time of the run.
+    """
+    kept = stage(rows, "notes")
+    note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync)
+    if index is not None:
+        R.append_index(kept.where(F.col("action") == S.CREATED), index)
+    if log is not None:
+        optional = [F.col(c) for c in ("from_count", "to_count", "reason") if c in kept.columns]
+        kept.select(F.current_timestamp().alias("at"), "session_id", "action", "filename", *optional).write.mode("append").json(log)
+    return S.outcomes(kept)

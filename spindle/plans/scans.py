@@ -11,7 +11,7 @@ from ..operators import messages as M
 from ..operators import notes as N
 from ..sources import note_files
 from ..sources import transcripts as R
-from ..sources.shared import drop_at_exit, fresh_folder
+from ..sources.shared import drop_at_exit, fresh_folder, stage
 from ..streaming import reminder
 from . import catalog, pipelines
 from .catalog import messages, query, read
@@ -55,8 +55,7 @@ def export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = F.map_from_arrays(F.transform("items", lambda _, i: F.concat(F.lit("n"), i.cast("string"))), "items")
     text = F.to_json(F.array(F.struct(F.col("conv").alias("title"), F.lit(1700000000.0).alias("create_time"), mapping.alias("mapping"))))
     conversations = R.export_conversations(spark, _write(rows, F.concat("conv", F.lit(".json")), text, "export"))
-    named = R.export_messages(conversations).join(conversations.select("session_id", "title"), "session_id")
-    return named.select(F.col("title").alias("session_id"), "role", "text", "seq")
+    return R.export_messages(conversations, "title").select(F.col("title").alias("session_id"), "role", "text", "seq")
 
 
 @query(_SPOKEN)
@@ -92,8 +91,8 @@ def _rollouts(spark: SparkSession, sf_dir: str, upto: int | None = None) -> str:
 @query(f"SELECT lpad(session_id, 8, '0') || '-0000-4000-8000-000000000000' AS session_id, role, text, seq FROM ({_SPOKEN})")
 def rollout_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollout files, read back as messages of the sessions that their first lines name."""
-    lines = R.rollout_lines(spark, _rollouts(spark, sf_dir))
-    named = R.rollout_messages(lines).join(R.rollout_validated(R.rollout_sessions(lines)).where("reason IS NULL").select("path", "session_id"), "path")
+    events = stage(R.rollout_events(R.rollout_lines(spark, _rollouts(spark, sf_dir))), "rollout-events")
+    named = R.rollout_messages(events).join(R.rollout_validated(R.rollout_sessions(events)).where("reason IS NULL").select("path", "session_id"), "path")
     return _placed(named)
 
 

@@ -1,20 +1,22 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there between steps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where that is unset (local runs), a temporary folder is made once and set
-    for the application."""
+    """spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder, made once and set
+    for the application; on a cluster, where executors would not see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-spindle-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get()
@@ -26,7 +28,30 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return written.getFileSystem(spark._jsc.hadoopConfiguration()), written
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Delete what was written there when the driver ends."""
-    written = spark._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+    system, written = _located(spark, path)
+    system.deleteOnExit(written)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back. It cuts the lineage, fixes
+    generated row ids and spares recomputation; a lost executor loses nothing of it."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables of stage() that nothing will read any more."""
+    for df in staged:
+        system, written = _located(df.sparkSession, df._staged_at)
+        system.delete(written, True)

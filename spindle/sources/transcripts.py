@@ -14,6 +14,7 @@ from ..functions import content as C
 from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
+from .shared import stage
 
 #: Fixed value: a conversation of the export, as far as it is read.
 EXPORT_SCHEMA = (
@@ -47,20 +48,22 @@ def _text(v: Column, path: str) -> Column:
 
 
 def export_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (the file's name and the position in it), title, started_at (epoch seconds), mapping."""
+    """session_id (the file's name and the position in it), file, at (that position), title, started_at
+    (epoch seconds), mapping."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     rows = files.select("file", F.posexplode(F.from_json("value", EXPORT_SCHEMA)).alias("at", "c"))
-    return rows.select(F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 9, "0")).alias("session_id"), F.coalesce("c.title", F.lit("Untitled")).alias("title"), F.col("c.create_time").alias("started_at"), "c.mapping")
+    session_id = F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 9, "0"))
+    return rows.select(session_id.alias("session_id"), "file", "at", F.coalesce("c.title", F.lit("Untitled")).alias("title"), F.col("c.create_time").alias("started_at"), "c.mapping")
 
 
-def export_messages(conversations: DataFrame) -> DataFrame:
-    """session_id, seq, role, text: messages with a text of user or assistant, by time, those without
-    one first, ties in the order of the export. A blank text is kept."""
-    nodes = conversations.select("session_id", F.posexplode(F.map_entries("mapping")).alias("at", "e")).select("session_id", "at", F.col("e.value.message").alias("m"))
-    kept = nodes.select("session_id", "at", F.col("m.author.role").alias("role"), C.flatten_export(F.col("m.content.parts")).alias("text"), F.coalesce("m.create_time", F.lit(0.0)).alias("time"))
+def export_messages(conversations: DataFrame, *carry: str) -> DataFrame:
+    """session_id, seq, role, text and the columns carry: messages with a text of user or assistant, by
+    time, those without one first, ties in the order of the export. A blank text is kept."""
+    nodes = conversations.select("session_id", *carry, F.posexplode(F.map_entries("mapping")).alias("at", "e")).select("session_id", *carry, "at", F.col("e.value.message").alias("m"))
+    kept = nodes.select("session_id", *carry, "at", F.col("m.author.role").alias("role"), C.flatten_export(F.col("m.content.parts")).alias("text"), F.coalesce("m.create_time", F.lit(0.0)).alias("time"))
     ordered = M.spoken(kept).where("text IS NOT NULL").withColumn("key", F.struct("time", "at"))
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("key")).cast("long") - 1
-    return ordered.select("session_id", seq.alias("seq"), "role", "text")
+    return ordered.select("session_id", *carry, seq.alias("seq"), "role", "text")
 
 
 # -- session documents, with event logs as the fallback --------------------------------------------
@@ -86,12 +89,14 @@ def session_documents(spark: SparkSession, path: str) -> DataFrame:
 def event_log_documents(spark: SparkSession, paths: str | list[str], cap: int = M.MESSAGE_CAP) -> DataFrame:
     """The same columns from <session_id>.jsonl event logs anywhere below the paths: of equal names, the
     smallest path; of each session, the first ``cap`` messages of user or assistant with a text."""
-    files = _whole(spark, paths, "*.jsonl").withColumn("session_id", F.regexp_replace("file", r"\.jsonl\z", ""))
-    one = files.groupBy("session_id").agg(F.min_by(F.struct("path", "value"), "path").alias("f")).select("session_id", "f.path", "f.value", F.col("session_id").alias("file"))
-    lines = _lines(one).where(_text(F.col("v"), "$.sessionId") == F.col("file"))
+    files = _whole(spark, paths, "*.jsonl").withColumn("file", F.regexp_replace("file", r"\.jsonl\z", ""))
+    # The paths are chosen before any text is read.
+    one = files.groupBy("file").agg(F.min("path").alias("path"))
+    lines = _lines(files.join(one, ["file", "path"], "left_semi")).where(_text(F.col("v"), "$.sessionId") == F.col("file"))
     role = F.coalesce(_text(F.col("v"), "$.message.role"), _text(F.col("v"), "$.type"))
     events = lines.select(F.col("file").alias("session_id"), "path", F.col("line_no").alias("seq"), role.alias("role"), F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("time"), C.flatten_event(_variant(F.col("v"), "$.message.content")).alias("text"))
-    known = M.spoken(events)
+    # The lines are parsed once: both the time and the messages come from this table.
+    known = stage(M.spoken(events), "log-events")
     began = known.groupBy("session_id", "path").agg(F.min_by("time", F.when(F.col("time") != "", F.col("seq"))).alias("started_at"))
     kept = M.capped(M.without_blank(known), cap)
     items = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text"))).alias("items"))
@@ -123,20 +128,28 @@ def rollout_lines(spark: SparkSession, path: str) -> DataFrame:
     return _lines(_whole(spark, path, "rollout-*.jsonl"))
 
 
-def rollout_sessions(lines: DataFrame) -> DataFrame:
-    """path, session_id, started_at: of each file's first session_meta line. The event's own time stands
-    in where the payload has no timestamp."""
-    meta = lines.where(_text(F.col("v"), "$.type") == "session_meta")
-    time = F.when(F.col("t").isNull(), F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit(""))).otherwise(F.coalesce(F.try_variant_get("t", "$", "string"), F.lit("")))
-    row = meta.withColumn("t", _variant(F.col("v"), "$.payload.timestamp")).select("path", "line_no", F.coalesce(_text(F.col("v"), "$.payload.id"), F.lit("")).alias("session_id"), time.alias("started_at"))
-    return row.groupBy("path").agg(F.min_by(F.struct("session_id", "started_at"), "line_no").alias("m")).select("path", "m.*")
+def rollout_events(lines: DataFrame) -> DataFrame:
+    """path, line_no, session (id and time of a session_meta line) and said (role and text of a message
+    line): what the sync needs of the lines, parsed once. The event's own time stands in where the
+    payload has no timestamp."""
+    v = F.col("v")
+    kind, stamp = _text(v, "$.type"), _variant(v, "$.payload.timestamp")
+    time = F.when(stamp.isNull(), F.coalesce(_text(v, "$.timestamp"), F.lit(""))).otherwise(F.coalesce(F.try_variant_get(stamp, "$", "string"), F.lit("")))
+    session = F.when(kind == "session_meta", F.struct(F.coalesce(_text(v, "$.payload.id"), F.lit("")).alias("session_id"), time.alias("started_at")))
+    message = (kind == "response_item") & (_text(v, "$.payload.type") == "message")
+    said = F.when(message, F.struct(_text(v, "$.payload.role").alias("role"), C.flatten_rollout(_variant(v, "$.payload.content")).alias("text")))
+    return lines.select("path", "line_no", session.alias("session"), said.alias("said")).where("session IS NOT NULL OR said IS NOT NULL")
+
 
+def rollout_sessions(events: DataFrame) -> DataFrame:
+    """path, session_id, started_at: of each file's first session_meta line."""
+    meta = events.where("session IS NOT NULL")
+    return meta.groupBy("path").agg(F.min_by("session", "line_no").alias("m")).select("path", "m.*")
 
-def rollout_messages(lines: DataFrame) -> DataFrame:
+
+def rollout_messages(events: DataFrame) -> DataFrame:
     """path, seq, role, text: the messages with a text; system context of the user goes."""
-    v = F.col("v")
-    said = lines.where((_text(v, "$.type") == "response_item") & (_text(v, "$.payload.type") == "message"))
-    rows = said.select("path", F.col("line_no").alias("seq"), _text(v, "$.payload.role").alias("role"), C.flatten_rollout(_variant(v, "$.payload.content")).alias("text"))
+    rows = events.where("said IS NOT NULL").select("path", F.col("line_no").alias("seq"), "said.*")
     return M.without_blank(M.without_context(M.spoken(rows)))
 
 
@@ -154,19 +167,21 @@ def rollout_validated(sessions: DataFrame) -> DataFrame:
 # -- what is written already -----------------------------------------------------------------------
 
 
-def notes_snapshot(spark: SparkSession, folder: str, links: tuple[str, ...] = ()) -> DataFrame:
-    """session_id, filename, markdown, msg_count, q_count, a_count of the notes in a folder (not below
-    it). msg_count is null for a note without a valid one. links: names that are symbolic links, which
-    Spark's readers would follow; they are left out."""
+def notes_snapshot(spark: SparkSession, folder: str, links: tuple[str, ...] = (), anywhere: bool = False) -> DataFrame:
+    """session_id, filename, markdown, msg_count, q_count, a_count, headings of the notes in a folder (not
+    below it). msg_count is null for a note without a valid one; headings counts all lines like one. links:
+    names that are symbolic links, which Spark's readers would follow; they are left out. anywhere:
+    see front_matter_text."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     # The path is percent-encoded; a + in it is a plus sign.
     name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     rows = files.select(F.col("value").alias("markdown"), name.alias("filename"))
     if links:
         rows = rows.where(~F.col("filename").isin(*links))
-    named = rows.select(N.stored_session_id(F.col("markdown")).alias("session_id"), "filename", "markdown", N.stored_msg_count(F.col("markdown")).alias("msg_count"))
-    headings = N.fenced_heading_counts(F.col("markdown"))
-    return named.select("*", headings["q"].alias("q_count"), headings["a"].alias("a_count"))
+    note = F.col("markdown")
+    named = rows.select(N.stored_session_id(note, anywhere).alias("session_id"), "filename", "markdown", N.stored_msg_count(note, anywhere).alias("msg_count"))
+    found = N.fenced_heading_counts(note)
+    return named.select("*", found["q"].alias("q_count"), found["a"].alias("a_count"), N.heading_count(note).alias("headings"))
 
 
 def append_index(rows: DataFrame, path: str) -> None:

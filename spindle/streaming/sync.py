@@ -1,33 +1,64 @@
-"""Sync that follows new files: a batch of the sync for each batch of arriving file names.
+"""Sync that follows new files: a run of a sync for each batch of arriving hook events.
 
 Session files grow in place, and a file stream never reports a known path again, so the stream
-only says that something came; each batch then reads the folder and the notes' high-water marks.
+only says that something came; each run then reads the transcripts and the notes' high-water marks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import sync as S
 from ..plans import pipelines
 from ..sources import note_files, transcripts
 
 
-def sync_now(spark: SparkSession, sessions: str, folder: str) -> DataFrame | None:
-    """One run over the rollout files; None if another run holds the folder."""
+def _alone(spark: SparkSession, folder: str, run: Callable[[DataFrame], DataFrame], **sinks) -> DataFrame | None:
+    """Write what run makes of the notes held; None if another run holds the folder."""
     real = note_files.guard(folder)
     with note_files.lock(real) as mine:
         if not mine:
             return None
-        held = transcripts.notes_snapshot(spark, real, note_files.links_in(real))
-        return pipelines.write(pipelines.sync_rollouts(spark, sessions, held), real)
+        return pipelines.write(run(transcripts.notes_snapshot(spark, real, note_files.links_in(real))), real, **sinks)
+
+
+def sync_now(spark: SparkSession, sessions: str, folder: str, **sinks) -> DataFrame | None:
+    """One run over the rollout files."""
+    return _alone(spark, folder, lambda held: pipelines.sync_rollouts(spark, sessions, held), **sinks)
+
+
+def sync_sessions_now(spark: SparkSession, catalogue: str, documents: str, logs: str | list[str] | None, folder: str, wanted: DataFrame | None = None, **sinks) -> DataFrame | None:
+    """One run over the wanted sessions (session_id), or all of the catalogue that no rollout file has;
+    what documents lack is read from the event logs."""
+
+    def run(held: DataFrame) -> DataFrame:
+        due = S.not_from(transcripts.session_catalogue(spark, catalogue), "codex") if wanted is None else wanted
+        fallback = None if logs is None else transcripts.event_log_documents(spark, logs)
+        return pipelines.sync_sessions(spark, transcripts.session_documents(spark, documents), held, due, fallback)
 
+    return _alone(spark, folder, run, **sinks)
 
-def follow(spark: SparkSession, triggers: DataFrame, sessions: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Run the sync once for each batch of a stream of hook events."""
+
+def export_now(spark: SparkSession, path: str, folder: str, **sinks) -> DataFrame | None:
+    """One run over an export; all its notes are written anew."""
+    return _alone(spark, folder, lambda _: pipelines.export_notes(spark, path), **sinks)
+
+
+def follow(triggers: DataFrame, run: Callable[[DataFrame], object], checkpoint: str) -> StreamingQuery:
+    """Call run with each batch of a stream of hook events that holds any."""
     return (
-        triggers.writeStream.foreachBatch(lambda batch, _: None if batch.isEmpty() else sync_now(spark, sessions, folder))
+        triggers.writeStream.foreachBatch(lambda batch, _: None if batch.isEmpty() else run(batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def hooked(batch: DataFrame) -> DataFrame | None:
+    """The sessions that a batch of hook events (session_id) names; None, for all, if one names none."""
+    if not batch.where("coalesce(session_id, '') = ''").isEmpty():
+        return None
+    return batch.select("session_id").distinct()

@@ -1,8 +1,12 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from spindle.operators import messages as M
 from spindle.operators import notes as N
 from spindle.operators import sync as S
+from spindle.operators.running import block_of
 
 FENCE = "`" * 3
 
@@ -42,13 +46,58 @@ def test_session_id_is_read_unescaped(spark):
 
 def test_names_are_numbered_in_order(spark):
     rows = spark.createDataFrame([(1, "d_x"), (2, "d_y"), (3, "d_x"), (4, "d_x")], "i int, base string")
-    assert [r["filename"] for r in N.numbered_names(rows, "base", "i").orderBy("i").collect()] == ["d_x.md", "d_y.md", "d_x_1.md", "d_x_2.md"]
+    assert [r["filename"] for r in N.numbered_names(rows, "base", ["i"], block_of("i")).orderBy("i").collect()] == ["d_x.md", "d_y.md", "d_x_1.md", "d_x_2.md"]
 
 
 def test_free_names_fill_gaps(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "i int, base string")
     taken = spark.createDataFrame([("a.md",), ("a_2.md",), ("c.md",)], "filename string")
-    assert [r["filename"] for r in N.free_names(rows, "base", taken, "i").orderBy("i").collect()] == ["a_1.md", "a_3.md", "a_4.md", "b.md"]
+    assert [r["filename"] for r in N.free_names(rows, "base", taken, ["i"], block_of("i")).orderBy("i").collect()] == ["a_1.md", "a_3.md", "a_4.md", "b.md"]
+
+
+def test_free_names_of_one_base(spark):
+    """Against trying one number after the other; blocks of a few rows, gaps, names that hide each other."""
+    rng = random.Random(2)
+    bases = [rng.choice(["hot", "hot", "hot", "hot_2", "x", None]) for _ in range(300)]
+    taken = {f"hot_{rng.randrange(1, 150)}.md" for _ in range(60)} | {"hot.md", "x_1.md", "hot_2_1.md", "hot_02.md", "hot_0.md", "other_1.md"}
+    rows = spark.createDataFrame(list(enumerate(bases)), "i long, base string").where("base IS NOT NULL")
+    got = {r["i"]: r["filename"] for r in N.free_names(rows.repartition(5), "base", spark.createDataFrame([(t,) for t in sorted(taken)], "filename string"), ["i"], F.floor(F.col("i") / 7)).collect()}
+    used = {b: set(taken) for b in ("hot", "hot_2", "x")}
+    for i, base in enumerate(bases):
+        if base:
+            n = 0
+            while (name := f"{base}_{n}.md" if n else f"{base}.md") in used[base]:
+                n += 1
+            used[base].add(name)
+            assert got.pop(i) == name
+    assert not got
+    assert N.free_names(rows.limit(0), "base", spark.createDataFrame([], "filename string"), ["i"], block_of("i")).count() == 0
+
+
+def test_many_rows_of_one_base_take_little_time(spark):
+    rows = spark.range(16_000).select(F.col("id").alias("i"), F.lit("same").alias("base"))
+    taken = spark.range(16_000).select(F.concat(F.lit("same_"), (F.col("id") * 2 + 1).cast("string"), F.lit(".md")).alias("filename"))
+    began = time.time()
+    names = N.free_names(rows, "base", taken, ["i"], block_of("i")).select("filename").distinct().collect()
+    assert len(names) == 16_000 and not {r["filename"] for r in names} & {r["filename"] for r in taken.collect()}
+    assert time.time() - began < 30  # a few seconds on an idle machine
+
+
+def test_front_matter_may_stand_anywhere(spark):
+    note = "intro\n---\nsession_id: a1\nmsg_count: 3\n---\nrest\n---\nmsg_count: 9\n---\n"
+    row = spark.createDataFrame([(note,)], "v string").select(*(f(F.col("v"), a) for f in (N.stored_msg_count, N.stored_session_id) for a in (False, True))).first()
+    assert tuple(row) == (None, 3, None, "a1")
+
+
+def test_how_much_of_a_session_a_note_holds(spark):
+    texts = ["a", "x\n## Q9 inside\n" + FENCE, "b", "## A1"]
+    said = [("s", i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)] + [("t", 0, "user", "a")]
+    messages = spark.createDataFrame(said, "session_id string, seq long, role string, text string")
+    for n, (q, a) in enumerate([(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)]):
+        body = "".join(f"## {'Q' if i % 2 == 0 else 'A'}{i // 2 + 1}\n{t}\n\n" for i, t in enumerate(texts[:n]))
+        note = spark.createDataFrame([("s", "f.md", body)], "session_id string, filename string, markdown string").select("*", N.heading_count(F.col("markdown")).alias("headings"))
+        (row,) = S.notes_reached(messages, note).collect()
+        assert (row["msg_count"], row["q_count"], row["a_count"]) == (n, q, a)
 
 
 def test_title_choice(spark):

@@ -18,9 +18,9 @@ def document(folder, sid, source, stamp, *messages):
     (folder / f"{sid}.json").write_text(json.dumps(content, ensure_ascii=False), encoding="utf-8")
 
 
-def run(spark, docs, notes):
+def run(spark, docs, notes, **more):
     held = R.notes_snapshot(spark, str(notes)) if any(notes.iterdir()) else None
-    rows = P.sync_sessions(spark, R.session_documents(spark, str(docs)), held)
+    rows = P.sync_sessions(spark, R.session_documents(spark, str(docs)), held, **more)
     return {r["action"]: r["sessions"] for r in P.write(rows, str(notes)).collect()}
 
 
@@ -29,21 +29,21 @@ def texts(folder):
 
 
 GOLDEN = """---
-date: 2026-02-10
-title: "\\u30c6\\u30b9\\u30c8\\u8cea\\u554f\\u3067\\u3059"
+date: 2026-04-05
+title: "\\u30af\\u30eb\\u30df\\u306e\\u53ce\\u7a6b\\u306f\\u3044\\u3064"
 source: "Claude Code"
-session_id: "test-new-session-0001"
+session_id: "walnut-harvest-77"
 tags:
   - "claude"
 ---
 
-# テスト質問です
+# クルミの収穫はいつ
 
 ## Q1
-テスト質問です
+クルミの収穫はいつ
 
 ## A1
-テスト回答です
+十月の初めです
 
 """
 
@@ -57,31 +57,31 @@ def folders(tmp_path):
 
 def test_session_is_created_appended_and_left_alone(spark, folders):
     docs, notes = folders
-    said = [("user", "テスト質問です"), ("assistant", "テスト回答です")]
-    document(docs, "test-new-session-0001", "claude", "2026-02-10T12:00:00Z", *said)
+    said = [("user", "クルミの収穫はいつ"), ("assistant", "十月の初めです")]
+    document(docs, "walnut-harvest-77", "claude", "2026-04-05T08:30:00Z", *said)
     assert run(spark, docs, notes) == {"created": 1}
-    name = "2026-02-10_テスト質問です_test-new.md"
+    name = "2026-04-05_クルミの収穫はいつ_walnut-h.md"
     assert texts(notes) == {name: GOLDEN}
-    document(docs, "test-new-session-0001", "claude", "2026-02-10T12:00:00Z", *said, ("user", "追加質問です"), ("assistant", "追加回答です"))
+    document(docs, "walnut-harvest-77", "claude", "2026-04-05T08:30:00Z", *said, ("user", "乾かし方は"), ("assistant", "風通しの良い所で"))
     assert run(spark, docs, notes) == {"appended": 1}
     after = texts(notes)
-    assert after == {name: GOLDEN + "## Q2\n追加質問です\n\n## A2\n追加回答です\n\n"}
+    assert after == {name: GOLDEN + "## Q2\n乾かし方は\n\n## A2\n風通しの良い所で\n\n"}
     assert run(spark, docs, notes) == {"unchanged": 1}
     assert texts(notes) == after
 
 
 def test_catalogue_without_sources(spark, folders, tmp_path):
     docs, notes = folders
-    document(docs, "test-bulk-001", "claude", "2026-02-09T10:00:00Z", ("user", "first question"), ("assistant", "x"))
-    document(docs, "test-bulk-002", "codex", "2026-02-09T10:00:00Z", ("user", "second question"), ("assistant", "y"))
+    document(docs, "heron-1", "claude", "2026-04-06T10:00:00Z", ("user", "where do herons nest"), ("assistant", "x"))
+    document(docs, "heron-2", "codex", "2026-04-06T10:00:00Z", ("user", "and in the winter"), ("assistant", "y"))
     listed = tmp_path / "list.txt"
-    listed.write_text(json.dumps({"sessions": [{"session_id": "test-bulk-001"}, {"session_id": "test-bulk-002"}, {"session_id": "gone"}]}))
+    listed.write_text(json.dumps({"sessions": [{"session_id": "heron-1"}, {"session_id": "heron-2"}, {"session_id": "gone"}]}))
     wanted = R.session_catalogue(spark, str(listed))
     rows = P.sync_sessions(spark, R.session_documents(spark, str(docs)), None, wanted)
     got = {r["session_id"]: (r["action"], r["filename"], r["reason"]) for r in rows.collect()}
     assert got == {
-        "test-bulk-001": ("created", "2026-02-09_first_question_test-bul.md", None),
-        "test-bulk-002": ("created", "2026-02-09_second_question_test-bul.md", None),
+        "heron-1": ("created", "2026-04-06_where_do_herons_nest_heron-1.md", None),
+        "heron-2": ("created", "2026-04-06_and_in_the_winter_heron-2.md", None),
         "gone": ("failed", None, "can't be read"),
     }
     listed.write_text("{}")
@@ -91,18 +91,78 @@ def test_catalogue_without_sources(spark, folders, tmp_path):
 
 def test_lines_and_code_are_kept(spark, folders):
     docs, notes = folders
-    said = [("user", "line one\nline two\nline three"), ("assistant", f"before\n\n{FENCE}python\n## Q9\nprint(1)\n{FENCE}\nafter")]
-    document(docs, "test-multiline-001", "claude", "2026-02-11T10:00:00Z", *said)
+    said = [("user", "a first line\n\nand a third one"), ("assistant", f"see\n\n{FENCE}python\n## Q9\nprint(1)\n{FENCE}\nthat is all")]
+    document(docs, "otter-9", "claude", "2026-04-07T10:00:00Z", *said)
     assert run(spark, docs, notes) == {"created": 1}
     (body,) = texts(notes).values()
     assert said[0][1] in body and said[1][1] in body
     said += [("user", "more\nof it"), ("assistant", "a\nb\nc")]
-    document(docs, "test-multiline-001", "claude", "2026-02-11T10:00:00Z", *said)
+    document(docs, "otter-9", "claude", "2026-04-07T10:00:00Z", *said)
     assert run(spark, docs, notes) == {"appended": 1}
     (body,) = texts(notes).values()
     assert "## Q2\nmore\nof it\n\n## A2\na\nb\nc\n\n" in body
 
 
+@pytest.mark.parametrize("open_code", [FENCE + "\ncode that never ends", "## Q1 and\n## A7", FENCE + "\n## Q3\n" + FENCE + "\n" + FENCE])
+def test_runs_over_open_code_repeat_nothing(spark, folders, open_code):
+    docs, notes = folders
+    said = [("user", "please show some code"), ("assistant", open_code), ("user", "thanks"), ("assistant", open_code)]
+    document(docs, "open", "claude", "2026-04-08T10:00:00Z", *said)
+    assert run(spark, docs, notes) == {"created": 1}
+    before = texts(notes)
+    for _ in range(2):
+        assert run(spark, docs, notes) == {"unchanged": 1} and texts(notes) == before
+    document(docs, "open", "claude", "2026-04-08T10:00:00Z", *said, ("user", open_code))
+    assert run(spark, docs, notes) == {"appended": 1}
+    assert list(texts(notes).values()) == [next(iter(before.values())) + f"## Q3\n{open_code}\n\n"]
+    assert run(spark, docs, notes) == {"unchanged": 1}
+
+
+def test_sessions_of_system_messages_get_names_of_their_own(spark, folders):
+    docs, notes = folders
+    for i in range(3):
+        document(docs, f"sys/{i}".replace("/", "~~~~~~~~"), "claude", "2026-04-08T10:00:00Z", ("system", "rules"))
+    document(docs, "sys~", "claude", "2026-04-08T10:00:00Z", ("system", "rules"))
+    document(docs, "~sys", "claude", "2026-04-08T10:00:00Z", ("system", "rules"))
+    assert run(spark, docs, notes) == {"created": 5}
+    before = texts(notes)
+    assert len(before) == 5 and {"2026-04-08_untitled_sys.md", "2026-04-08_untitled_sys_1.md"} <= set(before)
+    assert run(spark, docs, notes) == {"unchanged": 5} and texts(notes) == before
+
+
+def event(sid, role, content, **more):
+    return json.dumps({"type": role, "sessionId": sid, "timestamp": "2026-03-01T00:00:00Z", "message": {"role": role, "content": content}} | more)
+
+
+def test_catalogue_hooks_and_event_logs(spark, folders, tmp_path):
+    """The whole catalogue but for sessions of rollout files; an unreadable document from its log; then
+    one session that a hook names."""
+    docs, notes = folders
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    document(docs, "crane-1", "claude", "2026-04-06T10:00:00Z", ("user", "how tall is a crane"))
+    (docs / "crane-2.json").write_text("{ not JSON")
+    (logs / "crane-2.jsonl").write_text("\n".join([event("crane-2", "user", "what do cranes eat"), "{bad", event("crane-2", "assistant", ["seeds"])]))
+    (logs / "unlisted.jsonl").write_text(event("unlisted", "user", "who asked for this"))
+    listed = [{"session_id": "crane-1", "source": "claude"}, {"session_id": "crane-2"}, {"session_id": "rolled", "source": "codex"}, {"session_id": "gone", "source": None}]
+    (tmp_path / "list.txt").write_text(json.dumps({"sessions": listed}))
+    now = lambda wanted=None: {r["action"]: r["sessions"] for r in sync.sync_sessions_now(spark, str(tmp_path / "list.txt"), str(docs), str(logs), str(notes), wanted, log=str(tmp_path / "log"), index=str(tmp_path / "index")).collect()}
+    assert now() == {"created": 2, "failed": 1}
+    assert sorted(texts(notes)) == ["2026-03-01_what_do_cranes_eat_crane-2.md", "2026-04-06_how_tall_is_a_crane_crane-1.md"]
+    told = {r["session_id"]: (r["action"], r["reason"]) for r in spark.read.json(str(tmp_path / "log")).collect()}
+    assert told == {"crane-1": ("created", None), "crane-2": ("created", P.FROM_EVENT_LOG), "gone": ("failed", "can't be read")}
+    assert {tuple(r) for r in R.read_index(spark, str(tmp_path / "index")).collect()} == {("crane-1", "2026-04-06_how_tall_is_a_crane_crane-1.md"), ("crane-2", "2026-03-01_what_do_cranes_eat_crane-2.md")}
+    (tmp_path / "hooks").mkdir()
+    (tmp_path / "hooks" / "a.json").write_text('{"session_id":"crane-1"}')
+    document(docs, "crane-1", "claude", "2026-04-06T10:00:00Z", ("user", "how tall is a crane"), ("assistant", "up to two metres"))
+    seen = []
+    hooks = spark.readStream.schema("session_id string").json(str(tmp_path / "hooks"))
+    sync.follow(hooks, lambda batch: seen.append(now(sync.hooked(batch))), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [{"appended": 1}]
+    assert now() == {"unchanged": 2, "failed": 1}
+    assert sync.hooked(spark.createDataFrame([("a",), ("",)], "session_id string")) is None
+
+
 def test_bad_sessions_fail_and_the_rest_goes_on(spark, folders):
     docs, notes = folders
     document(docs, "no-stamp", "claude", "", ("user", "hello there"))
@@ -118,8 +178,7 @@ def test_bad_sessions_fail_and_the_rest_goes_on(spark, folders):
 def test_event_logs_stand_in(spark, tmp_path):
     logs = tmp_path / ".codex" / "deep"
     logs.mkdir(parents=True)
-    event = lambda role, content, **more: json.dumps({"type": role, "sessionId": "s1", "timestamp": "2026-03-01T00:00:00Z", "message": {"role": role, "content": content}} | more)
-    lines = [event("user", "   "), "{bad", "", "[1]", event("user", ["q", {"type": "text", "text": "r"}], timestamp="2026-03-02T00:00:00Z"), event("assistant", "other", sessionId="s2"), event("assistant", "answer")]
+    lines = [event("s1", "user", "   "), "{bad", "", "[1]", event("s1", "user", ["q", {"type": "text", "text": "r"}], timestamp="2026-03-02T00:00:00Z"), event("s2", "assistant", "other"), event("s1", "assistant", "answer")]
     (logs / "s1.jsonl").write_bytes("\r\n".join(lines).encode() + b"\n\xff\n")
     found = R.event_log_documents(spark, str(tmp_path / ".codex"))
     docs = tmp_path / "docs"
@@ -194,7 +253,7 @@ def test_stream_of_hooks_drives_the_sync(spark, tmp_path):
     (tmp_path / "in" / "rollout-1.jsonl").write_text("\n".join(ROLLOUT))
     (tmp_path / "hooks" / "a.json").write_text('{"session_id":"s"}')
     hooks = spark.readStream.schema("session_id string").json(str(tmp_path / "hooks"))
-    sync.follow(spark, hooks, str(tmp_path / "in"), str(tmp_path / "notes"), str(tmp_path / "cp")).awaitTermination()
+    sync.follow(hooks, lambda batch: sync.sync_now(spark, str(tmp_path / "in"), str(tmp_path / "notes")), str(tmp_path / "cp")).awaitTermination()
     assert len(texts(tmp_path / "notes")) == 1
 
 

@@ -54,7 +54,7 @@ def test_yaml_escape_is_the_json_escape(spark):
 
 
 def test_ids_and_dates(spark):
-    assert apply(spark, T.short_id, ["test-new-session-0001", "a/b/c", "日本"]) == ["test-new", "abc", "cf2abf0c"]
+    assert apply(spark, T.short_id, ["walnut-harvest-77", "a/b/c", "日本"]) == ["walnut-h", "abc", "cf2abf0c"]
     assert apply(spark, T.date_from_epoch, [1700000000.5, 0.0, None], "double") == ["2023-11-14", "unknown", "unknown"]
     days = ["2026-02-30", "2026-2-3", "2026-02-03", None, "2026-02-03\n"]
     assert apply(spark, T.has_date_shape, days) == [True, False, True, False, False]
