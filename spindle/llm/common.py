@@ -9,33 +9,30 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop_at_exit, fresh_folder
+from ..sources.shared import discard, drop_at_exit, fresh_folder, stage  # noqa: F401
 
 #: The letters that "lower-casing A-Z only" maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back. It cuts the lineage, fixes
-    generated row ids and spares recomputation; a lost executor loses nothing of it."""
-    path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    drop_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
+#: Rows that an operator's function gets at once; Spark bounds the bytes of a batch (64 MB by default).
 BATCH_ROWS = 500
 _shipped: set[str] = set()
 
 
+def _in_slices(function):
+    """Of a batch of many rows one slice after the other, so that only its rows are Python objects."""
+
+    def run(batches):
+        return function(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow, after sending this package to the executors once per application (they need
-    not have it installed). Batches of Spark's default 10,000 documents would take hundreds of MB in a
-    worker; a session that has not chosen a size gets BATCH_ROWS."""
-    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(size) == "10000":
-        spark.conf.set(size, str(BATCH_ROWS))
-    context = spark.sparkContext
+    not have it installed)."""
+    context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="spark-spindle-")) / "spindle_package.zip"
@@ -44,7 +41,27 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
                 z.write(p, p.relative_to(package.parent))
         context.addPyFile(str(to))
         _shipped.add(context.applicationId)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_in_slices(function), schema)
+
+
+#: Bits of a table of fixed size (2 MB) that says which keys may be among some others.
+BITS = 24
+
+
+def bit_parts(bits: DataFrame) -> DataFrame:
+    """(bucket, part): the table of a column ``bit``; 512 rows of 4 KB at most, whatever the input."""
+    return bits.groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("part"))
+
+
+def perhaps_in(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str]) -> DataFrame:
+    """rows without most of those whose keys are not in wanted. The table that is broadcast has a fixed
+    size; it lets all rows of wanted pass, and the more others the more wanted there are."""
+    bit = lambda cs: F.shiftrightunsigned(F.xxhash64(*cs), 64 - BITS)
+    parts = bit_parts(wanted.select(bit(wanted_keys).alias("bit"))).select(F.col("bucket").alias("_bucket"), F.col("part").alias("_part"))
+    placed = rows.withColumn("_bit", bit(keys))
+    joined = placed.join(F.broadcast(parts), F.shiftright("_bit", 15) == F.col("_bucket"))
+    byte = "CAST(conv(hex(substring(_part, CAST(shiftright(_bit, 3) & 4095 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return joined.where(f"shiftright({byte}, CAST(_bit & 7 AS INT)) & 1 = 1").drop("_bit", "_bucket", "_part")
 
 
 def text_of(name: str) -> Column:

@@ -11,24 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new edges, and a written table that they read."""
     near = _both(edges)
     low = stage(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "hubs")
-    return near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     low = stage(down.groupBy("u").agg(F.min("v").alias("m")), "hubs")
     joined = down.join(low, "u")
-    return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))), low
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -38,7 +39,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        edges = stage(_small_star(_large_star(edges)).where("u != v").distinct(), "edges")
+        large, hubs = _large_star(edges)
+        small, lower = _small_star(large)
+        before, edges = edges, stage(small.where("u != v").distinct(), "edges")
+        discard(before, hubs, lower)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == tuple(state):
             break

@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def _score_rows(model: Model, place: int | None):
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            texts = batch.column("text") if place is None else batch.column("row").field(place)
+            texts = batch.column("text") if place is None else pc.struct_field(batch.column("row"), place)
             found = [score(t or "") for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array([s for s, _ in found], pa.float64()), pa.array([float(p[0]) for _, p in found], pa.float64())], names=["row", "severity", "p_toxic"]
