@@ -4,7 +4,8 @@ Features are a document's distinct words and their prefixes of three to five let
 model is P(grade >= k) = sigmoid(w . x - theta_k): one weight vector shared by all ordered
 thresholds. It is fitted with numpy on at most ``sample`` labelled rows; scoring runs on all rows in
 Arrow batches. Only features that the sample ties to the grades by a clear z-score get a weight, so
-the length of a text alone moves nothing.
+the length of a text alone moves nothing. They are counted in Spark; of the sample only rows cut down
+to such features come to the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of
+from .common import map_arrow, stage, text_of
 
 WORD = re.compile(r"\w+")
 DIMENSIONS = 1 << 20
+#: Documents of the sample that a feature must be in, and how clearly it must speak for toxicity.
+LEAST_HELD, Z_LEAST = 5, 4.0
 #: Words whose features a worker remembers at most.
 KNOWN_WORDS = 200_000
 
@@ -76,13 +79,13 @@ def grades(docs: list[np.ndarray], toxic: np.ndarray, levels: int) -> np.ndarray
     for f, t in zip(docs, toxic):
         held[f] += 1
         hit[f] += t
-    marked = (held >= 5) & (hit >= 0.9 * held)
+    marked = (held >= LEAST_HELD) & (hit >= 0.9 * held)
     terms = np.array([marked[f].sum() for f in docs])
     cuts = np.quantile(terms[toxic == 1], np.arange(1, levels) / levels) if toxic.any() else []
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, terms, side="right"), 0)
 
 
-def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = 4.0, rounds: int = 1000, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = Z_LEAST, rounds: int = 1000, rate: float = 0.03, decay: float = 1e-4) -> Model:
     """Full-batch Adam on the cumulative-link likelihood. Without labelled rows, or with one grade
     only, the model gives every text the same severity, near the lowest grade."""
     levels = max(1, int(grade.max(initial=0)))
@@ -95,7 +98,7 @@ def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = 4.0, rounds:
         hit[f] += t
     share = y.mean()
     z = (hit - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
-    chosen = np.flatnonzero((z >= z_least) & (held >= 5))
+    chosen = np.flatnonzero((z >= z_least) & (held >= LEAST_HELD))
     place = np.full(DIMENSIONS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     columns = [p[p >= 0] for p in (place[f] for f in docs)]
@@ -119,23 +122,40 @@ def fit(docs: list[np.ndarray], grade: np.ndarray, z_least: float = 4.0, rounds:
 def _feature_rows(batches):
     for batch in batches:
         found = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("label"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["l_id", "label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10000, levels: int = 3, graded: bool = False) -> Model:
-    """Fit on at most ``sample`` labelled rows: those whose ids hash lowest. Rows without a label, a
-    text or an id are not used. graded: label_col already holds ordered grades from 0."""
-    chosen = (
-        labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label >= 0").orderBy(F.xxhash64("l_id"), "l_id", "label").limit(sample)
-    )
+def _cut_down(telling: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found = [f[np.isin(f, telling)] for f in (np.array(x, np.int32) for x in batch.column("features").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["l_id", "label", "features"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000, levels: int = 3, graded: bool = False) -> Model:
+    """Fit on at most ``sample`` labelled rows: those whose ids hash lowest. An id counts once, with its
+    largest label and, of several texts, the smallest; so the model does not depend on the order of
+    rows. Rows without a label, a text or an id are not used. graded: label_col already holds ordered
+    grades from 0."""
+    one = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label >= 0").groupBy("l_id").agg(F.max("label").alias("label"))
+    chosen = one.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    joined = rows.join(F.broadcast(chosen), "l_id")  # ``sample`` rows at most
-    got = map_arrow(joined.select("label", "text"), _feature_rows, "label int, features array<int>").limit(sample).toArrow()
-    if not got.num_rows:
+    joined = rows.join(F.broadcast(chosen), "l_id").groupBy("l_id", "label").agg(F.min("text").alias("text"))  # ``sample`` rows at most
+    schema = f"l_id {joined.schema['l_id'].dataType.simpleString()}, label int, features array<int>"
+    found = stage(map_arrow(joined, _feature_rows, schema), "labelled-features")
+    n, toxic = found.agg(F.count(F.lit(1)), F.count_if(F.col("label") > 0)).first()
+    if not n or not toxic:
         return fit([], np.empty(0, np.int64))
+    counted = found.select(F.explode("features").alias("f"), (F.col("label") > 0).cast("int").alias("y")).groupBy("f").agg(F.count(F.lit(1)).alias("held"), F.sum("y").alias("hit"))
+    share = toxic / n
+    z = (F.col("hit") - F.col("held") * share) / F.sqrt(F.greatest(F.col("held") * (share * (1 - share)), F.lit(1e-9)))
+    telling = counted.where((F.col("held") >= LEAST_HELD) & ((z >= Z_LEAST - 1e-6) | (F.col("hit") >= 0.9 * F.col("held")))).select("f").toArrow()  # of DIMENSIONS at most
+    got = map_arrow(found, _cut_down(np.sort(telling.column("f").to_numpy())), schema).orderBy("l_id").toArrow()
     label, lists = got.column("label").to_numpy(), got.column("features").combine_chunks()
-    found = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1])  # views, not Python lists
-    return fit(found, label if graded else grades(found, (label > 0).astype(np.int64), levels))
+    parts = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1])  # views, not Python lists
+    return fit(parts, label if graded else grades(parts, (label > 0).astype(np.int64), levels))
 
 
 def _score_rows(model: Model, place: int | None):
