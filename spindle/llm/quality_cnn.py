@@ -5,18 +5,18 @@ of ``width`` bytes run over each chunk (a filter is a table of a weight per plac
 through a rectifier and are max-pooled per chunk. The pooled chunks are combined by their mean and
 their maximum into one logistic output, so the score depends on every chunk.
 
-Fitted by back-propagation on at most ``sample`` labelled rows on the driver; scoring runs in Arrow
-batches and touches one stretch of a text at a time.
+Fitted by back-propagation on the driver, on whole texts of at most ``sample`` labelled rows and
+``most_bytes`` bytes; scoring runs in Arrow batches and touches one stretch of a text at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of
+from .common import map_arrow, stage, text_of
 
 CHUNK, OVERLAP = 512, 32
 #: Chunks that are convolved at once.
@@ -42,9 +42,9 @@ class Network:
         starts = np.append(np.arange(0, len(data) - CHUNK, step), len(data) - CHUNK)
         return np.lib.stride_tricks.sliding_window_view(data, CHUNK)[starts]
 
-    def pooled(self, text: bytes, places: bool = False):
+    def pooled(self, chunks: np.ndarray, places: bool = False):
         """(chunks, filters): the rectified maxima, and where they are if asked for."""
-        chunks, width, out, at = self.chunks(text), len(self.table), [], []
+        width, out, at = len(self.table), [], []
         n = CHUNK - width + 1
         for i in range(0, len(chunks), STRETCH):
             part = chunks[i : i + STRETCH]
@@ -55,28 +55,32 @@ class Network:
             if places:
                 at.append(total.argmax(axis=1))
         top = np.maximum(np.concatenate(out) + self.bias, 0)
-        return (top, np.concatenate(at), chunks) if places else top
+        return (top, np.concatenate(at)) if places else top
 
     def combine(self, top: np.ndarray) -> np.ndarray:
         return np.concatenate([top.mean(axis=0), top.max(axis=0), [1.0]]).astype(np.float32)
 
     def score(self, text: bytes) -> float:
-        z = float(self.combine(self.pooled(text)) @ self.out)
+        z = float(self.combine(self.pooled(self.chunks(text))) @ self.out)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def gradients(self, text: bytes, label: float, weight: float):
-        """Loss gradients (table entries as (place, byte, filter) indices and values; bias; out)."""
-        top, at, chunks = self.pooled(text, places=True)
-        x = self.combine(top)
-        miss = (1 / (1 + np.exp(-np.clip(float(x @ self.out), -30, 30))) - label) * weight
-        filters = len(self.bias)
-        dtop = np.tile(miss * self.out[:filters] / len(top), (len(top), 1))
-        dtop[top.argmax(axis=0), np.arange(filters)] += miss * self.out[filters : 2 * filters]
+    def gradients(self, docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        """Of the summed, weighted loss of some documents' chunks: for table, bias and out."""
+        filters, width, chunks = len(self.bias), len(self.table), np.concatenate(docs)
+        ends = np.cumsum([len(d) for d in docs])
+        top, at = self.pooled(chunks, places=True)
+        parts = np.split(top, ends[:-1])
+        x = np.array([self.combine(p) for p in parts])
+        miss = (1 / (1 + np.exp(-np.clip(x @ self.out, -30, 30))) - labels) * weights
+        dtop = np.repeat(np.outer(miss / np.diff(ends, prepend=0), self.out[:filters]), np.diff(ends, prepend=0), axis=0)
+        for p, end, m in zip(parts, ends, miss):
+            dtop[end - len(p) + p.argmax(axis=0), np.arange(filters)] += m * self.out[filters : 2 * filters]
         dtop *= top > 0
-        width = len(self.table)
-        rows = np.arange(len(top))[None, :, None]
-        byte = chunks[rows, at[None] + np.arange(width)[:, None, None]]  # (width, chunks, filters)
-        return byte, dtop, dtop.sum(axis=0), miss * x
+        table = np.zeros(self.table.size)
+        for k in range(width):
+            byte = np.take_along_axis(chunks, at + k, axis=1).astype(np.int64)  # (chunks, filters)
+            table += np.bincount(((k * 256 + byte) * filters + np.arange(filters)).ravel(), dtop.ravel(), table.size)
+        return [table.reshape(self.table.shape).astype(np.float32), dtop.sum(axis=0).astype(np.float32), (miss @ x).astype(np.float32)]
 
 
 def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int = 5, epochs: int = 12, batch: int = 32, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Network:
@@ -91,18 +95,13 @@ def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int =
     weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     rng, params = np.random.default_rng(seed), [net.table, net.bias, net.out]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    place = np.arange(width)[:, None, None]
-    kind = np.arange(filters)[None, None, :]
+    docs = [net.chunks(t) for t in texts]
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         lr = rate * (1 - epoch / epochs)
         for i in range(0, len(order), batch):
-            grads = [np.zeros_like(p) for p in params]
-            for d in order[i : i + batch]:
-                byte, dtop, db, do = net.gradients(texts[d], float(labels[d]), float(weights[d]))
-                np.add.at(grads[0], (np.broadcast_to(place, byte.shape), byte, np.broadcast_to(kind, byte.shape)), np.broadcast_to(dtop[None], byte.shape))
-                grads[1] += db
-                grads[2] += do
+            some = order[i : i + batch]
+            grads = net.gradients([docs[d] for d in some], labels[some], weights[some])
             step += 1
             for p, g, m, v in zip(params, grads, first, second):
                 g = g / batch + decay * p
@@ -112,18 +111,24 @@ def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, **how) -> Network:
+def train(
+    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, most_bytes: int = 6 << 20, **how
+) -> Network:
     """Fit on at most ``sample`` labelled rows: whole texts of those whose ids hash lowest, among the
     rows where ``allowed`` (of the labels' columns) holds. Half of the sample is kept for each label as
-    far as there are rows. Rows without a label, an id or a text are not used."""
+    far as there are rows; of each half the texts that come after ``most_bytes`` / 2 bytes are left out, so
+    a very long text may be. An id counts once, with its largest label and, of several texts, the
+    smallest. Rows without a label, an id or a text are not used."""
     usable = labels.where(allowed) if allowed is not None else labels
-    usable = usable.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IN (0, 1)")
+    usable = usable.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IN (0, 1)").groupBy("l_id").agg(F.max("label").alias("label"))
     by_label = [usable.where(F.col("label") == v).orderBy(F.xxhash64("l_id"), "l_id").limit(sample // 2) for v in (0, 1)]
     chosen = by_label[0].unionByName(by_label[1])
     rows = docs.select(F.col(id_col).alias("l_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")).where("text IS NOT NULL")
-    got = rows.join(F.broadcast(chosen), "l_id").select("text", "label").limit(sample).toArrow()  # ``sample`` rows at most
-    order = sorted(zip(got.column("text").to_pylist(), got.column("label").to_pylist()))  # the same model for any order of rows
-    return fit([t for t, _ in order], np.array([v for _, v in order]), **how)
+    joined = stage(rows.join(F.broadcast(chosen), "l_id").groupBy("l_id", "label").agg(F.min("text").alias("text")), "labelled-texts")  # ``sample`` rows at most
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("l_id"), "l_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = joined.select("l_id", so_far.alias("so_far")).where(F.col("so_far") <= most_bytes // 2).select("l_id")
+    got = joined.join(F.broadcast(within), "l_id").orderBy("l_id").select("text", "label").toArrow()  # ``sample`` rows, most_bytes bytes at most
+    return fit(got.column("text").to_pylist(), got.column("label").to_numpy(), **how)
 
 
 def _score_rows(net: Network):

@@ -1,9 +1,11 @@
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spindle.llm import decontaminate, quality_cnn, secret_scan, toxicity
@@ -229,6 +231,59 @@ def test_toxicity(spark):
     assert not toxicity.score(docs, none).where("_toxic").count()
 
 
+def plain_severity(model, text):
+    """Expected grade by definition: distinct words and their prefixes, one weight vector, P(grade >= k)
+    of each threshold, summed."""
+    own = set()
+    for w in re.findall(r"\w+", (text or "").lower()):
+        own |= {xxhash.xxh3_64_intdigest(x) % (1 << 20) for x in ("=" + w, *(w[:n] for n in (3, 4, 5) if len(w) > n))}
+    x = sum(model.index.get(f, 0.0) for f in own)
+    return sum(1 / (1 + math.exp(theta - x)) for theta in model.thresholds), 1 / (1 + math.exp(model.thresholds[0] - x))
+
+
+def test_severities_by_definition(spark):
+    rows = labelled(300, 9) + [(900, None, 0), (901, "", 0), (902, "VileThing! vilestuff\n" * 3000, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    texts = {d: t for d, t, _ in rows}
+    for r in toxicity.score(docs, model).collect():
+        severity, toxic = plain_severity(model, texts[r["doc_id"]])
+        assert abs(r["_severity"] - severity) < 1e-9 and abs(r["_p_toxic"] - toxic) < 1e-9 and r["_toxic"] == (toxic >= 0.3)
+
+
+def test_the_fit_is_near_the_best_likelihood():
+    """Against a plain search over all parameters of a case with two features and three grades."""
+    rng = random.Random(5)
+    docs, grade = [], []
+    for _ in range(400):
+        own = [f for f in (10, 20) if rng.random() < 0.5]
+        p = 1 / (1 + math.exp(2 - 1.5 * (10 in own) - 2.5 * (20 in own)))
+        docs.append(np.array(own, np.int64))
+        grade.append(sum(rng.random() < p for _ in range(2)))
+
+    def loss(w1, w2, t1, t2):
+        total = 0.0
+        for f, g in zip(docs, grade):
+            x = w1 * (10 in f) + w2 * (20 in f)
+            for k, t in ((1, t1), (2, t2)):
+                total += math.log1p(math.exp((t - x) if g >= k else (x - t)))
+        return total / len(docs)
+
+    model = toxicity.fit(docs, np.array(grade), z_least=2.0)
+    own = [model.index.get(10, 0.0), model.index.get(20, 0.0), *model.thresholds]
+    best, step = list(own), 0.5
+    while step > 0.01:  # downhill from there, one parameter after the other
+        moved = False
+        for i in range(4):
+            for sign in (-1, 1):
+                tried = list(best)
+                tried[i] += sign * step
+                if loss(*tried) < loss(*best):
+                    best, moved = tried, True
+        step = step if moved else step / 2
+    assert loss(*own) <= loss(*best) + 0.005
+
+
 def test_graded_labels(spark):
     rows = [(i, " ".join(["calm"] * 3 + [f"bad{k}xx" for k in range(i % 4)]), i % 4) for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -273,17 +328,52 @@ def test_chunks_cover_every_byte():
         assert seen.all()
 
 
+def plain_forward(net, text):
+    """The network by its definition, a byte after the other."""
+    data = text.ljust(quality_cnn.CHUNK, b"\0")
+    starts = list(range(0, len(data) - quality_cnn.CHUNK, quality_cnn.CHUNK - quality_cnn.OVERLAP)) + [len(data) - quality_cnn.CHUNK]
+    width, _, filters = net.table.shape
+    pooled = []
+    for s in starts:
+        chunk = data[s : s + quality_cnn.CHUNK]
+        pooled.append([max(0.0, max(sum(float(net.table[k, chunk[i + k], f]) for k in range(width)) for i in range(len(chunk) - width + 1)) + float(net.bias[f])) for f in range(filters)])
+    x = [sum(p[f] for p in pooled) / len(pooled) for f in range(filters)] + [max(p[f] for p in pooled) for f in range(filters)] + [1.0]
+    return 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(x, net.out))))
+
+
+def test_scores_are_the_network_s_by_definition(spark):
+    net = quality_cnn.Network(3, 4, 2)
+    net.bias[:] = [0.1, -0.4, 0.0]
+    rng = random.Random(4)
+    texts = ["", "é", "x" * 600, *("".join(rng.choice("abc dé.\n") for _ in range(rng.randrange(1300))) for _ in range(6))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_cnn.score(docs, net).collect():
+        assert abs(r["score"] - plain_forward(net, texts[r["doc_id"]].encode())) < 1e-5
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    """Ids that repeat in both tables, with other texts and labels; a bound in bytes."""
+    rows = [(i, " ".join(H.words(600 + i, 20))) for i in range(60)] + [(i, " ".join(H.words(900 + i, 30))) for i in range(30)]
+    marks = [(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(0, 60, 7)]
+    nets, models = [], []
+    for k in (1, 4):
+        docs = spark.createDataFrame(rows if k == 1 else rows[::-1], "doc_id long, text string").repartition(k)
+        labels = spark.createDataFrame(marks if k == 1 else marks[::-1], "doc_id long, y int").repartition(k)
+        nets.append(quality_cnn.train(docs, labels, label_col="y", epochs=2, sample=20, most_bytes=1500))
+        models.append(toxicity.train(docs, labels, label_col="y", sample=20))
+    assert np.array_equal(nets[0].table, nets[1].table) and np.array_equal(models[0].thresholds, models[1].thresholds) and models[0].index == models[1].index
+
+
 def test_gradients_are_the_loss_s():
-    net, data = quality_cnn.Network(2, 3, 1), b"some bytes of a text " * 60
-    byte, dtop, db, do = net.gradients(data, 1.0, 1.0)
-    loss = lambda: -np.log(net.score(data))
-    place, chunk, f = 1, 0, 1
-    grad = np.zeros(256)
-    np.add.at(grad, byte[place, :, f], dtop[:, f])
-    b = int(byte[place, chunk, f])
-    before = loss()
-    net.table[place, b, f] += 1e-3
-    assert abs((loss() - before) / 1e-3 - grad[b]) < 0.02 * max(1, abs(grad[b]))
-    net.table[place, b, f] -= 1e-3
-    net.out[0] += 1e-3
-    assert abs((loss() - before) / 1e-3 - do[0]) < 0.02 * max(1, abs(do[0]))
+    net, texts = quality_cnn.Network(2, 3, 1), [b"some bytes of a text " * 60, b"short"]
+    labels, weights = np.array([1.0, 0.0]), np.array([1.0, 0.5])
+    table, bias, out = net.gradients([net.chunks(t) for t in texts], labels, weights)
+    loss = lambda: -sum(w * np.log(p if y else 1 - p) for p, y, w in zip(map(net.score, texts), labels, weights))
+    place, byte, f = np.unravel_index(np.abs(table).argmax(), table.shape)
+    for own, grad in ((net.table[place, byte], table[place, byte]), (net.out, out)):
+        before, kept = loss(), own[f]
+        own[f] += 1e-3
+        assert abs((loss() - before) / 1e-3 - grad[f]) < 0.02 * max(1, abs(grad[f]))
+        own[f] = kept
+    assert bias.shape == (2,)
