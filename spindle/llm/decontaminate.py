@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import BITS, bit_parts, map_arrow, perhaps_in, stage, text_of
 from .minhash import _Known, _mix64
 
 WORD = re.compile(r"\w+")
-BITS = 24
 U = np.uint64
 _known = _Known()
 
@@ -205,10 +204,8 @@ def decontaminate(
     )
     runs = items.select("item", F.size("words").alias("n"), "take", "need", F.posexplode("runs").alias("at", "gram"))
     bits = runs.select(F.explode(F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned("gram", 13).bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
-    # At most 512 rows of 4 KB, whatever the benchmark.
-    parts = bits.groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("part")).collect()
     packed = bytearray(1 << (BITS - 3))
-    for r in parts:
+    for r in bit_parts(bits).collect():  # 2 MB at most
         packed[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["part"])] = r["part"]
     sizes = tuple(r["size"] for r in items.select("size").distinct().collect())  # longest_seed rows at most
     id_type = id_kind.simpleString()
@@ -231,7 +228,9 @@ def decontaminate(
     by_doc = stage(with_words.groupBy("doc_id", "mark", "block").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
         F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "items"
     )
-    joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark"))).select("doc_id", "mark", "text", "items")
+    # Only texts with candidates are shuffled to meet them, and few others.
+    texts = perhaps_in(base, ["doc_id", "mark"], by_doc, ["c_id", "c_mark"])
+    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark"))).select("doc_id", "mark", "text", "items")
     found = map_arrow(
         joined, _align_rows(threshold, to_arrow_type(id_kind), to_arrow_type(item_kind)), f"doc_id {id_type}, mark long, item_id {item_kind.simpleString()}, score long, similarity double, start_word long, stop_word long"
     )
