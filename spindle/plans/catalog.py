@@ -147,12 +147,25 @@ _DECORATED = (
     "CASE seq % 5 WHEN 0 THEN text WHEN 1 THEN '<ctx a=\"1\">secret' || chr(10) || 'stuff</ctx> <br/> ' || text WHEN 2 THEN '##  ' || text "
     "WHEN 3 THEN '---' || chr(10) || 'title: x' || chr(10) || text ELSE 'Implement the following plan: a' || chr(10) || chr(12288) || 'ok' || chr(10) || text END"
 )
-_BARE = _strip(rf"regexp_replace(regexp_replace({_strip('t')}, '(?s)<ctx(?:\s[^>]*)?>.*?</ctx>', '', 'g'), '<[^>]+?>', '', 'g')")
+def _bare(x: str) -> str:
+    return _strip(rf"regexp_replace(regexp_replace({_strip(x)}, '(?s)<ctx(?:\s[^>]*)?>.*?</ctx>', '', 'g'), '<[^>]+?>', '', 'g')")
+
+
+_BARE = _bare("t")
 _STARTS = "^(" + "|".join(s.replace("\n", "\\n") for s in T.SYSTEM_STARTS).replace(".", r"\.") + ")"
 _TOLD = f"list_filter(list_transform(string_split(b, chr(10)), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(lower(x), '^({'|'.join(T.BOILERPLATE_STARTS)})') AND x NOT IN ('', '---', '#'))"
 _TITLE = f"CASE WHEN NOT regexp_matches(lower(b), '{_STARTS}') THEN substr(list_filter(list_transform({_TOLD}, lambda x: regexp_replace(x, '^#+{_WS}*', '')), lambda x: length(x) >= 5)[1], 1, 50) END"
-_TITLED = f"SELECT session_id, seq, role, {_TITLE} AS title FROM (SELECT *, {_BARE} AS b FROM (SELECT session_id, seq, role, {_DECORATED} AS t FROM ({_SPOKEN})))"
-_TITLES = f"SELECT session_id, coalesce(arg_min(title, seq) FILTER (role = 'user' AND title IS NOT NULL), arg_min(title, seq) FILTER (role = 'assistant' AND title IS NOT NULL), 'untitled') AS title FROM ({_TITLED}) GROUP BY session_id"
+def _titled(rows: str) -> str:
+    """session_id, seq, role and what each message of rows (with its text as t) gives as a title."""
+    return f"SELECT session_id, seq, role, {_TITLE} AS title FROM (SELECT *, {_BARE} AS b FROM ({rows}))"
+
+
+def _titles(titled: str) -> str:
+    return f"SELECT session_id, coalesce(arg_min(title, seq) FILTER (role = 'user' AND title IS NOT NULL), arg_min(title, seq) FILTER (role = 'assistant' AND title IS NOT NULL), 'untitled') AS title FROM ({titled}) GROUP BY session_id"
+
+
+_TITLED = _titled(f"SELECT session_id, seq, role, {_DECORATED} AS t FROM ({_SPOKEN})")
+_TITLES = _titles(_TITLED)
 
 
 @query(_TITLED)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import content as C
 from ..operators import messages as M
 from ..operators import notes as N
+from ..operators import sync as S
 from ..sources import note_files
 from ..sources import transcripts as R
 from ..sources.shared import drop_at_exit, fresh_folder, stage
@@ -108,6 +109,131 @@ def note_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.notes_snapshot(spark, folder).select("session_id", *(F.col(c).cast("long").alias(c) for c in ("msg_count", "q_count", "a_count")))
 
 
+_LISTED = "SELECT DISTINCT conv_id::VARCHAR AS session_id, CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' END AS source FROM conversations"
+
+
+@query(f"SELECT * FROM ({_LISTED}) WHERE source IS DISTINCT FROM 'codex'")
+def catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues of at most a hundred sessions each, with and without a source; those of rollouts go."""
+    kind = F.col("session_id") % 3
+    source = F.when(kind == 0, "claude").when(kind == 1, "codex")
+    listed = messages(spark, sf_dir).select("session_id").distinct().select(F.floor(F.col("session_id") / 100).alias("part"), F.struct(F.col("session_id").cast("string").alias("session_id"), source.alias("source")).alias("s"))
+    files = listed.groupBy("part").agg(F.to_json(F.struct(F.array_sort(F.collect_list("s")).alias("sessions"))).alias("text"))
+    return S.not_from(R.session_catalogue(spark, _write(files, F.concat(F.lit("list-"), F.col("part").cast("string"), F.lit(".json")), F.col("text"), "catalogue")), "codex")
+
+
+@query(
+    "SELECT session_id, conv_id % 2 = 1 AS used_fallback, CASE WHEN conv_id % 2 = 0 THEN 'other' WHEN conv_id % 4 = 1 THEN 'codex' ELSE 'claude' END AS source, "
+    "CASE WHEN conv_id % 2 = 0 THEN '2026-02-09T08:00:00Z' ELSE '2026-02-10T12:00:' || lpad((first % 60)::VARCHAR, 2, '0') || 'Z' END AS started_at, n AS n_messages "
+    f"FROM (SELECT conv_id, conv_id::VARCHAR AS session_id, count(*) AS n, coalesce(min(turn) FILTER (turn > 0), 0) AS first FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) WHERE first > 0 OR conv_id % 2 = 0"
+)
+def fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session documents of every other session, event logs of the others: lines without a role of their
+    own, times that are missing at first, sources told by the folder. Sessions of one turn only have no
+    time in their logs and are left out."""
+    said = M.spoken(messages(spark, sf_dir))
+    by_session = lambda item: said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items")).select(F.col("session_id").cast("string").alias("conv"), F.transform("items", lambda x: x["item"]).alias("items"))
+    document = F.to_json(F.struct(F.lit("other").alias("source"), F.lit("2026-02-09T08:00:00Z").alias("timestamp"), F.col("items").alias("messages")))
+    documents = _write(by_session(F.struct("role", F.col("text").alias("content"))).where("conv % 2 = 0"), F.concat("conv", F.lit(".json")), document, "sessions")
+    time = F.when(F.col("seq") > 0, F.concat(F.lit("2026-02-10T12:00:"), F.lpad((F.col("seq") % 60).cast("string"), 2, "0"), F.lit("Z"))).otherwise("")
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), time.alias("timestamp"), F.struct(F.array("text").alias("content")).alias("message")))
+    logs = by_session(event).where("conv % 2 = 1")
+    base = _folder(spark, "logs")
+    for name, rows in ((".codex", logs.where("conv % 4 = 1")), ("projects", logs.where("conv % 4 = 3"))):
+        note_files.write_notes(rows.select(F.concat("conv", F.lit(".jsonl")).alias("filename"), F.array_join("items", "\n").alias("markdown")), f"{base}/{name}", sync=False)
+    found = R.with_fallback(R.session_documents(spark, documents), R.event_log_documents(spark, [f"{base}/.codex", f"{base}/projects"]))
+    return found.select("session_id", "used_fallback", "source", "started_at", F.size("items").cast("long").alias("n_messages")).where("started_at <> ''")
+
+
+@query(
+    "SELECT DISTINCT conv_id::VARCHAR AS session_id, CASE WHEN conv_id % 5 IN (1, 2, 3) THEN 'failed' ELSE 'created' END AS action, "
+    "CASE conv_id % 5 WHEN 1 THEN 'missing timestamp or source' WHEN 2 THEN 'missing timestamp or source' WHEN 3 THEN 'bad date' END AS reason FROM conversations "
+    "UNION ALL SELECT 'gone', 'failed', 'can''t be read'"
+)
+def session_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a time, without a source, with a date of another shape; a session that none has."""
+    rows, kind = _sessions(spark, sf_dir, F.struct("role", F.col("text").alias("content"))), F.col("conv").cast("long") % 5
+    stamp = F.when(kind == 3, "10 Feb 2026").when(kind != 1, "2026-02-10T12:00:00Z")
+    text = F.to_json(F.struct(F.when(kind != 2, "claude").alias("source"), stamp.alias("timestamp"), F.col("items").alias("messages")))
+    documents = R.session_documents(spark, _write(rows, F.concat("conv", F.lit(".json")), text, "sessions"))
+    wanted = rows.select(F.col("conv").alias("session_id")).unionByName(spark.range(1).select(F.lit("gone").alias("session_id")))
+    return pipelines.sync_sessions(spark, documents, None, wanted).select("session_id", "action", "reason")
+
+
+_OPEN = "CASE turn % 5 WHEN 1 THEN '```' || chr(10) || '## Q7' || chr(10) || text ELSE text END"
+_SAID = f"SELECT 'same-id-' || conv_id AS session_id, turn AS seq, CASE conv_id % 10 WHEN 0 THEN 'system' ELSE role END AS role, {_OPEN} AS t FROM conversations"
+_PLACED = f"SELECT *, count(*) FILTER (role IN ('user', 'assistant')) OVER (PARTITION BY session_id ORDER BY seq) AS position FROM ({_SAID})"
+_FIRST = f"SELECT * FROM ({_PLACED}) WHERE role NOT IN ('user', 'assistant') OR position <= 4"
+_NUMBERS = f"SELECT *, count(*) OVER (PARTITION BY session_id, role ORDER BY seq) AS n FROM ({_PLACED}) WHERE role IN ('user', 'assistant')"
+_BODIES = f"SELECT session_id, count(*) AS msg_count, string_agg('## ' || CASE role WHEN 'user' THEN 'Q' ELSE 'A' END || n || chr(10) || t || chr(10) || chr(10), '' ORDER BY seq) AS body FROM ({_NUMBERS}) GROUP BY session_id"
+
+
+@query(
+    f"WITH s AS (SELECT session_id, title, coalesce(body, '') AS body, coalesce(msg_count, 0) AS msg_count FROM ({catalog._titles(catalog._titled(_FIRST))}) LEFT JOIN ({_BODIES}) USING (session_id)), "
+    f"b AS (SELECT *, '2026-02-10_' || ({catalog._name('title', 'session')}) || '_same-id-' AS base FROM s), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY session_id) - 1 AS nth FROM b) "
+    "SELECT session_id, base || CASE WHEN nth > 0 THEN '_' || nth ELSE '' END || '.md' AS filename, "
+    f"{catalog._HEAD} || 'source: \"Claude Code\"' || chr(10) || 'session_id: \"' || session_id || '\"' || chr(10) || 'tags:' || chr(10) || '  - \"claude\"' || chr(10) || {catalog._TAIL} AS markdown, "
+    "'created' AS first, CASE WHEN msg_count > 4 THEN 'appended' ELSE 'unchanged' END AS second, 'unchanged' AS third FROM f"
+)
+def session_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of their first four messages, then of all, then again: the outcome of each run and the
+    notes. Code that is never closed, headings inside messages, ids that begin alike, sessions of system
+    messages only."""
+    kind = F.col("seq") % 5
+    said = messages(spark, sf_dir).select(
+        F.concat(F.lit("same-id-"), F.col("session_id").cast("string")).alias("session_id"), "seq",
+        F.when(F.col("session_id") % 10 == 0, "system").otherwise(F.col("role")).alias("role"), F.when(kind == 1, F.concat(F.lit("```\n## Q7\n"), "text")).otherwise(F.col("text")).alias("text"),
+    )
+    spoken = F.col("role").isin(*M.ROLES)
+    position = F.count_if(spoken).over(M.by_session())
+    placed = said.withColumn("early", ~spoken | (position <= 4))
+    notes, outcomes = _folder(spark, "notes"), []
+    for rows in (placed.where("early"), placed, placed):
+        own = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", F.col("text").alias("content")))).alias("messages"))
+        text = F.to_json(F.struct(F.lit("claude").alias("source"), F.lit("2026-02-10T12:00:00Z").alias("timestamp"), F.col("messages")))
+        documents = R.session_documents(spark, _write(own, F.concat("session_id", F.lit(".json")), text, "sessions"))
+        made = stage(pipelines.sync_sessions(spark, documents, R.notes_snapshot(spark, notes)), "outcomes")
+        pipelines.write(made, notes, sync=False)
+        outcomes.append(made.select("session_id", F.col("action").alias(("first", "second", "third")[len(outcomes)])))
+    held = R.notes_snapshot(spark, notes).select("session_id", "filename", "markdown")
+    return held.join(outcomes[0], "session_id").join(outcomes[1], "session_id").join(outcomes[2], "session_id")
+
+
+@query(
+    f"WITH s AS (SELECT session_id, 'Talk: ' || (session_id % 7) AS title, body FROM ({catalog._BODY})), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY session_id) - 1 AS nth FROM s) "
+    "SELECT '2026-02-10_Talk_' || (session_id % 7) || CASE WHEN nth > 0 THEN '_' || nth ELSE '' END || '.md' AS filename, "
+    f"rtrim({catalog._HEAD} || 'source: ChatGPT' || chr(10) || 'tags: [chatgpt]' || chr(10) || {catalog._TAIL}, chr(10)) || chr(10) AS markdown FROM f"
+)
+def export_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export files of at most fifty conversations with titles that repeat; all notes are written, twice."""
+    node = F.struct(F.struct(F.struct(F.col("role")).alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), F.col("seq").cast("double").alias("create_time")).alias("message"))
+    rows = _sessions(spark, sf_dir, node).withColumn("conv", F.col("conv").cast("long"))
+    mapping = F.map_from_arrays(F.transform("items", lambda _, i: F.concat(F.lit("n"), i.cast("string"))), "items")
+    title = F.concat(F.lit("Talk: "), (F.col("conv") % 7).cast("string"))
+    one = rows.select(F.floor(F.col("conv") / 50).alias("part"), "conv", F.struct(title.alias("title"), F.lit(1770724800.0).alias("create_time"), mapping.alias("mapping")).alias("c"))
+    files = one.groupBy("part").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("conv", F.to_json("c").alias("c")))), lambda x: F.parse_json(x["c"]))).alias("text"))
+    export, notes = _write(files, F.concat(F.lit("export-"), F.lpad(F.col("part").cast("string"), 9, "0"), F.lit(".json")), F.col("text"), "export"), _folder(spark, "notes")
+    for _ in range(2):
+        pipelines.write(pipelines.export_notes(spark, export), notes, sync=False)
+    return R.notes_snapshot(spark, notes).select("filename", "markdown")
+
+
+_ROLLED = catalog._titles(catalog._titled(f"SELECT lpad(session_id, 8, '0') AS session_id, seq, role, text AS t FROM ({_SPOKEN})"))
+
+
+@query(f"SELECT session_id || '-0000-4000-8000-000000000000' AS session_id, '2026-03-01_' || ({catalog._name('title', 'rollout')}) || '_' || session_id || '.md' AS filename, 'created' AS action FROM ({_ROLLED})")
+def index_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over rollout files leaves in its index of notes and in its log."""
+    sinks = {name: fresh_folder(spark, name) for name in ("index", "log")}
+    for path in sinks.values():
+        drop_at_exit(spark, path)
+    pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir)), _folder(spark, "notes"), sync=False, **sinks)
+    logged = spark.read.schema("session_id string, action string").json(sinks["log"])
+    return R.read_index(spark, sinks["index"]).join(logged, "session_id")
+
+
 @query("SELECT action, count(*) AS sessions FROM (SELECT CASE WHEN count(*) > 4 THEN 'appended' ELSE 'unchanged' END AS action FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) GROUP BY action")
 def sync_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcomes of the second of those two runs."""
@@ -157,15 +283,19 @@ def content_flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("session_id", "seq", C.flatten_export(F.from_json(raw, "array<variant>")).alias("text"))
 
 
-@query("SELECT user_id::VARCHAR AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) WHERE turn % 20 = 0")
+@query("SELECT user_id::VARCHAR AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events WHERE event_id % 11 <> 0) WHERE turn % 20 = 0")
 def reminder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turn counter as a stream over the events."""
+    """The turn counter as a stream over the events; some have no id, or none that can be a key."""
     path = f"{sf_dir}/events.parquet"
     hooks = fresh_folder(spark, "hook-events")  # a stream reads a folder
-    spark.read.parquet(path).select(F.col("user_id").cast("string").alias("session_id")).write.json(hooks)
+    kind = F.when(F.col("event_id") % 22 == 0, "//").when(F.col("event_id") % 11 == 0, "").otherwise(F.col("user_id").cast("string"))
+    spark.read.parquet(path).select(kind.alias("session_id")).write.json(hooks)
     drop_at_exit(spark, hooks)
     events = spark.readStream.schema("session_id string").json(hooks)
-    return reminder.run_available(spark, events, fresh_folder(spark, "reminder-state"), fresh_folder(spark, "reminders")).select("session_id", "turn")
+    state, output = fresh_folder(spark, "reminder-state"), fresh_folder(spark, "reminders")
+    for path in (state, output):
+        drop_at_exit(spark, path)
+    return reminder.run_available(spark, events, state, output).select("session_id", "turn")
 
 
 @query(f"SELECT session_id, markdown FROM ({catalog._NOTE_SQL['rollout']})")
