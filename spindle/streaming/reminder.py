@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -23,12 +24,15 @@ class TurnCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getValueState("turns", StructType([StructField("n", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         before = self.turns.get()[0] if self.turns.exists() else 0
-        now = before + sum(1 for _ in rows)
-        self.turns.update((now,))
-        for turn in range((before // INTERVAL + 1) * INTERVAL, now + 1, INTERVAL):
-            yield Row(session_id=key[0], turn=turn, reminder=REMINDER)
+        for batch in rows:  # only their lengths are looked at
+            now = before + len(batch)
+            due = range((before // INTERVAL + 1) * INTERVAL, now + 1, INTERVAL)
+            if due:
+                yield pd.DataFrame({"session_id": key[0], "turn": list(due), "reminder": REMINDER})
+            before = now
+        self.turns.update((before,))
 
     def close(self) -> None:
         pass
@@ -38,7 +42,7 @@ def reminders(events: DataFrame) -> DataFrame:
     """session_id, turn, reminder from a stream of (session_id). Ids are cut to harmless characters;
     events without an id do nothing."""
     keyed = events.select(T.state_key(F.col("session_id")).alias("session_id")).where("session_id <> ''")
-    return keyed.groupBy("session_id").transformWithState(TurnCounter(), "session_id string, turn long, reminder string", "append", "None")
+    return keyed.groupBy("session_id").transformWithStateInPandas(TurnCounter(), "session_id string, turn long, reminder string", "append", "None")
 
 
 def run_available(spark: SparkSession, events: DataFrame, checkpoint: str, output: str) -> DataFrame:

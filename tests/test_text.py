@@ -1,3 +1,6 @@
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,18 @@ def test_ids_and_dates(spark):
     assert apply(spark, T.state_key, ["a/b c_1-" + "z" * 80]) == ["abc_1-" + "z" * 58]
 
 
+def test_tags_go_as_with_two_plain_patterns(spark):
+    """Also on whole pages; the first pattern needs a back reference."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] if os.path.isdir("/root/testdata/sf0.001") else []
+    values = ["<a>x</a>y", "<a><a>x</a>y</a>z", "<b\nclass='1'>t\nu</b> v", "1 < 2 > 0", "<x-y>in</x-y><br/>out", "<>", "<a>no end", "</a>b<a", *pages]
+
+    def plain(text):
+        once = re.sub(r"<([a-zA-Z][\w-]*)(?:\s[^>]*)?>.*?</\1>", "", text, flags=re.DOTALL)
+        return re.sub(r"<[^>]+?>", "", once).strip()
+
+    assert apply(spark, T.strip_tags, values) == [plain(v) for v in values]
+
+
 def test_strip_knows_unicode_space(spark):
     values = ["　 a b \x1c\x85", "\u2028x", "none"]
     assert apply(spark, T.strip, values) == [v.strip() for v in values]
