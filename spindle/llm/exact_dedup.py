@@ -36,7 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and all
     empty texts are one group. The row with the largest id stays (a null id is smaller than any
     other). Rows that repeat both text and id are told apart by an internal row number, so exactly
-    one row of each group has ``kept``. An empty table gives an empty table. Columns besides id
+    one row of each group has ``kept``. A very long text is hashed whole where it is read; only digests are
+    shuffled. An empty table gives an empty table. Columns besides id
     and text are ignored, whatever their names.
     """
     rows = stage(

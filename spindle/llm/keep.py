@@ -1,7 +1,8 @@
 """Let an operator's decisions about (doc_id, mark) take effect on a table of documents.
 
 mark is xxhash64 of the text, null as empty, so rows that share an id (or have none) but not their
-text are told apart. All columns of the documents are kept as they are, whatever their names.
+text are told apart. All columns of the documents are kept as they are, whatever their names; texts of
+any length, null and empty ones too. Empty tables give empty tables.
 """
 
 from __future__ import annotations

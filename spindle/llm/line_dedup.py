@@ -74,7 +74,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as an empty text. The first occurrence is the one with the smallest (id, position), null ids
     first, ties by a hash of the text. Rows that repeat both id and text count as one document and
     come out alike. Windows that repeat inside a document are removed there too. An empty table
-    gives an empty table. Input columns of the three added names are replaced. long_words: runs of
+    gives an empty table. A very long text is one row with all its lines, before and after. Input
+    columns of the three added names are replaced. long_words: runs of
     fewer than size lines with more words than that (apart by white space) count as windows too.
     """
     text = text_of(text_col)

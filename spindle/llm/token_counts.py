@@ -326,6 +326,7 @@ def revision_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, edits: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Build the trees of docs, keep them as a table, and apply edits (revision_edits by default)."""
+    """Build the trees of docs, keep them as a table, and apply edits (revision_edits by default). A null
+    text counts as empty; a very long one is counted whole, in leaves; other columns are ignored."""
     trees = stage(build_trees(docs, tokenizer_path, id_col, text_col), "segment-trees")
     return apply_edits(docs, trees, revision_edits(docs, id_col, text_col) if edits is None else edits, tokenizer_path, id_col, text_col)

@@ -211,7 +211,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     """Write the ids of all texts and read them back: one row per input row.
 
     A null text counts as empty; every document ends with id 2, so an empty one has one id. Rows
-    that repeat are all written. Null ids come first; ties are in the order of a hash of the text.
-    An empty table gives no blocks and no rows. Other columns are ignored.
+    that repeat are all written. Null ids come first; ties are in the order of a hash of the text. A very
+    long text is several blocks. An empty table gives no blocks and no rows. Other columns are ignored.
     """
     return read_token_files(write_token_files(docs, tokenizer_path, id_col, text_col))
