@@ -20,7 +20,7 @@ from .common import map_arrow, stage, text_of
 
 CHUNK, OVERLAP = 512, 32
 #: Chunks that are convolved at once.
-STRETCH = 128
+STRETCH = 16
 
 
 def fold(id_col: Column) -> Column:
@@ -83,7 +83,7 @@ class Network:
         return [table.reshape(self.table.shape).astype(np.float32), dtop.sum(axis=0).astype(np.float32), (miss @ x).astype(np.float32)]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int = 5, epochs: int = 12, batch: int = 32, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int = 5, epochs: int = 8, batch: int = 32, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Network:
     """Adam over mini-batches; both classes weigh the same in the gradient. Without both labels the
     network's output is the constant share of label 1 (0.5 without any rows)."""
     net = Network(filters, width, seed)
@@ -112,7 +112,7 @@ def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int =
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, most_bytes: int = 6 << 20, **how
+    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, most_bytes: int = 4 << 20, **how
 ) -> Network:
     """Fit on at most ``sample`` labelled rows: whole texts of those whose ids hash lowest, among the
     rows where ``allowed`` (of the labels' columns) holds. Half of the sample is kept for each label as
