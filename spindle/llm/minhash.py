@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import map_arrow, perhaps_in, stage, text_of
 from .components import components
 
 CHUNK = 1 << 18
@@ -208,8 +208,8 @@ def near_duplicates(
     except empty sets (null, empty or blank texts), which are linked with nothing: their
     component_id is their own id. kept: doc_id = component_id; rows that repeat an id are kept or
     dropped together; a null id is never the smallest, and a component of null ids only has
-    component_id null and kept false. mark is xxhash64 of the text; component names the component by a digest, null for an empty set. An empty table gives an empty
-    table; other columns are ignored.
+    component_id null and kept false. mark is xxhash64 of the text; component names the component by a digest, null for an empty set. Very long
+    texts have all their shingles. An empty table gives an empty table; other columns are ignored.
     """
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("text"))
@@ -225,8 +225,9 @@ def near_duplicates(
     member = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = stage(member.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket"), "shared-buckets")
     open_rows = stage(member.join(shared, "bucket", "left_semi"), "bucket-rows")
-    wanted = open_rows.select("node").distinct().join(classes.select("node", F.col("of.doc_id").alias("w_id"), F.col("of.mark").alias("w_mark")), "node")
-    found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("node", "text")
+    wanted = stage(open_rows.select("node").distinct().join(classes.select("node", F.col("of.doc_id").alias("w_id"), F.col("of.mark").alias("w_mark")), "node"), "wanted-texts")
+    # Only their texts are shuffled to meet them, and few others.
+    found = perhaps_in(base, ["doc_id", "mark"], wanted, ["w_id", "w_mark"]).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("node", "text")
     sets = stage(map_arrow(found, _set_rows(size), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links = compared = None
