@@ -8,7 +8,7 @@ with the logarithm of the longest path. Each round's edges are a written table,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, stage
@@ -41,11 +41,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         large, hubs = _large_star(edges)
         small, lower = _small_star(large)
-        before, edges = edges, stage(small.where("u != v").distinct(), "edges")
+        # What the round leaves is told by the job that writes it.
+        told = Observation()
+        marked = small.where("u != v").distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        before, edges = edges, stage(marked, "edges")
         discard(before, hubs, lower)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(state):
+        if seen == told.get:
             break
-        seen = tuple(state)
+        seen = told.get
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
