@@ -14,6 +14,7 @@ from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
 from ..operators.running import block_of, running_counts
+from ..sources.shared import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,7 +205,7 @@ def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _titled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.array(*(F.lit(x) for x in ('a/b: "', "..　  ", "<x>|?*\t.", "a  b__c")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(mark, (F.col("doc_id") % 4).cast("int")), F.coalesce("text", F.lit(""))).alias("title"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.get(mark, (F.col("doc_id") % 4).cast("int")), F.coalesce("text", F.lit(""))).alias("title"))
 
 
 _DOCUMENTS = "SELECT doc_id, ['a/b: \"', '..' || chr(12288) || '  ', '<x>|?*' || chr(9) || '.', 'a  b__c'][doc_id % 4 + 1] || coalesce(text, '') AS title FROM documents"

@@ -33,6 +33,11 @@ def _located(spark: SparkSession, path: str):
     return written.getFileSystem(spark._jsc.hadoopConfiguration()), written
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _located(spark, path)
+    return system.exists(place)
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Delete what was written there when the driver ends."""
     system, written = _located(spark, path)
@@ -50,6 +55,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+#: Bytes up to which spread() deals a table out anew.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table may be one part of one file, which a single task would read: its rows are dealt over
+    all cores. One of more than SMALL bytes, by the plan's own estimate, has parts enough and stays."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables of stage() that nothing will read any more."""
     for df in staged:

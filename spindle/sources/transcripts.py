@@ -44,6 +44,13 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _told(v: Column, path: str) -> Column:
+    """A field as text; missing, null and false are empty."""
+    x = _variant(v, path)
+    false = (F.schema_of_variant(x) == "BOOLEAN") & (x.cast("string") == "false")
+    return F.coalesce(F.when(~F.coalesce(false, F.lit(False)), _text(v, path)), F.lit(""))
+
+
 # -- export: one JSON array of conversations -------------------------------------------------------
 
 
@@ -83,7 +90,7 @@ def session_documents(spark: SparkSession, path: str) -> DataFrame:
     usable = rows.where("v IS NOT NULL").where(~F.is_variant_null("v") & ~((F.schema_of_variant("v") == "BOOLEAN") & (F.to_json("v") == "false")))
     items = F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     each = F.transform(items, lambda m: F.struct(F.coalesce(_text(m, "$.role"), F.lit("")).alias("role"), _variant(m, "$.content").alias("content")))
-    return usable.select("session_id", F.coalesce(_text(F.col("v"), "$.source"), F.lit("")).alias("source"), F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("started_at"), each.alias("items"))
+    return usable.select("session_id", _told(F.col("v"), "$.source").alias("source"), _told(F.col("v"), "$.timestamp").alias("started_at"), each.alias("items"))
 
 
 def event_log_documents(spark: SparkSession, paths: str | list[str], cap: int = M.MESSAGE_CAP) -> DataFrame:

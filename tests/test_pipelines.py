@@ -169,9 +169,11 @@ def test_bad_sessions_fail_and_the_rest_goes_on(spark, folders):
     document(docs, "bad-date", "claude", "yesterday", ("user", "hello there"))
     document(docs, "empty", "claude", "2026-02-11T10:00:00Z")
     document(docs, "system", "other", "2026-02-11T10:00:00Z", ("system", "rules"))
+    document(docs, "false-source", False, "2026-02-11T10:00:00Z", ("user", "hello there"))
+    document(docs, "null-stamp", "claude", None, ("user", "hello there"))
     (docs / "null.json").write_text("null")
     (docs / "broken.json").write_text("{")
-    assert run(spark, docs, notes) == {"failed": 2, "skipped": 1, "created": 1}
+    assert run(spark, docs, notes) == {"failed": 4, "skipped": 1, "created": 1}
     assert list(texts(notes)) == ["2026-02-11_untitled_system.md"]
 
 
