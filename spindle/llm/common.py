@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, drop_at_exit, fresh_folder, stage  # noqa: F401
+from ..sources.shared import discard, drop_at_exit, fresh_folder, spread, stage  # noqa: F401
 
 #: The letters that "lower-casing A-Z only" maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

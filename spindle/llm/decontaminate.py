@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS, bit_parts, map_arrow, perhaps_in, stage, text_of
+from .common import BITS, bit_parts, map_arrow, perhaps_in, spread, stage, text_of
 from .minhash import _Known, _mix64
 
 WORD = re.compile(r"\w+")
@@ -209,7 +209,7 @@ def decontaminate(
         packed[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["part"])] = r["part"]
     sizes = tuple(r["size"] for r in items.select("size").distinct().collect())  # longest_seed rows at most
     id_type = id_kind.simpleString()
-    hits = stage(map_arrow(base, _hit_rows(sizes, bytes(packed)), f"doc_id {id_type}, mark long, pos int, gram long").distinct(), "seed-hits")
+    hits = stage(map_arrow(spread(base), _hit_rows(sizes, bytes(packed)), f"doc_id {id_type}, mark long, pos int, gram long").distinct(), "seed-hits")
     held = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     rarest = Window.partitionBy("item").orderBy(F.coalesce("held", F.lit(0)), F.xxhash64("gram"), "at")
     ranked = runs.join(held, "gram", "left").withColumn("rank", F.row_number().over(rarest))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, perhaps_in, stage, text_of
+from .common import map_arrow, perhaps_in, spread, stage, text_of
 from .components import components
 
 CHUNK = 1 << 18
@@ -214,7 +214,7 @@ def near_duplicates(
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("text"))
     signed = stage(
-        map_arrow(base, _sign(size, bands, rows), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, mark long, n long, node binary, bands array<long>"),
+        map_arrow(spread(base), _sign(size, bands, rows), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, mark long, n long, node binary, bands array<long>"),
         "signatures",
     )
     classes = stage(

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import map_arrow, spread, stage, text_of
 from .encoding import END_ID, encoder
 
 
@@ -245,7 +245,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
     columns = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    pieces = stage(map_arrow(rows, _pieces(tokenizer_path, capacity, to_arrow_type(kind)), f"{columns}, task int, nth long"), "pieces")
+    pieces = stage(map_arrow(spread(rows), _pieces(tokenizer_path, capacity, to_arrow_type(kind)), f"{columns}, task int, nth long"), "pieces")
     full = pieces.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.shiftleft(F.col("task").cast("long"), 40) - F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

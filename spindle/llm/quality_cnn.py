@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import map_arrow, spread, stage, text_of
 
 CHUNK, OVERLAP = 512, 32
 #: Chunks that are convolved at once.
@@ -148,5 +148,5 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "
     empty table. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    out = map_arrow(rows, _score_rows(net), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    out = map_arrow(spread(rows), _score_rows(net), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import exists
 from .common import stage, text_of
 
 
@@ -62,7 +63,8 @@ def _pieces(rule: Rule) -> Column:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at a path; an empty one is begun where there is none."""
-    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
+    if not exists(spark, path):
+        spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import map_arrow, spread, stage, text_of
 from .encoding import encoder
 
 SEGMENT, FAN = 256, 16
@@ -261,7 +261,7 @@ def build_trees(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     leaf for each 256 code points or so. An empty table gives an empty table."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return map_arrow(rows, _tree_rows(tokenizer_path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, levels {LEVELS_SCHEMA}, n_tokens long")
+    return map_arrow(spread(rows), _tree_rows(tokenizer_path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, levels {LEVELS_SCHEMA}, n_tokens long")
 
 
 def _edit_rows(path: str):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, text_of
+from .common import map_arrow, spread, stage, text_of
 
 WORD = re.compile(r"\w+")
 DIMENSIONS = 1 << 20
@@ -184,5 +184,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
     place = carry.index(text_col) if text_col in carry and dict(docs.dtypes)[text_col] == "string" else None
     rows = docs.select(row.alias("row"), *([text_of(text_col).alias("text")] if place is None else []))
-    out = map_arrow(rows, _score_rows(model, place), f"row {rows.schema['row'].dataType.simpleString()}, severity double, p_toxic double")
+    out = map_arrow(spread(rows), _score_rows(model, place), f"row {rows.schema['row'].dataType.simpleString()}, severity double, p_toxic double")
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)), F.col("severity").alias("_severity"), F.col("p_toxic").alias("_p_toxic"), (F.col("p_toxic") >= cut).alias("_toxic"))
