@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stage
 from .running import block_of, running_counts
 
 #: Labels of the sources.
@@ -95,12 +96,14 @@ def free_names(rows: DataFrame, base: str, taken: DataFrame, order: list[str], b
     order, in blocks, so neither a base of many rows nor one of many files is held in one place.
     """
     carried = rows.columns
-    counted = running_counts(rows, base, block, order, {"_nth": F.lit(True)})
+    counted = stage(running_counts(rows, base, block, order, {"_nth": F.lit(True)}), "numbered")
     stem = F.regexp_replace("filename", r"\.md\z", "")
     # Names "x", "x_1", "x_2": each may use up slot 0 of its own stem and a slot of the shorter one.
     own = taken.select(stem.alias("_base"), F.lit(0).cast("long").alias("_slot"))
     suffix = taken.where(stem.rlike(r"_[1-9][0-9]{0,17}\z")).select(F.regexp_replace(stem, r"_[0-9]+\z", "").alias("_base"), F.regexp_extract(stem, r"_([0-9]+)\z", 1).cast("long").alias("_slot"))
-    used = own.unionByName(suffix).distinct().join(rows.select(F.col(base).alias("_base")).distinct(), "_base", "left_semi")
+    used = stage(own.unionByName(suffix).distinct().join(counted.select(F.col(base).alias("_base")).distinct(), "_base", "left_semi"), "used-slots")
+    if used.isEmpty():
+        return counted.withColumn("filename", _with_number(F.col(base), F.col("_nth") - 1)).select(*(F.col(f"`{c}`") for c in carried), "filename")
     ranked = running_counts(used, "_base", block_of("_slot"), ["_slot"], {"_j": F.lit(True)})
     here = counted.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("_row"), F.col(base).alias("_base"), (F.col("_nth") - 1).alias("_place"), F.lit(False).alias("_used"))
     there = ranked.select(F.lit(None).cast(here.schema["_row"].dataType).alias("_row"), "_base", (F.col("_slot") - F.col("_j") + 1).alias("_place"), F.lit(True).alias("_used"))

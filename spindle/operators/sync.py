@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stage
 from . import messages as M
 from . import notes as N
 
@@ -46,8 +47,8 @@ def action(current: str = "msg_count", existing: str = "old_count", found: str =
 
 def dispatch(sessions: DataFrame, notes: DataFrame) -> DataFrame:
     """sessions (session_id, msg_count, perhaps worth, ...) with old_count, found and action; notes
-    (session_id, msg_count, q_count, a_count, filename, markdown) hold one row of each session at most."""
-    old = notes.select("session_id", F.col("msg_count").alias("old_count"), F.col("q_count").alias("old_q"), F.col("a_count").alias("old_a"), F.col("filename").alias("old_filename"), F.col("markdown").alias("old_markdown"), F.lit(True).alias("found"))
+    (session_id, msg_count, q_count, a_count, filename) hold one row of each session at most."""
+    old = notes.select("session_id", F.col("msg_count").alias("old_count"), F.col("q_count").alias("old_q"), F.col("a_count").alias("old_a"), F.col("filename").alias("old_filename"), F.lit(True).alias("found"))
     joined = sessions.join(old, "session_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     return joined.withColumn("action", action(worth="worth" if "worth" in sessions.columns else None))
 
@@ -62,25 +63,27 @@ def new_messages(messages: DataFrame, dispatched: DataFrame) -> DataFrame:
 def synced(messages: DataFrame, sessions: DataFrame, notes: DataFrame, dialect: N.Dialect) -> DataFrame:
     """session_id, action, from_count, to_count, filename, markdown of every session. filename and
     markdown are null where nothing is to be written. sessions: session_id, date, title, source,
-    msg_count; messages: the spoken ones, seq in order."""
-    dispatched = dispatch(sessions, notes)
+    msg_count, worth; messages: the spoken ones, seq in order; notes: what notes_snapshot gives, any
+    number of a session. Where the dialect stores no count, it is told by the headings."""
+    held = one_note_each(notes.drop("markdown"))
+    dispatched = stage(dispatch(sessions, held if dialect.has_msg_count else notes_reached(messages, held)), "dispatched")
     delta = M.rendered(new_messages(messages, dispatched)).select("session_id", "body")
-    joined = dispatched.join(delta, "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    due = dispatched.where(F.col("action") == CREATED).select("session_id", N.base_name(dialect).alias("base"))
+    # The beginnings of ids, in whose order names are given, follow that order.
+    named = N.free_names(due, "base", notes.select("filename"), ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
+    texts = notes.select(F.col("filename").alias("appended_to"), F.col("markdown").alias("old_markdown"))
+    rows = dispatched.withColumn("appended_to", F.when(F.col("action") == APPENDED, F.col("old_filename"))).join(texts, "appended_to", "left")
+    joined = rows.join(delta, "session_id", "left").join(named, "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
     appended = F.concat(F.regexp_replace("old_markdown", r"(?<!\n)\n*\z", "\n\n"), F.col("body"))
     if dialect.has_msg_count:
         appended = N.with_msg_count(appended, F.col("msg_count"))
-    created = joined.withColumn("base", F.when(F.col("action") == CREATED, N.base_name(dialect)))
-    # The beginnings of ids, in whose order names are given, follow that order.
-    due = created.where("base IS NOT NULL").select("session_id", "base")
-    named = N.free_names(due, "base", notes.select("filename"), ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
-    rows = joined.join(named, "session_id", "left")
     written = F.col("action").isin(CREATED, APPENDED)
-    return rows.select(
+    return joined.select(
         "session_id",
         "action",
         F.coalesce("old_count", F.lit(0)).cast("long").alias("from_count"),
         F.when(written, F.col("msg_count")).otherwise(F.coalesce("old_count", F.lit(0))).cast("long").alias("to_count"),
-        F.when(F.col("action") == CREATED, F.col("filename")).when(F.col("action") == APPENDED, F.col("old_filename")).alias("filename"),
+        F.when(F.col("action") == CREATED, F.col("filename")).otherwise(F.col("appended_to")).alias("filename"),
         F.when(F.col("action") == CREATED, N.markdown(dialect)).when(F.col("action") == APPENDED, appended).alias("markdown"),
     )
 

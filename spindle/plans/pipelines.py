@@ -75,8 +75,7 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame |
     spoken = M.spoken(all_messages).drop("title")
     sessions = read.where("reason IS NULL").select("session_id", "source", "date").join(M.facts_of_titled(all_messages), "session_id", "left")
     counted = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED))).withColumn("msg_count", F.coalesce("qa_count", F.lit(0))).withColumn("worth", F.coalesce("all_count", F.lit(0)) > 0)
-    held = S.one_note_each(_empty_notes(spark) if notes is None else notes)
-    rows = S.synced(spoken, counted, S.notes_reached(spoken, held), N.SESSION)
+    rows = S.synced(spoken, counted, _empty_notes(spark) if notes is None else notes, N.SESSION)
     why = read.where("used_fallback").select("session_id", F.lit(FROM_EVENT_LOG).alias("reason"))
     return rows.join(why, "session_id", "left").unionByName(_failed(read.where("reason IS NOT NULL")))
 
@@ -90,8 +89,7 @@ def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = No
     spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
     sessions = good.join(M.facts(spoken), "session_id", "left")
     sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
-    held = S.one_note_each(_empty_notes(spark) if notes is None else notes)
-    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), held, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
+    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _empty_notes(spark) if notes is None else notes, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
     return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))
 
 

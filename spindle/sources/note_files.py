@@ -14,6 +14,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .shared import ship
+
 #: Fixed value: seconds after which another run's lock counts as left behind.
 LOCK_STALE_S = 300
 
@@ -109,5 +111,6 @@ def write_notes(notes: DataFrame, folder: str, sync: bool = True) -> None:
     """Write filename and markdown of every row. sync: force the files and the folder to disk."""
     spark: SparkSession = notes.sparkSession
     real = guard(folder)
+    ship(spark)
     spark.dataSource.register(NoteFiles)
     notes.select("filename", "markdown").write.format("notefiles").mode("append").option("path", real).option("sync", str(sync).lower()).save()

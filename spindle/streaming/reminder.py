@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..sources.shared import ship
 
 #: Fixed values.
 INTERVAL = 20
@@ -41,6 +42,7 @@ class TurnCounter(StatefulProcessor):
 def reminders(events: DataFrame) -> DataFrame:
     """session_id, turn, reminder from a stream of (session_id). Ids are cut to harmless characters;
     events without an id do nothing."""
+    ship(events.sparkSession)
     keyed = events.select(T.state_key(F.col("session_id")).alias("session_id")).where("session_id <> ''")
     return keyed.groupBy("session_id").transformWithStateInPandas(TurnCounter(), "session_id string, turn long, reminder string", "append", "None")
 
