@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, drop_at_exit, fresh_folder, spread, stage  # noqa: F401
+from ..sources.shared import discard, drop_at_exit, fresh_folder, ship, spread, stage  # noqa: F401
 
 #: The letters that "lower-casing A-Z only" maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,7 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows that an operator's function gets at once; Spark bounds the bytes of a batch (64 MB by default).
 BATCH_ROWS = 500
-_shipped: set[str] = set()
 
 
 def _in_slices(function):
@@ -30,17 +25,8 @@ def _in_slices(function):
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, after sending this package to the executors once per application (they need
-    not have it installed)."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="spark-spindle-")) / "spindle_package.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(to))
-        _shipped.add(context.applicationId)
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(_in_slices(function), schema)
 
 
