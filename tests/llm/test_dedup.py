@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -144,3 +145,32 @@ def test_one_of_each_and_without(spark):
     assert left.count() == groups + blank
     gone = docs.where("doc_id = 5 OR text = 'null id'").select("doc_id", F.xxhash64("text").alias("mark"))
     assert key(r["doc_id"] for r in keep.without(docs, gone).collect()) == key(d for d, t in rows if d != 5 and t != "null id")
+
+
+def test_long_runs_of_one_and_two_lines(spark):
+    """Against plain Python: passages of many words on one or two lines, between other lines or alone."""
+    rng = random.Random(21)
+    long = [" ".join(H.words(50 + i, 12, 10**6)) for i in range(4)]
+    halves = [(" ".join(H.words(70 + i, 7, 10**6)), " ".join(H.words(90 + i, 7, 10**6))) for i in range(3)]
+    docs = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            lines += rng.choice([[f"own {d} {rng.random()}"], [rng.choice(long)], list(rng.choice(halves)), ["short again"], [""]])
+        docs.append((d, "\n".join(lines)))
+    seen, gone = set(), {d: set() for d, _ in docs}
+    for d, text in docs:
+        lines = text.split("\n")
+        runs = [(i, min(3, len(lines))) for i in range(max(1, len(lines) - 2))]
+        runs += [(i, n) for n in (1, 2) if len(lines) > n for i in range(len(lines) - n + 1) if len(" ".join(lines[i : i + n]).split()) > 10]
+        for i, n in sorted(runs):
+            run = "\n".join(lines[i : i + n])
+            if not run.strip():
+                continue
+            if run in seen:
+                gone[d] |= set(range(i, i + n))
+            seen.add(run)
+    expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
+    assert sum(map(len, gone.values())) > 30
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), long_words=10).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == expected
