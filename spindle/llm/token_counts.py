@@ -13,6 +13,7 @@ or merge, and their sums are made again; all else stays as it was read, unopened
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,28 @@ class Node:
     at: int = -1  # place in the stored level
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """How n children are dealt to nodes: FAN at most, about equally many each."""
+    nodes = -(-n // FAN)
+    cuts = [n * i // nodes for i in range(nodes + 1)] if nodes else []
+    return list(zip(cuts, cuts[1:]))
+
+
+def stacked(leaves: list[tuple[int, int]]) -> list[Level]:
+    """The levels over new leaves, without nodes in between."""
+    if not leaves:
+        return []
+    lengths, tokens = map(list, zip(*leaves))
+    out = [([], lengths, tokens)]
+    while len(lengths) > 1:
+        cuts = _cuts(len(lengths))
+        lengths, tokens = [sum(lengths[a:b]) for a, b in cuts], [sum(tokens[a:b]) for a, b in cuts]
+        out.append(([b - a for a, b in cuts], lengths, tokens))
+    return out
+
+
 def _above(kids: list[Node]) -> list[Node]:
-    """Nodes over these, each of FAN at most and about equally many."""
-    n = -(-len(kids) // FAN)
-    cuts = [len(kids) * i // n for i in range(n + 1)] if n else []
-    parts = [kids[a:b] for a, b in zip(cuts, cuts[1:])]
+    parts = [kids[a:b] for a, b in _cuts(len(kids))]
     return [Node(p[0].height + 1, sum(k.length for k in p), sum(k.tokens for k in p), p) for p in parts]
 
 
@@ -173,7 +191,7 @@ class Counter:
         starts, tokens, room, end = [], [], 0, len(text)
         for m in finder.finditer(text, begin):
             at = m.start()
-            if stops(at):
+            if stops and stops(at):
                 end = at
                 break
             if room <= 0:
@@ -186,8 +204,21 @@ class Counter:
             return ([(end - begin, 0)] if end > begin else []), end
         return [(b - a, t // 4) for a, b, t in zip([begin, *starts[1:]], [*starts[1:], end], tokens)], end
 
+    def leaves(self, text: str) -> list[tuple[int, int]]:
+        finder = self.encoder.finder(text)
+        units = finder.findall(text)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        if not units or ends[-1] != len(text):  # white space that is no pre-token: places are needed
+            return self._leaves(text, 0, finder, None)[0]
+        tokens = np.cumsum(np.fromiter(map(len, map(self.encoder.known.__getitem__, units)), np.int64, len(units))) // 4
+        cuts, begin = [], 0
+        while begin < len(text):  # a leaf ends with the pre-token that brings it to SEGMENT
+            cuts.append(min(int(np.searchsorted(ends, begin + SEGMENT)), len(units) - 1))
+            begin = int(ends[cuts[-1]])
+        return list(zip(*(np.diff(x[cuts], prepend=0).tolist() for x in (ends, tokens))))
+
     def build(self, text: str) -> Tree:
-        return Tree.of_leaves(self._leaves(text, 0, self.encoder.finder(text), lambda at: False)[0])
+        return Tree.of_leaves(self.leaves(text))
 
     def edit(self, text: str, tree: Tree, start: int, stop: int, new: str) -> tuple[str, int]:
         """Replace text[start:stop]; the new text, and how many code points were encoded anew."""
@@ -224,9 +255,13 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32()))
+    if all(isinstance(p, list) for p in parts):
+        flat = np.fromiter(chain.from_iterable(parts), np.int32, ends[-1])
+    else:
+        flat = np.concatenate(parts).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def _to_arrow(trees: list[list[Level]]) -> pa.ListArray:
@@ -247,10 +282,9 @@ def _from_arrow(column: pa.ListArray) -> list[list[Level]]:
 def _tree_rows(path: str):
     def run(batches):
         for batch in batches:
-            trees = [counter(path).build(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), _to_arrow([t.levels() for t in trees]), pa.array([t.total for t in trees], pa.int64())], names=["doc_id", "mark", "levels", "n_tokens"]
-            )
+            trees = [stacked(counter(path).leaves(t)) for t in batch.column("text").to_pylist()]
+            totals = [t[-1][2][0] if t else 0 for t in trees]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), _to_arrow(trees), pa.array(totals, pa.int64())], names=["doc_id", "mark", "levels", "n_tokens"])
 
     return run
 

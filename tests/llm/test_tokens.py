@@ -228,6 +228,12 @@ def test_edits_count_like_a_whole_encoding(name, size, monkeypatch):
             tree = kept if k % 2 else tree
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 16, 17, 256, 257, 5000])
+def test_levels_of_new_leaves_are_those_of_their_tree(n):
+    leaves = [(i % 7 + 1, i % 3) for i in range(n)]
+    assert [tuple(map(list, x)) for x in token_counts.Tree.of_leaves(leaves).levels()] == token_counts.stacked(leaves)
+
+
 def test_an_edit_touches_little():
     """Code points encoded anew do not grow with the text, nodes read or made only with its logarithm."""
     c, seen = token_counts.Counter(encoding.vocabulary("byte_bpe_50k.json")), []
