@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, packing, quality_cnn, secret_scan, token_counts, token_files, toxicity
+from . import decontaminate, exact_dedup, line_dedup, minhash, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity
 from ..sources.shared import drop_at_exit, fresh_folder
 from .common import documents, table
 from .encoding import vocabulary
@@ -158,3 +158,19 @@ reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT links.y, reach.root
 c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """
+
+
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES["op11_top_k"] = op11_top_k
+ORACLE_SQL["op11_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
