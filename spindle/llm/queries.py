@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, exact_dedup, line_dedup, minhash, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity
+from . import decontaminate, divergence, exact_dedup, line_dedup, minhash, packing, quality_cnn, secret_scan, spelling, token_counts, token_files, topk, toxicity
 from ..sources.shared import drop_at_exit, fresh_folder
 from .common import documents, table
 from .encoding import vocabulary
@@ -176,6 +176,13 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir))
+
+
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
