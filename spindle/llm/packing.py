@@ -10,9 +10,12 @@ the histogram of lengths (``capacity`` rows at most, whatever the input) is all
    large pieces and, in what room is left, the volume of the small ones;
 3. actual lengths take the places of the rounded ones; the last place of a sequence goes to the
    longest piece that fits the actual room, which leaves a shorter one for the place that was its own;
-4. half of each configuration is used, then the lengths that are left are grouped anew, a few times;
+4. a part of each configuration is used, then the lengths that are left are grouped anew, a few times;
 5. what is left and the small pieces go where they fit best, the longest first, then into new sequences.
 
+How large a part, and how often, is tried in a few ways, of which the one with the fewest sequences is
+taken. Lengths that are few enough for a size each are not rounded; their program is used whole and once.
+
 The plan is a list of runs: pieces of one length, from one rank to another, go to as many sequences
 in a row, at one offset. A piece finds its place from its length and its rank among its length, which
 is its rank in its own task plus the number in the tasks before. No row meets all others anywhere.
@@ -33,13 +36,16 @@ from .common import map_arrow, spread, stage, text_of
 from .encoding import END_ID, encoder
 
 
-#: How often the lengths that are left are grouped anew.
-ROUNDS = 6
+#: How large a part of a configuration is used at a time (one in so many), and in how many rounds.
+WAYS = ((2, 6), (4, 6), (4, 2))
 
 
 def rounded(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[int]]:
     """The sizes, descending, and how many pieces each stands for. large: (length, count), longest first;
-    they are dealt into groups of equal cardinality, each of the size of its first length."""
+    they are dealt into groups of equal cardinality, each of the size of its first length. So few lengths
+    that each can be a size of its own are not rounded."""
+    if len(large) <= groups:
+        return [x for x, _ in large], [n for _, n in large]
     each, sizes, counts, room = max(1, -(-sum(n for _, n in large) // groups)), [], [], 0
     for length, n in large:
         while n:
@@ -104,11 +110,15 @@ def configurations(sizes: list[int], counts: list[int], volume: int, capacity: i
     return [(own, float(v)) for own, v in zip(chosen, x) if own and v > 0]
 
 
+#: length, rank from, rank to, first sequence, offset
+Runs = list[tuple[int, int, int, int, int]]
+
+
 class _Plan:
     def __init__(self, capacity: int) -> None:
         self.capacity, self.sequences = capacity, 0
         self.placed: dict[int, int] = {}  # by length, the ranks given away
-        self.runs: list[tuple[int, int, int, int, int]] = []  # length, rank from, rank to, first sequence, offset
+        self.runs: Runs = []
 
     def open(self, n: int) -> tuple[int, int, int]:
         """A class of n new sequences: (first, number, tokens used)."""
@@ -124,10 +134,15 @@ class _Plan:
         return (first, n, used + length), (first + n, size - n, used) if size > n else None
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, small: int = 256) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, small: int = 256) -> tuple[Runs, int]:
     """The runs for a histogram of piece lengths, and the number of sequences."""
     if 4 * (small + 1) <= capacity:
         raise ValueError("more than three large pieces would fit into a sequence: small is too small")
+    exact = sum(x > small for x, n in histogram.items() if n) <= groups
+    return min((_one_plan(histogram, capacity, groups, small, *way) for way in WAYS[: 1 if exact else None]), key=lambda p: p[1])
+
+
+def _one_plan(histogram: dict[int, int], capacity: int, groups: int, small: int, part: int, rounds: int) -> tuple[Runs, int]:
     p, left = _Plan(capacity), {x: n for x, n in histogram.items() if n}
     room: dict[int, list[tuple[int, int, int]]] = {}
     rooms: list[int] = []  # the keys of room, ascending
@@ -139,16 +154,17 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, smal
             insort(rooms, free)
         room[free].append(kind)
 
-    for turn in range(ROUNDS):
+    for _ in range(rounds):
         lengths = sorted(x for x in left if x > small)
         if not lengths:
             break
+        exact = len(lengths) <= groups
         sizes, counts = rounded([(x, left[x]) for x in reversed(lengths)], groups)
         volume = sum(x * n for x, n in left.items() if x <= small) - sum(free * n for free, kinds in room.items() for _, n, _ in kinds)
         chosen = configurations(sizes, counts, max(volume, 0), capacity)
         # Full sequences first, while there is a choice of lengths.
         for own, times in sorted(chosen, key=lambda c: (capacity - sum(c[0]) > small, -len(c[0]))):
-            times = int(times + 1e-6) if turn == ROUNDS - 1 else int(times / 2)
+            times = int(times + 1e-6) if exact else int(times / part)
             kinds = [p.open(times)] if times else []
             for nth, size in enumerate(own):
                 fill = len(own) > 1 and nth == len(own) - 1 and capacity - sum(own) <= small
@@ -168,6 +184,8 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, smal
                 kinds = after
             for kind in kinds:
                 offer(kind)
+        if exact:
+            break
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -214,7 +232,7 @@ def _pieces(path: str, capacity: int, id_type: pa.DataType):
     return run
 
 
-def _place(runs: list[tuple[int, int, int, int, int]]):
+def _place(runs: Runs):
     table = np.array(sorted(runs), np.int64).reshape(-1, 5)
     shift = 1 << 48
 

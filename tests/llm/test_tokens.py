@@ -171,6 +171,29 @@ def test_few_sizes_are_planned_and_few_sequences_made(seed):
     assert packing.plan(dict(histogram))[1] <= exact * 1.002
 
 
+@pytest.mark.parametrize("histogram, fewest", [({700: 1000, 324: 1000}, 1000), ({600: 10**9, 424: 10**9, 300: 10**8}, 1_033_333_334), ({1023: 5, 1: 5}, 5), ({512: 7}, 4), ({341: 3000, 342: 1000}, 1334)])
+def test_few_lengths_are_not_rounded(histogram, fewest):
+    large = sorted(((x, n) for x, n in histogram.items() if x > 256), reverse=True)
+    assert packing.rounded(large, 64) == tuple(map(list, zip(*large)))
+    runs, n = packing.plan(histogram)
+    assert fewest <= n <= fewest * 1.00001
+    assert {x: sum(b - a for length, a, b, *_ in runs if length == x) for x in histogram} == histogram
+
+
+@pytest.mark.parametrize("shape, gap", [("uniform", 0.1), ("bimodal", 0.1), ("lognormal", 0.1)])
+def test_grouped_lengths_come_near_finer_plans(shape, gap):
+    """In percent: the uniform and lognormal sets against their total length, the bimodal one, which leaves room
+    in any packing, against best fit of the exact lengths."""
+    rng, histogram = random.Random(1), defaultdict(int)
+    for _ in range(40_000):
+        x = {"uniform": lambda: rng.randint(1, 1023), "bimodal": lambda: rng.gauss(*rng.choice([(350, 40), (650, 50)])), "lognormal": lambda: rng.lognormvariate(5, 1.2)}[shape]()
+        histogram[min(1023, max(1, int(x)))] += 1
+    n = packing.plan(dict(histogram))[1]
+    best_fit = best_fit_decreasing([x for x, n in histogram.items() for _ in range(n)], 1024)
+    bound = best_fit if shape == "bimodal" else -(-sum(x * n for x, n in histogram.items()) // 1024)
+    assert n <= bound * (1 + gap / 100) and n <= best_fit * 1.0005
+
+
 def test_the_program_finds_the_fewest_sequences():
     """Against all ways to fill, on small cases."""
     from functools import lru_cache
