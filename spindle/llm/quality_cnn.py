@@ -5,8 +5,8 @@ of ``width`` bytes run over each chunk (a filter is a table of a weight per plac
 through a rectifier and are max-pooled per chunk. The pooled chunks are combined by their mean and
 their maximum into one logistic output, so the score depends on every chunk.
 
-Fitted by back-propagation on the driver, on whole texts of at most ``sample`` labelled rows and
-``most_bytes`` bytes; scoring runs in Arrow batches and touches one stretch of a text at a time.
+Fitted by back-propagation on the driver, on at most ``sample`` labelled rows and ``most_bytes`` bytes;
+scoring takes whole texts, runs in Arrow batches and touches one stretch of a text at a time.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ class Network:
         return [table.reshape(self.table.shape).astype(np.float32), dtop.sum(axis=0).astype(np.float32), (miss @ x).astype(np.float32)]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int = 5, epochs: int = 8, batch: int = 32, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int = 5, epochs: int = 12, batch: int = 32, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Network:
     """Adam over mini-batches; both classes weigh the same in the gradient. Without both labels the
     network's output is the constant share of label 1 (0.5 without any rows)."""
     net = Network(filters, width, seed)
@@ -111,20 +111,35 @@ def fit(texts: list[bytes], labels: np.ndarray, filters: int = 12, width: int =
     return net
 
 
+def _spread_out(text: Column, longest: int) -> Column:
+    """A text of up to ``longest`` bytes as it is; of a longer one stretches of CHUNK bytes from all over it,
+    evenly spaced from its start to its end, ``longest`` bytes in all."""
+    n = longest // CHUNK
+    last = (F.octet_length(text) - CHUNK).cast("double")
+    start = lambda i: F.floor(i * last / (n - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, start(i), F.lit(CHUNK)))
+    return F.when(F.octet_length(text) <= longest, text).otherwise(F.aggregate(parts, F.lit(b""), lambda whole, part: F.concat(whole, part)))
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, most_bytes: int = 4 << 20, **how
-) -> Network:
-    """Fit on at most ``sample`` labelled rows: whole texts of those whose ids hash lowest, among the
-    rows where ``allowed`` (of the labels' columns) holds. Half of the sample is kept for each label as
-    far as there are rows; of each half the texts that come after ``most_bytes`` / 2 bytes are left out, so
-    a very long text may be. An id counts once, with its largest label and, of several texts, the
-    smallest. Rows without a label, an id or a text are not used."""
+    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = 3000, most_bytes: int = 6 << 20, longest: int = 32 << 10, **how,
+) -> Network:
+    """Fit on at most ``sample`` labelled rows and ``most_bytes`` bytes: the rows whose ids hash lowest, among
+    those where ``allowed`` (of the labels' columns) holds. Half of either bound is kept for each label. A text
+    of more than ``longest`` bytes is in the sample by evenly spaced stretches of it of ``longest`` bytes, so
+    no text, however long, keeps the others out, and each label that has rows has one in the sample.
+    An id counts once, with its largest label and, of several texts, the smallest. Rows without a
+    label, an id or a text are not used; columns other than those named neither."""
+    if not 2 * CHUNK <= longest <= most_bytes // 2:
+        raise ValueError("longest must be two chunks at least and half of most_bytes at most")
     usable = labels.where(allowed) if allowed is not None else labels
     usable = usable.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IN (0, 1)").groupBy("l_id").agg(F.max("label").alias("label"))
     by_label = [usable.where(F.col("label") == v).orderBy(F.xxhash64("l_id"), "l_id").limit(sample // 2) for v in (0, 1)]
     chosen = by_label[0].unionByName(by_label[1])
     rows = docs.select(F.col(id_col).alias("l_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")).where("text IS NOT NULL")
-    joined = stage(rows.join(F.broadcast(chosen), "l_id").groupBy("l_id", "label").agg(F.min("text").alias("text")), "labelled-texts")  # ``sample`` rows at most
+    met = rows.join(F.broadcast(chosen), "l_id").select("l_id", "label", _spread_out(F.col("text"), longest).alias("text"))  # ``sample`` ids at most
+    joined = stage(met.groupBy("l_id", "label").agg(F.min("text").alias("text")), "labelled-texts")
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("l_id"), "l_id").rowsBetween(Window.unboundedPreceding, 0))
     within = joined.select("l_id", so_far.alias("so_far")).where(F.col("so_far") <= most_bytes // 2).select("l_id")
     got = joined.join(F.broadcast(within), "l_id").orderBy("l_id").select("text", "label").toArrow()  # ``sample`` rows, most_bytes bytes at most
