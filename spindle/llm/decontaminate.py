@@ -7,6 +7,10 @@ the documents, that many and one more: a copy keeps two of them, at shifts (plac
 place in the item) that differ by no more than the edits. Which runs are rare decides the cost
 only: no copy is lost, however many documents hold the passage.
 
+The alignment is scored by matches less threshold times columns, so its best score is at least zero if and only
+if some alignment reaches the threshold. Whether a pair is contaminated depends on its two texts alone, and
+words copied besides a copy never clear it. Items of the same words are sought once.
+
 The documents' n-grams are tested in place against a bitmap of fixed size (2 MB, made from all runs
 with two bits each), so only n-grams that are most likely an item's leave their task; the join with the
 seeds is exact. A larger benchmark makes the bitmap less selective, never wrong.
@@ -15,6 +19,7 @@ seeds is exact. A larger benchmark makes the bitmap less selective, never wrong.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -101,38 +106,33 @@ def _hit_rows(sizes: tuple[int, ...], packed: bytes):
     return run
 
 
-def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Smith-Waterman with match 2, mismatch -1, gap -1: (score, matches, columns, start, stop in part).
-    columns counts the item's words outside the alignment too. Each cell carries its alignment's
-    matches, columns and starts along, so two rows are all that is held, however long the item."""
+def align(item: np.ndarray, part: np.ndarray, threshold: float = 0.8) -> tuple[int, int, int, int, int]:
+    """Smith-Waterman: (score, matches, columns, start, stop in part) of the local alignment with the best
+    score. columns counts the item's words outside the alignment too, as dropped ones. A column is worth
+    1 - threshold if it matches and -threshold if not, in whole numbers, so the score is at least 0 exactly if
+    the similarity, matches by columns, of some alignment is at least the threshold; of equal scores the
+    one that ends first. Each cell carries its alignment's matches, columns and start along, so two
+    rows are all that is held, however long the item."""
+    share = Fraction(threshold).limit_denominator(10_000)
+    lost, won = -share.numerator, share.denominator - share.numerator
     n, m = len(item), len(part)
-    best = (0, 0, n, 0, 0)
-    if not n or not m:
-        return best
     ramp = np.arange(m + 1)
-    # score, matches, columns, start in part, start in item
-    row = np.stack([ramp * 0, ramp * 0, ramp * 0, ramp, ramp * 0])
+    # score, matches, columns, start in part: an alignment may begin anywhere in the text
+    row = np.stack([ramp * 0, ramp * 0, ramp * 0, ramp])
     for i in range(1, n + 1):
         hit = np.concatenate(([False], part == item[i - 1]))
-        diagonal = np.concatenate((row[:, :1], row[:, :-1]), axis=1) + np.stack([np.where(hit, 2, -1), hit, ramp * 0 + 1, ramp * 0, ramp * 0])
-        diagonal[0, 0] = -1
-        up = row + np.array([[-1], [0], [1], [0], [0]])
+        diagonal = np.concatenate((row[:, :1], row[:, :-1]), axis=1) + np.stack([np.where(hit, won, lost), hit, ramp * 0 + 1, ramp * 0])
+        up = row + np.array([[lost], [0], [1], [0]])
         new = np.where(diagonal[0] >= up[0], diagonal, up)
-        fresh = np.stack([ramp * 0, ramp * 0, ramp * 0, ramp, ramp * 0 + i])
-        new = np.where(new[0] > 0, new, fresh)
-        # Gaps along the row: the best cell to the left, one less for each step.
-        reach = new[0] + ramp
+        new[:, 0] = up[:, 0]
+        # Gaps along the row: the best cell to the left, less what each step costs.
+        reach = new[0] - lost * ramp
         source = np.maximum.accumulate(np.where(reach == np.maximum.accumulate(reach), ramp, 0))
         row = new[:, source]
-        row[0] -= ramp - source
+        row[0] += lost * (ramp - source)
         row[2] += ramp - source
-        row[3:] = np.where(row[0] > 0, row[3:], fresh[3:])
-        row[1:3] *= row[0] > 0
-        at = int(np.argmax(row[0]))
-        if row[0, at] > best[0]:
-            score, matches, columns, start, first = (int(x) for x in row[:, at])
-            best = (score, matches, columns + first + n - i, start, at)
-    return best
+    at = int(np.argmax(row[0]))
+    return (*(int(x) for x in row[:, at]), at)
 
 
 def _slack(n):
@@ -152,7 +152,7 @@ def _regions(shifts: list[int], n: int, total: int) -> list[tuple[int, int]]:
     return out
 
 
-def _align_rows(threshold: float, id_type: pa.DataType, item_type: pa.DataType):
+def _align_rows(threshold: float, id_type: pa.DataType):
     def run(batches):
         for batch in batches:
             rows = []
@@ -164,14 +164,14 @@ def _align_rows(threshold: float, id_type: pa.DataType, item_type: pa.DataType):
                         part = w[a:b]
                         if np.isin(item, part).sum() < threshold * len(item):
                             continue
-                        score, matches, columns, start, stop = align(item, part)
-                        if columns and matches >= threshold * columns and (best is None or score > best[0]):
+                        score, matches, columns, start, stop = align(item, part, threshold)
+                        if score >= 0 and (best is None or score > best[0]):
                             best = (score, matches / columns, a + start, a + stop)
                     if best:
-                        rows.append((doc, mark, x["item_id"], *best))
+                        rows.append((doc, mark, x["item"], *best))
             columns = list(zip(*rows)) or [[]] * 7
-            kinds = (id_type, pa.int64(), item_type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "mark", "item_id", "score", "similarity", "start_word", "stop_word"])
+            kinds = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "mark", "item", "score", "similarity", "start_word", "stop_word"])
 
     return run
 
@@ -182,11 +182,11 @@ def decontaminate(
 ) -> DataFrame:
     """The contaminated pairs: doc_id, mark, item_id, score, similarity, start_word, stop_word.
 
-    A pair is contaminated if the best local alignment of the item's words in the text has a
-    similarity (matches by alignment columns, the item's unaligned words counted) of ``threshold`` or
-    more. Words are runs of letters, digits and _, in lower case. mark is xxhash64 of the text, null
+    A pair is contaminated if some local alignment of the item's words in the text has a similarity
+    (matches by alignment columns, the item's unaligned words counted) of ``threshold`` or more. The row
+    tells of the alignment with the best score: see align. Words are runs of letters, digits and _, in lower case. mark is xxhash64 of the text, null
     as empty; rows that repeat id and text count once. Texts or items without words match nothing;
-    items that repeat an id are aligned each, the best stays. A very long text is read whole, and
+    items that repeat an id are aligned each, the most similar stays; items of the same words are all told. A very long text is read whole, and
     aligned only where seeds lie; one that holds very many items is aligned with about ``items_a_row``
     of them at a time. An empty table on either side gives an empty table. Null ids are kept as
     ids. Other columns are ignored.
@@ -197,11 +197,10 @@ def decontaminate(
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     entries = benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text_col).alias("text"))
     id_kind, item_kind = base.schema["doc_id"].dataType, entries.schema["item_id"].dataType
-    items = stage(
-        map_arrow(entries, _item_rows(threshold, longest_seed), f"item_id {item_kind.simpleString()}, words array<long>, runs array<long>, size int, take int, need int")
-        .where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()),
-        "items",
-    )
+    entered = stage(map_arrow(entries, _item_rows(threshold, longest_seed), f"item_id {item_kind.simpleString()}, words array<long>, runs array<long>, size int, take int, need int").where(F.size("words") > 0), "entries")
+    plan = [F.first(c).alias(c) for c in ("runs", "size", "take", "need")]  # follow from the words
+    items = stage(entered.groupBy("words").agg(*plan).withColumn("item", F.monotonically_increasing_id()), "items")
+    ids = stage(entered.select("item_id", "words").distinct().join(items.select("item", "words"), "words").select("item", "item_id"), "item-ids")
     runs = items.select("item", F.size("words").alias("n"), "take", "need", F.posexplode("runs").alias("at", "gram"))
     bits = runs.select(F.explode(F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned("gram", 13).bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
     packed = bytearray(1 << (BITS - 3))
@@ -224,15 +223,13 @@ def decontaminate(
     pairs = found_at.select("doc_id", "mark", "item", F.transform(kept, lambda x: x["shift"]).alias("shifts")).where(F.size("shifts") > 0)
     # The items of a document in blocks: one that holds a whole benchmark is several rows.
     blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc_id", "mark")) / items_a_row)
-    with_words = pairs.join(items.select("item", "item_id", "words"), "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
-    by_doc = stage(with_words.groupBy("doc_id", "mark", "block").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates").select(
+    with_words = pairs.join(items.select("item", "words"), "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
+    by_doc = stage(with_words.groupBy("doc_id", "mark", "block").agg(F.collect_list(F.struct("item", "words", "shifts")).alias("items")), "candidates").select(
         F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "items"
     )
     # Only texts with candidates are shuffled to meet them, and few others.
     texts = perhaps_in(base, ["doc_id", "mark"], by_doc, ["c_id", "c_mark"])
     joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark"))).select("doc_id", "mark", "text", "items")
-    found = map_arrow(
-        joined, _align_rows(threshold, to_arrow_type(id_kind), to_arrow_type(item_kind)), f"doc_id {id_type}, mark long, item_id {item_kind.simpleString()}, score long, similarity double, start_word long, stop_word long"
-    )
-    best = found.groupBy("doc_id", "mark", "item_id").agg(F.max(F.struct("score", "similarity", "start_word", "stop_word")).alias("b"))
+    found = map_arrow(joined, _align_rows(threshold, to_arrow_type(id_kind)), f"doc_id {id_type}, mark long, item long, score long, similarity double, start_word long, stop_word long")
+    best = found.join(ids, "item").groupBy("doc_id", "mark", "item_id").agg(F.max(F.struct("similarity", "score", "start_word", "stop_word")).alias("b"))
     return best.select("doc_id", "mark", "item_id", "b.score", "b.similarity", "b.start_word", "b.stop_word")
