@@ -25,13 +25,10 @@ def _lines(text: Column) -> Column:
 
 
 def _long_runs(n: int, long_words: int) -> Column:
-    """The runs of n lines that hold more than long_words words. A document of n lines or fewer has
-    none: it is one window as it is."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - n, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.concat_ws("\n", F.slice("lines", i + 1, n)).alias("joined")))
-    # So many words have so many characters at least; most runs need no count.
-    many = lambda t: (F.length(t) > 2 * long_words) & (F.size(F.split(F.trim(t), r"\s+")) > long_words)
-    return F.filter(runs, lambda r: (F.size("lines") > n) & many(r["joined"]))
+    """The runs of n lines that hold more than long_words words, by the columns lines and words (of each
+    line). A document of n lines or fewer has none: it is one window as it is."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - n, F.lit(0))), lambda i: (F.size("lines") > n) & (sum((F.get("words", i + k) for k in range(1, n)), F.get("words", i)) > long_words))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.concat_ws("\n", F.slice("lines", i + 1, n)).alias("joined")))
 
 
 def window_rows(docs: DataFrame, id_col: str, text_col: str, size: int, long_words: int | None = None) -> DataFrame:
@@ -43,6 +40,8 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, size: int, long_wor
     starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - size, F.lit(0)))
     windows = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("n"), F.concat_ws("\n", F.slice("lines", i + 1, size)).alias("joined")))
     if long_words is not None:
+        # Each line is counted once, for all runs that it is in.
+        lines = lines.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
         windows = F.concat(windows, *(_long_runs(n, long_words) for n in range(1, size)))
     rows = lines.select("doc_id", "mark", F.inline(windows))
     return rows.where(F.col("joined").rlike(r"\S")).select("doc_id", "mark", "pos", "n", F.unhex(F.md5("joined")).alias("window"))
