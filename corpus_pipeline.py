@@ -15,29 +15,41 @@ from spindle.llm.encoding import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model rejects go; it learns from the labelled ones."""
+    """Documents that the severity model rejects go; it learns from the labelled ones. A null or empty text
+    has no features and stays, a very long one is scored whole; rows that repeat are judged alike, null ids
+    like others. Without documents or labels nothing goes."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(~F.col("_toxic")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows, and of one or two lines of more than 50 words, are cut
-    out; a document that loses all its lines goes."""
+    out; a document that loses all its lines goes. A null text comes out empty. The first occurrence is that of
+    the smallest id (null ids first), ties by a hash of the text; rows that repeat id and text count as one
+    document and come out alike. A very long text is read whole. An empty table gives an empty table."""
     cut = line_dedup.line_dedup(docs, long_words=50).where(~F.col("_emptied"))
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8) stays."""
-    return keep.one_of_each(docs, minhash.near_duplicates(docs))
+    """One document of each group of near duplicates stays, by the sets and the similarity of the operator's
+    contract (two-word shingles, 0.8): the one with the smallest id, null ids last. Rows that repeat id
+    and text are one document. Null and empty texts are near nothing and stay all; very long ones are compared
+    by whole sets. An empty table gives an empty table."""
+    return keep.one_of_each(docs, minhash.near_duplicates(docs, size=2))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    """Documents that hold a benchmark item, or an edited copy of one, go. Null and empty texts hold none
+    and stay; very long ones are read whole; rows that repeat, and those that share an id or have none, are told apart
+    by their texts. Without documents or items nothing goes."""
     return keep.without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, placed in sequences of 1,024 tokens. A null or empty text is one
+    piece of one id, a very long one is many full pieces and a rest; rows that repeat are packed each on
+    their own, null ids too. An empty table gives an empty table."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
