@@ -62,7 +62,7 @@ def test_stages(spark, corpus):
             assert len(after) == len(expected)
             expected, after = ([r for r in x if r[0] is not None] for x in (expected, after))
         elif name == "minhash":
-            sets = [H.shingles(r[1], 5) for r in before]
+            sets = [H.shingles(r[1], 2) for r in before]
             groups, expected = defaultdict(list), [r for r, s in zip(before, sets) if not s]
             for r, s, f in zip(before, sets, H.components(sets)):
                 if s:
