@@ -7,6 +7,8 @@ and the retry of a lost executor, read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,30 +49,42 @@ def _empty_notes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "session_id string, filename string, markdown string, msg_count long, q_count long, a_count long, headings long")
 
 
-def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame | None = None, wanted: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
-    """Sessions (of wanted, or all): session_id, action, from_count, to_count, filename, markdown, reason.
+#: Gives the documents of sessions (session_id) that are wanted, or all if None, and are not held.
+Fallback = Callable[[DataFrame | None, DataFrame], DataFrame]
 
-    A session that documents lack is taken from fallback (event logs), which its reason says. The
-    high-water mark is how many of the session's messages the note holds: the longest beginning of them
-    that has no more headings, those inside its messages included, than the note. So a heading inside
-    a message, or code that is never closed, hides no later message and repeats none. A session without
-    any message is skipped; one with system messages only still gets a note of its heading. Names that
-    are taken get a number.
-    """
-    documents = documents.withColumn("used_fallback", F.lit(False)) if fallback is None else R.with_fallback(documents, fallback)
-    if wanted is not None:
-        documents = wanted.select("session_id").distinct().join(documents, "session_id", "left")
+
+def _read(documents: DataFrame, used_fallback: bool) -> DataFrame:
+    """A written table of the sessions of some documents: session_id, source, used_fallback, date, reason (why one
+    fails, or null) and said (its messages)."""
     date = T.date_prefix(F.col("started_at"))
-    reason = (
-        F.when(F.col("source").isNull(), "can't be read")
-        .when((F.col("source") == "") | (F.col("started_at") == ""), "missing timestamp or source")
-        .when(~T.has_date_shape(date), "bad date")
-    )
-    checked = documents.select("session_id", "source", "items", F.coalesce("used_fallback", F.lit(False)).alias("used_fallback"), date.alias("date"), reason.alias("reason"))
+    reason = F.when((F.col("source") == "") | (F.col("started_at") == ""), "missing timestamp or source").when(~T.has_date_shape(date), "bad date")
+    checked = documents.select("session_id", "source", "items", F.lit(used_fallback).alias("used_fallback"), date.alias("date"), reason.alias("reason"))
     said = R.session_messages(checked.where("reason IS NULL").select("session_id", "items"))
     said = said.withColumn("title", T.title_of(F.col("title_text"))).drop("title_text")
     each = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "title"))).alias("said"))
-    read = stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
+    return stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
+
+
+def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> DataFrame:
+    """Sessions (of wanted, or all): session_id, action, from_count, to_count, filename, markdown, reason.
+
+    A session that documents lack is taken from fallback (event logs), which its reason says; the fallback
+    is asked only for such sessions, and only if there are any. The high-water mark is how many of the session's
+    messages the note holds: the longest beginning of them that has no more headings, those inside its
+    messages included, than the note. So a heading inside a message, or code that is never closed, hides no
+    later message and repeats none. A session without any message is skipped; one with system messages
+    only still gets a note of its heading. Names that are taken get a number.
+    """
+    if wanted is not None:
+        wanted = stage(wanted.select("session_id").distinct(), "wanted")
+        documents = documents.join(wanted, "session_id", "left_semi")
+    read = _read(documents, False)
+    if fallback is not None:
+        missing = None if wanted is None else wanted.join(read, "session_id", "left_anti")
+        if missing is None or not missing.isEmpty():
+            read = read.unionByName(_read(fallback(missing, read.select("session_id")), True))
+    if wanted is not None:
+        read = wanted.join(read, "session_id", "left").withColumn("reason", F.when(F.col("used_fallback").isNull(), "can't be read").otherwise(F.col("reason")))
     all_messages = read.where("said IS NOT NULL").select("session_id", F.inline("said"))
     spoken = M.spoken(all_messages).drop("title")
     sessions = read.where("reason IS NULL").select("session_id", "source", "date").join(M.facts_of_titled(all_messages), "session_id", "left")

@@ -1,8 +1,8 @@
 """Readers of chat transcripts: each gives rows with a position column, as Spark keeps no order.
 
-Line files are read as whole texts and split, so that invalid UTF-8 is replaced, malformed lines are
-dropped one by one, and the line number is exact. One file is one conversation, so a row is bounded
-by it.
+Files are chosen before they are opened: a listing (path, name, length, time) is joined with the keys that
+are wanted, and the paths that are left go to the scan as a filter on its metadata, so that the others
+are not read. Line files are read in byte ranges, a large one by many tasks; malformed lines are dropped one by one.
 """
 
 from __future__ import annotations
@@ -23,16 +23,58 @@ EXPORT_SCHEMA = (
 )
 
 
-def _whole(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+#: Paths that are named to a scan at most; of more, the rows are joined with them.
+NAMED = 10_000
+
+
+def _file_name() -> Column:
+    """A file's name; the metadata has it percent-encoded, with a + as it is."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
+def listed(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    """path, file, length, modified of the files anywhere below the paths; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
+    return found.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def _keyed(files: DataFrame, ending: str, wanted: DataFrame | None, held: DataFrame | None) -> DataFrame:
+    """Of listed files those named <session_id><ending> for an id that is wanted (all if None) and not held."""
+    keyed = files.withColumn("session_id", F.regexp_replace("file", rf"\{ending}\z", ""))
+    if wanted is not None:
+        keyed = keyed.join(wanted.select("session_id"), "session_id", "left_semi")
+    return keyed if held is None else keyed.join(held.select("session_id"), "session_id", "left_anti")
+
+
+def _of_files(found: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    """Rows of a file scan from the files chosen (path), or from all. Up to NAMED paths are a filter on metadata,
+    by which the scan leaves out the other files unopened."""
+    if chosen is None:
+        return found
+    paths = chosen.select("path").distinct()
+    names = [r["path"] for r in paths.limit(NAMED + 1).collect()]
+    path = F.col("_metadata.file_path")
+    return found.where(path.isin(names)) if len(names) <= NAMED else found.withColumn("_path", path).join(paths, F.col("_path") == paths["path"], "left_semi").drop("_path")
+
+
+def _whole(spark: SparkSession, paths: str | list[str], pattern: str, chosen: DataFrame | None = None) -> DataFrame:
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
-    return found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    return _of_files(found.select("value", F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), "_metadata"), chosen).drop("_metadata")
+
 
+def _lines(spark: SparkSession, paths: str | list[str], pattern: str, chosen: DataFrame | None = None) -> DataFrame:
+    """(path, file, place, v): the lines that are JSON objects; all others are malformed or blank.
 
-def _lines(files: DataFrame) -> DataFrame:
-    """(path, file, line_no, v): the lines that are JSON objects; all others are malformed or blank."""
-    lines = files.select("path", "file", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("line_no", "line"))
-    parsed = lines.select("path", "file", "line_no", F.try_parse_json("line").alias("v"))
-    return parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    place rises from line to line of a file, which may be read by many tasks. It is twice the byte
+    at which a task's range begins, and the number of rows that the task has read before: these are no more than
+    the bytes before the line in the range and in the smaller ranges that share the task, and a range that is not its
+    file's last fills a task. A line ends at \\n, \\r or both, invalid UTF-8 is replaced, and a byte order
+    mark is left out."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
+    rows = _of_files(found.select("value", "_metadata"), chosen)
+    before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), (F.col("_metadata.file_block_start") * 2 + before).alias("place"), F.try_parse_json("value").alias("v"))
+    return placed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 
 def _variant(v: Column, path: str) -> Column:
@@ -83,25 +125,27 @@ def session_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(listed).alias("s")).select("s.session_id", "s.source")
 
 
-def session_documents(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (of the file name), source, started_at, content: one <session_id>.json each. Files
-    that are no JSON, or JSON null or false, are left out, as if they could not be read."""
-    rows = _whole(spark, path, "*.json").select(F.regexp_replace("file", r"\.json\z", "").alias("session_id"), F.try_parse_json("value").alias("v"))
+def session_documents(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """session_id (of the file name), source, started_at, content: one <session_id>.json each, of the
+    sessions wanted (session_id) or all; other files are not opened. Files that are no JSON, or JSON null
+    or false, are left out, as if they could not be read."""
+    chosen = None if wanted is None else _keyed(listed(spark, path, "*.json"), ".json", wanted, None)
+    rows = _whole(spark, path, "*.json", chosen).select(F.regexp_replace("file", r"\.json\z", "").alias("session_id"), F.try_parse_json("value").alias("v"))
     usable = rows.where("v IS NOT NULL").where(~F.is_variant_null("v") & ~((F.schema_of_variant("v") == "BOOLEAN") & (F.to_json("v") == "false")))
     items = F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     each = F.transform(items, lambda m: F.struct(F.coalesce(_text(m, "$.role"), F.lit("")).alias("role"), _variant(m, "$.content").alias("content")))
     return usable.select("session_id", _told(F.col("v"), "$.source").alias("source"), _told(F.col("v"), "$.timestamp").alias("started_at"), each.alias("items"))
 
 
-def event_log_documents(spark: SparkSession, paths: str | list[str], cap: int = M.MESSAGE_CAP) -> DataFrame:
+def event_log_documents(spark: SparkSession, paths: str | list[str], cap: int = M.MESSAGE_CAP, wanted: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """The same columns from <session_id>.jsonl event logs anywhere below the paths: of equal names, the
-    smallest path; of each session, the first ``cap`` messages of user or assistant with a text."""
-    files = _whole(spark, paths, "*.jsonl").withColumn("file", F.regexp_replace("file", r"\.jsonl\z", ""))
-    # The paths are chosen before any text is read.
-    one = files.groupBy("file").agg(F.min("path").alias("path"))
-    lines = _lines(files.join(one, ["file", "path"], "left_semi")).where(_text(F.col("v"), "$.sessionId") == F.col("file"))
+    smallest path; of each session, the first ``cap`` messages of user or assistant with a text. Only logs of
+    sessions that are wanted (session_id; all if None) and not held (none if None) are opened."""
+    one = _keyed(listed(spark, paths, "*.jsonl"), ".jsonl", wanted, held).groupBy("session_id").agg(F.min("path").alias("path"))
+    found = _lines(spark, paths, "*.jsonl", one).withColumn("file", F.regexp_replace("file", r"\.jsonl\z", ""))
+    lines = found.where(_text(F.col("v"), "$.sessionId") == F.col("file"))
     role = F.coalesce(_text(F.col("v"), "$.message.role"), _text(F.col("v"), "$.type"))
-    events = lines.select(F.col("file").alias("session_id"), "path", F.col("line_no").alias("seq"), role.alias("role"), F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("time"), C.flatten_event(_variant(F.col("v"), "$.message.content")).alias("text"))
+    events = lines.select(F.col("file").alias("session_id"), "path", F.col("place").alias("seq"), role.alias("role"), F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("time"), C.flatten_event(_variant(F.col("v"), "$.message.content")).alias("text"))
     # The lines are parsed once: both the time and the messages come from this table.
     known = stage(M.spoken(events), "log-events")
     began = known.groupBy("session_id", "path").agg(F.min_by("time", F.when(F.col("time") != "", F.col("seq"))).alias("started_at"))
@@ -114,11 +158,8 @@ def event_log_documents(spark: SparkSession, paths: str | list[str], cap: int =
 
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Every session of either side, from the first where it is there; used_fallback says which."""
-    columns = [c for c in primary.columns if c != "session_id"]
-    a = primary.select("session_id", F.struct(*columns).alias("a"))
-    b = fallback.select("session_id", F.struct(*columns).alias("b"))
-    both = a.join(b, "session_id", "full").select("session_id", F.coalesce("a", "b").alias("d"), F.col("a").isNull().alias("used_fallback"))
-    return both.select("session_id", "d.*", "used_fallback")
+    rest = fallback.join(primary.select("session_id"), "session_id", "left_anti")
+    return primary.withColumn("used_fallback", F.lit(False)).unionByName(rest.withColumn("used_fallback", F.lit(True)))
 
 
 def session_messages(documents: DataFrame) -> DataFrame:
@@ -132,11 +173,11 @@ def session_messages(documents: DataFrame) -> DataFrame:
 
 
 def rollout_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(_whole(spark, path, "rollout-*.jsonl"))
+    return _lines(spark, path, "rollout-*.jsonl")
 
 
 def rollout_events(lines: DataFrame) -> DataFrame:
-    """path, line_no, session (id and time of a session_meta line) and said (role and text of a message
+    """path, place, session (id and time of a session_meta line) and said (role and text of a message
     line): what the sync needs of the lines, parsed once. The event's own time stands in where the
     payload has no timestamp."""
     v = F.col("v")
@@ -145,18 +186,18 @@ def rollout_events(lines: DataFrame) -> DataFrame:
     session = F.when(kind == "session_meta", F.struct(F.coalesce(_text(v, "$.payload.id"), F.lit("")).alias("session_id"), time.alias("started_at")))
     message = (kind == "response_item") & (_text(v, "$.payload.type") == "message")
     said = F.when(message, F.struct(_text(v, "$.payload.role").alias("role"), C.flatten_rollout(_variant(v, "$.payload.content")).alias("text")))
-    return lines.select("path", "line_no", session.alias("session"), said.alias("said")).where("session IS NOT NULL OR said IS NOT NULL")
+    return lines.select("path", "place", session.alias("session"), said.alias("said")).where("session IS NOT NULL OR said IS NOT NULL")
 
 
 def rollout_sessions(events: DataFrame) -> DataFrame:
     """path, session_id, started_at: of each file's first session_meta line."""
     meta = events.where("session IS NOT NULL")
-    return meta.groupBy("path").agg(F.min_by("session", "line_no").alias("m")).select("path", "m.*")
+    return meta.groupBy("path").agg(F.min_by("session", "place").alias("m")).select("path", "m.*")
 
 
 def rollout_messages(events: DataFrame) -> DataFrame:
     """path, seq, role, text: the messages with a text; system context of the user goes."""
-    rows = events.where("said IS NOT NULL").select("path", F.col("line_no").alias("seq"), "said.*")
+    rows = events.where("said IS NOT NULL").select("path", F.col("place").alias("seq"), "said.*")
     return M.without_blank(M.without_context(M.spoken(rows)))
 
 
@@ -180,9 +221,7 @@ def notes_snapshot(spark: SparkSession, folder: str, links: tuple[str, ...] = ()
     names that are symbolic links, which Spark's readers would follow; they are left out. anywhere:
     see front_matter_text."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    # The path is percent-encoded; a + in it is a plus sign.
-    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
-    rows = files.select(F.col("value").alias("markdown"), name.alias("filename"))
+    rows = files.select(F.col("value").alias("markdown"), _file_name().alias("filename"))
     if links:
         rows = rows.where(~F.col("filename").isin(*links))
     note = F.col("markdown")

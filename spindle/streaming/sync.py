@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import sync as S
 from ..plans import pipelines
 from ..sources import note_files, transcripts
+from ..sources.shared import stage
 
 
 def _alone(spark: SparkSession, folder: str, run: Callable[[DataFrame], DataFrame], **sinks) -> DataFrame | None:
@@ -32,12 +33,14 @@ def sync_now(spark: SparkSession, sessions: str, folder: str, **sinks) -> DataFr
 
 def sync_sessions_now(spark: SparkSession, catalogue: str, documents: str, logs: str | list[str] | None, folder: str, wanted: DataFrame | None = None, **sinks) -> DataFrame | None:
     """One run over the wanted sessions (session_id), or all of the catalogue that no rollout file has;
-    what documents lack is read from the event logs."""
+    what documents lack is read from the event logs. Only documents of these sessions, and only logs of those
+    without a document that can be read, are opened."""
 
     def run(held: DataFrame) -> DataFrame:
         due = S.not_from(transcripts.session_catalogue(spark, catalogue), "codex") if wanted is None else wanted
-        fallback = None if logs is None else transcripts.event_log_documents(spark, logs)
-        return pipelines.sync_sessions(spark, transcripts.session_documents(spark, documents), held, due, fallback)
+        due = stage(due.select("session_id").distinct(), "due")
+        fallback = None if logs is None else lambda missing, held: transcripts.event_log_documents(spark, logs, wanted=missing, held=held)
+        return pipelines.sync_sessions(spark, transcripts.session_documents(spark, documents, due), held, due, fallback)
 
     return _alone(spark, folder, run, **sinks)
 
