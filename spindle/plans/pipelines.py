@@ -97,7 +97,11 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame |
 def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = None) -> DataFrame:
     """Rollout files: the columns of sync_sessions. The high-water mark is the msg_count that the note
     stores. Of files with the same session id, the smallest path counts."""
-    events = stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events")
+    return sync_rollout_events(spark, stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events"), notes)
+
+
+def sync_rollout_events(spark: SparkSession, events: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """The same of a written table of rollout events (path, place, session, said) that holds whole files."""
     checked = R.rollout_validated(R.rollout_sessions(events))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
     spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
@@ -107,6 +111,38 @@ def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = No
     return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))
 
 
+#: Parts into which the events of a stream are dealt by path.
+PARTS = 64
+
+
+def keep_rollout_batch(events: DataFrame, table: str, batch: int) -> DataFrame | None:
+    """Add a batch of grown rollout events (path, place, anew, session, said) to a table, and return all events of the
+    files of the sessions that it touches; None if it touches none. The table has a folder for each batch, which a batch
+    that is run again replaces. Events from before a file was read anew are left out."""
+    spark = events.sparkSession
+    part = F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")
+    fields = {f.name: f.dataType for f in events.schema}
+    shape = ", ".join(f"{n} {fields[n].simpleString()}" for n in ("path", "place", "anew", "session", "said"))
+    events.select("path", "place", "anew", "session", "said", part.alias("part")).write.partitionBy("part").mode("overwrite").parquet(f"{table}/events/batch={batch}")
+    own = spark.read.schema(f"{shape}, part int").parquet(f"{table}/events/batch={batch}")
+    # Small: a row for each file that the batch touches, with the session that its first line names.
+    sessions = own.groupBy("path").agg(F.max("anew").alias("anew"), F.min_by("session.session_id", F.when(F.col("session").isNotNull(), F.col("place"))).alias("session_id"))
+    sessions.write.mode("overwrite").parquet(f"{table}/files/batch={batch}")
+    files = spark.read.schema("path string, anew boolean, session_id string, batch long").parquet(f"{table}/files").where(F.col("batch") <= batch)
+    touched = stage(files.where(F.col("batch") == batch).select("path"), "touched")
+    if touched.isEmpty():
+        return None
+    since = files.groupBy("path").agg(F.max(F.when(F.col("anew"), F.col("batch"))).alias("since"))
+    current = files.join(since, "path").where(F.col("batch") >= F.col("since")).groupBy("path", "since").agg(F.min_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("batch"))).alias("session_id"))
+    current = stage(current, "current-files")
+    # With the other files of the same sessions, since the smallest path counts.
+    ids = current.join(touched, "path", "left_semi").select("session_id")
+    due = stage(current.join(touched, "path", "left_semi").unionByName(current.join(ids, "session_id", "left_semi")).select("path", "since").distinct(), "due-files")
+    parts = [r[0] for r in due.select(part.alias("part")).distinct().collect()]  # PARTS at most
+    held = spark.read.schema(f"{shape}, batch long, part int").parquet(f"{table}/events").where(F.col("part").isin(parts) & (F.col("batch") <= batch))
+    return stage(held.join(due, "path").where(F.col("batch") >= F.col("since")).select("path", "place", "session", "said"), "due-events")
+
+
 def write(rows: DataFrame, folder: str, sync: bool = True, index: str | None = None, log: str | None = None) -> DataFrame:
     """Write the notes that rows hold, and return the number of sessions by outcome. The plan of rows
     reads the folder that is written to, so rows are a written table before the first note is.

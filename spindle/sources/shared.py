@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def local_path(folder: str) -> str:
+    """The path of a folder that driver and executors mount, for code that opens files by themselves. A folder in a
+    store that only Spark reads is refused."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return folder
+    if scheme != "file":
+        raise ValueError(f"{folder} is in a store that only Spark reads; a folder that driver and executors mount is needed")
+    return "/" + rest.lstrip("/")
+
+
 _shipped: set[str] = set()
 
 

@@ -176,17 +176,23 @@ def rollout_lines(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, "rollout-*.jsonl")
 
 
-def rollout_events(lines: DataFrame) -> DataFrame:
-    """path, place, session (id and time of a session_meta line) and said (role and text of a message
-    line): what the sync needs of the lines, parsed once. The event's own time stands in where the
-    payload has no timestamp."""
+def grown_rollout_lines(lines: DataFrame) -> DataFrame:
+    """The same of a batch of grown_lines, with anew."""
+    parsed = lines.select("path", "place", "anew", F.try_parse_json("line").alias("v"))
+    return parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+
+
+def rollout_events(lines: DataFrame, *carry: str) -> DataFrame:
+    """path, place, session (id and time of a session_meta line), said (role and text of a message
+    line) and the columns carry: what the sync needs of the lines, parsed once. The event's own time stands
+    in where the payload has no timestamp."""
     v = F.col("v")
     kind, stamp = _text(v, "$.type"), _variant(v, "$.payload.timestamp")
     time = F.when(stamp.isNull(), F.coalesce(_text(v, "$.timestamp"), F.lit(""))).otherwise(F.coalesce(F.try_variant_get(stamp, "$", "string"), F.lit("")))
     session = F.when(kind == "session_meta", F.struct(F.coalesce(_text(v, "$.payload.id"), F.lit("")).alias("session_id"), time.alias("started_at")))
     message = (kind == "response_item") & (_text(v, "$.payload.type") == "message")
     said = F.when(message, F.struct(_text(v, "$.payload.role").alias("role"), C.flatten_rollout(_variant(v, "$.payload.content")).alias("text")))
-    return lines.select("path", "place", session.alias("session"), said.alias("said")).where("session IS NOT NULL OR said IS NOT NULL")
+    return lines.select("path", "place", *carry, session.alias("session"), said.alias("said")).where("session IS NOT NULL OR said IS NOT NULL")
 
 
 def rollout_sessions(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Sync that follows new files: a run of a sync for each batch of arriving hook events.
+"""Sync that follows what arrives: a run of a sync for each batch of hook events, or of new lines in rollout files.
 
-Session files grow in place, and a file stream never reports a known path again, so the stream
-only says that something came; each run then reads the transcripts and the notes' high-water marks.
+A stream of hook events only says that something came, and perhaps for which sessions; each run reads the transcripts of
+these. The stream over rollout files that grow reads the new lines alone and keeps them as a table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import sync as S
 from ..plans import pipelines
-from ..sources import note_files, transcripts
+from ..sources import grown, note_files, transcripts
 from ..sources.shared import stage
 
 
@@ -60,6 +60,21 @@ def follow(triggers: DataFrame, run: Callable[[DataFrame], object], checkpoint:
     )
 
 
+def follow_rollouts(spark: SparkSession, sessions: str, folder: str, table: str, checkpoint: str, **sinks) -> StreamingQuery:
+    """Follow the rollout files below a folder as they grow: only new lines are read, added to a table of events,
+    and the sessions that they touch are synced from it. Where another run holds the notes, the batch fails and
+    is run again by the next start; one that is run twice changes nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        events = transcripts.rollout_events(transcripts.grown_rollout_lines(batch), "anew")
+        due = pipelines.keep_rollout_batch(events, table, number)
+        if due is not None and _alone(spark, folder, lambda held: pipelines.sync_rollout_events(spark, due, held), **sinks) is None:
+            raise RuntimeError(f"another run holds {folder}")
+
+    lines = grown.grown_lines(spark, sessions, "rollout-*.jsonl")
+    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def hooked(batch: DataFrame) -> DataFrame | None:
     """The sessions that a batch of hook events (session_id) names; None, for all, if one names none."""
     if not batch.where("coalesce(session_id, '') = ''").isEmpty():
