@@ -12,15 +12,15 @@ from ..operators import notes as N
 from ..operators import sync as S
 from ..sources import note_files
 from ..sources import transcripts as R
-from ..sources.shared import drop_at_exit, fresh_folder, stage
-from ..streaming import reminder
+from ..sources.shared import drop_at_exit, fresh_folder, local_path, stage
+from ..streaming import reminder, sync
 from . import catalog, pipelines
 from .catalog import messages, query, read
 
 
 def _folder(spark: SparkSession, label: str) -> str:
     """A folder for files with names of their own; the shared folder must be mounted everywhere."""
-    folder = fresh_folder(spark, label).removeprefix("file://").removeprefix("file:")
+    folder = local_path(fresh_folder(spark, label))
     note_files.guard(folder)
     drop_at_exit(spark, f"file://{folder}")
     return folder
@@ -81,12 +81,17 @@ def _uuid(conv: Column) -> Column:
     return F.concat(F.lpad(conv, 8, "0"), F.lit("-0000-4000-8000-000000000000"))
 
 
-def _rollouts(spark: SparkSession, sf_dir: str, upto: int | None = None) -> str:
+def _rollout_text(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
+    """filename and text of a rollout file for each conversation; its last line has no end."""
     said = F.when(F.col("role") == "assistant", "output_text").otherwise("input_text")
     payload = F.struct(F.lit("message").alias("type"), F.col("role"), F.array(F.struct(said.alias("type"), F.col("text"))).alias("content"))
     rows = _sessions(spark, sf_dir, F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))), upto)
     meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("2026-03-01T09:00:01Z").alias("timestamp"), F.struct(_uuid(F.col("conv")).alias("id")).alias("payload")))
-    return _write(rows, F.concat(F.lit("rollout-"), "conv", F.lit(".jsonl")), F.concat_ws("\n", meta, F.array_join("items", "\n")), "rollouts")
+    return rows.select(F.concat(F.lit("rollout-"), "conv", F.lit(".jsonl")).alias("filename"), F.concat_ws("\n", meta, F.array_join("items", "\n")).alias("text"))
+
+
+def _rollouts(spark: SparkSession, sf_dir: str, upto: int | None = None) -> str:
+    return _write(_rollout_text(spark, sf_dir, upto), F.col("filename"), F.col("text"), "rollouts")
 
 
 @query(f"SELECT lpad(session_id, 8, '0') || '-0000-4000-8000-000000000000' AS session_id, role, text, seq FROM ({_SPOKEN})")
@@ -109,6 +114,24 @@ def note_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.notes_snapshot(spark, folder).select("session_id", *(F.col(c).cast("long").alias(c) for c in ("msg_count", "q_count", "a_count")))
 
 
+@query(f"SELECT *, greatest(least(msg_count, 4) - 1, 0) AS first_lines, msg_count - greatest(least(msg_count, 4) - 1, 0) AS second_lines FROM ({_COUNTS})")
+def rollouts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout files that grow in place, followed by a stream: the first four messages, of which the last line
+    waits for its end, then all. What the notes say, and how many messages each start of the stream has read."""
+    logs, notes = _folder(spark, "rollouts"), _folder(spark, "notes")
+    table, state = fresh_folder(spark, "rollout-table"), fresh_folder(spark, "rollout-state")
+    for path in (table, state):
+        drop_at_exit(spark, path)
+    ended = F.concat("text", F.lit("\n"))
+    for files in (_rollout_text(spark, sf_dir, 4), _rollout_text(spark, sf_dir, 1 << 30).withColumn("text", ended)):
+        note_files.write_notes(files.select("filename", F.col("text").alias("markdown")), logs, sync=False)
+        sync.follow_rollouts(spark, logs, notes, table, state, sync=False).awaitTermination()
+    events = spark.read.schema("path string, said struct<role:string,text:string>, batch long").parquet(f"{table}/events").where("said IS NOT NULL")
+    read = events.groupBy(_uuid(F.regexp_extract("path", r"rollout-([^/]*)\.jsonl\z", 1)).alias("session_id")).agg(*(F.count_if(F.col("batch") == n).alias(c) for n, c in enumerate(("first_lines", "second_lines"))))
+    held = R.notes_snapshot(spark, notes).select("session_id", *(F.col(c).cast("long").alias(c) for c in ("msg_count", "q_count", "a_count")))
+    return held.join(read, "session_id")
+
+
 _LISTED = "SELECT DISTINCT conv_id::VARCHAR AS session_id, CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' END AS source FROM conversations"
 
 
@@ -124,13 +147,13 @@ def catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT session_id, conv_id % 2 = 1 AS used_fallback, CASE WHEN conv_id % 2 = 0 THEN 'other' WHEN conv_id % 4 = 1 THEN 'codex' ELSE 'claude' END AS source, "
-    "CASE WHEN conv_id % 2 = 0 THEN '2026-02-09T08:00:00Z' ELSE '2026-02-10T12:00:' || lpad((first % 60)::VARCHAR, 2, '0') || 'Z' END AS started_at, n AS n_messages "
-    f"FROM (SELECT conv_id, conv_id::VARCHAR AS session_id, count(*) AS n, coalesce(min(turn) FILTER (turn > 0), 0) AS first FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) WHERE first > 0 OR conv_id % 2 = 0"
+    "CASE WHEN conv_id % 2 = 0 THEN '2026-02-09T08:00:00Z' WHEN first = 0 THEN '' ELSE '2026-02-10T12:00:' || lpad((first % 60)::VARCHAR, 2, '0') || 'Z' END AS started_at, n AS n_messages "
+    "FROM (SELECT conv_id, conv_id::VARCHAR AS session_id, count(*) AS n, coalesce(min(turn) FILTER (turn > 0), 0) AS first FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"
 )
 def fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session documents of every other session, event logs of the others: lines without a role of their
-    own, times that are missing at first, sources told by the folder. Sessions of one turn only have no
-    time in their logs and are left out."""
+    own, times that are missing at first, sources told by the folder. A log of a session's first turn alone has no
+    time."""
     said = M.spoken(messages(spark, sf_dir))
     by_session = lambda item: said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items")).select(F.col("session_id").cast("string").alias("conv"), F.transform("items", lambda x: x["item"]).alias("items"))
     document = F.to_json(F.struct(F.lit("other").alias("source"), F.lit("2026-02-09T08:00:00Z").alias("timestamp"), F.col("items").alias("messages")))
@@ -142,7 +165,7 @@ def fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, rows in ((".codex", logs.where("conv % 4 = 1")), ("projects", logs.where("conv % 4 = 3"))):
         note_files.write_notes(rows.select(F.concat("conv", F.lit(".jsonl")).alias("filename"), F.array_join("items", "\n").alias("markdown")), f"{base}/{name}", sync=False)
     found = R.with_fallback(R.session_documents(spark, documents), R.event_log_documents(spark, [f"{base}/.codex", f"{base}/projects"]))
-    return found.select("session_id", "used_fallback", "source", "started_at", F.size("items").cast("long").alias("n_messages")).where("started_at <> ''")
+    return found.select("session_id", "used_fallback", "source", "started_at", F.size("items").cast("long").alias("n_messages"))
 
 
 @query(
@@ -160,6 +183,44 @@ def session_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.sync_sessions(spark, documents, None, wanted).select("session_id", "action", "reason")
 
 
+@query(
+    "SELECT conv_id::VARCHAR AS session_id, CASE WHEN conv_id % 8 < 4 AND n > 4 THEN 'appended' WHEN conv_id % 8 < 4 THEN 'unchanged' ELSE 'created' END AS action, "
+    "CASE WHEN conv_id % 8 >= 4 THEN 'from the event log' END AS reason, n AS to_count "
+    "FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) WHERE conv_id % 4 = 1 "
+    "UNION ALL SELECT 'gone', 'failed', 'can''t be read', 0"
+)
+def hook_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of half of the sessions, of their first four messages, are synced; then they grow, and hook events name a quarter of all
+    sessions and one that is gone: the outcome of the run over these, of which half have event logs only."""
+    def documents(upto: int | None) -> str:
+        rows = _sessions(spark, sf_dir, F.struct("role", F.col("text").alias("content")), upto).where("conv % 8 < 4")
+        text = F.to_json(F.struct(F.lit("claude").alias("source"), F.lit("2026-02-10T12:00:00Z").alias("timestamp"), F.col("items").alias("messages")))
+        return _write(rows, F.concat("conv", F.lit(".json")), text, "sessions")
+
+    said = M.spoken(messages(spark, sf_dir))
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), F.lit("2026-02-10T12:00:00Z").alias("timestamp"), F.struct("role", F.array("text").alias("content")).alias("message")))
+    logs = _write(_sessions(spark, sf_dir, event), F.concat("conv", F.lit(".jsonl")), F.array_join("items", "\n"), "logs")
+    notes = _folder(spark, "notes")
+    pipelines.write(pipelines.sync_sessions(spark, R.session_documents(spark, documents(4))), notes, sync=False)
+    named = said.select(F.col("session_id").cast("string").alias("session_id")).where("session_id % 4 = 1").unionByName(spark.range(1).select(F.lit("gone").alias("session_id")))
+    hooks = fresh_folder(spark, "hook-events")
+    drop_at_exit(spark, hooks)
+    named.distinct().write.json(hooks)
+    wanted = stage(sync.hooked(spark.read.schema("session_id string").json(hooks)), "wanted")
+    from_logs = lambda missing, held: R.event_log_documents(spark, logs, wanted=missing, held=held)
+    rows = pipelines.sync_sessions(spark, R.session_documents(spark, documents(None), wanted), R.notes_snapshot(spark, notes), wanted, from_logs)
+    return rows.select("session_id", "action", "reason", F.col("to_count").cast("long").alias("to_count"))
+
+
+@query("SELECT 'id-' || session_id AS session_id, msg_count FROM (SELECT conv_id AS session_id, count(*) AS msg_count FROM conversations GROUP BY conv_id)")
+def notes_front_matter_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes whose front matter follows other lines, one of them a rule, read back."""
+    own = messages(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    head = F.concat(F.lit("written by hand\n\n---\nsession_id: id-"), F.col("session_id").cast("string"), F.lit("\nmsg_count: "), F.col("n").cast("string"), F.lit("\n---\n\n# Title\n"))
+    notes = _write(own, F.concat(F.col("session_id").cast("string"), F.lit(".md")), head, "notes")
+    return R.notes_snapshot(spark, notes, anywhere=True).select("session_id", F.col("msg_count").cast("long").alias("msg_count"))
+
+
 _OPEN = "CASE turn % 5 WHEN 1 THEN '```' || chr(10) || '## Q7' || chr(10) || text ELSE text END"
 _SAID = f"SELECT 'same-id-' || conv_id AS session_id, turn AS seq, CASE conv_id % 10 WHEN 0 THEN 'system' ELSE role END AS role, {_OPEN} AS t FROM conversations"
 _PLACED = f"SELECT *, count(*) FILTER (role IN ('user', 'assistant')) OVER (PARTITION BY session_id ORDER BY seq) AS position FROM ({_SAID})"

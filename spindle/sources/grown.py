@@ -13,10 +13,12 @@ a path and two numbers for each file. Files are opened by their path, which driv
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 from fnmatch import fnmatch
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -131,5 +133,7 @@ def grown_lines(spark: SparkSession, folder: str, pattern: str = "*", most_bytes
     line begins. anew: the batch reads its file from the beginning, so what earlier batches had of it no
     longer counts. Links are not followed; an empty or missing folder gives nothing; invalid UTF-8 is replaced."""
     ship(spark)
+    # The process that plans a stream does not see what was shipped, so the source goes along as a value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(GrownLines)
     return spark.readStream.format("grownlines").option("path", local_path(folder)).option("pattern", pattern).option("range", str(most_bytes)).load()
