@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ from . import notes as N
 CREATED, APPENDED, UNCHANGED, SKIPPED, FAILED = "created", "appended", "unchanged", "skipped", "failed"
 
 
+#: What a created note's name must be when the run is committed: free.
+FREE = -1
+
+
+@dataclass(frozen=True)
+class Notes:
+    """What is known of a folder's notes. heads: session_id, filename, msg_count, headings, modified (ms, or null if
+    it does not matter); names: filename of each; texts: gives filename and markdown of the notes listed
+    (filename), so that no other text is moved."""
+
+    heads: DataFrame
+    names: DataFrame
+    texts: Callable[[DataFrame], DataFrame]
+
+
+def of_snapshot(notes: DataFrame) -> Notes:
+    """Of a table of whole notes."""
+    heads = notes.select("session_id", "filename", F.col("msg_count").cast("int").alias("msg_count"), "headings", F.lit(None).cast("long").alias("modified"))
+    return Notes(heads, notes.select("filename"), lambda names: notes.select("filename", "markdown").join(names, "filename", "left_semi"))
+
+
 def one_note_each(notes: DataFrame) -> DataFrame:
     """One note of each session: the one with the smallest file name."""
     named = notes.where("session_id IS NOT NULL")
@@ -60,19 +84,28 @@ def new_messages(messages: DataFrame, dispatched: DataFrame) -> DataFrame:
     return M.numbered(late, F.col("q0"), F.col("a0")).drop("skip", "q0", "a0")
 
 
-def synced(messages: DataFrame, sessions: DataFrame, notes: DataFrame, dialect: N.Dialect) -> DataFrame:
-    """session_id, action, from_count, to_count, filename, markdown of every session. filename and
-    markdown are null where nothing is to be written. sessions: session_id, date, title, source,
-    msg_count, worth; messages: the spoken ones, seq in order; notes: what notes_snapshot gives, any
-    number of a session. Where the dialect stores no count, it is told by the headings."""
-    held = one_note_each(notes.drop("markdown"))
+def synced(messages: DataFrame, sessions: DataFrame, notes: Notes, dialect: N.Dialect) -> DataFrame:
+    """session_id, action, from_count, to_count, filename, markdown, expects of every session. filename and
+    markdown are null where nothing is to be written; expects is what the sink must find there: FREE for a created
+    note, the time of the one appended to. sessions: session_id, date, title, source, msg_count, worth;
+    messages: the spoken ones, seq in order; notes may have any number of a session. Where the dialect stores no
+    count, it is told by the headings. Only texts that are appended to are read."""
+    held = one_note_each(notes.heads).withColumns({"q_count": F.lit(0), "a_count": F.lit(0)})
     dispatched = stage(dispatch(sessions, held if dialect.has_msg_count else notes_reached(messages, held)), "dispatched")
-    delta = M.rendered(new_messages(messages, dispatched)).select("session_id", "body")
+    grown = stage(dispatched.where(F.col("action") == APPENDED).select(F.col("old_filename").alias("filename")), "appended-names")
+    texts = notes.texts(grown).select(F.col("filename").alias("appended_to"), F.col("markdown").alias("old_markdown"))
+    if dialect.has_msg_count:
+        texts = stage(texts.withColumn("counts", N.fenced_heading_counts(F.col("old_markdown"))), "appended-texts")
+        found = texts.select(F.col("appended_to").alias("old_filename"), F.col("counts.q").alias("old_q"), F.col("counts.a").alias("old_a"))
+        numbered = dispatched.drop("old_q", "old_a").join(found, "old_filename", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_q", "old_a")})
+    else:
+        numbered = dispatched
+    delta = M.rendered(new_messages(messages, numbered)).select("session_id", "body")
     due = dispatched.where(F.col("action") == CREATED).select("session_id", N.base_name(dialect).alias("base"))
     # The beginnings of ids, in whose order names are given, follow that order.
-    named = N.free_names(due, "base", notes.select("filename"), ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
-    texts = notes.select(F.col("filename").alias("appended_to"), F.col("markdown").alias("old_markdown"))
-    rows = dispatched.withColumn("appended_to", F.when(F.col("action") == APPENDED, F.col("old_filename"))).join(texts, "appended_to", "left")
+    named = N.free_names(due, "base", notes.names, ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
+    times = held.select(F.col("filename").alias("appended_to"), F.col("modified").alias("old_modified"))
+    rows = dispatched.withColumn("appended_to", F.when(F.col("action") == APPENDED, F.col("old_filename"))).join(texts.drop("counts"), "appended_to", "left").join(times, "appended_to", "left")
     joined = rows.join(delta, "session_id", "left").join(named, "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
     appended = F.concat(F.regexp_replace("old_markdown", r"(?<!\n)\n*\z", "\n\n"), F.col("body"))
     if dialect.has_msg_count:
@@ -85,6 +118,7 @@ def synced(messages: DataFrame, sessions: DataFrame, notes: DataFrame, dialect:
         F.when(written, F.col("msg_count")).otherwise(F.coalesce("old_count", F.lit(0))).cast("long").alias("to_count"),
         F.when(F.col("action") == CREATED, F.col("filename")).otherwise(F.col("appended_to")).alias("filename"),
         F.when(F.col("action") == CREATED, N.markdown(dialect)).when(F.col("action") == APPENDED, appended).alias("markdown"),
+        F.when(F.col("action") == CREATED, F.lit(FREE)).when(F.col("action") == APPENDED, F.col("old_modified")).cast("long").alias("expects"),
     )
 
 

@@ -42,11 +42,13 @@ def export_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def _failed(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return rows.select("session_id", F.lit(S.FAILED).alias("action"), F.lit(0).cast("long").alias("from_count"), F.lit(0).cast("long").alias("to_count"), none.alias("filename"), none.alias("markdown"), "reason")
+    return rows.select("session_id", F.lit(S.FAILED).alias("action"), F.lit(0).cast("long").alias("from_count"), F.lit(0).cast("long").alias("to_count"), none.alias("filename"), none.alias("markdown"), none.cast("long").alias("expects"), "reason")
 
 
-def _empty_notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "session_id string, filename string, markdown string, msg_count long, q_count long, a_count long, headings long")
+def _notes(spark: SparkSession, notes: S.Notes | DataFrame | None) -> S.Notes:
+    if notes is None:
+        notes = spark.createDataFrame([], "session_id string, filename string, markdown string, msg_count long, headings long")
+    return notes if isinstance(notes, S.Notes) else S.of_snapshot(notes)
 
 
 #: Gives the documents of sessions (session_id) that are wanted, or all if None, and are not held.
@@ -65,7 +67,7 @@ def _read(documents: DataFrame, used_fallback: bool) -> DataFrame:
     return stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
 
 
-def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> DataFrame:
+def sync_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> DataFrame:
     """Sessions (of wanted, or all): session_id, action, from_count, to_count, filename, markdown, reason.
 
     A session that documents lack is taken from fallback (event logs), which its reason says; the fallback
@@ -89,25 +91,25 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: DataFrame |
     spoken = M.spoken(all_messages).drop("title")
     sessions = read.where("reason IS NULL").select("session_id", "source", "date").join(M.facts_of_titled(all_messages), "session_id", "left")
     counted = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED))).withColumn("msg_count", F.coalesce("qa_count", F.lit(0))).withColumn("worth", F.coalesce("all_count", F.lit(0)) > 0)
-    rows = S.synced(spoken, counted, _empty_notes(spark) if notes is None else notes, N.SESSION)
+    rows = S.synced(spoken, counted, _notes(spark, notes), N.SESSION)
     why = read.where("used_fallback").select("session_id", F.lit(FROM_EVENT_LOG).alias("reason"))
     return rows.join(why, "session_id", "left").unionByName(_failed(read.where("reason IS NOT NULL")))
 
 
-def sync_rollouts(spark: SparkSession, folder: str, notes: DataFrame | None = None) -> DataFrame:
+def sync_rollouts(spark: SparkSession, folder: str, notes: S.Notes | DataFrame | None = None) -> DataFrame:
     """Rollout files: the columns of sync_sessions. The high-water mark is the msg_count that the note
     stores. Of files with the same session id, the smallest path counts."""
     return sync_rollout_events(spark, stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events"), notes)
 
 
-def sync_rollout_events(spark: SparkSession, events: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+def sync_rollout_events(spark: SparkSession, events: DataFrame, notes: S.Notes | DataFrame | None = None) -> DataFrame:
     """The same of a written table of rollout events (path, place, session, said) that holds whole files."""
     checked = R.rollout_validated(R.rollout_sessions(events))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
     spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
     sessions = good.join(M.facts(spoken), "session_id", "left")
     sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
-    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _empty_notes(spark) if notes is None else notes, N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
+    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _notes(spark, notes), N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
     return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))
 
 
@@ -143,15 +145,15 @@ def keep_rollout_batch(events: DataFrame, table: str, batch: int) -> DataFrame |
     return stage(held.join(due, "path").where(F.col("batch") >= F.col("since")).select("path", "place", "session", "said"), "due-events")
 
 
-def write(rows: DataFrame, folder: str, sync: bool = True, index: str | None = None, log: str | None = None) -> DataFrame:
-    """Write the notes that rows hold, and return the number of sessions by outcome. The plan of rows
+def write(rows: DataFrame, folder: str, sync: bool = True, index: str | None = None, log: str | None = None, token: str | None = None) -> DataFrame:
+    """Write the notes that rows hold, all or none, and return the number of sessions by outcome. The plan of rows
     reads the folder that is written to, so rows are a written table before the first note is.
 
     index: a folder to whose table the created notes' session_id and filename are appended. log: one
-    to which each session's outcome is appended, with the time of the run.
+    to which each session's outcome is appended, with the time of the run. token: of the folder's lock.
     """
     kept = stage(rows, "notes")
-    note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync)
+    note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync, token)
     if index is not None:
         R.append_index(kept.where(F.col("action") == S.CREATED), index)
     if log is not None:

@@ -14,7 +14,9 @@ from ..functions import content as C
 from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
-from .shared import stage
+from ..operators import sync as S
+from . import note_files
+from .shared import exists, stage
 
 #: Fixed value: a conversation of the export, as far as it is read.
 EXPORT_SCHEMA = (
@@ -236,12 +238,48 @@ def notes_snapshot(spark: SparkSession, folder: str, links: tuple[str, ...] = ()
     return named.select("*", found["q"].alias("q_count"), found["a"].alias("a_count"), N.heading_count(note).alias("headings"))
 
 
+#: What an index knows of a note: the file it was read from (length and time, ms, of change) and what its
+#: beginning said; created notes are entered by session and name alone.
+INDEX = "session_id string, filename string, length long, modified long, msg_count int, headings long"
+
+
 def append_index(rows: DataFrame, path: str) -> None:
-    """Append session_id and filename of new notes to a tab-separated index."""
-    rows.select("session_id", "filename").write.mode("append").option("sep", "\t").csv(path)
+    """Append notes to a tab-separated index: session_id and filename, and what else of INDEX rows have."""
+    columns = [F.col(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in INDEX.split(", "))]
+    rows.select(columns).write.mode("append").option("sep", "\t").csv(path)
+
+
+def held_notes(spark: SparkSession, folder: str, index: str | None = None, whole: bool = False) -> S.Notes:
+    """The notes right in a folder that executors mount: their beginnings, in place, and texts when asked for. Links
+    are left out. whole: count headings, for which texts are read, but none is moved.
+
+    index: notes that it holds with the length and time that the listing shows have not changed since, and are not
+    opened; the others are read once and entered, notes without a session too."""
+    names = stage(note_files.listing(spark, folder), "note-names")
+    regular = names.where("regular")
+    rest, known = regular, None
+    if index is not None and exists(spark, index):
+        entries = spark.read.option("sep", "\t").schema(INDEX).csv(index).where("modified IS NOT NULL" + (" AND headings IS NOT NULL" if whole else ""))
+        key = ["filename", "length", "modified"]
+        entries = entries.groupBy(key).agg(F.max(F.struct("session_id", "msg_count", "headings")).alias("e"))
+        known = regular.join(entries, key).select("e.session_id", "filename", "length", "modified", "e.msg_count", "e.headings")
+        known = stage(known, "indexed-notes")
+        rest = regular.join(known.select("filename"), "filename", "left_anti")
+    head = F.col("head")
+    told = note_files.heads(rest.repartition(spark.sparkContext.defaultParallelism), folder, whole).withColumnRenamed("modified", "now")
+    read = told.join(rest.select("filename", "length", "modified"), "filename")
+    read = stage(read.select(N.stored_session_id(head).alias("session_id"), "filename", "length", "modified", N.stored_msg_count(head).alias("msg_count"), "headings", "now"), "note-heads")
+    if index is not None:
+        append_index(read.where("now = modified"), index)
+    columns = ["session_id", "filename", "msg_count", "headings"]
+    heads = read.select(*columns, F.col("now").alias("modified"))
+    if known is not None:
+        heads = heads.unionByName(known.select(*columns, "modified"))
+
+    return S.Notes(heads, names.select("filename"), lambda wanted: note_files.note_texts(wanted, folder))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One file name of each session id of an index: the first by file and name."""
-    rows = spark.read.option("sep", "\t").schema("session_id string, filename string").csv(path)
+    rows = spark.read.option("sep", "\t").schema(INDEX).csv(path)
     return rows.where("session_id IS NOT NULL").groupBy("session_id").agg(F.min("filename").alias("filename"))
