@@ -344,8 +344,7 @@ def content_flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("session_id", "seq", C.flatten_export(F.from_json(raw, "array<variant>")).alias("text"))
 
 
-@query("SELECT user_id::VARCHAR AS session_id, turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events WHERE event_id % 11 <> 0) WHERE turn % 20 = 0")
-def reminder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reminders(spark: SparkSession, sf_dir: str, counters: DataFrame | None = None) -> DataFrame:
     """The turn counter as a stream over the events; some have no id, or none that can be a key."""
     path = f"{sf_dir}/events.parquet"
     hooks = fresh_folder(spark, "hook-events")  # a stream reads a folder
@@ -356,7 +355,24 @@ def reminder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, output = fresh_folder(spark, "reminder-state"), fresh_folder(spark, "reminders")
     for path in (state, output):
         drop_at_exit(spark, path)
-    return reminder.run_available(spark, events, state, output).select("session_id", "turn")
+    return reminder.run_available(spark, events, state, output, counters).select("session_id", "turn")
+
+
+_TURNS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events WHERE event_id % 11 <> 0"
+
+
+@query(f"SELECT user_id::VARCHAR AS session_id, turn FROM ({_TURNS}) WHERE turn % 20 = 0")
+def reminder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reminders(spark, sf_dir)
+
+
+@query(f"SELECT user_id::VARCHAR AS session_id, turn + CASE user_id % 4 WHEN 0 THEN 19 WHEN 1 THEN 1000000 ELSE 0 END AS turn FROM ({_TURNS}) WHERE (turn + CASE user_id % 4 WHEN 0 THEN 19 ELSE 0 END) % 20 = 0")
+def reminder_taken_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from counters that users had before, of which some are no numbers, some missing, some there twice."""
+    user = F.col("user_id") % 4
+    value = F.when(user == 0, "19").when(user == 1, "1000000").otherwise("-7")
+    held = read(spark, sf_dir, "events").select("user_id").distinct().where(user < 3).select(F.concat(F.lit("/"), F.col("user_id").cast("string")).alias("session_id"), value.alias("value"))
+    return _reminders(spark, sf_dir, held.unionByName(held.withColumn("value", F.lit("3x"))))
 
 
 @query(f"SELECT session_id, markdown FROM ({catalog._NOTE_SQL['rollout']})")

@@ -298,3 +298,15 @@ def test_reminders(spark, tmp_path):
     (events / "b.json").write_text("\n".join(json.dumps({"session_id": s}) for s in ["s1"] * 15 + ["s2"]))
     got = reminder.run_available(spark, stream(), str(tmp_path / "cp"), str(tmp_path / "out"))
     assert sorted((r["session_id"], r["turn"]) for r in got.collect()) == [("s1", 20), ("s1", 40), ("s1", 60), ("s2", 20)]
+
+
+def test_counters_are_taken_over_once(spark, tmp_path):
+    events = tmp_path / "events"
+    events.mkdir()
+    (events / "a.json").write_text("\n".join(json.dumps({"session_id": s}) for s in ["s1", "s2", "s2", "s3"]))
+    counters = spark.createDataFrame([("s1", "19"), ("s1", "7"), ("/s2/", "18"), ("s3", "x19"), ("s4", "99"), ("", "5"), (None, "5"), ("s5", None)], "session_id string, value string")
+    stream = lambda: spark.readStream.schema("session_id string").json(str(events))
+    now = lambda: sorted((r["session_id"], r["turn"]) for r in reminder.run_available(spark, stream(), str(tmp_path / "cp"), str(tmp_path / "out"), counters).collect())
+    assert now() == [("s1", 20), ("s2", 20)]
+    (events / "b.json").write_text("\n".join(json.dumps({"session_id": s}) for s in ["s1"] * 20 + ["s3"] * 19 + ["s4"]))
+    assert now() == [("s1", 20), ("s1", 40), ("s2", 20), ("s3", 20), ("s4", 100)]
