@@ -15,13 +15,14 @@ from ..functions import text as T
 from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
+from ..operators.running import block_of, running_sums
 from . import note_files
 from .shared import exists, stage
 
 #: Fixed value: a conversation of the export, as far as it is read.
 EXPORT_SCHEMA = (
-    "array<struct<title:string,create_time:double,mapping:map<string,struct<message:struct<author:struct<role:string>,"
-    "content:struct<parts:array<variant>>,create_time:double>>>>>"
+    "title string, create_time double, mapping map<string,struct<message:struct<author:struct<role:string>,"
+    "content:struct<parts:array<variant>>,create_time:double>>>"
 )
 
 
@@ -64,18 +65,23 @@ def _whole(spark: SparkSession, paths: str | list[str], pattern: str, chosen: Da
     return _of_files(found.select("value", F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), "_metadata"), chosen).drop("_metadata")
 
 
+def _place() -> Column:
+    """A number that rises from row to row of a file, which may be read by many tasks: twice the byte at which
+    a task's range begins, and the number of rows that the task has read before. These are no more than the bytes
+    before the row in the range and in the smaller ranges that share the task, and a range that is not its file's
+    last fills a task."""
+    before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") * 2 + before
+
+
 def _lines(spark: SparkSession, paths: str | list[str], pattern: str, chosen: DataFrame | None = None) -> DataFrame:
     """(path, file, place, v): the lines that are JSON objects; all others are malformed or blank.
 
-    place rises from line to line of a file, which may be read by many tasks. It is twice the byte
-    at which a task's range begins, and the number of rows that the task has read before: these are no more than
-    the bytes before the line in the range and in the smaller ranges that share the task, and a range that is not its
-    file's last fills a task. A line ends at \\n, \\r or both, invalid UTF-8 is replaced, and a byte order
+    place rises from line to line of a file. A line ends at \\n, \\r or both, invalid UTF-8 is replaced, and a byte order
     mark is left out."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
     rows = _of_files(found.select("value", "_metadata"), chosen)
-    before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = rows.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), (F.col("_metadata.file_block_start") * 2 + before).alias("place"), F.try_parse_json("value").alias("v"))
+    placed = rows.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), _place().alias("place"), F.try_parse_json("value").alias("v"))
     return placed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 
@@ -98,11 +104,45 @@ def _told(v: Column, path: str) -> Column:
 # -- export: one JSON array of conversations -------------------------------------------------------
 
 
+def array_objects(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (from 0), text: the objects right in the JSON array that a file holds, in order. A file of any
+    size is read in byte ranges; an object is one row. A file that is no array gives nothing.
+
+    Files are read up to each closing brace. A brace in a string is told by the quotes before it, the end of an object
+    by the depth there: running sums over the pieces, in blocks, of a few numbers each. No escape runs across a
+    piece, since what ends it is no backslash."""
+    found = spark.read.option("lineSep", "}").text(path).select("value", "_metadata")
+    pieces = stage(found.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("file"), _place().alias("place"), F.col("value").alias("piece")), "pieces")
+    parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)
+    many = lambda t, c: F.length(t) - F.length(F.translate(t, c, ""))
+
+    def deeper(inside: int) -> Column:
+        """By how much a piece that begins outside (0) or inside (1) a string changes the depth, its brace included."""
+        outside = F.array_join(F.filter(parts, lambda _, i: i % 2 == inside), "")
+        return many(outside, "{[") - many(outside, "}]") - ((F.size(parts) - 1 + inside) % 2 == 0).cast("int")
+
+    # The numbers go without the text. A file's first piece says whether it is an array.
+    told = pieces.select("path", "place", (F.size(parts) - 1).alias("quotes"), deeper(0).alias("out"), deeper(1).alias("in"))
+    arrays = pieces.groupBy("path").agg(F.min_by("piece", "place").alias("first")).where(F.col("first").rlike(r"\A\s*\[")).select("path")
+    sums = lambda rows, **n: running_sums(rows, "path", block_of("place"), ["place"], n)
+    parity = sums(told.join(arrays, "path", "left_semi"), _quotes=F.col("quotes"))
+    begun = (F.col("_quotes") - F.col("quotes")) % 2 == 1
+    depth = sums(parity.select("path", "place", (F.col("_quotes") % 2 == 0).alias("closed"), F.when(begun, F.col("in")).otherwise(F.col("out")).alias("deeper")), _depth=F.col("deeper"))
+    ends = depth.select("path", "place", (F.col("closed") & (F.col("_depth") == 1)).cast("int").alias("ends"))
+    placed = stage(sums(ends, _ends=F.col("ends")).select("path", "place", (F.col("_ends") - F.col("ends")).alias("at"), (F.col("ends") == 1).alias("ends")), "piece-objects")
+    each = pieces.join(placed, ["path", "place"]).groupBy("path", "file", "at").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"), F.max("ends").alias("whole"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), "}"), F.lit("}"))
+    cut = each.where("whole").select("file", F.col("at").cast("int").alias("at"), F.regexp_replace(text, r"\A\s*[\[,]\s*", "").alias("text"))
+    # What stands between two objects and is none goes: the object is the last of these elements.
+    among = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))), "$", "array<variant>")
+    alone = F.when(F.startswith("text", F.lit("{")), F.col("text")).otherwise(F.to_json(F.try_element_at(among, F.lit(-1))))
+    return cut.select("file", "at", alone.alias("text")).where("text IS NOT NULL")
+
+
 def export_conversations(spark: SparkSession, path: str) -> DataFrame:
     """session_id (the file's name and the position in it), file, at (that position), title, started_at
-    (epoch seconds), mapping."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    rows = files.select("file", F.posexplode(F.from_json("value", EXPORT_SCHEMA)).alias("at", "c"))
+    (epoch seconds), mapping. What is no object in an export, or no conversation, is left out."""
+    rows = array_objects(spark, path).select("file", "at", F.from_json("text", EXPORT_SCHEMA).alias("c")).where("c.mapping IS NOT NULL")
     session_id = F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 9, "0"))
     return rows.select(session_id.alias("session_id"), "file", "at", F.coalesce("c.title", F.lit("Untitled")).alias("title"), F.col("c.create_time").alias("started_at"), "c.mapping")
 

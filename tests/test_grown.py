@@ -203,3 +203,40 @@ def test_paths_of_shared_folders():
     assert local_path("file:///a/b") == local_path("file:/a/b") == local_path("/a/b") == "/a/b" and local_path("a/b:c") == "a/b:c"
     with pytest.raises(ValueError):
         local_path("hdfs://host/a")
+
+
+def test_exports_are_read_by_objects(spark, tmp_path):
+    """In ranges of a few hundred bytes: braces, quotes and escapes in strings, nested arrays, odd elements."""
+    rng = random.Random(5)
+    odd = ["}", "{", "]", "[", '"', "\\", '\\"', "\\\\}", "é", "日", "\n", ",", "x" * 30, "}{", '"}']
+    value = lambda d: rng.choice([rng.randrange(9), "".join(rng.choices(odd, k=rng.randrange(9))), None, True] if d > 3 else [{"".join(rng.choices(odd, k=2)): value(d + 1) for _ in range(rng.randrange(4))}, [value(d + 1) for _ in range(rng.randrange(3))], "".join(rng.choices(odd, k=6))])
+    whole = {f"e{k}.json": [{"id": i, "v": value(0)} for i in range(n)] for k, n in enumerate((120, 1, 0, 40))}
+    for k, (name, rows) in enumerate(whole.items()):
+        (tmp_path / name).write_text(json.dumps(rows, ensure_ascii=k % 2 == 0, indent=2 if k == 3 else None))
+    (tmp_path / "mixed.json").write_text('\ufeff [1, "a{b}", {"id":0,"v":{}} , null, [{"id":5}], {"id":1,"v":[{}]}]')
+    (tmp_path / "object.json").write_text('{"a":{"id":0},"b":[{"id":1}]}')
+    (tmp_path / "torn.json").write_text('[{"id":0,"v":1},{"id":1,"v":"}')
+    (tmp_path / "empty.json").write_text("")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "301")
+    try:
+        rows = [tuple(r) for r in R.array_objects(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    got = {}
+    for file, at, text in sorted(rows):
+        got.setdefault(file, []).append(json.loads(text))
+        assert at == len(got[file]) - 1
+    assert got == {f: r for f, r in whole.items() if r} | {"mixed.json": [{"id": 0, "v": {}}, {"id": 1, "v": [{}]}], "torn.json": [{"id": 0, "v": 1}]}
+
+
+def test_an_object_may_fill_many_ranges(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"title": "a", "create_time": 1.5, "mapping": {"n": {"message": {"author": {"role": "user"}, "content": {"parts": ["}" * 5000]}, "create_time": 2}}}}, {"title": None, "mapping": {}}, {"no": "conversation"}]))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        found = R.export_conversations(spark, str(tmp_path))
+        assert [(r["at"], r["title"]) for r in found.orderBy("at").collect()] == [(0, "a"), (1, "Untitled")]
+        assert [r["text"] for r in R.export_messages(found).collect()] == ["}" * 5000]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
