@@ -24,8 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from .shared import local_path, ship
 
-#: Bytes that one task reads, and that are looked through at a time for a line's end.
-RANGE, STEP = 64 << 20, 1 << 16
+#: Bytes that one task reads at most, into how many tasks less is dealt, and bytes that are looked through at a
+#: time for a line's end.
+RANGE, SPREAD, STEP = 64 << 20, 64, 1 << 16
 
 
 def last_line_end(file, size: int) -> int:
@@ -66,9 +67,11 @@ def lines_between(path: str, start: int, stop: int) -> Iterator[tuple[int, str]]
                 at += len(part) + 1
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int, anew: bool) -> None:
-        self.path, self.start, self.stop, self.anew = path, start, stop, anew
+class _Ranges(InputPartition):
+    """(path, start, stop, anew) of the ranges that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, bool]]) -> None:
+        self.ranges = ranges
 
 
 class _Reader(DataSourceStreamReader):
@@ -98,19 +101,31 @@ class _Reader(DataSourceStreamReader):
         return {path: list(entry) for path, (_, entry) in sorted(now.items()) if entry}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        new = []
         for path, (stop, first) in end.items():
             before, first_before = start.get(path, (0, first))
             anew = path not in start or first != first_before or stop < before
-            at = 0 if anew else before
+            if stop > (at := 0 if anew else before):
+                new.append((path, at, stop, anew))
+        # Many small files share a task, a large one has several.
+        most = min(self.range, max(1 << 20, sum(stop - at for _, at, stop, _ in new) // SPREAD))
+        out: list[InputPartition] = []
+        ranges: list[tuple[str, int, int, bool]] = []
+        room = most
+        for path, at, stop, anew in new:
             while at < stop:
-                out.append(_Range(path, at, min(at + self.range, stop), anew))
-                at += self.range
-        return out
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        for place, line in lines_between(partition.path, partition.start, partition.stop):
-            yield partition.path, place, partition.anew, line
+                upto = min(stop, at + room)
+                ranges.append((path, at, upto, anew))
+                room, at = room - (upto - at), upto
+                if not room:
+                    out.append(_Ranges(ranges))
+                    ranges, room = [], most
+        return [*out, _Ranges(ranges)] if ranges else out
+
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        for path, start, stop, anew in partition.ranges:
+            for place, line in lines_between(path, start, stop):
+                yield path, place, anew, line
 
     def commit(self, end: dict) -> None:
         pass
