@@ -150,6 +150,14 @@ def fenced_heading_counts(note: Column) -> Column:
     return F.aggregate(F.split(note, "\n", -1), state, step, lambda s: F.struct(s["q"].alias("q"), s["a"].alias("a")))
 
 
+def marks(notes: DataFrame) -> DataFrame:
+    """filename, head (the front matter with its two lines), head_bytes, q and a (see fenced_heading_counts) of notes
+    (filename, markdown)."""
+    head = F.regexp_extract("markdown", r"\A(---\n(?s:.*?\n)??---(?:\n|\z))", 1)
+    rows = notes.select("filename", head.alias("head"), fenced_heading_counts(F.col("markdown")).alias("n"))
+    return rows.select("filename", "head", F.octet_length("head").cast("long").alias("head_bytes"), F.col("n.q").cast("long").alias("q"), F.col("n.a").cast("long").alias("a"))
+
+
 def with_msg_count(note: Column, count: Column) -> Column:
     """The note with msg_count in its front matter replaced, or put before the closing line."""
     line = F.concat(F.lit("msg_count: "), count.cast("string"), F.lit("\n"))

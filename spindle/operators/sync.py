@@ -23,18 +23,21 @@ FREE = -1
 @dataclass(frozen=True)
 class Notes:
     """What is known of a folder's notes. heads: session_id, filename, msg_count, headings, modified (ms, or null if
-    it does not matter); names: filename of each; texts: gives filename and markdown of the notes listed
-    (filename), so that no other text is moved."""
+    it does not matter); names: filename of each. Of the notes listed (filename), so that no other is looked at: texts
+    gives filename and markdown; marks gives filename, head (the front matter with its two lines), head_bytes, and q and
+    a, how many headings of messages they have outside code."""
 
     heads: DataFrame
     names: DataFrame
     texts: Callable[[DataFrame], DataFrame]
+    marks: Callable[[DataFrame], DataFrame]
 
 
 def of_snapshot(notes: DataFrame) -> Notes:
     """Of a table of whole notes."""
     heads = notes.select("session_id", "filename", F.col("msg_count").cast("int").alias("msg_count"), "headings", F.lit(None).cast("long").alias("modified"))
-    return Notes(heads, notes.select("filename"), lambda names: notes.select("filename", "markdown").join(names, "filename", "left_semi"))
+    texts = lambda names: notes.select("filename", "markdown").join(names, "filename", "left_semi")
+    return Notes(heads, notes.select("filename"), texts, lambda names: N.marks(texts(names)))
 
 
 def one_note_each(notes: DataFrame) -> DataFrame:
@@ -84,42 +87,69 @@ def new_messages(messages: DataFrame, dispatched: DataFrame) -> DataFrame:
     return M.numbered(late, F.col("q0"), F.col("a0")).drop("skip", "q0", "a0")
 
 
-def synced(messages: DataFrame, sessions: DataFrame, notes: Notes, dialect: N.Dialect) -> DataFrame:
-    """session_id, action, from_count, to_count, filename, markdown, expects of every session. filename and
-    markdown are null where nothing is to be written; expects is what the sink must find there: FREE for a created
-    note, the time of the one appended to. sessions: session_id, date, title, source, msg_count, worth;
-    messages: the spoken ones, seq in order; notes may have any number of a session. Where the dialect stores no
-    count, it is told by the headings. Only texts that are appended to are read."""
+@dataclass(frozen=True)
+class Synced:
+    """What becomes of each session, and what is to be written, by message: no note is held in one row.
+
+    rows: session_id, action, from_count, to_count, filename, expects, front, keep_from and perhaps more. filename and
+    front are null where nothing is to be written. expects is what the sink must find there: FREE for a created note, the
+    time of the one appended to. front is what the note begins with; keep_from, null for created notes, the byte from which the
+    note held stays as it is behind that. blocks: session_id, seq, block: what follows, in order. texts: see Notes."""
+
+    rows: DataFrame
+    blocks: DataFrame
+    texts: Callable[[DataFrame], DataFrame]
+    dialect: N.Dialect
+
+    def whole(self) -> DataFrame:
+        """rows with markdown in place of front and keep_from: each note as one string, 2 GB at most."""
+        pieces = F.array_sort(F.collect_list(F.struct("seq", "block")))
+        body = self.blocks.groupBy("session_id").agg(F.array_join(F.transform(pieces, lambda p: p["block"]), "").alias("_body"))
+        grown = self.rows.where(F.col("action") == APPENDED).select("filename")
+        held = self.texts(grown).select("filename", F.col("markdown").alias("_held"))
+        joined = self.rows.join(body, "session_id", "left").join(held, "filename", "left").withColumn("_body", F.coalesce("_body", F.lit("")))
+        appended = F.concat(F.regexp_replace("_held", r"(?<!\n)\n*\z", "\n\n"), F.col("_body"))
+        if self.dialect.has_msg_count:
+            appended = N.with_msg_count(appended, F.col("to_count"))
+        markdown = F.when(F.col("action") == CREATED, F.concat("front", "_body")).when(F.col("action") == APPENDED, appended)
+        columns = [c for c in self.rows.columns if c not in ("front", "keep_from", "expects")]
+        at = columns.index("filename") + 1
+        return joined.select(*columns[:at], markdown.alias("markdown"), "expects", *columns[at:])
+
+
+def synced(messages: DataFrame, sessions: DataFrame, notes: Notes, dialect: N.Dialect) -> Synced:
+    """sessions: session_id, date, title, source, msg_count, worth; messages: the spoken ones, seq in order; notes may
+    have any number of a session. Where the dialect stores no count, it is told by the headings. Only notes that are
+    appended to are looked at, and none of their text is moved."""
     held = one_note_each(notes.heads).withColumns({"q_count": F.lit(0), "a_count": F.lit(0)})
     dispatched = stage(dispatch(sessions, held if dialect.has_msg_count else notes_reached(messages, held)), "dispatched")
-    grown = stage(dispatched.where(F.col("action") == APPENDED).select(F.col("old_filename").alias("filename")), "appended-names")
-    texts = notes.texts(grown).select(F.col("filename").alias("appended_to"), F.col("markdown").alias("old_markdown"))
+    appended_to = F.when(F.col("action") == APPENDED, F.col("old_filename"))
+    numbered = dispatched
+    front, keep_from = F.lit(""), F.lit(0)
     if dialect.has_msg_count:
-        texts = stage(texts.withColumn("counts", N.fenced_heading_counts(F.col("old_markdown"))), "appended-texts")
-        found = texts.select(F.col("appended_to").alias("old_filename"), F.col("counts.q").alias("old_q"), F.col("counts.a").alias("old_a"))
-        numbered = dispatched.drop("old_q", "old_a").join(found, "old_filename", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_q", "old_a")})
-    else:
-        numbered = dispatched
-    delta = M.rendered(new_messages(messages, numbered)).select("session_id", "body")
+        grown = stage(dispatched.where(F.col("action") == APPENDED).select(F.col("old_filename").alias("filename")), "appended-names")
+        marks = stage(notes.marks(grown), "appended-marks").select(F.col("filename").alias("old_filename"), "head", "head_bytes", F.col("q").alias("old_q"), F.col("a").alias("old_a"))
+        numbered = dispatched.drop("old_q", "old_a").join(marks, "old_filename", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_q", "old_a")})
+        front, keep_from = N.with_msg_count(F.col("head"), F.col("msg_count")), F.col("head_bytes")
+    late = new_messages(messages, numbered)
     due = dispatched.where(F.col("action") == CREATED).select("session_id", N.base_name(dialect).alias("base"))
     # The beginnings of ids, in whose order names are given, follow that order.
     named = N.free_names(due, "base", notes.names, ["session_id"], F.substring("session_id", 1, 12)).select("session_id", "filename")
     times = held.select(F.col("filename").alias("appended_to"), F.col("modified").alias("old_modified"))
-    rows = dispatched.withColumn("appended_to", F.when(F.col("action") == APPENDED, F.col("old_filename"))).join(texts.drop("counts"), "appended_to", "left").join(times, "appended_to", "left")
-    joined = rows.join(delta, "session_id", "left").join(named, "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
-    appended = F.concat(F.regexp_replace("old_markdown", r"(?<!\n)\n*\z", "\n\n"), F.col("body"))
-    if dialect.has_msg_count:
-        appended = N.with_msg_count(appended, F.col("msg_count"))
+    joined = numbered.withColumn("appended_to", appended_to).join(times, "appended_to", "left").join(named, "session_id", "left")
     written = F.col("action").isin(CREATED, APPENDED)
-    return joined.select(
+    created, appended = F.col("action") == CREATED, F.col("action") == APPENDED
+    rows = joined.select(
         "session_id",
         "action",
         F.coalesce("old_count", F.lit(0)).cast("long").alias("from_count"),
         F.when(written, F.col("msg_count")).otherwise(F.coalesce("old_count", F.lit(0))).cast("long").alias("to_count"),
-        F.when(F.col("action") == CREATED, F.col("filename")).otherwise(F.col("appended_to")).alias("filename"),
-        F.when(F.col("action") == CREATED, N.markdown(dialect)).when(F.col("action") == APPENDED, appended).alias("markdown"),
-        F.when(F.col("action") == CREATED, F.lit(FREE)).when(F.col("action") == APPENDED, F.col("old_modified")).cast("long").alias("expects"),
+        F.when(created, F.col("filename")).otherwise(F.col("appended_to")).alias("filename"),
+        F.when(created, F.lit(FREE)).when(appended, F.col("old_modified")).cast("long").alias("expects"),
+        F.when(created, N.front_matter(dialect)).when(appended, front).alias("front"),
+        F.when(appended, keep_from).cast("long").alias("keep_from"),
     )
+    return Synced(rows, late.select("session_id", F.col("seq").cast("long").alias("seq"), M.block().alias("block")), notes.texts, dialect)
 
 
 def outcomes(rows: DataFrame) -> DataFrame:

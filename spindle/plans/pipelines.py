@@ -8,6 +8,7 @@ and the retry of a lost executor, read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,11 @@ def export_notes(spark: SparkSession, path: str) -> DataFrame:
     return written.unionByName(rows.where("body IS NULL").select("session_id", F.lit(S.SKIPPED).alias("action"), none.alias("filename"), none.alias("markdown")))
 
 
-def _failed(rows: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return rows.select("session_id", F.lit(S.FAILED).alias("action"), F.lit(0).cast("long").alias("from_count"), F.lit(0).cast("long").alias("to_count"), none.alias("filename"), none.alias("markdown"), none.cast("long").alias("expects"), "reason")
+def _with_failed(made: S.Synced, failed: DataFrame) -> S.Synced:
+    """With rows of the sessions that failed (session_id, reason); the rows made have a reason."""
+    values = {"action": F.lit(S.FAILED), "from_count": F.lit(0), "to_count": F.lit(0), "session_id": F.col("session_id"), "reason": F.col("reason")}
+    rows = failed.select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in made.rows.schema))
+    return replace(made, rows=made.rows.unionByName(rows))
 
 
 def _notes(spark: SparkSession, notes: S.Notes | DataFrame | None) -> S.Notes:
@@ -67,8 +70,8 @@ def _read(documents: DataFrame, used_fallback: bool) -> DataFrame:
     return stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
 
 
-def sync_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> DataFrame:
-    """Sessions (of wanted, or all): session_id, action, from_count, to_count, filename, markdown, reason.
+def plan_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> S.Synced:
+    """What becomes of sessions (of wanted, or all), and why one fails.
 
     A session that documents lack is taken from fallback (event logs), which its reason says; the fallback
     is asked only for such sessions, and only if there are any. The high-water mark is how many of the session's
@@ -91,26 +94,36 @@ def sync_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | Da
     spoken = M.spoken(all_messages).drop("title")
     sessions = read.where("reason IS NULL").select("session_id", "source", "date").join(M.facts_of_titled(all_messages), "session_id", "left")
     counted = sessions.withColumn("title", F.coalesce("title", F.lit(T.UNTITLED))).withColumn("msg_count", F.coalesce("qa_count", F.lit(0))).withColumn("worth", F.coalesce("all_count", F.lit(0)) > 0)
-    rows = S.synced(spoken, counted, _notes(spark, notes), N.SESSION)
+    made = S.synced(spoken, counted, _notes(spark, notes), N.SESSION)
     why = read.where("used_fallback").select("session_id", F.lit(FROM_EVENT_LOG).alias("reason"))
-    return rows.join(why, "session_id", "left").unionByName(_failed(read.where("reason IS NOT NULL")))
+    return _with_failed(replace(made, rows=made.rows.join(why, "session_id", "left")), read.where("reason IS NOT NULL"))
+
+
+def sync_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> DataFrame:
+    """plan_sessions with whole notes: session_id, action, from_count, to_count, filename, markdown, expects, reason."""
+    return plan_sessions(spark, documents, notes, wanted, fallback).whole()
+
+
+def plan_rollouts(spark: SparkSession, folder: str, notes: S.Notes | DataFrame | None = None) -> S.Synced:
+    """Rollout files. The high-water mark is the msg_count that the note stores. Of files with the same session
+    id, the smallest path counts."""
+    return plan_rollout_events(spark, stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events"), notes)
 
 
 def sync_rollouts(spark: SparkSession, folder: str, notes: S.Notes | DataFrame | None = None) -> DataFrame:
-    """Rollout files: the columns of sync_sessions. The high-water mark is the msg_count that the note
-    stores. Of files with the same session id, the smallest path counts."""
-    return sync_rollout_events(spark, stage(R.rollout_events(R.rollout_lines(spark, folder)), "rollout-events"), notes)
+    """plan_rollouts with whole notes: the columns of sync_sessions."""
+    return plan_rollouts(spark, folder, notes).whole()
 
 
-def sync_rollout_events(spark: SparkSession, events: DataFrame, notes: S.Notes | DataFrame | None = None) -> DataFrame:
-    """The same of a written table of rollout events (path, place, session, said) that holds whole files."""
+def plan_rollout_events(spark: SparkSession, events: DataFrame, notes: S.Notes | DataFrame | None = None) -> S.Synced:
+    """plan_rollouts of a written table of rollout events (path, place, session, said) that holds whole files."""
     checked = R.rollout_validated(R.rollout_sessions(events))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
     spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
     sessions = good.join(M.facts(spoken), "session_id", "left")
     sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
-    rows = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _notes(spark, notes), N.ROLLOUT).withColumn("reason", F.lit(None).cast("string"))
-    return rows.unionByName(_failed(checked.where("reason IS NOT NULL")))
+    made = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _notes(spark, notes), N.ROLLOUT)
+    return _with_failed(replace(made, rows=made.rows.withColumn("reason", F.lit(None).cast("string"))), checked.where("reason IS NOT NULL"))
 
 
 #: Parts into which the events of a stream are dealt by path.
@@ -145,15 +158,20 @@ def keep_rollout_batch(events: DataFrame, table: str, batch: int) -> DataFrame |
     return stage(held.join(due, "path").where(F.col("batch") >= F.col("since")).select("path", "place", "session", "said"), "due-events")
 
 
-def write(rows: DataFrame, folder: str, sync: bool = True, index: str | None = None, log: str | None = None, token: str | None = None) -> DataFrame:
-    """Write the notes that rows hold, all or none, and return the number of sessions by outcome. The plan of rows
-    reads the folder that is written to, so rows are a written table before the first note is.
+def write(rows: DataFrame | S.Synced, folder: str, sync: bool = True, index: str | None = None, log: str | None = None, token: str | None = None) -> DataFrame:
+    """Write the notes that rows hold, or that are planned, all or none, and return the number of sessions by outcome.
+    The plan reads the folder that is written to, so rows are a written table before the first note is. Notes that are
+    planned are written message by message, and may be of any length.
 
     index: a folder to whose table the created notes' session_id and filename are appended. log: one
     to which each session's outcome is appended, with the time of the run. token: of the folder's lock.
     """
-    kept = stage(rows, "notes")
-    note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync, token)
+    if isinstance(rows, S.Synced):
+        kept = stage(rows.rows, "notes")
+        note_files.write_blocks(kept.where("front IS NOT NULL"), rows.blocks, folder, sync, token)
+    else:
+        kept = stage(rows, "notes")
+        note_files.write_notes(kept.where("markdown IS NOT NULL"), folder, sync, token)
     if index is not None:
         R.append_index(kept.where(F.col("action") == S.CREATED), index)
     if log is not None:

@@ -20,7 +20,8 @@ import threading
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from .shared import local_path, ship
 #: Fixed value: seconds after which the lock of a run that gave no sign of life counts as left behind.
 LOCK_STALE_S = 300
 LOCK, MUTEX, RUN, JOURNAL, NAMES = ".sync.lock", ".sync.mutex", ".run-", "journal", "names"
+#: Bytes that are read at a time.
+BLOCK = 1 << 14
 #: What a name must be when a run is committed, besides a time of change: no matter what, or free.
 ANY, FREE = None, -1
 
@@ -64,6 +67,22 @@ def _opened(folder: str) -> Iterator[int]:
         os.close(at)
 
 
+@contextmanager
+def _regular(at: int, name: str) -> Iterator[BinaryIO | None]:
+    """A file of an opened folder, to read; None for a link, what is no regular file, and what went."""
+    try:
+        file = os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=at)
+    except OSError:
+        yield None
+        return
+    if not stat.S_ISREG(os.fstat(file).st_mode):
+        os.close(file)
+        yield None
+        return
+    with open(file, "rb") as f:
+        yield f
+
+
 # -- the lock --------------------------------------------------------------------------------------
 
 
@@ -190,6 +209,24 @@ def _changed(at: int, name: str) -> int | None:
     return found.st_mtime_ns // 1_000_000
 
 
+def _keep(at: int, name: str, expects: int | None, start: int, note: BinaryIO) -> None:
+    """Copy the note held, from a byte on, behind what is written of the new one, and end it with one empty line."""
+    with _regular(at, name) as f:
+        if f is None or expects is not None and os.fstat(f.fileno()).st_mtime_ns // 1_000_000 != expects:
+            raise Conflict(f"{name!r} has changed since it was read")
+        f.seek(start)
+        shutil.copyfileobj(f, note, BLOCK)
+    end, text = note.tell(), b""
+    while end and not text:
+        size = min(end, BLOCK)
+        note.seek(end - size)
+        text = note.read(size).rstrip(b"\n")
+        end -= size - len(text)
+    note.seek(end)
+    note.truncate()
+    note.write(b"\n\n")
+
+
 class _Task(WriterCommitMessage):
     def __init__(self, folder: str) -> None:
         self.folder = folder
@@ -201,14 +238,27 @@ class _Writer(DataSourceWriter):
         self.run = os.path.join(self.folder, RUN + options["run"])
 
     def write(self, rows) -> WriterCommitMessage:
-        task = uuid.uuid4().hex
+        task, count, note = uuid.uuid4().hex, 0, None
         os.makedirs(os.path.join(self.run, task))
-        with open(os.path.join(self.run, task, NAMES), "w", encoding="utf-8") as names:
-            for i, row in enumerate(rows):
-                names.write(json.dumps([i, plain_name(row["filename"]), row["expects"]]) + "\n")
-                with open(os.path.join(self.run, task, str(i)), "w", encoding="utf-8", newline="") as f:
-                    f.write(row["markdown"])
-                    self._flushed(f)
+        with ExitStack() as last, _opened(self.folder) as there, open(os.path.join(self.run, task, NAMES), "w", encoding="utf-8") as names:
+            for row in rows:
+                if row["filename"] is not None:
+                    if note is not None:
+                        self._flushed(note)
+                    last.close()
+                    name, expects, keep_from = plain_name(row["filename"]), row["expects"], row["keep_from"]
+                    names.write(json.dumps([count, name, expects]) + "\n")
+                    note = last.enter_context(open(os.path.join(self.run, task, str(count)), "w+b"))
+                    count += 1
+                    note.write(row["markdown"].encode("utf-8"))
+                    if keep_from is not None:
+                        _keep(there, name, expects, keep_from, note)
+                elif note is None:
+                    raise ValueError("a piece without a note before it")
+                else:
+                    note.write(row["markdown"].encode("utf-8"))
+            if note is not None:
+                self._flushed(note)
             self._flushed(names)
         return _Task(task)
 
@@ -248,7 +298,7 @@ class NoteFiles(DataSource):
         return "notefiles"
 
     def schema(self) -> str:
-        return "filename string, markdown string, expects long"
+        return "filename string, markdown string, expects long, keep_from long"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options)
@@ -259,25 +309,45 @@ def write_notes(notes: DataFrame, folder: str, sync: bool = True, token: str | N
     change (ms) of the note that the row replaces, or FREE; a run whose notes are otherwise by now fails with a
     Conflict and changes nothing. token: of the lock, without which the run is refused. sync: force the files and
     the folder to disk."""
-    spark: SparkSession = notes.sparkSession
+    expects = F.col("expects").cast("long") if "expects" in notes.columns else F.lit(ANY).cast("long")
+    _save(notes.select("filename", "markdown", expects.alias("expects"), F.lit(None).cast("long").alias("keep_from")), folder, sync, token)
+
+
+def write_blocks(rows: DataFrame, blocks: DataFrame, folder: str, sync: bool = True, token: str | None = None) -> None:
+    """The same of notes in pieces: rows (session_id, filename, front, expects, keep_from), one for each note, and blocks
+    (session_id, seq, block). A note is its front, what the one held has from the byte keep_from on (nothing if that is null)
+    with one empty line at its end, and its blocks by seq. Pieces are sorted by note on disk where they are many and
+    written one by one, so a note of any length takes a bounded memory; its pieces go through one task."""
+    null = lambda t: F.lit(None).cast(t)
+    first = rows.select("session_id", F.lit(False).alias("_later"), null("long").alias("_seq"), "filename", F.col("front").alias("markdown"), F.col("expects").cast("long").alias("expects"), F.col("keep_from").cast("long").alias("keep_from"))
+    later = blocks.select("session_id", F.lit(True), F.col("seq").cast("long"), null("string"), "block", null("long"), null("long"))
+    pieces = first.union(later).repartition("session_id").sortWithinPartitions("session_id", "_later", "_seq")
+    _save(pieces.select("filename", "markdown", "expects", "keep_from"), folder, sync, token)
+
+
+def _save(pieces: DataFrame, folder: str, sync: bool, token: str | None) -> None:
+    """Pieces in order: one with a filename begins a note, one without goes on with it."""
+    spark: SparkSession = pieces.sparkSession
     real = guard(folder)
     ship(spark)
     spark.dataSource.register(NoteFiles)
-    expects = F.col("expects").cast("long") if "expects" in notes.columns else F.lit(ANY).cast("long")
-    sink = notes.select("filename", "markdown", expects.alias("expects")).write.format("notefiles").mode("append").option("path", real)
+    sink = pieces.write.format("notefiles").mode("append").option("path", real)
     sink = sink.option("sync", str(sync).lower()).option("run", uuid.uuid4().hex)
     (sink if token is None else sink.option("token", token)).save()
 
 
 # -- what is read of notes -------------------------------------------------------------------------
 
-#: Bytes that are read at a time.
-BLOCK = 1 << 14
 #: A line that begins like a message heading, in the lines of Java's patterns: \r and the Unicode ends begin one too.
 _HEADING = re.compile(rb"(?:\A|\r|\xc2\x85|\xe2\x80[\xa8\xa9])## [QA][0-9]")
 HEAD = "filename string, head string, modified long, headings long"
 
 
+#: A line that is a message heading.
+_MESSAGE = re.compile(r"## ([QA])\d+")
+MARKS = "filename string, head string, head_bytes long, q long, a long"
+
+
 def _front(data: bytes, ended: bool) -> int:
     """The byte behind the line that ends the front matter, 0 without any, -1 if that can't be told yet."""
     if not data.startswith(b"---\n"):
@@ -288,25 +358,45 @@ def _front(data: bytes, ended: bool) -> int:
     return -1 if not ended else len(data) if data.endswith(b"\n---") else 0
 
 
+def _read_front(f: BinaryIO) -> bytes:
+    """The front matter of a note, with its two lines; no more is read than that needs."""
+    data = more = f.read(BLOCK)
+    while (end := _front(data, not more)) < 0:
+        data += (more := f.read(BLOCK))
+    return data[:end]
+
+
+def marks_of(at: int, name: str) -> tuple[str, int, int, int] | None:
+    """The front matter of a note, its bytes, and how many headings of questions and answers the note has outside
+    fenced code; by the folder's descriptor, in blocks. None for what is no regular file, or went."""
+    with _regular(at, name) as f:
+        if f is None:
+            return None
+        head = _read_front(f)
+        f.seek(0)
+        code, begins, found = False, True, {"Q": 0, "A": 0}
+        while piece := f.readline(BLOCK):  # the rest of a longer line begins no line
+            if begins and piece.startswith(b"```"):
+                code = not code
+            elif begins and not code and (m := _MESSAGE.fullmatch(piece.removesuffix(b"\n").decode("utf-8", "replace"))):
+                found[m[1]] += 1
+            begins = piece.endswith(b"\n")
+        return head.decode("utf-8", "replace"), len(head), found["Q"], found["A"]
+
+
 def head_of(at: int, name: str, whole: bool) -> tuple[str, int, int | None] | None:
     """The front matter of a note, when it was changed last (ms) and, if whole, how many of its lines begin like
     a message heading; by the folder's descriptor. None for what is no regular file, or went."""
-    try:
-        file = os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=at)
-    except OSError:
-        return None
-    with open(file, "rb") as f:
-        found = os.fstat(file)
-        if not stat.S_ISREG(found.st_mode):
+    with _regular(at, name) as f:
+        if f is None:
             return None
-        data = more = f.read(BLOCK)
-        while (end := _front(data, not more)) < 0:
-            data += (more := f.read(BLOCK))
+        found = os.fstat(f.fileno())
+        head = _read_front(f)
         headings = None
         if whole:
             f.seek(0)
             headings = sum(len(_HEADING.findall(line)) for line in f)
-        return data[:end].decode("utf-8", "replace"), found.st_mtime_ns // 1_000_000, headings
+        return head.decode("utf-8", "replace"), found.st_mtime_ns // 1_000_000, headings
 
 
 def _head_rows(folder: str, whole: bool):
@@ -361,12 +451,8 @@ def _text_rows(folder: str):
         with _opened(folder) as at:
             for batch in batches:
                 for name in batch.column(0).to_pylist():
-                    try:
-                        file = os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=at)
-                    except OSError:
-                        continue
-                    with open(file, "rb") as f:
-                        if stat.S_ISREG(os.fstat(file).st_mode):
+                    with _regular(at, name) as f:
+                        if f is not None:
                             yield _batch([(name, f.read().decode("utf-8", "replace"))], "filename string, markdown string")
 
     return run
@@ -383,3 +469,18 @@ def heads(names: DataFrame, folder: str, whole: bool) -> DataFrame:
     (filename) lists; links and what is gone are left out. No text leaves a task; headings is null unless whole."""
     ship(names.sparkSession)
     return names.select("filename").mapInArrow(_head_rows(folder, whole), HEAD)
+
+
+def _mark_rows(folder: str):
+    def run(batches):
+        with _opened(folder) as at:
+            for batch in batches:
+                yield _batch([(name, *found) for name in batch.column(0).to_pylist() if (found := marks_of(at, name))], MARKS)
+
+    return run
+
+
+def marks(names: DataFrame, folder: str) -> DataFrame:
+    """MARKS of the notes that names (filename) lists; links and what is gone are left out. No text leaves a task."""
+    ship(names.sparkSession)
+    return names.select("filename").mapInArrow(_mark_rows(folder), MARKS)

@@ -316,7 +316,7 @@ def held_notes(spark: SparkSession, folder: str, index: str | None = None, whole
     if known is not None:
         heads = heads.unionByName(known.select(*columns, "modified"))
 
-    return S.Notes(heads, names.select("filename"), lambda wanted: note_files.note_texts(wanted, folder))
+    return S.Notes(heads, names.select("filename"), lambda wanted: note_files.note_texts(wanted, folder), lambda wanted: note_files.marks(wanted, folder))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..sources import grown, note_files, transcripts
 from ..sources.shared import stage
 
 
-def _alone(spark: SparkSession, folder: str, run: Callable[[S.Notes | None], DataFrame], whole: bool | None, index: str | None = None, **sinks) -> DataFrame | None:
+def _alone(spark: SparkSession, folder: str, run: Callable[[S.Notes | None], DataFrame | S.Synced], whole: bool | None, index: str | None = None, **sinks) -> DataFrame | None:
     """Write what run makes of the notes held; None if another run holds the folder. whole: whether headings are
     counted; None: the notes held do not matter."""
     real = note_files.guard(folder)
@@ -30,7 +30,7 @@ def _alone(spark: SparkSession, folder: str, run: Callable[[S.Notes | None], Dat
 
 def sync_now(spark: SparkSession, sessions: str, folder: str, **sinks) -> DataFrame | None:
     """One run over the rollout files."""
-    return _alone(spark, folder, lambda held: pipelines.sync_rollouts(spark, sessions, held), False, **sinks)
+    return _alone(spark, folder, lambda held: pipelines.plan_rollouts(spark, sessions, held), False, **sinks)
 
 
 def sync_sessions_now(spark: SparkSession, catalogue: str, documents: str, logs: str | list[str] | None, folder: str, wanted: DataFrame | None = None, **sinks) -> DataFrame | None:
@@ -38,11 +38,11 @@ def sync_sessions_now(spark: SparkSession, catalogue: str, documents: str, logs:
     what documents lack is read from the event logs. Only documents of these sessions, and only logs of those
     without a document that can be read, are opened."""
 
-    def run(held: S.Notes) -> DataFrame:
+    def run(held: S.Notes) -> S.Synced:
         due = S.not_from(transcripts.session_catalogue(spark, catalogue), "codex") if wanted is None else wanted
         due = stage(due.select("session_id").distinct(), "due")
         fallback = None if logs is None else lambda missing, held: transcripts.event_log_documents(spark, logs, wanted=missing, held=held)
-        return pipelines.sync_sessions(spark, transcripts.session_documents(spark, documents, due), held, due, fallback)
+        return pipelines.plan_sessions(spark, transcripts.session_documents(spark, documents, due), held, due, fallback)
 
     return _alone(spark, folder, run, True, **sinks)
 
@@ -70,7 +70,7 @@ def follow_rollouts(spark: SparkSession, sessions: str, folder: str, table: str,
     def run(batch: DataFrame, number: int) -> None:
         events = transcripts.rollout_events(transcripts.grown_rollout_lines(batch), "anew")
         due = pipelines.keep_rollout_batch(events, table, number)
-        if due is not None and _alone(spark, folder, lambda held: pipelines.sync_rollout_events(spark, due, held), False, **sinks) is None:
+        if due is not None and _alone(spark, folder, lambda held: pipelines.plan_rollout_events(spark, due, held), False, **sinks) is None:
             raise RuntimeError(f"another run holds {folder}")
 
     lines = grown.grown_lines(spark, sessions, "rollout-*.jsonl")

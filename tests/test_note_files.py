@@ -1,12 +1,15 @@
 """The folder of notes: lock, commit and recovery, links, and what is read of notes."""
 
+import json
 import os
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from spindle.operators import notes as N
+from spindle.plans import pipelines as P
 from spindle.sources import note_files as W
 from spindle.sources import transcripts as R
 from spindle.streaming import sync
@@ -28,8 +31,8 @@ def writer(folder, run="r", **options):
     return W._Writer({"path": str(folder), "run": run, **options})
 
 
-def note(name, text, expects=None):
-    return {"filename": name, "markdown": text, "expects": expects}
+def note(name, text, expects=None, keep_from=None):
+    return {"filename": name, "markdown": text, "expects": expects, "keep_from": keep_from}
 
 
 # -- the lock --------------------------------------------------------------------------------------
@@ -162,6 +165,83 @@ def test_notes_that_changed_meanwhile_are_not_overwritten(tmp_path):
     assert path.read_text() == "A" and (tmp_path / "new.md").read_text() == "N"
 
 
+# -- notes in pieces -------------------------------------------------------------------------------
+
+
+def test_a_note_of_many_pieces_takes_a_bounded_memory(tmp_path):
+    def pieces():
+        yield note("a.md", "---\nmsg_count: 9\n---\n", None, 5)
+        for i in range(60_000):
+            yield note(None, f"{i:04096d}")
+        yield note("b.md", "B")
+        yield note(None, "")
+        yield note(None, "é\r\n")
+
+    old = b"old\n\xff" + b"kept\n" * 3_000_000 + b"\n" * 50_000
+    (tmp_path / "a.md").write_bytes(old)
+    run = writer(tmp_path, sync="false")
+    tracemalloc.start()
+    run.commit([run.write(pieces())])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2 << 20
+    data = (tmp_path / "a.md").read_bytes()
+    front = b"---\nmsg_count: 9\n---\n" + old[5:].rstrip(b"\n") + b"\n\n"
+    assert len(data) == len(front) + 60_000 * 4096 and data.startswith(front) and data.endswith(b"%04096d" % 59_999)
+    assert (tmp_path / "b.md").read_bytes() == "Bé\r\n".encode() and left(tmp_path) == []
+
+
+@pytest.mark.parametrize("old", ["", "\n", "\n\n\n", "x", "x\n", "x\n\n", "x\n\n\n\n", "x\n" * 9000 + "\n" * 20_000, "x" * W.BLOCK, "x" * (W.BLOCK - 1) + "\n", "\n" * W.BLOCK * 2])
+def test_a_note_held_ends_with_one_empty_line(tmp_path, old):
+    (tmp_path / "a.md").write_text(old)
+    run = writer(tmp_path)
+    run.commit([run.write([note("a.md", "", None, 0), note(None, "new")])])
+    assert texts(tmp_path) == {"a.md": old.rstrip("\n") + "\n\nnew"}
+
+
+def test_pieces_need_a_note_and_the_note_that_was_read(tmp_path):
+    with pytest.raises(ValueError, match="without a note"):
+        writer(tmp_path, "r1").write([note(None, "x")])
+    (tmp_path / "a.md").write_text("a")
+    os.symlink(tmp_path / "a.md", tmp_path / "link.md")
+    (tmp_path / "dir.md").mkdir()
+    read = os.stat(tmp_path / "a.md").st_mtime_ns // 1_000_000
+    for i, (name, expects) in enumerate([("a.md", read + 1), ("link.md", None), ("dir.md", None), ("gone.md", None)]):
+        run = writer(tmp_path, f"x{i}")
+        with pytest.raises(W.Conflict):
+            run.write([note(name, "", expects, 0)])
+        run.abort([])
+    assert (tmp_path / "a.md").read_text() == "a"
+
+
+def test_notes_in_pieces_are_those_that_are_whole(spark, tmp_path):
+    """Created and appended notes of rollouts, one of them with nearly all messages, of held notes edited by hand."""
+    ids = [UUID[:-1] + c for c in "abcdef"]
+    held = {
+        "a": "---\nsession_id: {}\nmsg_count: 3\n---\n## Q1\n```\n## Q2\n## A1\n", "b": "---\nmsg_count: 1\nsession_id: {}\nmsg_count: 2\n---\n\n\n## A1\n\n\n",
+        "c": "---\nsession_id: {}\nmsg_count: 1\n---", "d": "---\nsession_id: {}\nmsg_count: 5000\n---\nx",
+    }
+    logs = tmp_path / "in"
+    logs.mkdir()
+    for i, sid in enumerate(ids):
+        lines = [ROLLOUT[0].replace(UUID, sid)]
+        for n in range(4000 if i == 0 else 5):
+            lines.append(json.dumps({"type": "response_item", "payload": {"type": "message", "role": ("user", "assistant")[n % 3 == 1], "content": [{"type": "input_text", "text": f"{n} tell me ü\n\n## Q7\r\n"}]}}))
+        (logs / f"rollout-{i}.jsonl").write_text("\n".join(lines))
+    folders = [tmp_path / "pieces", tmp_path / "whole"]
+    for folder in folders:
+        folder.mkdir()
+        for c, text in held.items():
+            (folder / f"{c}.md").write_text(text.format(UUID[:-1] + c))
+    for _ in range(2):
+        P.write(P.plan_rollouts(spark, str(logs), R.held_notes(spark, str(folders[0]))), str(folders[0]))
+        P.write(P.sync_rollouts(spark, str(logs), R.notes_snapshot(spark, str(folders[1]))), str(folders[1]))
+        pieces, whole = ({p.name: p.read_bytes() for p in f.glob("*.md")} for f in folders)
+        assert pieces == whole and len(pieces) == 6
+    assert pieces["a.md"].startswith(f"---\nsession_id: {ids[0]}\nmsg_count: 4000\n---\n## Q1\n```\n## Q2\n## A1\n\n## Q2\n3 tell".encode())
+    assert pieces["a.md"].count(b"tell me") == 3997 and pieces["d.md"].endswith(b"---\nx")
+
+
 # -- what is read of notes -------------------------------------------------------------------------
 
 
@@ -180,6 +260,19 @@ def test_heads_say_what_whole_notes_say(spark, tmp_path):
         assert got == {f: (s, n, h if whole else None) for f, (s, n, h) in snapshot.items()}
 
 
+def test_marks_in_place_are_those_of_whole_notes(spark, tmp_path):
+    bodies = ["", "---\n---", "---\nsession_id: y\n---\n## Q1\n## A12\n## Q٣\n## Q1 \n## Q\n ## Q4\n## A1\r\n## Q5", "```\n## Q1\n```js\n## Q2\n\n```\n## A1\n",
+              "---\né: ü\n---\n" + "x" * (W.BLOCK - 2) + "## Q1\n" + "y" * (W.BLOCK - 18) + "\n```" + "z" * W.BLOCK + "```\n## A3\n```\n## A4\n"]
+    for i, body in enumerate(bodies):
+        (tmp_path / f"n{i}.md").write_bytes(body.encode())
+    (tmp_path / "dir.md").mkdir()
+    os.symlink(tmp_path / "n2.md", tmp_path / "link.md")
+    rows = spark.createDataFrame([(f"n{i}.md", b) for i, b in enumerate(bodies)], "filename string, markdown string")
+    names = rows.select("filename").union(spark.createDataFrame([("dir.md",), ("link.md",), ("gone.md",)], "filename string"))
+    assert {tuple(r) for r in W.marks(names, str(tmp_path)).collect()} == {tuple(r) for r in N.marks(rows).collect()}
+    assert {(r["q"], r["a"]) for r in N.marks(rows).collect()} == {(0, 0), (3, 1), (1, 0), (0, 1)}
+
+
 def test_indexed_notes_are_not_opened_until_they_change(spark, tmp_path, monkeypatch):
     notes, index = tmp_path / "notes", str(tmp_path / "index")
     notes.mkdir()
@@ -224,8 +317,9 @@ def test_a_run_without_news_moves_no_text(spark, tmp_path, monkeypatch):
     index = str(tmp_path / "index")
     run = lambda: {r["action"]: r["sessions"] for r in sync.sync_now(spark, str(logs), str(notes), index=index).collect()}
     assert run() == {"created": 1}
-    asked, real = [], W.note_texts
-    monkeypatch.setattr(W, "note_texts", lambda names, folder: (asked.append(names), real(names, folder))[1])
+    asked, real = [], W.marks
+    monkeypatch.setattr(W, "marks", lambda names, folder: (asked.append(names), real(names, folder))[1])
+    monkeypatch.setattr(W, "note_texts", lambda names, folder: pytest.fail("a note's text is moved"))
     assert run() == {"unchanged": 1}
     assert [x.count() for x in asked] == [0]
     (name,) = texts(notes)
