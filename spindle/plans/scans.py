@@ -10,6 +10,7 @@ from ..functions import content as C
 from ..operators import messages as M
 from ..operators import notes as N
 from ..operators import sync as S
+from ..operators.running import running_counts
 from ..sources import note_files
 from ..sources import transcripts as R
 from ..sources.shared import drop_at_exit, fresh_folder, local_path, stage
@@ -81,13 +82,22 @@ def _uuid(conv: Column) -> Column:
     return F.concat(F.lpad(conv, 8, "0"), F.lit("-0000-4000-8000-000000000000"))
 
 
-def _rollout_text(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
-    """filename and text of a rollout file for each conversation; its last line has no end."""
+def _rollout_event() -> Column:
+    """The line of a message in a rollout file."""
     said = F.when(F.col("role") == "assistant", "output_text").otherwise("input_text")
     payload = F.struct(F.lit("message").alias("type"), F.col("role"), F.array(F.struct(said.alias("type"), F.col("text"))).alias("content"))
-    rows = _sessions(spark, sf_dir, F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))), upto)
-    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("2026-03-01T09:00:01Z").alias("timestamp"), F.struct(_uuid(F.col("conv")).alias("id")).alias("payload")))
-    return rows.select(F.concat(F.lit("rollout-"), "conv", F.lit(".jsonl")).alias("filename"), F.concat_ws("\n", meta, F.array_join("items", "\n")).alias("text"))
+    return F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
+
+
+def _rollout_meta(conv: Column) -> Column:
+    """The first line of a rollout file."""
+    return F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("2026-03-01T09:00:01Z").alias("timestamp"), F.struct(_uuid(conv).alias("id")).alias("payload")))
+
+
+def _rollout_text(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
+    """filename and text of a rollout file for each conversation; its last line has no end."""
+    rows = _sessions(spark, sf_dir, _rollout_event(), upto)
+    return rows.select(F.concat(F.lit("rollout-"), "conv", F.lit(".jsonl")).alias("filename"), F.concat_ws("\n", _rollout_meta(F.col("conv")), F.array_join("items", "\n")).alias("text"))
 
 
 def _rollouts(spark: SparkSession, sf_dir: str, upto: int | None = None) -> str:
@@ -109,11 +119,36 @@ _COUNTS = "SELECT lpad(conv_id::VARCHAR, 8, '0') || '-0000-4000-8000-00000000000
 def note_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts of the first four messages are synced to notes, then the grown ones; what the notes say."""
     folder = _folder(spark, "notes")
-    pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
-    pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
+    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
+    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
     return R.notes_snapshot(spark, folder).select("session_id", *(F.col(c).cast("long").alias(c) for c in ("msg_count", "q_count", "a_count")))
 
 
+@query(
+    "SELECT lpad((conv_id % 3)::VARCHAR, 8, '0') AS session, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn) AS position, "
+    "CASE role WHEN 'user' THEN 'Q' ELSE 'A' END || count(*) OVER (PARTITION BY conv_id % 3, role ORDER BY conv_id, turn) AS heading, text "
+    "FROM conversations WHERE role IN ('user', 'assistant')"
+)
+def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as three long sessions: rollout files, and notes that are created from the first half and appended to from the
+    rest, both written message by message; every message of the notes, read in byte ranges."""
+    rows = M.spoken(messages(spark, sf_dir)).withColumn("conv", F.col("session_id")).select(
+        "conv", (F.col("conv") % 3).cast("string").alias("session_id"), (F.col("conv") * (1 << 20) + F.col("seq")).alias("seq"), F.concat(_rollout_event(), F.lit("\n")).alias("block"))
+    half = (rows.agg(F.max("conv")).first()[0] or 0) // 2
+    notes = _folder(spark, "notes")
+    for part in (rows.where(F.col("conv") <= half), rows):
+        logs = _folder(spark, "rollouts")
+        name = F.concat(F.lit("rollout-"), "session_id", F.lit(".jsonl"))
+        files = part.select("session_id").distinct().select("session_id", name.alias("filename"), F.concat(_rollout_meta(F.col("session_id")), F.lit("\n")).alias("front"), F.lit(None).alias("expects"), F.lit(None).alias("keep_from"))
+        note_files.write_blocks(files, part, logs, sync=False)
+        pipelines.write(pipelines.plan_rollouts(spark, logs, R.held_notes(spark, notes)), notes, sync=False)
+    is_heading = F.col("line").rlike(r"\A## [QA][0-9]+\z")
+    lines = running_counts(stage(R.text_lines(spark, notes, "*.md"), "note-lines"), "file", F.floor(F.col("place") / (1 << 24)), ["place"], {"position": is_heading})
+    each = lines.where("position > 0").groupBy("file", "position").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+    text = F.array_join(F.transform(F.slice("l", 2, F.size("l")), lambda x: x["line"]), "\n")
+    return each.select(F.regexp_extract("file", r"_([0-9]{8})\.md\z", 1).alias("session"), "position", F.substring(F.col("l")[0]["line"], 4, 20).alias("heading"), F.regexp_replace(text, r"\n\z", "").alias("text"))
+
+
 @query(f"SELECT *, greatest(least(msg_count, 4) - 1, 0) AS first_lines, msg_count - greatest(least(msg_count, 4) - 1, 0) AS second_lines FROM ({_COUNTS})")
 def rollouts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollout files that grow in place, followed by a stream: the first four messages, of which the last line
@@ -201,7 +236,7 @@ def hook_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.to_json(F.struct(F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), F.lit("2026-02-10T12:00:00Z").alias("timestamp"), F.struct("role", F.array("text").alias("content")).alias("message")))
     logs = _write(_sessions(spark, sf_dir, event), F.concat("conv", F.lit(".jsonl")), F.array_join("items", "\n"), "logs")
     notes = _folder(spark, "notes")
-    pipelines.write(pipelines.sync_sessions(spark, R.session_documents(spark, documents(4))), notes, sync=False)
+    pipelines.write(pipelines.plan_sessions(spark, R.session_documents(spark, documents(4))), notes, sync=False)
     named = said.select(F.col("session_id").cast("string").alias("session_id")).where("session_id % 4 = 1").unionByName(spark.range(1).select(F.lit("gone").alias("session_id")))
     hooks = fresh_folder(spark, "hook-events")
     drop_at_exit(spark, hooks)
@@ -290,7 +325,7 @@ def index_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks = {name: fresh_folder(spark, name) for name in ("index", "log")}
     for path in sinks.values():
         drop_at_exit(spark, path)
-    pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir)), _folder(spark, "notes"), sync=False, **sinks)
+    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir)), _folder(spark, "notes"), sync=False, **sinks)
     logged = spark.read.schema("session_id string, action string").json(sinks["log"])
     return R.read_index(spark, sinks["index"]).join(logged, "session_id")
 
@@ -299,8 +334,8 @@ def index_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcomes of the second of those two runs."""
     folder = _folder(spark, "notes")
-    pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
-    return pipelines.write(pipelines.sync_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
+    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
+    return pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

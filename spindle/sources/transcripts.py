@@ -74,6 +74,12 @@ def _place() -> Column:
     return F.col("_metadata.file_block_start") * 2 + before
 
 
+def text_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(file, place, line): all lines of the files below a path, read in byte ranges; place rises from line to line of a file."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    return found.select(_file_name().alias("file"), _place().alias("place"), F.col("value").alias("line"))
+
+
 def _lines(spark: SparkSession, paths: str | list[str], pattern: str, chosen: DataFrame | None = None) -> DataFrame:
     """(path, file, place, v): the lines that are JSON objects; all others are malformed or blank.
 
