@@ -34,10 +34,11 @@ class Notes:
 
 
 def of_snapshot(notes: DataFrame) -> Notes:
-    """Of a table of whole notes."""
-    heads = notes.select("session_id", "filename", F.col("msg_count").cast("int").alias("msg_count"), "headings", F.lit(None).cast("long").alias("modified"))
+    """Of a table of whole notes. It may be read from files, so what notes say of themselves is a written table."""
+    told = stage(notes.select("session_id", "filename", F.col("msg_count").cast("int").alias("msg_count"), "headings"), "told-notes")
+    heads = told.withColumn("modified", F.lit(None).cast("long"))
     texts = lambda names: notes.select("filename", "markdown").join(names, "filename", "left_semi")
-    return Notes(heads, notes.select("filename"), texts, lambda names: N.marks(texts(names)))
+    return Notes(heads, told.select("filename"), texts, lambda names: N.marks(texts(names)))
 
 
 def one_note_each(notes: DataFrame) -> DataFrame:

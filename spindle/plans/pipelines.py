@@ -119,8 +119,10 @@ def plan_rollout_events(spark: SparkSession, events: DataFrame, notes: S.Notes |
     """plan_rollouts of a written table of rollout events (path, place, session, said) that holds whole files."""
     checked = R.rollout_validated(R.rollout_sessions(events))
     good = checked.where("reason IS NULL").groupBy("session_id").agg(F.min_by(F.struct("path", "date"), "path").alias("m")).select("session_id", "m.*")
-    spoken = R.rollout_messages(events).join(good.select("session_id", "path"), "path").select("session_id", "seq", "role", "text")
-    sessions = good.join(M.facts(spoken), "session_id", "left")
+    # Titles are found where the messages are read, not in the few tasks that a shuffle may leave.
+    said = R.rollout_messages(events).withColumn("title", T.title_of(F.col("text"))).join(good.select("session_id", "path"), "path")
+    spoken = said.select("session_id", "seq", "role", "text")
+    sessions = good.join(M.facts_of_titled(said), "session_id", "left")
     sessions = sessions.select("session_id", "date", F.lit("codex").alias("source"), F.coalesce("title", F.lit(T.UNTITLED)).alias("title"), F.coalesce("qa_count", F.lit(0)).alias("msg_count"))
     made = S.synced(spoken, sessions.withColumn("worth", F.col("msg_count") > 0), _notes(spark, notes), N.ROLLOUT)
     return _with_failed(replace(made, rows=made.rows.withColumn("reason", F.lit(None).cast("string"))), checked.where("reason IS NOT NULL"))

@@ -96,6 +96,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
+#: Tasks for each core, and bytes of a task, that a scan of small files is gathered to.
+WAVES, GATHERED = 4, 16 << 20
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """A scan of files. Spark deals some 32 small ones to a task, and a task, with the file that it writes, costs more than
+    reading these: so tasks are joined to WAVES for each core, or to GATHERED bytes each where that makes more."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.coalesce(max(WAVES * files.sparkSession.sparkContext.defaultParallelism, -(-size // GATHERED)))
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables of stage() that nothing will read any more."""
     for df in staged:

@@ -100,6 +100,23 @@ def test_line_files_are_read_in_ranges(spark, tmp_path, end):
     assert len({(f, p) for f, p, _ in rows}) == len(rows)
 
 
+def test_small_files_share_tasks_with_large_ones_in_ranges(spark, tmp_path, monkeypatch):
+    for i in range(600):
+        (tmp_path / f"{i}.jsonl").write_bytes(b'\xef\xbb\xbf{"n":%d}\r\n\n{torn\r{"n":-1,"t":"\xff\xe2\x80\xa8"}' % i)
+        (tmp_path / f"{i}.md").write_text(f"---\nsession_id: s{i}\nmsg_count: 1\n---\n")
+        (tmp_path / f"{i}.json").write_text("{}")
+    monkeypatch.setattr(R, "SMALL_FILE", 1000)
+    (tmp_path / "large.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(1000)))
+    most = 4 * spark.sparkContext.defaultParallelism
+    lines = R._lines(spark, str(tmp_path), "*.jsonl")
+    # Spark itself deals 600 such files to 19 tasks; here those of one file more are added.
+    assert lines.rdd.getNumPartitions() <= most + 4 and R.notes_snapshot(spark, str(tmp_path)).rdd.getNumPartitions() <= most and R.session_documents(spark, str(tmp_path)).rdd.getNumPartitions() <= most
+    rows = sorted((r["file"], r["place"], json.loads(r["v"])) for r in lines.select("file", "place", F.col("v").cast("string").alias("v")).collect())
+    assert [v["n"] for f, _, v in rows if f == "large.jsonl"] == list(range(1000)) and len(rows) == 2200
+    assert [v for f, _, v in rows if f == "7.jsonl"] == [{"n": 7}, {"n": -1, "t": "\ufffd\u2028"}]
+    assert len({(f, p) for f, p, _ in rows}) == len(rows)
+
+
 def test_ranges_of_a_file_hold_each_line_once(tmp_path):
     rng = random.Random(4)
     path = tmp_path / "f"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.operators import notes as N
+from spindle.operators import sync as S
 from spindle.plans import pipelines as P
 from spindle.sources import note_files as W
 from spindle.sources import transcripts as R
@@ -330,3 +331,11 @@ def test_a_run_without_news_moves_no_text(spark, tmp_path, monkeypatch):
     assert run() == {"appended": 1} and [x.count() for x in asked] == [1]
     assert texts(notes)[name].endswith("## Q2\nAnd the printer\n\n") and left(notes) == []
     assert N.ROLLOUT.has_msg_count and "msg_count: 3" in texts(notes)[name]
+
+
+def test_a_snapshot_of_notes_is_read_once_for_what_they_say(spark, tmp_path):
+    """Its names and beginnings come from a written table, so notes that are gone by then are known all the same."""
+    (tmp_path / "n.md").write_text("---\nsession_id: s1\nmsg_count: 2\n---\n\n## Q1\na\n\n## A1\nb\n")
+    notes = S.of_snapshot(R.notes_snapshot(spark, str(tmp_path)))
+    os.unlink(tmp_path / "n.md")
+    assert [tuple(r) for r in notes.heads.collect()] == [("s1", "n.md", 2, 2, None)] and [r["filename"] for r in notes.names.collect()] == ["n.md"]
