@@ -22,6 +22,8 @@ from .common import map_arrow, spread, stage, text_of
 #: The scale of a probability, sources of a block, probabilities of a row of a histogram, counters that
 #: a task holds, block matrices that a task holds, bytes of text that are split at once.
 SCALE, BLOCK, CHUNK, HELD, MATRICES, PIECE = 1_000_000_000, 256, 4096, 400_000, 64, 1 << 22
+#: Pairs of sources that are reckoned at once.
+PAIRS = 1 << 18
 #: Letters in lower case, bytes beyond ASCII as they are, all others as a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,9 +45,10 @@ def _count_rows(batches):
 
     def told():
         for (lang, source), (n, held) in counts.items():
+            all_keys = list(n)
             for i in range(0, len(n), 20_000):
-                keys = list(n)[i : i + 20_000]
-                columns = [[lang] * len(keys), [source] * len(keys), [k.decode() for k in keys], [n[k] for k in keys], [held[k] for k in keys]]
+                keys = all_keys[i : i + 20_000]
+                columns = [[lang] * len(keys), [source] * len(keys), keys, [n[k] for k in keys], [held[k] for k in keys]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         counts.clear()
 
@@ -90,8 +93,23 @@ def _one_sided(batches):
                 yield _partial(row["lang"], *((one, other) if forth else (other, one)), value[keep])
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of (slot, p, base): how long each is, and the three fields of all of them in a row."""
+    items = column.flatten()
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), [items.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("slot", "p", "base")]
+
+
+def _crossed(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the runs of one side and of the other, of lengths na and nb, for all pairs of each row."""
+    a = np.repeat(np.arange(na.sum()), np.repeat(nb, na))
+    widths = np.repeat(nb, na)
+    within = np.arange(len(a)) - np.repeat(np.cumsum(widths) - widths, widths)
+    return a, np.repeat(np.repeat(np.cumsum(nb) - nb, na), widths) + within
+
+
 def _two_sided(batches):
-    """Rows: a term's sources of one block and of another. Sums are kept for each pair of blocks."""
+    """Rows: a term's sources of one block and of another. Sums are kept for each pair of blocks; the pairs of many
+    terms are reckoned at once, PAIRS of them and those of one term more at most."""
     sums: dict[tuple, np.ndarray] = {}
 
     def told():
@@ -101,14 +119,27 @@ def _two_sided(batches):
                 yield _partial(lang, a + i * BLOCK, b + j * BLOCK, m[a, b])
         sums.clear()
 
+    def add(key: tuple, rows: pa.RecordBatch) -> None:
+        (na, (slot, p, p0)), (nb, (slots, q, q0)) = _runs(rows.column("here")), _runs(rows.column("there"))
+        a, b = _crossed(na, nb)
+        there, p, p0, q, q0 = slot[a] * BLOCK + slots[b], p[a], p0[a], q[b], q0[b]
+        more = _f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0)
+        if key[1] == key[2]:
+            more[slot[a] == slots[b]] = 0
+        m = sums.setdefault(key, np.zeros((BLOCK, BLOCK), np.int64))
+        np.add.at(m.reshape(-1), there, more)
+
     for batch in batches:
-        for row in batch.to_pylist():
-            (a, p, p0), (b, q, q0) = (tuple(np.array([s[n] for s in row[side]], np.int64) for n in ("slot", "p", "base")) for side in ("here", "there"))
-            p, p0 = p[:, None], p0[:, None]
-            m = sums.setdefault((row["lang"], row["i"], row["j"]), np.zeros((BLOCK, BLOCK), np.int64))
-            more = _f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0)
-            more[a[:, None] == b] *= row["i"] != row["j"]
-            m[np.ix_(a, b)] += more
+        blocks = zip(*(batch.column(c).to_pylist() for c in ("lang", "i", "j")))
+        rows_of: dict[tuple, list[int]] = {}
+        for n, key in enumerate(blocks):
+            rows_of.setdefault(key, []).append(n)
+        pairs = batch.column("here").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * batch.column("there").value_lengths().to_numpy(zero_copy_only=False)
+        for key, rows in rows_of.items():
+            rows = np.array(rows)
+            part = np.cumsum(pairs[rows]) // PAIRS
+            for some in np.split(rows, np.flatnonzero(np.diff(part)) + 1):
+                add(key, batch.take(pa.array(some)))
             if len(sums) > MATRICES:
                 yield from told()
     yield from told()
@@ -180,8 +211,9 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     """
     named = docs.select(text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), text_of(text_col).cast("binary").alias("text"))
     told = map_arrow(spread(named), _count_rows, "lang string, source string, term string, n long, held long")
-    counts = stage(told.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "term-counts")
+    # One shuffle by the term serves the counts and the window. The rows of a task hardly repeat, so none are added before it.
     # A term's rows are as many as the language has sources.
+    counts = told.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     term = Window.partitionBy("lang", "term")
     everywhere = counts.select("*", F.sum("held").over(term).alias("_held"), F.sum("n").over(term).alias("all_n"), (F.row_number().over(term.orderBy("source")) == 1).alias("_first"))
     kept = stage(everywhere.where(F.col("_held") >= least_docs).drop("held", "_held"), "kept-terms")

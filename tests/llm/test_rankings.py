@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,28 @@ def test_many_sources_fill_several_blocks(spark):
     assert sorted(map(tuple, divergence.divergence(df).collect())) == plain_divergence(rows)
 
 
+@pytest.mark.parametrize("most", [40, 1 << 18])
+def test_pairs_of_many_terms_are_reckoned_at_once(monkeypatch, most):
+    rng = random.Random(10)
+    side = lambda: [{"slot": s, "p": rng.randrange(1, 10**9), "base": rng.randrange(1, 10**6)} for s in sorted(rng.sample(range(256), rng.randrange(1, 9)))]
+    rows = [(lang, i, j, here, here if i == j else side()) for lang in "ab" for i, j in ((0, 0), (0, 1), (1, 0)) for _ in range(60) for here in [side()]]
+    rng.shuffle(rows)
+    item = pa.list_(pa.struct([(n, pa.int64()) for n in ("slot", "p", "base")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), item, item))], names=["lang", "i", "j", "here", "there"])
+    calls, f = [], divergence._f
+    monkeypatch.setattr(divergence, "_f", lambda p, q: calls.append(1) or f(p, q))
+    monkeypatch.setattr(divergence, "PAIRS", most)
+    expected, plain = Counter(), lambda p, q: (p - q) ** 2 // q
+    for lang, i, j, here, there in rows:
+        for x in here:
+            for y in there:
+                if i != j or x["slot"] != y["slot"]:
+                    expected[lang, i * 256 + x["slot"], j * 256 + y["slot"]] += plain(x["p"], y["p"]) - plain(x["p"], y["base"]) - plain(x["base"], y["p"]) + plain(x["base"], y["base"])
+    got = [tuple(r.values()) for out in divergence._two_sided([batch.slice(0, 100), batch.slice(100)]) for r in out.to_pylist()]
+    assert {r[:3]: r[3] for r in got} == {k: v for k, v in expected.items() if v}
+    assert most == 40 or len(calls) == 4 * 2 * 6  # before: four for each row
+
+
 @pytest.mark.parametrize("limit", [1, 3, 10, 1000])
 def test_radix_select_with_ties(spark, limit):
     rng = random.Random(9)
