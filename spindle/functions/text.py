@@ -5,6 +5,8 @@ All are built-in expressions, so they stay inside the JVM and can be used in any
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,15 @@ UUID_SHAPE = r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"
 NOT_IN_IDS = "[^A-Za-z0-9_-]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once; Spark makes an expression anew at each place of a condition that has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    # Most texts have nothing to strip, which their two ends tell without a search of the whole.
+    at_ends = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(WS)
+    return let(text, lambda x: F.when(at_ends(x), F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")).otherwise(x))
 
 
 def lstrip(text: Column) -> Column:
@@ -45,6 +54,11 @@ def starts_with_any(text: Column, starts: tuple[str, ...]) -> Column:
     return out
 
 
+def _begins_with_any(text: Column, starts: tuple[str, ...]) -> Column:
+    """The same in lower case; no more of the text is looked at than the longest start."""
+    return let(F.lower(F.left(text, F.lit(max(map(len, starts))))), lambda x: starts_with_any(x, starts))
+
+
 def _named(text: Column) -> Column:
     """Empty, . and .. are no names. One expression, so that the text before it is made once."""
     return F.regexp_replace(text, r"\A\.{0,2}\z", UNTITLED)
@@ -99,11 +113,14 @@ def strip_tags(text: Column) -> Column:
 
 def title_of(text: Column) -> Column:
     """The first line of a message that can be its title, or null."""
-    bare = strip_tags(strip(text))
-    lines = F.transform(F.split(bare, "\n", -1), strip)
-    told = F.filter(lines, lambda x: ~starts_with_any(F.lower(x), BOILERPLATE_STARTS) & ~x.isin("", "---", "#"))
-    plain = F.filter(F.transform(told, lambda x: F.regexp_replace(x, rf"\A#+{WS}*", "")), lambda x: F.length(x) >= TITLE_LEAST)
-    return F.when(~starts_with_any(F.lower(bare), SYSTEM_STARTS), F.substring(F.get(plain, F.lit(0)), 1, NAME_LENGTH))
+
+    def first_line(bare: Column) -> Column:
+        lines = F.transform(F.split(bare, "\n", -1), strip)
+        told = F.filter(lines, lambda x: ~_begins_with_any(x, BOILERPLATE_STARTS) & ~x.isin("", "---", "#"))
+        plain = F.filter(F.transform(told, lambda x: F.regexp_replace(x, rf"\A#+{WS}*", "")), lambda x: F.length(x) >= TITLE_LEAST)
+        return F.when(~_begins_with_any(bare, SYSTEM_STARTS), F.substring(F.get(plain, F.lit(0)), 1, NAME_LENGTH))
+
+    return let(strip_tags(strip(text)), first_line)
 
 
 def short_id(session_id: Column) -> Column:

@@ -51,8 +51,10 @@ def notes_reached(messages: DataFrame, notes: DataFrame) -> DataFrame:
     """notes with msg_count, q_count and a_count: how many of their session's messages (session_id, seq,
     role, text, in order) they hold. headings counts the lines of a note that begin like a heading; a
     message has one of its own and those in its text."""
-    here = messages.join(notes.select("session_id", F.col("headings").alias("_held")), "session_id")
-    so_far = F.sum(N.heading_count(F.coalesce("text", F.lit(""))) + 1).over(M.by_session().rowsBetween(Window.unboundedPreceding, 0))
+    # Headings are counted before the join, so that no text is shuffled.
+    told = messages.select("session_id", "seq", "role", (N.heading_count(F.coalesce("text", F.lit(""))) + 1).alias("_headings"))
+    here = told.join(notes.select("session_id", F.col("headings").alias("_held")), "session_id")
+    so_far = F.sum("_headings").over(M.by_session().rowsBetween(Window.unboundedPreceding, 0))
     inside = here.withColumn("_in", so_far <= F.col("_held")).where("_in")
     own = inside.groupBy("session_id").agg(F.count(F.lit(1)).alias("msg_count"), *(F.count_if(F.col("role") == r).alias(c) for r, c in zip(M.ROLES, ("q_count", "a_count"))))
     kept = notes.drop("msg_count", "q_count", "a_count").join(own, "session_id", "left")
@@ -84,7 +86,8 @@ def dispatch(sessions: DataFrame, notes: DataFrame) -> DataFrame:
 def new_messages(messages: DataFrame, dispatched: DataFrame) -> DataFrame:
     """The messages of created and appended sessions that their notes lack, numbered on."""
     due = dispatched.where(F.col("action").isin(CREATED, APPENDED)).select("session_id", F.coalesce("old_count", F.lit(0)).alias("skip"), F.coalesce("old_q", F.lit(0)).alias("q0"), F.coalesce("old_a", F.lit(0)).alias("a0"))
-    late = M.positions(messages).join(due, "session_id").where("position > skip")
+    # Joined first: no text of sessions that are not due is shuffled or sorted.
+    late = M.positions(messages.join(due, "session_id")).where("position > skip")
     return M.numbered(late, F.col("q0"), F.col("a0")).drop("skip", "q0", "a0")
 
 

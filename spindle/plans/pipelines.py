@@ -63,11 +63,8 @@ def _read(documents: DataFrame, used_fallback: bool) -> DataFrame:
     fails, or null) and said (its messages)."""
     date = T.date_prefix(F.col("started_at"))
     reason = F.when((F.col("source") == "") | (F.col("started_at") == ""), "missing timestamp or source").when(~T.has_date_shape(date), "bad date")
-    checked = documents.select("session_id", "source", "items", F.lit(used_fallback).alias("used_fallback"), date.alias("date"), reason.alias("reason"))
-    said = R.session_messages(checked.where("reason IS NULL").select("session_id", "items"))
-    said = said.withColumn("title", T.title_of(F.col("title_text"))).drop("title_text")
-    each = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "title"))).alias("said"))
-    return stage(checked.drop("items").join(each, "session_id", "left"), "sessions")
+    checked = documents.select("session_id", "source", F.lit(used_fallback).alias("used_fallback"), date.alias("date"), reason.alias("reason"), "items")
+    return stage(checked.select("*", F.when(F.col("reason").isNull(), R.said(F.col("items"))).alias("said")).drop("items"), "sessions")
 
 
 def plan_sessions(spark: SparkSession, documents: DataFrame, notes: S.Notes | DataFrame | None = None, wanted: DataFrame | None = None, fallback: Fallback | None = None) -> S.Synced:

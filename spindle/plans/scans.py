@@ -3,6 +3,8 @@ back, notes are written and synced again, and a stream counts turns."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 def _write(rows: DataFrame, name: Column, text: Column, label: str) -> str:
     folder = _folder(rows.sparkSession, label)
-    note_files.write_notes(rows.select(name.alias("filename"), text.alias("markdown")), folder, sync=False)
+    note_files.put_files(rows.select(name.alias("filename"), text.alias("text")), folder)
     return folder
 
 
@@ -198,7 +200,7 @@ def fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = by_session(event).where("conv % 2 = 1")
     base = _folder(spark, "logs")
     for name, rows in ((".codex", logs.where("conv % 4 = 1")), ("projects", logs.where("conv % 4 = 3"))):
-        note_files.write_notes(rows.select(F.concat("conv", F.lit(".jsonl")).alias("filename"), F.array_join("items", "\n").alias("markdown")), f"{base}/{name}", sync=False)
+        note_files.put_files(rows.select(F.concat("conv", F.lit(".jsonl")).alias("filename"), F.array_join("items", "\n").alias("text")), f"{base}/{name}")
     found = R.with_fallback(R.session_documents(spark, documents), R.event_log_documents(spark, [f"{base}/.codex", f"{base}/projects"]))
     return found.select("session_id", "used_fallback", "source", "started_at", F.size("items").cast("long").alias("n_messages"))
 
@@ -243,8 +245,8 @@ def hook_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     named.distinct().write.json(hooks)
     wanted = stage(sync.hooked(spark.read.schema("session_id string").json(hooks)), "wanted")
     from_logs = lambda missing, held: R.event_log_documents(spark, logs, wanted=missing, held=held)
-    rows = pipelines.sync_sessions(spark, R.session_documents(spark, documents(None), wanted), R.notes_snapshot(spark, notes), wanted, from_logs)
-    return rows.select("session_id", "action", "reason", F.col("to_count").cast("long").alias("to_count"))
+    made = pipelines.plan_sessions(spark, R.session_documents(spark, documents(None), wanted), R.held_notes(spark, notes, whole=True), wanted, from_logs)
+    return made.rows.select("session_id", "action", "reason", F.col("to_count").cast("long").alias("to_count"))
 
 
 @query("SELECT 'id-' || session_id AS session_id, msg_count FROM (SELECT conv_id AS session_id, count(*) AS msg_count FROM conversations GROUP BY conv_id)")
@@ -289,9 +291,10 @@ def session_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", F.col("text").alias("content")))).alias("messages"))
         text = F.to_json(F.struct(F.lit("claude").alias("source"), F.lit("2026-02-10T12:00:00Z").alias("timestamp"), F.col("messages")))
         documents = R.session_documents(spark, _write(own, F.concat("session_id", F.lit(".json")), text, "sessions"))
-        made = stage(pipelines.sync_sessions(spark, documents, R.notes_snapshot(spark, notes)), "outcomes")
+        made = pipelines.plan_sessions(spark, documents, R.held_notes(spark, notes, whole=True))
+        made = replace(made, rows=stage(made.rows, "outcomes"))
         pipelines.write(made, notes, sync=False)
-        outcomes.append(made.select("session_id", F.col("action").alias(("first", "second", "third")[len(outcomes)])))
+        outcomes.append(made.rows.select("session_id", F.col("action").alias(("first", "second", "third")[len(outcomes)])))
     held = R.notes_snapshot(spark, notes).select("session_id", "filename", "markdown")
     return held.join(outcomes[0], "session_id").join(outcomes[1], "session_id").join(outcomes[2], "session_id")
 

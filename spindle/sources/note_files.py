@@ -336,6 +336,27 @@ def _save(pieces: DataFrame, folder: str, sync: bool, token: str | None) -> None
     (sink if token is None else sink.option("token", token)).save()
 
 
+def _put_rows(folder: str):
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                to, temp = os.path.join(folder, plain_name(name)), os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(temp, "wb") as f:
+                    f.write(text.encode("utf-8"))
+                os.replace(temp, to)
+            yield _batch([(batch.num_rows,)], "files long")
+
+    return run
+
+
+def put_files(files: DataFrame, folder: str) -> None:
+    """Write filename and text of every row, each file by the task that has it. No run, no checks, no commit: for files that
+    no one reads before all are there; a task that is run again writes the same."""
+    real = guard(folder)
+    ship(files.sparkSession)
+    files.select("filename", "text").mapInArrow(_put_rows(real), "files long").write.format("noop").mode("overwrite").save()
+
+
 # -- what is read of notes -------------------------------------------------------------------------
 
 #: A line that begins like a message heading, in the lines of Java's patterns: \r and the Unicode ends begin one too.

@@ -107,6 +107,11 @@ def _lines(spark: SparkSession, paths: str | list[str], pattern: str, chosen: Da
     return placed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 
+def _parsed(text: str) -> Column:
+    """A column's JSON, or null, as a generated column: conditions on it then do not go below it, where each would parse anew."""
+    return F.explode(F.array(F.try_parse_json(text)))
+
+
 def _variant(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -194,7 +199,7 @@ def session_documents(spark: SparkSession, path: str, wanted: DataFrame | None =
     sessions wanted (session_id) or all; other files are not opened. Files that are no JSON, or JSON null
     or false, are left out, as if they could not be read."""
     chosen = None if wanted is None else _keyed(listed(spark, path, "*.json"), ".json", wanted, None)
-    rows = _whole(spark, path, "*.json", chosen).select(F.regexp_replace("file", r"\.json\z", "").alias("session_id"), F.try_parse_json("value").alias("v"))
+    rows = _whole(spark, path, "*.json", chosen).select(F.regexp_replace("file", r"\.json\z", "").alias("session_id"), _parsed("value").alias("v"))
     usable = rows.where("v IS NOT NULL").where(~F.is_variant_null("v") & ~((F.schema_of_variant("v") == "BOOLEAN") & (F.to_json("v") == "false")))
     items = F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     each = F.transform(items, lambda m: F.struct(F.coalesce(_text(m, "$.role"), F.lit("")).alias("role"), _variant(m, "$.content").alias("content")))
@@ -233,6 +238,12 @@ def session_messages(documents: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", "m.role", C.flatten_body(content).alias("text"), C.flatten_title(content).alias("title_text"))
 
 
+def said(items: Column) -> Column:
+    """seq, role, text and title (what each could give as one) of a document's messages, in its own row: its order is that of the
+    document, and nothing is shuffled."""
+    return F.transform(items, lambda m, i: F.struct(i.alias("seq"), m["role"].alias("role"), C.flatten_body(m["content"]).alias("text"), T.title_of(C.flatten_title(m["content"])).alias("title")))
+
+
 # -- rollout files ---------------------------------------------------------------------------------
 
 

@@ -339,3 +339,12 @@ def test_a_snapshot_of_notes_is_read_once_for_what_they_say(spark, tmp_path):
     notes = S.of_snapshot(R.notes_snapshot(spark, str(tmp_path)))
     os.unlink(tmp_path / "n.md")
     assert [tuple(r) for r in notes.heads.collect()] == [("s1", "n.md", 2, 2, None)] and [r["filename"] for r in notes.names.collect()] == ["n.md"]
+
+
+def test_files_that_no_one_reads_yet_are_put_by_their_tasks(spark, tmp_path):
+    rows = spark.range(20).repartition(4).select(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".json")).alias("filename"), F.lit("\u00e9\n").alias("text"))
+    for _ in range(2):  # a second time changes nothing
+        W.put_files(rows, str(tmp_path))
+        assert texts(tmp_path) == {f"n{i}.json": "\u00e9\n" for i in range(20)} and left(tmp_path) == []
+    with pytest.raises(Exception, match="no file name"):
+        W.put_files(rows.limit(1).withColumn("filename", F.lit("../out")), str(tmp_path))

@@ -3,6 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from spindle.functions import text as T
 from spindle.operators import messages as M
 from spindle.operators import notes as N
 from spindle.operators import sync as S
@@ -140,3 +141,30 @@ def test_messages_of_all_sources_in_one_frame(spark):
     two = one.withColumn("session_id", F.lit("x"))
     got = M.united(export=one, rollout=two).collect()
     assert sorted((r["source"], r["session_id"]) for r in got) == [("export", "1"), ("rollout", "x")]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_title_strips_its_text_once(spark):
+    rows = spark.createDataFrame([("  <b>x</b> <i>\n\u2003# Hello there \u00a0\n",), ("---\nTITLE: none",), (" \n# Ab\nUser Actions\n long enough\u3000",), ("",), (None,)], "t string")
+    made = rows.repartition(2).select(T.title_of(F.col("t")).alias("title"))._jdf.queryExecution().optimizedPlan().expressions().mkString(" ")
+    assert made.count(">.*?</") == 1
+    assert [r[0] for r in rows.select(T.title_of(F.col("t"))).collect()] == ["Hello there", None, "long enough", None, None]
+    assert [r[0] for r in rows.select(T.strip(F.col("t"))).collect()] == ["<b>x</b> <i>\n\u2003# Hello there", "---\nTITLE: none", "# Ab\nUser Actions\n long enough", "", None]
+
+
+def test_no_text_is_shuffled_to_tell_what_a_note_holds(spark):
+    messages = spark.createDataFrame([("s", 0, "user", "a"), ("s", 1, "assistant", "b"), ("t", 0, "user", "c")], "session_id string, seq int, role string, text string").repartition(2)
+    plan = optimized(S.notes_reached(messages, spark.createDataFrame([("s", 1)], "session_id string, headings long").repartition(2)))
+    assert all("text#" not in line for line in plan[: plan.index("Join Inner")].splitlines()) and plan.index("## [QA]") > plan.index("Join Inner")
+
+
+def test_only_sessions_that_are_due_are_numbered(spark):
+    messages = spark.createDataFrame([("s", 0, "user", "a"), ("s", 1, "assistant", "b"), ("t", 0, "user", "c")], "session_id string, seq int, role string, text string").repartition(2)
+    due = spark.createDataFrame([("s", "appended", 1, 1, 0), ("t", "unchanged", 1, 1, 0)], "session_id string, action string, old_count long, old_q long, old_a long").repartition(2)
+    late = S.new_messages(messages, due)
+    assert [(r.session_id, r.seq, r.n) for r in late.collect()] == [("s", 1, 1)]
+    plan = optimized(late)
+    assert "Window" not in plan[plan.index("Join") :]
