@@ -122,7 +122,7 @@ def note_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts of the first four messages are synced to notes, then the grown ones; what the notes say."""
     folder = _folder(spark, "notes")
     pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
-    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
+    pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.held_notes(spark, folder)), folder, sync=False)
     return R.notes_snapshot(spark, folder).select("session_id", *(F.col(c).cast("long").alias(c) for c in ("msg_count", "q_count", "a_count")))
 
 
@@ -338,7 +338,7 @@ def sync_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcomes of the second of those two runs."""
     folder = _folder(spark, "notes")
     pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir, 4)), folder, sync=False)
-    return pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.notes_snapshot(spark, folder)), folder, sync=False)
+    return pipelines.write(pipelines.plan_rollouts(spark, _rollouts(spark, sf_dir), R.held_notes(spark, folder)), folder, sync=False)
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

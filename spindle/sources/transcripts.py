@@ -103,7 +103,7 @@ def _lines(spark: SparkSession, paths: str | list[str], pattern: str, chosen: Da
         ranges = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
         large = _of_files(ranges.select("value", "_metadata").where(size > most), chosen)
         found = found.unionByName(large.select(*named, _place().alias("place"), "value"))
-    placed = found.select("path", "file", "place", F.try_parse_json("value").alias("v"))
+    placed = found.select("path", "file", "place", _parsed("value").alias("v"))
     return placed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 

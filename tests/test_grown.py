@@ -257,3 +257,10 @@ def test_an_object_may_fill_many_ranges(spark, tmp_path):
         assert [r["text"] for r in R.export_messages(found).collect()] == ["}" * 5000]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "rollout-a.jsonl").write_text('{"type": "session_meta", "payload": {"id": "x"}}\n[1]\n{bad')
+    events = R.rollout_events(R.rollout_lines(spark, str(tmp_path)))
+    assert [r.session.session_id for r in events.collect()] == ["x"]
+    assert events._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
